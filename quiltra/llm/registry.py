@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
 from .media import op5_media_columns
+from .pieces import op4_sentencepiece
+from .pii import op3_pii
 from .quality import op10_quality_classifier
 from .sharding import op6_sharding
+from .tokens import op1_token_blocks
 
-QUERIES = [op5_media_columns, op6_sharding, op7_decontamination, op10_quality_classifier]
+QUERIES = [op1_token_blocks, op3_pii, op4_sentencepiece, op5_media_columns, op6_sharding, op7_decontamination, op10_quality_classifier]
 
 
 def queries() -> dict:
