@@ -53,3 +53,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(28)
     x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column without nulls, and where each row begins and ends in them."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    bytes_ = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, np.uint8)
+    return bytes_, cuts - cuts[0]
+
+
+def sliced(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 21):
+    """The batch in slices of about ``limit`` bytes of text, so that arrays over single bytes stay small."""
+    if not batch.num_rows:
+        return
+    ends = flat(batch[text])[1]
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACES)] = True
+#: A random number for each byte value at each place of a word's first 64 bytes.
+_PLACED = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64))
+
+
+def word_table(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between white space of several texts in one byte array.
+
+    Returns their 64-bit hashes, first bytes and ends, and for each text (and the end) the number of words before it.
+    """
+    n = len(data)
+    inside = ~_IS_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = cuts[:-1][cuts[:-1] < n]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    before = np.searchsorted(starts, cuts)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts, before
+    lead = starts[0]
+    place = np.arange(lead, n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    part = _PLACED[data[lead:].astype(np.int64) + ((place & 63) << 8)]
+    if place.max() >= 64:
+        part = part * (2 * (place >> 6).astype(np.uint64) + np.uint64(1))
+    part[~inside[lead:]] = 0
+    total = np.add.reduceat(part, starts - lead)
+    length = np.add.reduceat(inside[lead:].astype(np.int64), starts - lead)
+    return mix(total + length.astype(np.uint64)), starts, starts + length, before
+
+
+_STEP = np.uint64(0xF1357AEA2E62A9C5)
+
+
+def windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Order-dependent 64-bit hashes of every run of ``width`` values."""
+    n = len(values) - width + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for j in range(width if n > 0 else 0):
+        out = out * _STEP + values[j : j + n]
+    return mix(out)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
 from .media import op5_media_columns
+from .near import op9_ngram_jaccard_join
 from .pieces import op4_sentencepiece
 from .pii import op3_pii
 from .quality import op10_quality_classifier
 from .sharding import op6_sharding
+from .substrings import OP8_SQL, op8_substring_dedup
 from .tokens import op1_token_blocks
 
-QUERIES = [op1_token_blocks, op3_pii, op4_sentencepiece, op5_media_columns, op6_sharding, op7_decontamination, op10_quality_classifier]
+QUERIES = [op1_token_blocks, op3_pii, op4_sentencepiece, op5_media_columns, op6_sharding, op7_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_classifier]
 
 
 def queries() -> dict:
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op7_decontamination": OP7_SQL, "op8_substring_dedup": OP8_SQL}
