@@ -10,9 +10,10 @@ from .pii import op3_pii
 from .quality import op10_quality_classifier
 from .sharding import op6_sharding
 from .substrings import OP8_SQL, op8_substring_dedup
+from .suffixes import op2_suffix_array_dedup
 from .tokens import op1_token_blocks
 
-QUERIES = [op1_token_blocks, op3_pii, op4_sentencepiece, op5_media_columns, op6_sharding, op7_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_classifier]
+QUERIES = [op1_token_blocks, op2_suffix_array_dedup, op3_pii, op4_sentencepiece, op5_media_columns, op6_sharding, op7_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_classifier]
 
 
 def queries() -> dict:

@@ -14,8 +14,6 @@ place, of which no row is earlier than the other; an empty table gives an empty
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
