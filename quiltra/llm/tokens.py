@@ -17,6 +17,8 @@ table writes no segment; a very long text is one segment of its own; extra colum
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 
@@ -33,40 +35,77 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 16
 END_ID = 0
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 SPECIAL = "<|endoftext|>"
 
-# The split pattern of the byte-level vocabulary, with Unicode white space spelled out.
+#: White space of the vocabulary's split pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 HEADER = struct.Struct("<4sHIIQ")
 
 
+class Remembered(dict):
+    """Ids of strings as bytes; an unknown string gets an empty array, to be filled in with the others in ``fresh``.
+
+    Strings of the generation before, ``old``, are still known, and come over when they are asked for.
+    """
+
+    def __init__(self, old: dict | None = None) -> None:
+        self.fresh: dict[str, bytearray] = {}
+        self.old = old or {}
+
+    def __missing__(self, key: str) -> bytes | bytearray:
+        got = self.old.get(key)
+        if got is None:
+            got = self.fresh[key] = bytearray()
+        self[key] = got
+        return got
+
+
 class Encoder:
-    """Whole texts to ids: each distinct piece goes through the tokenizers library once while it is remembered."""
+    """Whole texts to ids, with the tokenizers library.
+
+    The vocabulary's split pattern always cuts before a single space that has no other white space beside it, so such a
+    text's parts between spaces are encoded apart, each distinct one once while it is remembered. Texts with longer runs of
+    white space, or with the name of the special token, go to the library whole.
+    """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(PIECES).findall
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.end = self.tokenizer.token_to_id(SPECIAL)
+        self.runs = re.compile(f"[{SPACE}]{{2}}").search
+        self.known = Remembered()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self) -> None:
+        """Encodes the new parts, a special token between them."""
+        parts = list(self.known.fresh.items())
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = self._ids(SPECIAL.join(k for k, _ in some))
+            cuts = np.flatnonzero(ids == self.end)
+            for (_, held), a, b in zip(some, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()):
+                held += ids[a:b].tobytes()
+        self.known.fresh = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers, without the end id."""
-        pieces = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = list(set().union(*pieces).difference(self.known))
-        for piece, got in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.known[piece] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        get = self.known.__getitem__
-        return [self._whole(t) if SPECIAL in t else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
+            self.known.old = {}
+            self.known = Remembered(self.known)
+        get, rows = self.known.__getitem__, []
+        for t in texts:
+            if self.runs(t) or SPECIAL in t:
+                rows.append([self._ids(t).tobytes()])
+            else:
+                rows.append(list(map(get, t.replace(" ", "\x00 ").split("\x00"))) if "\x00" not in t else [self._ids(t).tobytes()])
+        self._learn()
+        return [b"".join(r) for r in rows]
 
 
 def lanes(width: int):
@@ -186,8 +225,7 @@ def segments(docs: DataFrame, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([k], pa.int32()), "first_doc": pa.array([names[0]], pa.int64()), "start_in_part": [start], "n_ids": [n], "payload": pa.array([segment(names, counts, ids)], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = batch.slice(at, 256)
+            for own in common.sliced(batch, limit=1 << 18):
                 for doc, ids in zip(own["doc_id"].to_pylist(), encoder.encode(own["text"].to_pylist())):
                     names.append(doc)
                     counts.append(len(ids) // 4 + 1)
