@@ -1,2 +1,53 @@
-ORACLE_SQL=None
-run=None
+"""Corpus pipeline: quality, near copies, benchmark passages, personal data, token pieces.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; ``run`` writes each stage's
+rows to the shared folder and reads them again as the next one's docs. All stages but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiltra.llm import common, decontaminate, near, pieces, pii, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.accepted(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest doc_id."""
+    kept = near.join(docs).filter(near.kept()).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated with benchmark items."""
+    hits = decontaminate.report(decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark")))
+    return docs.join(hits.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as token pieces: what they are, and that they decode to the text."""
+    return pieces.round_trip(docs)
+
+
+STAGES = [("quality", quality_stage), ("near_copies", near_copies_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("pieces", pieces_stage)]
+
+#: No SQL: stages train models and encode pieces. Tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,6 +23,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``texts`` with all columns of the row, as they are, in the struct _row."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*docs.columns).alias("_row"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of the cluster (spark.checkpoint.dir)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -32,6 +32,9 @@ BLOCK_BYTES = 1 << 20
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
+FOLD_TABLE = np.frombuffer(FOLD, np.uint8)
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
@@ -89,6 +92,27 @@ class Automaton:
         return out
 
 
+class Lookup:
+    """Positions of known 64-bit hashes, through a table that their low bits point into."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+        self.bits = max(16, int(len(hashes)).bit_length() + 5)
+        self.there = np.zeros(1 << self.bits, bool)
+        self.there[(hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The position of each hash, -1 if unknown."""
+        out = np.full(len(hashes), -1, np.int64)
+        some = np.flatnonzero(self.there[(hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.sorted, hashes[some]), len(self.sorted) - 1)
+            same = self.sorted[at] == hashes[some]
+            out[some[same]] = self.order[at[same]]
+        return out
+
+
 class Index:
     """Automaton, vocabulary and windows of one block of items."""
 
@@ -110,29 +134,30 @@ class Index:
             for i in range(max(1, len(ids) - window + 1)):
                 self.items[tuple(ids[i : i + window])].add(item)
         self.base = max(1, len(self.number))
-        self.pairs = np.unique(np.array([a * self.base + b for a, b in pairs], dtype=np.int64))
         self.least = min([window, *self.short])
-
-    def hits(self, text: bytes) -> tuple[int, np.ndarray, set[str]]:
-        """Number of words, marks of hit words, and the items with occurring windows."""
-        words = words_of(text)
-        get, n = self.number.get, len(words)
-        mark, found = np.zeros(n, dtype=bool), set()
-        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+        words = list(self.number)
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        self.words = Lookup(common.word_table(data, np.array([0, len(data)]))[0])
+        self.pairs = Lookup(common.mix(np.array([a * self.base + b for a, b in pairs], dtype=np.uint64)))
+
+    def hits(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
+        """For several texts in one array: words before each text, marks of hit words, and the items found by text."""
+        hashes, _, _, before = common.word_table(FOLD_TABLE[data], cuts)
+        n = len(hashes)
+        mark, found = np.zeros(n, dtype=bool), defaultdict(set)
         if n < self.least or not self.items:
-            return n, mark, found
+            return before, mark, found
+        ids = self.words.find(hashes)
         known = ids >= 0
-        joined = np.zeros(n, dtype=bool)  # the word and the one before it are neighbours in some item
+        joined = np.zeros(n, dtype=bool)  # the word and the one before it, in the same text, are neighbours in some item
         both = np.flatnonzero(known[1:] & known[:-1])
-        if len(both) and len(self.pairs):
-            code = ids[both] * self.base + ids[both + 1]
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            joined[both[self.pairs[at] == code] + 1] = True
+        if len(both):
+            code = common.mix(ids[both].astype(np.uint64) * np.uint64(self.base) + ids[both + 1].astype(np.uint64))
+            joined[both[self.pairs.find(code) >= 0] + 1] = True
+        joined[before[:-1][before[:-1] < n]] = False
         starts = np.flatnonzero(known & ~joined)
-        ends = np.append(starts[1:], n)
+        ends = np.minimum(np.append(starts[1:], n), np.append(np.flatnonzero(~known), n)[np.searchsorted(np.flatnonzero(~known), starts)])
         for a, b in zip(starts, ends):
-            stop = np.flatnonzero(~known[a:b])
-            b = a + stop[0] if len(stop) else b
             if b - a < self.least:
                 continue
             run = ids[a:b].tolist()
@@ -141,8 +166,8 @@ class Index:
                     own = self.items.get(tuple(run[i - k + 1 : i + 1]))
                     if own:
                         mark[a + i - k + 1 : a + i + 1] = True
-                        found |= own
-        return n, mark, found
+                        found[int(np.searchsorted(before, a, side="right")) - 1] |= own
+        return before, mark, found
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
@@ -164,16 +189,17 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFr
     def run(batches):
         index = Index(shared.value, window)
         for batch in batches:
-            n_words, marks, found = [], [], []
-            for text, old, names in zip(common.raw(batch["text"]), batch["marks"].to_pylist(), batch["items"].to_pylist()):
-                n, mark, own = index.hits(text)
-                bits = np.packbits(mark).tobytes() if mark.any() else b""
-                if old:
-                    bits = np.bitwise_or(np.frombuffer(old, np.uint8), np.frombuffer(bits, np.uint8)).tobytes() if bits else old
-                n_words.append(n)
-                marks.append(bits)
-                found.append(sorted({*names, *own}))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": batch["text"], "n_words": pa.array(n_words, pa.int64()), "marks": pa.array(marks, pa.binary()), "items": pa.array(found, pa.list_(pa.string()))})
+            for part in common.sliced(batch):
+                before, mark, found = index.hits(*common.flat(part["text"]))
+                hit = np.concatenate([[0], np.cumsum(mark)])[before]
+                marks, items = [], []
+                for k, (old, names) in enumerate(zip(part["marks"].to_pylist(), part["items"].to_pylist())):
+                    bits = np.packbits(mark[before[k] : before[k + 1]]).tobytes() if hit[k + 1] > hit[k] else b""
+                    if old:
+                        bits = np.bitwise_or(np.frombuffer(old, np.uint8), np.frombuffer(bits, np.uint8)).tobytes() if bits else old
+                    marks.append(bits)
+                    items.append(sorted({*names, *found[k]}) if k in found else names)
+                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "text": part["text"], "n_words": np.diff(before), "marks": pa.array(marks, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))})
 
     return docs.mapInArrow(run, STATE)
 

@@ -104,8 +104,8 @@ def of_kind(kind: int):
 
 
 def proposed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, failed, loose): spans that pass, strict ones that don't, and those of loose generators."""
-    out = common.texts(docs)
+    """(doc_id, text, _row, base, failed, loose): spans that pass, strict ones that don't, and those of loose generators."""
+    out = common.rows(docs)
     for i, kind in enumerate(KINDS):
         out = out.withColumn(f"_{kind}", places(STRICT[kind], i, NEEDS[kind]))
     good = [F.filter(f"_{k}", checked(k, True)) for k in KINDS]
@@ -113,7 +113,7 @@ def proposed(docs: DataFrame) -> DataFrame:
     loose = [places(pattern, KINDS.index(kind), needs) for kind, pattern, needs in LOOSE]
     out = out.withColumns({"base": F.concat(*good), "failed": F.concat(*bad)} | {f"_loose{i}": x for i, x in enumerate(loose)})
     loose = F.concat(*[F.transform(f"_loose{i}", tagged(len(KINDS) + i)) for i in range(len(LOOSE))])
-    return out.select("doc_id", "text", "base", "failed", loose.alias("loose"))
+    return out.select("doc_id", "text", "_row", "base", "failed", loose.alias("loose"))
 
 
 def meets(x: Column, spans: Column) -> Column:
@@ -220,19 +220,19 @@ def thresholds(rows: list, trees: list[tuple]) -> dict[int, float]:
 
 
 def selected(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, spans): base spans, and with them the selected loose ones, by kind and start."""
+    """(doc_id, text, _row, base, spans): base spans, and with them the selected loose ones, by kind and start."""
     spans = proposed(docs)
     rows = counts(spans)
     trees = boosted(rows)
     least = thresholds(rows, trees)
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"))
     if not least:
-        return spans.select("doc_id", "text", F.array_sort("base").alias("base"), F.array_sort("base").alias("spans"))
+        return spans.select("doc_id", "text", "_row", F.array_sort("base").alias("base"), F.array_sort("base").alias("spans"))
     enough = lambda x: F.coalesce(*[F.when(x["kind"] == k, margin(trees, described(x, x["generator"])) >= v) for k, v in least.items()], F.lit(False))
     more = F.transform(F.filter("loose", lambda x: ~meets(x, F.col("base")) & enough(x)), plain)
     # Of loose spans that overlap, the one that starts first stays.
     kept = F.aggregate(F.array_sort(more), F.expr(f"cast(array() as {SPAN})"), lambda acc, x: F.when(meets(x, acc), acc).otherwise(F.concat(acc, F.array(x))))
-    return spans.select("doc_id", "text", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", kept)).alias("spans"))
+    return spans.select("doc_id", "text", "_row", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", kept)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -245,15 +245,16 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redacted(found: DataFrame) -> DataFrame:
-    """(doc_id, text): each selected span is replaced by its kind in brackets; overlapping spans become one, named by the first."""
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with redacted text, and n_chars if there: each selected span is replaced by its kind in brackets; overlapping spans become one, named by the first."""
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     step = lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
         F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1)).alias("out"))
     )
     text = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", F.when(F.size("spans") > 0, text).otherwise(F.col("text")).alias("text"))
+    found = selected(docs).withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("_row.text")))
+    return found.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,20 @@ def scored(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = T
     return own.mapInArrow(run, "doc_id long, text string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't rejected."""
+    own = common.texts(docs, text_col=text_col)
+    _, (w, b, cut), _ = model_of(own, lexicon(own, labels) if labels is not None else [], train_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((w, b, cut))
+
+    def run(batches):
+        w, b, cut = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([w[features(t or b"")].sum() + b <= cut for t in common.raw(batch[text_col])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision of every document."""
     return scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).select("doc_id", F.round("score", 6).alias("score"), "rejected")
