@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -27,10 +28,30 @@ DROPOUT = 0.1
 SEED = 17
 #: Segmentations that a chunk can have at one seed; a document takes one of them throughout.
 VARIANTS = 2
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 MARK = "▁"
 CHUNKS = re.compile(r"\n| *[^ \n]+| +")
 MASK = (1 << 32) - 1
+NEVER = float("inf")
+#: Chunks of more characters keep their agenda in a heap.
+SHORT = 40
+
+
+class Memo(dict):
+    """The ids of chunks as bytes, of this generation and the one before."""
+
+    def __init__(self, pieces: Pieces, variant: int, old: dict | None) -> None:
+        self.pieces, self.variant, self.old = pieces, variant, old or {}
+        if old is not None:
+            old.old = {}
+
+    def __missing__(self, text: str) -> bytes:
+        got = self.old.get(text)
+        if got is None:
+            ids = self.pieces.chunk(text, self.variant)
+            got = struct.pack(f"<{len(ids)}i", *ids)
+        self[text] = got
+        return got
 
 
 class Pieces:
@@ -48,16 +69,18 @@ class Pieces:
         self.data = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.below = int(dropout * (MASK + 1))
         self.seed = seed
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.known: dict[int, Memo] = {}
 
     def chunk(self, text: str, variant: int) -> list[int]:
         """The ids of one chunk: spaces, then characters that are none."""
         marked = [MARK if c == " " else c if c != MARK else "\x00" + c for c in text]
         n = len(marked)
+        if n <= SHORT:
+            return self._ids(self._short(marked, text, variant))
         piece, left, right = marked, list(range(-1, n - 1)), list(range(1, n + 1))
         right[-1] = -1
         rank, below = self.rank.get, self.below
-        key = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.seed * 8191 + variant & MASK)
+        key = self._key(text, variant)
         agenda = []
         for i in range(n - 1):
             both = piece[i] + piece[i + 1]
@@ -92,27 +115,59 @@ class Pieces:
                     heapq.heappush(agenda, (r, k, i, more))
         out, i = [], 0
         while i >= 0:
-            got = self.id.get(piece[i])
+            out.append(piece[i])
+            i = right[i]
+        return self._ids(out)
+
+    def _key(self, text: str, variant: int) -> int:
+        return zlib.crc32(text.encode("utf-8", "surrogatepass"), self.seed * 8191 + variant & MASK)
+
+    def _short(self, piece: list[str], text: str, variant: int) -> list[str]:
+        """The same merges for a few symbols: the agenda is the list of the pairs' ranks."""
+        get, below, key = self.rank.get, self.below, self._key(text, variant)
+        at = list(range(len(piece)))
+        agenda = [get(a + b, NEVER) for a, b in zip(piece, piece[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            both = piece[i] + piece[i + 1]
+            if below:
+                h = (key ^ (at[i] * 0x9E3779B1 + (at[i] + len(both)) * 0x85EBCA77)) & MASK
+                h = (h ^ h >> 15) * 0x2C1B3C6D & MASK
+                h = (h ^ h >> 12) * 0x297A2D39 & MASK
+                if h ^ h >> 15 < below:
+                    agenda[i] = NEVER
+                    continue
+            piece[i] = both
+            del piece[i + 1], at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(both + piece[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = get(piece[i - 1] + both, NEVER)
+        return piece
+
+    def _ids(self, piece: list[str]) -> list[int]:
+        ids = [self.id.get(p) for p in piece]
+        if None not in ids:
+            return ids
+        out = []
+        for p, got in zip(piece, ids):
             if got is not None:
                 out.append(got)
             else:
-                out += [self.byte[b] for b in piece[i].removeprefix("\x00" if len(piece[i]) > 1 else "").encode()]
-            i = right[i]
+                out += [self.byte[b] for b in p.removeprefix("\x00" if len(p) > 1 else "").encode()]
         return out
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
         """The ids of a whole text; as usual for these vocabularies a space is put before it."""
         if not text:
             return np.zeros(0, np.int32)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, []
-        for c in CHUNKS.findall(" " + text):
-            got = known.get((variant, c))
-            if got is None:
-                got = known[variant, c] = np.array(self.chunk(c, variant), np.int32).tobytes()
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.int32)
+        known = self.known.get(variant)
+        if known is None or len(known) > REMEMBERED:
+            known = self.known[variant] = Memo(self, variant, known)
+        return np.frombuffer(b"".join(map(known.__getitem__, CHUNKS.findall(" " + text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the text, without the space before it."""
