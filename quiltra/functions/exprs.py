@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 B = ["source", "block"]
 BC = [*B, "chan"]
 BT = [*B, "t"]
 
-#: Windows along time within a channel and along channels within a time; both are met by one exchange on source and block.
-along_t = Window.partitionBy(*BC).orderBy("t")
-along_c = Window.partitionBy(*BT).orderBy("chan")
+def along_t() -> WindowSpec:
+    """Along time within a channel. One exchange on source and block serves this window and ``along_c``."""
+    return Window.partitionBy(*BC).orderBy("t")
+
+
+def along_c() -> WindowSpec:
+    """Along channels within a time."""
+    return Window.partitionBy(*BT).orderBy("chan")
 
 
 def rounded(*names: str, digits: int = 6) -> list[Column]:

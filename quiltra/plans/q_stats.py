@@ -8,15 +8,12 @@ from quiltra.sources import grids
 
 from .base import query
 
-MASK = F.abs(F.col("v")) > 0.25
-
-
 def emb(spark, sf):
     return grids.embedding_grid(spark, sf)
 
 
 def masked(spark, sf):
-    return emb(spark, sf).withColumn("m", MASK)
+    return emb(spark, sf).withColumn("m", F.abs("v") > 0.25)
 
 
 @query("a01_mean_std", "WITH {EMB} SELECT source, block, chan, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM g GROUP BY ALL")
