@@ -10,8 +10,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 EMB = "g AS (SELECT 'emb' AS source, CAST(vec_id // 100 AS BIGINT) AS block, CAST(p - 1 AS INTEGER) AS chan, CAST(vec_id % 100 AS INTEGER) AS t, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(p))"
-LINE = "g AS (SELECT 'line' AS source, CAST(0 AS BIGINT) AS block, CAST(l_suppkey % 32 AS INTEGER) AS chan, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t, round(avg(l_extendedprice), 4) AS v FROM lineitem GROUP BY ALL)"
-EVT = "g AS (SELECT 'evt' AS source, CAST(0 AS BIGINT) AS block, CAST(user_id % 16 AS INTEGER) AS chan, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS t, round(avg(value), 4) AS v FROM events GROUP BY ALL)"
+LINE = "g AS (SELECT 'line' AS source, CAST(0 AS BIGINT) AS block, CAST(l_suppkey % 32 AS INTEGER) AS chan, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100 AS v FROM lineitem GROUP BY ALL)"
+EVT = "g AS (SELECT 'evt' AS source, CAST(0 AS BIGINT) AS block, CAST(user_id % 16 AS INTEGER) AS chan, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS t, sum(CAST(round(value * 100) AS BIGINT)) / count(*) / 100 AS v FROM events GROUP BY ALL)"
 
 
 def draw_sql(seed: int, *names: str) -> str:

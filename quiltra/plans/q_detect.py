@@ -1 +1,242 @@
-"""Queries to come."""
+"""Queries of the detectors."""
+
+from pyspark.sql import functions as F
+
+from quiltra.functions.exprs import B, BC, BT, rounded
+from quiltra.operators import detect as D
+from quiltra.operators import runs as W
+from quiltra.sources import grids
+
+from .base import query
+
+emb = grids.embedding_grid
+line = grids.lineitem_grid
+
+
+def points(spark, sf):
+    return emb(spark, sf).withColumn("m", F.abs("v") > 0.25)
+
+
+def clip_sql(name: str, rows: str, keys: str, k: float, rounds: int = 15, kind: str = "lower", floor: bool = False, rate: float = 1e-4) -> str:
+    """Recursive tables that clip sorted lists: {name}(keys, a) holds the kept values."""
+    med = "a[(len(a) - 1) // 2 + 1]" if kind == "lower" else "(a[(len(a) - 1) // 2 + 1] + a[len(a) // 2 + 1]) / 2"
+    low = f"greatest(m - {k} * s, 0)" if floor else f"m - {k} * s"
+    return f"""{name}_r AS (SELECT {keys}, 0 AS n, list_sort(list(v)) AS a, CAST(0 AS DOUBLE) AS med, CAST(0 AS DOUBLE) AS rms, false AS done FROM {rows} GROUP BY {keys}
+UNION ALL SELECT {keys}, n + 1, CASE WHEN stop THEN a ELSE b END, m, s, stop OR len(b) = len(a) FROM (SELECT *, list_filter(a, lambda x: x >= {low} AND x <= m + {k} * s) AS b, s <= 1e-12 OR (n > 0 AND abs(m - med) < 1e-6 AND abs(s - rms) / greatest(rms, 1e-12) < {rate}) AS stop
+FROM (SELECT *, sqrt(list_avg(list_transform(a, lambda x: (x - m) * (x - m)))) AS s FROM (SELECT *, {med} AS m FROM {name}_r WHERE NOT done AND n < {rounds} AND len(a) >= 3)))),
+{name} AS (SELECT {keys}, arg_max(a, n) AS a FROM {name}_r GROUP BY {keys})"""
+
+
+@query("grid_flag_fraction", "WITH RECURSIVE {EMB}, " + clip_sql("c", "g", "source, block, chan", 2.5) + " SELECT source, chan, count(*) AS n, round(avg(CASE WHEN v < a[1] OR v > a[len(a)] THEN 1.0 ELSE 0.0 END), 6) AS share FROM g JOIN c USING (source, block, chan) GROUP BY source, chan")
+def _(spark, sf):
+    return D.clip(emb(spark, sf), 2.5).groupBy("source", "chan").agg(F.count("*").alias("n"), F.round(F.avg(F.col("m").cast("double")), 6).alias("share"))
+
+
+@query("d01_clip", "WITH RECURSIVE {EMB}, " + clip_sql("c", "g", "source, block, chan", 2.0) + " SELECT source, block, chan, t, v < a[1] OR v > a[len(a)] AS m FROM g JOIN c USING (source, block, chan)")
+def _(spark, sf):
+    return D.clip(emb(spark, sf), 2.0).select(*BC, "t", "m")
+
+
+@query("d02_clip_averaged", "WITH RECURSIVE {LINE}, " + clip_sql("c", "g", "source, block, chan", 2.0, kind="avg") + " SELECT source, block, chan, t, v < a[1] OR v > a[len(a)] AS m FROM g JOIN c USING (source, block, chan)")
+def _(spark, sf):
+    return D.clip(line(spark, sf), 2.0, "avg").select(*BC, "t", "m")
+
+
+SPREAD = "ch AS (SELECT source, block, chan, avg(v) AS mean, stddev_pop(v) AS std FROM g GROUP BY ALL)"
+
+
+def spread(grid):
+    return grid.groupBy(*BC).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+
+
+@query("d03_clip_channels", "WITH RECURSIVE {LINE}, " + SPREAD + ", x AS (SELECT source, block, chan, std AS v FROM ch), " + clip_sql("c", "x", "source, block", 1.5, 30, floor=True, rate=0.01) + " SELECT source, block, chan, std < a[1] OR std > a[len(a)] AS flag FROM ch JOIN c USING (source, block)")
+def _(spark, sf):
+    return D.clip_channels(spread(line(spark, sf)), 1.5).select(*BC, "flag")
+
+
+FLAGGED = "f AS (SELECT source, block, chan, avg(v) AS mean, count(*) FILTER (abs(v) > 0.25) > 4 AS flag FROM g GROUP BY ALL), i AS (SELECT *, chan - row_number() OVER (PARTITION BY source, block, flag ORDER BY chan) AS island FROM f)"
+
+
+def flagged_channels(spark, sf):
+    return points(spark, sf).groupBy(*BC).agg(F.avg("v").alias("mean"), (F.count_if("m") > 4).alias("flag"))
+
+
+@query("w01_d04_runs_not_isolated", "WITH {EMB}, " + FLAGGED + ", r AS (SELECT source, block, min(chan) AS first, max(chan) AS last, count(*) AS n FROM i WHERE flag GROUP BY source, block, island), l AS (SELECT *, first - lag(last) OVER w AS a, lead(first) OVER w - last AS b FROM r WINDOW w AS (PARTITION BY source, block ORDER BY first)) SELECT source, block, first, last, n FROM l WHERE n > 2 OR coalesce(a <= 2, false) OR coalesce(b <= 2, false)")
+def _(spark, sf):
+    return W.without_isolated(flagged_channels(spark, sf), B, "chan", "flag")
+
+
+@query("d05_d06_mean_outliers", "WITH {EMB}, " + SPREAD + ", s AS (SELECT source, block, quantile_disc(mean, 0.5) FILTER (chan % 9 <> 4) AS mid, stddev_pop(mean) FILTER (chan % 9 <> 4) AS dev, avg(mean) AS m2, stddev_pop(mean) AS d2 FROM ch GROUP BY ALL) SELECT source, block, chan, chan % 9 <> 4 AND abs(mean - mid) > 1.2 * dev AS among, abs(mean - m2) > 1.5 * d2 AS fallback FROM ch JOIN s USING (source, block)")
+def _(spark, sf):
+    ch = spread(emb(spark, sf)).withColumn("old", F.col("chan") % 9 == 4)
+    a = D.mean_outliers(ch, 1.2, "old").withColumnRenamed("flag", "among")
+    return D.mean_outliers(a, 1.5, centre="mean").select(*BC, "among", F.col("flag").alias("fallback"))
+
+
+@query("d07_tukey_channels", "WITH {EMB}, " + SPREAD + ", s AS (SELECT source, block, quantile_cont(std, 0.25) AS a, quantile_cont(std, 0.75) AS b FROM ch GROUP BY ALL) SELECT source, block, chan, b > a AND (std < a - 0.7 * (b - a) OR std > b + 0.7 * (b - a)) AS flag FROM ch JOIN s USING (source, block)")
+def _(spark, sf):
+    return D.tukey_channels(spread(emb(spark, sf)), 0.7).select(*BC, "flag")
+
+
+@query("d08_d09_w05_lagged_one_sided", "WITH {LINE}, d AS (SELECT *, v - coalesce(lag(v, 2) OVER w, first_value(v) OVER w) AS back, v - coalesce(lead(v, 3) OVER w, last_value(v) OVER (PARTITION BY source, block, chan ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ahead FROM g WINDOW w AS (PARTITION BY source, block, chan ORDER BY t)), s AS (SELECT source, block, chan, quantile_cont(back, 0.25) AS a, quantile_cont(back, 0.5) AS m, quantile_cont(back, 0.75) AS b FROM d GROUP BY ALL) SELECT source, block, chan, t, round(back, 4) AS back, round(ahead, 4) AS ahead, back - m > 1.5 * greatest((b - a) / 1.349, 1e-12) AS flag FROM d JOIN s USING (source, block, chan)")
+def _(spark, sf):
+    g = line(spark, sf)
+    g = g.withColumns({"back": D.lagged(g, BC, "t", "v", 2), "ahead": D.lagged(g, BC, "t", "v", -3)})
+    return D.one_sided(g, BC, "back", 1.5).select(*BC, "t", *rounded("back", "ahead", digits=4), "flag")
+
+
+def iqrm_sql(rows: str, keys: str, at: str, value: str, size: int, radius: int, thr: float, name: str) -> str:
+    lags = ", ".join(str(s * k) for k in D.lags_for(radius) for s in (1, -1))
+    return f"""{name}_x AS (SELECT {keys}, {at}, {value} AS v FROM {rows}), {name}_l AS (SELECT unnest([{lags}]) AS lag), {name}_d AS (SELECT {keys.replace('source', 'p.source').replace('block', 'p.block').replace('chan', 'p.chan') if 'chan' in keys else keys.replace('source', 'p.source').replace('block', 'p.block')}, p.{at}, lag, p.v - q.v AS d, greatest(0, least({size - 1}, p.{at} - lag)) AS voter FROM {name}_x p, {name}_l JOIN {name}_x q ON {' AND '.join(f'q.{k.strip()} = p.{k.strip()}' for k in keys.split(','))} AND q.{at} = greatest(0, least({size - 1}, p.{at} - lag))),
+{name}_s AS (SELECT {keys}, lag, quantile_cont(d, 0.25) AS a, quantile_cont(d, 0.5) AS m, quantile_cont(d, 0.75) AS b FROM {name}_d GROUP BY ALL), {name}_e AS (SELECT DISTINCT {keys}, voter, {at} FROM {name}_d JOIN {name}_s USING ({keys}, lag) WHERE d - m > {thr} * greatest((b - a) / 1.349, 1e-12)),
+{name}_c AS (SELECT {keys}, voter, count(*) AS n FROM {name}_e GROUP BY ALL), {name}_g AS (SELECT {keys}, {at}, count(*) AS n FROM {name}_e GROUP BY ALL),
+{name} AS (SELECT DISTINCT {keys}, {at} FROM {name}_e JOIN {name}_c c USING ({keys}, voter) JOIN {name}_g h USING ({keys}, {at}) WHERE c.n < h.n)"""
+
+
+@query("d10_iqrm", "WITH {LINE}, " + iqrm_sql("g", "source, block, chan", "t", "v", 83, 8, 1.5, "q") + " SELECT source, block, chan, t, q.t IS NOT NULL AS flag FROM g LEFT JOIN q USING (source, block, chan, t)")
+def _(spark, sf):
+    return D.iqrm(line(spark, sf), BC, "t", "v", 83, 8, 1.5).select(*BC, "t", "flag")
+
+
+@query("d11_iqrm_or_tukey", "WITH {EMB}, " + SPREAD + ", s AS (SELECT source, block, quantile_cont(std, 0.25) AS a, quantile_cont(std, 0.75) AS b FROM ch GROUP BY ALL), " + iqrm_sql("ch", "source, block", "chan", "std", 64, 6, 3.0, "k") + ", " + iqrm_sql("g", "source, block, chan", "t", "v", 100, 10, 3.0, "q") + " SELECT source, block, g.chan, g.t, (b > a AND (std < a - 1.5 * (b - a) OR std > b + 1.5 * (b - a))) OR k.chan IS NOT NULL OR q.t IS NOT NULL AS m FROM g JOIN ch USING (source, block, chan) JOIN s USING (source, block) LEFT JOIN k USING (source, block, chan) LEFT JOIN q USING (source, block, chan, t)")
+def _(spark, sf):
+    return D.iqrm_or_tukey(emb(spark, sf), 64, 100).select(*BC, "t", "m")
+
+
+@query("d12_tukey_time", "WITH {LINE}, s AS (SELECT source, block, chan, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM g GROUP BY ALL) SELECT source, block, chan, t, v < a - 1 * (b - a) OR v > b + 1 * (b - a) OR chan IN (4, 9) AS m FROM g JOIN s USING (source, block, chan)")
+def _(spark, sf):
+    return D.tukey_time(line(spark, sf), 1.0, [4, 9]).select(*BC, "t", "m")
+
+
+@query("d13_residual_tukey", "WITH {LINE}, m AS (SELECT source, block, chan, quantile_cont(v, 0.5) AS base FROM g GROUP BY ALL), r AS (SELECT g.*, base, v - base AS r FROM g JOIN m USING (source, block, chan)), s AS (SELECT source, block, chan, quantile_cont(r, 0.25) AS a, quantile_cont(r, 0.75) AS b, quantile_cont(r, 0.5) AS q, count(*) AS n FROM r GROUP BY ALL), x AS (SELECT *, r < a - 1 * (b - a) OR r > b + 1 * (b - a) AS m FROM r JOIN s USING (source, block, chan)) SELECT source, block, chan, t, m, round(CASE WHEN m THEN base + q / n ELSE v END, 4) AS v FROM x")
+def _(spark, sf):
+    return D.residual_tukey(line(spark, sf), 1.0).select(*BC, "t", "m", *rounded("v", digits=4))
+
+
+def cube(spark, sf):
+    li = grids.table(spark, sf, "lineitem")
+    return li.groupBy(F.year("l_shipdate").cast("int").alias("subint"), (F.col("l_suppkey") % 32).cast("int").alias("chan"), (F.month("l_shipdate") - 1).cast("int").alias("bin")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count("*") / 100).alias("v"))
+
+
+CUBE = "cube AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS subint, CAST(l_suppkey % 32 AS INTEGER) AS chan, CAST(month(l_shipdate) - 1 AS INTEGER) AS bin, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100 AS v FROM lineitem GROUP BY ALL)"
+
+
+@query("d14_profile_mask", "WITH " + CUBE + ", f AS (SELECT subint, chan, stddev_pop(v) AS std, max(v) - min(v) AS ptp, sqrt(sum(v * cos(2 * pi() * bin / 12)) ** 2 + sum(v * sin(2 * pi() * bin / 12)) ** 2) AS lfamp FROM cube GROUP BY ALL), s AS (SELECT quantile_cont(std, 0.25) AS a, quantile_cont(std, 0.75) AS b, quantile_cont(ptp, 0.25) AS c, quantile_cont(ptp, 0.75) AS d, quantile_cont(lfamp, 0.25) AS e, quantile_cont(lfamp, 0.75) AS h FROM f WHERE chan <> 5) SELECT subint, chan, chan = 5 OR std < a - 2 * (b - a) OR std > b + 2 * (b - a) OR ptp < c - 2 * (d - c) OR ptp > d + 2 * (d - c) OR lfamp < e - 2 * (h - e) OR lfamp > h + 2 * (h - e) AS flag FROM f, s")
+def _(spark, sf):
+    return D.profile_mask(cube(spark, sf), 12, 2.0, [5]).select("subint", "chan", "flag")
+
+
+SPIKE = CUBE + ", b AS (SELECT subint, chan, quantile_cont(v, 0.5) AS base FROM cube GROUP BY ALL), tot AS (SELECT subint, bin, sum(v - base) AS total, count(*) AS n FROM cube JOIN b USING (subint, chan) GROUP BY ALL), s AS (SELECT bin, quantile_cont(total, 0.25) AS a, quantile_cont(total, 0.5) AS med, quantile_cont(total, 0.75) AS c FROM tot GROUP BY ALL), fl AS (SELECT subint, bin, total, med, n, total < a - 0.5 * (c - a) OR total > c + 0.5 * (c - a) AS flag FROM tot JOIN s USING (bin))"
+
+
+@query("d15_phase_spikes", "WITH " + SPIKE + " SELECT subint, bin, round(total, 2) AS total, flag FROM fl")
+def _(spark, sf):
+    return D.phase_spikes(cube(spark, sf), 0.5).select("subint", "bin", F.round("total", 2).alias("total"), "flag")
+
+
+@query("d16_without_spikes", "WITH " + SPIKE + " SELECT subint, chan, bin, round(CASE WHEN flag THEN base + med / n ELSE v END, 3) AS v FROM cube JOIN b USING (subint, chan) JOIN fl USING (subint, bin)")
+def _(spark, sf):
+    c = cube(spark, sf)
+    return D.without_spikes(c, D.phase_spikes(c, 0.5)).select("subint", "chan", "bin", F.round("v", 3).alias("v"))
+
+
+@query("d17_bad_bins", "WITH " + SPIKE + " SELECT subint, array_to_string(list_sort(list(bin)), ',') AS bins FROM fl WHERE flag GROUP BY subint")
+def _(spark, sf):
+    return D.bad_bins(D.phase_spikes(cube(spark, sf), 0.5)).select("subint", F.array_join("bins", ",").alias("bins"))
+
+
+def threshold_sql(rows: str, keys: str, at: str, value: str, mask: str, first: float, sizes: int, name: str) -> str:
+    import math
+
+    hits = ", ".join(f"count(*) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN CURRENT ROW AND {2 ** (m - 1) - 1} FOLLOWING) = {2 ** (m - 1)} AND coalesce(avg(CASE WHEN NOT ({mask}) THEN abs({value}) END) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN CURRENT ROW AND {2 ** (m - 1) - 1} FOLLOWING) > {first / 1.5 ** math.log2(m)!r}, false) AS h{m}" for m in range(1, sizes + 1))
+    back = " OR ".join(f"bool_or(h{m}) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN {2 ** (m - 1) - 1} PRECEDING AND CURRENT ROW)" for m in range(1, sizes + 1))
+    return f"{name}_h AS (SELECT *, {hits} FROM {rows}), {name} AS (SELECT *, {back} AS hit FROM {name}_h)"
+
+
+@query("d18_w02_sum_threshold", "WITH {EMB}, " + threshold_sql("g", "source, block, chan", "t", "v", "abs(v) > 0.45", 0.3, 4, "x") + " SELECT source, block, chan, t, hit FROM x")
+def _(spark, sf):
+    g = grids.by_block(emb(spark, sf)).withColumn("m", F.abs("v") > 0.45)
+    return D.sum_threshold(g, BC, "t", 0.3, 4, mask="m").select(*BC, "t", "hit")
+
+
+@query("d19_w04_sum_threshold_2d")
+def _(spark, sf):
+    return D.sum_threshold_2d(emb(spark, sf).withColumn("m0", F.abs("v") > 0.45), "m0", 3.0, 4).select(*BC, "t", "m")
+
+
+@query("d20_dual_threshold", "WITH {EMB}, " + SPREAD + ", " + threshold_sql("ch", "source, block", "chan", "mean", "false", 0.02, 3, "a") + ", " + threshold_sql("ch", "source, block", "chan", "std", "false", 0.13, 3, "b") + " SELECT source, block, a.chan, a.hit OR b.hit AS flag FROM a JOIN b USING (source, block, chan)")
+def _(spark, sf):
+    ch = spread(emb(spark, sf))
+    a = D.sum_threshold(ch, B, "chan", 0.02, 3, "mean").withColumnRenamed("hit", "_a")
+    return D.sum_threshold(a, B, "chan", 0.13, 3, "std").select(*BC, (F.col("_a") | F.col("hit")).alias("flag"))
+
+
+@query("d21_vertical", "WITH {EMB}, tm AS (SELECT source, block, t, coalesce(avg(v) FILTER (abs(v) <= 0.25), 0) AS mean FROM g GROUP BY ALL), h AS (SELECT *, mean > avg(mean) OVER (PARTITION BY source, block) + 0.8 * stddev_pop(mean) OVER (PARTITION BY source, block) AS hot FROM tm), i AS (SELECT *, t - row_number() OVER (PARTITION BY source, block, hot ORDER BY t) AS island FROM h) SELECT source, block, t, hot AND count(*) OVER (PARTITION BY source, block, hot, island) >= 2 AS flag FROM i")
+def _(spark, sf):
+    return D.vertical(points(spark, sf), "m", 0.8, 2).select(*BT, "flag")
+
+
+@query("d22_vertical_robust", "WITH {EMB}, tm AS (SELECT source, block, t, quantile_cont(v, 0.5) AS med, avg(CASE WHEN abs(v) > 0.25 THEN 1.0 ELSE 0.0 END) AS ratio FROM g GROUP BY ALL), m AS (SELECT source, block, quantile_cont(med, 0.5) AS mid FROM tm WHERE med > 0 GROUP BY ALL), f AS (SELECT source, block, any_value(mid) AS mid, quantile_cont(abs(med - mid), 0.5) * 1.4826 AS dev FROM tm JOIN m USING (source, block) WHERE med > 0 GROUP BY ALL) SELECT source, block, t, coalesce(med > mid + 1 * dev AND ratio > 0.02, false) AS flag FROM tm LEFT JOIN f USING (source, block)")
+def _(spark, sf):
+    return D.vertical_robust(points(spark, sf), "m", 1.0, 0.02).select(*BT, "flag")
+
+
+@query("d23_repeated_columns", "WITH {EMB}, p AS (SELECT *, lag(v) OVER (PARTITION BY source, block, chan ORDER BY t) AS p FROM g), s AS (SELECT source, block, t, avg(abs(v - p)) AS d, avg((abs(v) + abs(p)) / 2) AS size, avg(CASE WHEN abs(v - p) <= 0.25 THEN 1.0 ELSE 0.0 END) AS near FROM p WHERE p IS NOT NULL GROUP BY ALL), l AS (SELECT *, d <= least(0.25, 1.5 * size) AND near >= 0.8 AS alike FROM s), i AS (SELECT *, t - row_number() OVER (PARTITION BY source, block ORDER BY t) AS island FROM l WHERE alike) SELECT source, block, CAST(min(t) - 1 AS INTEGER) AS first, max(t) AS last, count(*) + 1 AS n FROM i GROUP BY source, block, island HAVING count(*) + 1 >= 3")
+def _(spark, sf):
+    return D.repeated_columns(emb(spark, sf), 0.25, 1.5, 0.8, 3)
+
+
+@query("d25_j10_w09_periodic", "WITH {EMB}, p AS (SELECT source, block, chan, t FROM g WHERE abs(v) > 0.15), n AS (SELECT source, block, chan, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT a.source, a.block, a.chan, b.t - a.t AS period, count(*) AS pairs FROM p a JOIN p b ON a.source = b.source AND a.block = b.block AND a.chan = b.chan AND b.t - a.t BETWEEN 3 AND 20 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source, block, chan ORDER BY pairs DESC, pairs / n DESC, period) AS k FROM m JOIN n USING (source, block, chan) WHERE pairs >= 4 AND pairs >= 0.2 * n) SELECT source, block, chan, period, pairs FROM k WHERE k = 1")
+def _(spark, sf):
+    return D.periodic(emb(spark, sf).withColumn("m", F.abs("v") > 0.15), "m", 3, 20, 4, 0.2)
+
+
+PULSE = "f AS (SELECT DISTINCT source, block, chan, 1000.0 + chan * 5 AS freq FROM g), d AS (SELECT *, 4148.808 * {dm} * (freq ** -2 - (max(freq) OVER (PARTITION BY source, block)) ** -2) AS d FROM f), k AS (SELECT *, max(d) OVER (PARTITION BY source, block) AS md FROM d), a AS (SELECT source, block, chan, CAST(floor(({t0} + k * {p} + d) / 0.01) AS INTEGER) AS c FROM k, range(-20, 40) r(k) WHERE k BETWEEN floor((-md - {t0}) / {p}) AND ceil((100 * 0.01 - {t0}) / {p}) + 1), px AS (SELECT DISTINCT source, block, chan, CAST(c - {h} + i AS INTEGER) AS t FROM a, range(0, {w}) r(i) WHERE c - {h} + i BETWEEN 0 AND 99)"
+
+
+@query("d26_j09_pulses", "WITH {EMB}, " + PULSE.format(dm=30, t0=0.05, p=0.25, h=2, w=4) + " SELECT source, block, chan, t FROM px")
+def _(spark, sf):
+    f = emb(spark, sf).select(*BC).distinct().withColumn("freq", 1000.0 + F.col("chan") * 5)
+    return D.pulses(f, "freq", 30.0, 0.25, 0.05, 4, 0.01, 100)
+
+
+@query("d27_pulses_inclusive")
+def _(spark, sf):
+    f = emb(spark, sf).select(*BC).distinct().withColumn("freq", 1000.0 + F.col("chan") * 5)
+    return D.pulses(f, "freq", 30.0, 0.25, 0.05, 4, 0.01, 100, "first", "round", True)
+
+
+@query("d28_interpulse", "WITH {EMB}, x AS (WITH " + PULSE.format(dm=30, t0=0.05, p=0.25, h=2, w=4) + " SELECT * FROM px), y AS (WITH " + PULSE.format(dm=30, t0=0.175, p=0.25, h=1, w=2) + " SELECT * FROM px) SELECT source, block, chan, t FROM x UNION SELECT source, block, chan, t FROM y")
+def _(spark, sf):
+    f = emb(spark, sf).select(*BC).distinct().withColumn("freq", 1000.0 + F.col("chan") * 5)
+    return D.pulses(f, "freq", 30.0, 0.25, 0.05, 4, 0.01, 100).unionByName(D.pulses(f, "freq", 30.0, 0.25, 0.05 + 0.25 / 2, 2, 0.01, 100)).distinct()
+
+
+@query("d29_cancelled", "WITH {EMB} SELECT source, block, chan, avg(CASE WHEN abs(v) > 0.15 THEN 1.0 ELSE 0.0 END) > 0.25 AS cancel FROM g GROUP BY ALL")
+def _(spark, sf):
+    return D.cancelled(emb(spark, sf).withColumn("m", F.abs("v") > 0.15), "m", 0.25)
+
+
+@query("d30_channel_kinds", "WITH {EMB}, " + FLAGGED + ", m AS (SELECT source, block, avg(mean) AS mid FROM f GROUP BY ALL) SELECT source, block, min(chan) AS first, max(chan) AS last, count(*) AS n, CASE WHEN count(*) <= 2 THEN CASE WHEN avg(mean) > any_value(mid) THEN 'bright' ELSE 'dark' END WHEN bool_and(mean > mid + 1e-5) THEN 'bright' WHEN bool_and(mean < mid - 1e-5) THEN 'dark' ELSE 'complex' END AS kind FROM i JOIN m USING (source, block) WHERE flag GROUP BY source, block, island")
+def _(spark, sf):
+    return D.channel_kinds(flagged_channels(spark, sf))
+
+
+@query("d31_m17_simple_flow")
+def _(spark, sf):
+    return D.simple_flow(emb(spark, sf), 2.5, 2.0).select(*BC, "t", "m_point", "m_horiz")
+
+
+@query("d34_rms_outliers", "WITH {EMB}, r AS (SELECT source, block, chan, coalesce(sqrt(avg(v * v) FILTER (abs(v) <= 0.25)), 0) AS rms FROM g GROUP BY ALL) SELECT source, block, chan, rms > avg(rms) OVER (PARTITION BY source, block) + 1.5 * stddev_pop(rms) OVER (PARTITION BY source, block) AS flag FROM r")
+def _(spark, sf):
+    return D.rms_outliers(points(spark, sf), "m", BC, 1.5).select(*BC, "flag")
+
+
+@query("d36_rank_dilated", "WITH {EMB}, s AS (SELECT source, block, chan, t, sum(CASE WHEN abs(v) > 0.12 THEN 0.2 ELSE -0.8 END) OVER (PARTITION BY source, block, chan ORDER BY t) AS s FROM g), p AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY source, block, chan ORDER BY t), 0) AS p FROM s) SELECT source, block, chan, t, max(s) OVER (PARTITION BY source, block, chan ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - min(p) OVER (PARTITION BY source, block, chan ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= -1e-9 AS dilated FROM p")
+def _(spark, sf):
+    return D.rank_dilated(emb(spark, sf).withColumn("m", F.abs("v") > 0.12), BC, "t", "m").select(*BC, "t", "dilated")
+
+
+@query("d38_clip_trace", "WITH RECURSIVE {EMB}, " + clip_sql("c", "g", "source, block, chan", 2.0) + " SELECT source, block, chan, n AS round, round(med, 6) AS med, round(rms, 6) AS rms, len(a) AS kept FROM c_r WHERE n > 0")
+def _(spark, sf):
+    return D.clip_trace(emb(spark, sf), 2.0).select(*BC, "round", *rounded("med", "rms"), "kept")
