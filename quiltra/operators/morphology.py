@@ -78,19 +78,19 @@ def components(grid: DataFrame, mask: str) -> DataFrame:
     """
     r = runs(grid, BC, "t", mask)
     r = r.withColumn("id", F.xxhash64(*BC, "first")).select(*BC, "first", "last", "n", "id")
-    r = _kept(r, "runs")
+    r = kept(r, "runs")
     cells = F.explode(F.sequence(F.floor((F.col("first") - 1) / TOUCH), F.floor((F.col("last") + 1) / TOUCH)))
     own = r.select(*B, "chan", "first", "last", "id", cells.alias("cell"))
     up = own.select(*B, (F.col("chan") - 1).alias("chan"), "cell", F.col("first").alias("f2"), F.col("last").alias("l2"), F.col("id").alias("id2"))
     met = own.join(up, [*B, "chan", "cell"]).filter((F.col("first") <= F.col("l2") + 1) & (F.col("f2") <= F.col("last") + 1))
     e = met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    e = _kept(e.union(e.select("b", "a")).distinct(), "edges")
-    labels = _kept(r.select("id", F.col("id").alias("comp")), "labels")
+    e = kept(e.union(e.select("b", "a")).distinct(), "edges")
+    labels = kept(r.select("id", F.col("id").alias("comp")), "labels")
     while True:
         near = e.join(labels, e["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        new = _kept(low.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
+        new = kept(low.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
         labels = new.select("id", "comp")
         if not new.filter("comp <> old").limit(1).count():
             return r.join(labels, "id").select(*BC, "first", "last", "n", "comp")
@@ -99,8 +99,8 @@ def components(grid: DataFrame, mask: str) -> DataFrame:
 TOUCH = 64
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage of the iteration."""
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: cuts the lineage where several branches or rounds read the same rows."""
     from quiltra.sources.sinks import new_path
 
     path = new_path(df.sparkSession, name)

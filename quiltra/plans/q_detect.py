@@ -78,11 +78,11 @@ def _(spark, sf):
     return D.tukey_channels(spread(emb(spark, sf)), 0.7).select(*BC, "flag")
 
 
-@query("d08_d09_w05_lagged_one_sided", "WITH {LINE}, d AS (SELECT *, v - coalesce(lag(v, 2) OVER w, first_value(v) OVER w) AS back, v - coalesce(lead(v, 3) OVER w, last_value(v) OVER (PARTITION BY source, block, chan ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ahead FROM g WINDOW w AS (PARTITION BY source, block, chan ORDER BY t)), s AS (SELECT source, block, chan, quantile_cont(back, 0.25) AS a, quantile_cont(back, 0.5) AS m, quantile_cont(back, 0.75) AS b FROM d GROUP BY ALL) SELECT source, block, chan, t, round(back, 4) AS back, round(ahead, 4) AS ahead, back - m > 1.5 * greatest((b - a) / 1.349, 1e-12) AS flag FROM d JOIN s USING (source, block, chan)")
+@query("d08_d09_w05_lagged_one_sided", "WITH {LINE}, d AS (SELECT *, v - coalesce(lag(v, 2) OVER w, first_value(v) OVER w) AS back, v - coalesce(lead(v, 3) OVER w, last_value(v) OVER (PARTITION BY source, block, chan ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ahead FROM g WINDOW w AS (PARTITION BY source, block, chan ORDER BY t)), s AS (SELECT source, block, chan, quantile_cont(back, 0.25) AS a, quantile_cont(back, 0.5) AS m, quantile_cont(back, 0.75) AS b FROM d GROUP BY ALL) SELECT source, block, chan, t, round(back, 7) AS back, round(ahead, 7) AS ahead, back - m > 1.5 * greatest((b - a) / 1.349, 1e-12) AS flag FROM d JOIN s USING (source, block, chan)")
 def _(spark, sf):
     g = line(spark, sf)
     g = g.withColumns({"back": D.lagged(g, BC, "t", "v", 2), "ahead": D.lagged(g, BC, "t", "v", -3)})
-    return D.one_sided(g, BC, "back", 1.5).select(*BC, "t", *rounded("back", "ahead", digits=4), "flag")
+    return D.one_sided(g, BC, "back", 1.5).select(*BC, "t", *rounded("back", "ahead", digits=7), "flag")
 
 
 def iqrm_sql(rows: str, keys: str, at: str, value: str, size: int, radius: int, thr: float, name: str) -> str:
@@ -108,9 +108,9 @@ def _(spark, sf):
     return D.tukey_time(line(spark, sf), 1.0, [4, 9]).select(*BC, "t", "m")
 
 
-@query("d13_residual_tukey", "WITH {LINE}, m AS (SELECT source, block, chan, quantile_cont(v, 0.5) AS base FROM g GROUP BY ALL), r AS (SELECT g.*, base, v - base AS r FROM g JOIN m USING (source, block, chan)), s AS (SELECT source, block, chan, quantile_cont(r, 0.25) AS a, quantile_cont(r, 0.75) AS b, quantile_cont(r, 0.5) AS q, count(*) AS n FROM r GROUP BY ALL), x AS (SELECT *, r < a - 1 * (b - a) OR r > b + 1 * (b - a) AS m FROM r JOIN s USING (source, block, chan)) SELECT source, block, chan, t, m, round(CASE WHEN m THEN base + q / n ELSE v END, 4) AS v FROM x")
+@query("d13_residual_tukey", "WITH {LINE}, m AS (SELECT source, block, chan, quantile_cont(v, 0.5) AS base FROM g GROUP BY ALL), r AS (SELECT g.*, base, v - base AS r FROM g JOIN m USING (source, block, chan)), s AS (SELECT source, block, chan, quantile_cont(r, 0.25) AS a, quantile_cont(r, 0.75) AS b, quantile_cont(r, 0.5) AS q, count(*) AS n FROM r GROUP BY ALL), x AS (SELECT *, r < a - 1 * (b - a) OR r > b + 1 * (b - a) AS m FROM r JOIN s USING (source, block, chan)) SELECT source, block, chan, t, m, round(CASE WHEN m THEN base + q / n ELSE v END, 7) AS v FROM x")
 def _(spark, sf):
-    return D.residual_tukey(line(spark, sf), 1.0).select(*BC, "t", "m", *rounded("v", digits=4))
+    return D.residual_tukey(line(spark, sf), 1.0).select(*BC, "t", "m", *rounded("v", digits=7))
 
 
 def cube(spark, sf):
@@ -134,10 +134,10 @@ def _(spark, sf):
     return D.phase_spikes(cube(spark, sf), 0.5).select("subint", "bin", F.round("total", 2).alias("total"), "flag")
 
 
-@query("d16_without_spikes", "WITH " + SPIKE + " SELECT subint, chan, bin, round(CASE WHEN flag THEN base + med / n ELSE v END, 3) AS v FROM cube JOIN b USING (subint, chan) JOIN fl USING (subint, bin)")
+@query("d16_without_spikes", "WITH " + SPIKE + " SELECT subint, chan, bin, round(CASE WHEN flag THEN base + med / n ELSE v END, 8) AS v FROM cube JOIN b USING (subint, chan) JOIN fl USING (subint, bin)")
 def _(spark, sf):
     c = cube(spark, sf)
-    return D.without_spikes(c, D.phase_spikes(c, 0.5)).select("subint", "chan", "bin", F.round("v", 3).alias("v"))
+    return D.without_spikes(c, D.phase_spikes(c, 0.5)).select("subint", "chan", "bin", F.round("v", 8).alias("v"))
 
 
 @query("d17_bad_bins", "WITH " + SPIKE + " SELECT subint, array_to_string(list_sort(list(bin)), ',') AS bins FROM fl WHERE flag GROUP BY subint")
