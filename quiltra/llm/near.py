@@ -170,8 +170,12 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = common.stored(classes, "classes")
     rows = classes.select(F.col("representative").alias("doc_id"), F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("band", "bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    stars = rows.join(shared, ["band", "bucket"]).filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = components(stars).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    # A representative hangs on the smallest leader of its buckets; only leaders are left to connect.
+    hung = rows.join(shared, ["band", "bucket"]).groupBy("doc_id").agg(F.min("least").alias("leader"), F.collect_set("least").alias("leaders"))
+    hung = common.stored(hung, "leaders")
+    edges = hung.select(F.explode("leaders").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
+    roots = components(edges)
+    clusters = hung.select("doc_id", "leader").join(roots, F.col("leader") == F.col("node"), "left").select("doc_id", F.coalesce("root", "leader").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     placed = clusters.join(sizes, "cluster").withColumn("block", block)
