@@ -237,6 +237,6 @@ def _(spark, sf):
     return D.rank_dilated(emb(spark, sf).withColumn("m", F.abs("v") > 0.12), BC, "t", "m").select(*BC, "t", "dilated")
 
 
-@query("d38_clip_trace", "WITH RECURSIVE {EMB}, " + clip_sql("c", "g", "source, block, chan", 2.0) + " SELECT source, block, chan, n AS round, round(med, 6) AS med, round(rms, 6) AS rms, len(a) AS kept FROM c_r WHERE n > 0")
+@query("d38_clip_trace", "WITH RECURSIVE {EMB}, " + clip_sql("c", "g", "source, block, chan", 2.0) + " SELECT source, block, chan, n AS round, round(med, 6) AS med, round(rms, 6) AS rms, CAST(len(a) AS INTEGER) AS kept FROM c_r WHERE n > 0")
 def _(spark, sf):
     return D.clip_trace(emb(spark, sf), 2.0).select(*BC, "round", *rounded("med", "rms"), "kept")

@@ -27,7 +27,7 @@ QUANT = "s AS (SELECT source, block, chan, min(v) AS lo, max(v) AS hi FROM g GRO
 
 @query("s01_s02_scan_range", "SELECT vec_id, len(embedding) AS n FROM embeddings WHERE vec_id BETWEEN 100 AND 299")
 def _(spark, sf):
-    return grids.table(spark, sf, "embeddings").filter(F.col("vec_id").between(100, 299)).select("vec_id", F.size("embedding").alias("n"))
+    return grids.table(spark, sf, "embeddings").filter(F.col("vec_id").between(100, 299)).select("vec_id", F.size("embedding").cast("long").alias("n"))
 
 
 @query("s03_grouped_blocks", "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT vec_id AS subint, CAST(floor(vec_id / 48.0) AS BIGINT) AS new_block FROM embeddings, n WHERE floor(vec_id / 48.0) < floor(n / 48.0)")
