@@ -1,6 +1,6 @@
 """Quality classifier: weak labels from overlapping heuristics, resolved by expectation-maximisation, train a linear scorer.
 
-1. Labellers: SQL expressions over the whole text vote 1 (reject), 0 (keep) or -1 (abstain).
+1. Labellers: heuristics over the whole text vote 1 (reject), 0 (keep) or -1 (abstain).
 2. Documents are counted by vote pattern, over all of them. The number of patterns is bounded by 3 to the number of
    labellers, so the table of counts is small at any size; EM (Dawid and Skene's model: a class prior, and for each
    labeller the chance of each vote given the class) runs on it and gives each pattern a posterior.
@@ -15,11 +15,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import operator
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -63,35 +64,52 @@ def lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> li
     return kept
 
 
-def labellers(marks: list[str] = ()) -> dict[str, Column]:
-    """Votes by name: 1 reject, 0 keep, -1 abstain; over columns text, words (split at white space) and n (their count)."""
-    n = F.greatest(F.col("n"), F.lit(1))
-    share = lambda pattern: (F.regexp_count("text", F.lit(pattern)) / n)
-    vote = lambda bad, good: F.when(bad, 1).when(good, 0).otherwise(-1)
-    enough = F.col("n") >= 5
-    insults = F.regexp_count("text", F.lit(r"(?i)(?<![A-Za-z])(" + "|".join(INSULTS) + r")(?![A-Za-z])"))
-    repeats = share(r"(?<!\S)(\S+)\s(?=\1(?!\S))")
-    distinct = F.size(F.array_distinct("words")) / n
-    capitals = share(r"(?<!\p{L})\p{Lu}{3,}(?!\p{L})")
-    marked = F.regexp_count(F.lower("text"), F.lit(r"(?<!\p{L})(?:" + "|".join(marks) + ")")) if marks else F.lit(0)
-    return {
-        "learned_words": vote(marked >= 2, marked == 0),
-        "insults": vote(insults >= 2, insults == 0),
-        "any_insult": vote(insults >= 1, insults == 0),
-        "marks_after_words": vote(enough & (share(r"[*&%$#]{3}(?!\S)") >= 0.3), share(r"[*&%$#]{2}") < 0.05),
-        "symbols": vote(enough & (F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s.,;:'!?()-]")) / n >= 0.5), F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s.,;:'!?()-]")) / n < 0.2),
-        "shouting": vote(enough & (share(r"!!(?!\S)") >= 0.3), share("!!") < 0.05),
-        "capitals": vote(enough & (capitals >= 0.4), capitals < 0.1),
-        "same_word_again": vote(enough & (repeats >= 0.3), repeats < 0.05),
-        "few_words": vote((F.col("n") >= 50) & (distinct < 0.15), (F.col("n") < 50) | (distinct > 0.25)),
-        "columns": vote(enough & (share(r"(?<!\S)\|(?!\S)") >= 0.25), share(r"(?<!\S)\|(?!\S)") < 0.05),
-    }
-
-
-def votes(docs: DataFrame, marks: list[str] = ()) -> DataFrame:
-    """(doc_id, text, votes): one vote for each labeller."""
-    base = common.texts(docs).withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != "")).withColumn("n", F.size("words"))
-    return base.select("doc_id", "text", F.array(*[v.cast("tinyint") for v in labellers(marks).values()]).alias("votes"))
+LABELLERS = ["learned_words", "insults", "any_insult", "marks_after_words", "symbols", "shouting", "capitals", "same_word_again", "few_words", "columns"]
+ENDS = (b"***", b"%%%", b"&&&", b"$$$", b"###")
+#: Bytes that are no symbols: letters, digits, white space, common punctuation and all beyond ASCII.
+PLAIN = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum() or chr(b).isspace() or chr(b) in ".,;:'!?()-")
+INSULT_WORDS = frozenset(w.encode() for w in INSULTS)
+
+
+def votes_of(text: bytes, marks: tuple[str, ...], starts: frozenset[str]) -> list[int]:
+    """The labellers' votes on a whole text: 1 reject, 0 keep, -1 abstain. ``starts`` are the first four letters of the marks."""
+    words = text.split()
+    n = max(1, len(words))
+    distinct = set(words)
+    m = max(1, len(distinct))
+    low = [w.strip(b".,;:*&%$#!?|\"'()").lower() for w in distinct]
+    insults = sum(w in INSULT_WORDS for w in low)
+    marked = 0
+    if marks:
+        parts = [p for p in text.decode().lower().replace("\n", " ").split(" ") if p[:4] in starts]
+        marked = sum(p.startswith(marks) for p in set(parts))
+    ends = sum(w.endswith(ENDS) for w in distinct) / m
+    symbols = len(text.translate(None, PLAIN)) / n
+    shouts, bars = text.count(b"!!") / n, text.count(b" | ") / n
+    capitals = sum(len(w) > 2 and w.isupper() for w in distinct) / m
+    again = sum(map(operator.eq, words, words[1:])) / n
+    enough = len(words) >= 5
+    vote = lambda bad, good: 1 if bad else 0 if good else -1
+    return [
+        vote(marked >= 2, marked == 0), vote(insults >= 2, insults == 0), vote(insults >= 1, insults == 0),
+        vote(enough and ends >= 0.3, ends < 0.05), vote(enough and symbols >= 0.5, symbols < 0.2), vote(enough and shouts >= 0.3, shouts < 0.05),
+        vote(enough and capitals >= 0.4, capitals < 0.1), vote(enough and again >= 0.3, again < 0.05),
+        vote(len(words) >= 50 and m < 0.15 * n, len(words) < 50 or m > 0.25 * n), vote(enough and bars >= 0.25, bars < 0.05),
+    ]
+
+
+def votes(docs: DataFrame, marks: list[str] = (), with_features: bool = False) -> DataFrame:
+    """(doc_id, votes, features): one vote for each labeller, and the hashed features if asked for."""
+    all_marks, starts = tuple(marks), frozenset(m[:4] for m in marks)
+
+    def run(batches):
+        for batch in batches:
+            texts = common.raw(batch["text"])
+            got = [votes_of(t, all_marks, starts) for t in texts]
+            rows = [features(t).astype(np.int32).tobytes() if with_features else b"" for t in texts]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "votes": pa.array(got, pa.list_(pa.int8())), "features": pa.array(rows, pa.binary())})
+
+    return common.texts(docs).mapInArrow(run, "doc_id long, votes array<tinyint>, features binary")
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -192,14 +210,8 @@ def model_of(docs: DataFrame, marks: list[str] = (), train_rows: int = TRAIN_ROW
     n_bad = counts[post >= 0.5].sum()
     draw = (F.shiftright(F.xxhash64("doc_id"), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
     rates = [min(1.0, 0.45 * train_rows / max(1.0, k)) for k in (n_bad, counts.sum() - n_bad)]
-    sample = votes(docs.filter(draw < max(rates)), marks).filter(draw < F.when(is_bad, rates[0]).otherwise(rates[1]))
-
-    def extract(batches):
-        for batch in batches:
-            rows = [features(t) for t in common.raw(batch["text"])]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "votes": batch["votes"], "features": pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())})
-
-    got = sample.mapInArrow(extract, "doc_id long, votes array<tinyint>, features binary").toArrow().sort_by("doc_id")
+    sample = votes(docs.filter(draw < max(rates)), marks, True).filter(draw < F.when(is_bad, rates[0]).otherwise(rates[1]))
+    got = sample.toArrow().sort_by("doc_id")
     rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in got["features"].to_pylist()]
     target = np.array([posterior[tuple(v)] for v in got["votes"].to_pylist()])
     return posterior, train(rows, target, np.ones(len(rows))), chance
