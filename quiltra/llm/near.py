@@ -181,7 +181,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     placed = clusters.join(sizes, "cluster").withColumn("block", block)
     met = placed.select("doc_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("doc_id", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = met.join(own, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    # Texts are shuffled to their tasks at every size, so that the plan doesn't turn on how many there are.
+    pairs = met.join(own.hint("merge"), "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
     links = common.stored(compared(pairs, similarity), "links")
     roots = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     found = links.groupBy("doc_id").agg(F.sum("links").alias("n_links")).join(roots, F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("representative"), "n_links", "root")
