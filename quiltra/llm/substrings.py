@@ -4,7 +4,8 @@
    COVER. Every difference modulo PERIOD is one of two cover residues, so two equal windows of WINDOW words share an anchor
    that lies at the same place in both: it starts at one of their first PERIOD words, and ANCHOR = WINDOW - PERIOD + 1.
 2. Anchors that occur once are dropped: rows meet by hash. What a task sees repeated it marks at once and sends a single
-   row of that hash on, so the rows of a hash are at most the tasks' number, not the number of copies.
+   row of that hash on, so the rows of a hash are at most the tasks' number, not the number of copies. Places travel many
+   to a row, in buckets of the hash, which are judged one at a time.
 3. The places of repeated anchors go back to their texts, and extend there: all windows around them are candidates. They
    meet by the hash of their words, with the same pre-aggregation, and all but the smallest (doc_id, start) are removed.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,10 +25,12 @@ from . import common
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Rows that a task gathers before it looks for repeats among them.
+#: Places that a task gathers before it looks for repeats among them.
 FLUSH = 3_000_000
+#: Buckets for each shuffle partition; one bucket is in memory at a time.
+BUCKETS = 4
 
-#: Kinds of a row: to be judged with the other rows of its key; settled, with a key of its own; stands for settled rows.
+#: Kinds of a place: to be judged with the others of its key; settled; stands for settled ones.
 OPEN, SETTLED, STANDS = 0, 1, 2
 
 
@@ -57,18 +60,41 @@ def settled(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, keep_first:
     return np.concatenate([out_keys, keys[more]]), np.concatenate([docs, docs[more]]), np.concatenate([starts, starts[more]]), np.concatenate([kind, np.full(len(more), STANDS, np.int8)])
 
 
-ROWS = "key long, doc_id long, start int, kind byte"
+#: Many places in one row: documents, their numbers of places, starts, and keys and kinds where there are any.
+PACKED = "bucket int, docs binary, counts binary, starts binary, keys binary, kinds binary"
 
 
-def gathered(pieces, keep_first: bool):
-    """Record batches of the settled rows of (keys, docs, starts) arrays, FLUSH rows at a time."""
+def bucket_count(spark: SparkSession) -> int:
+    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(buckets: np.ndarray, docs: np.ndarray, starts: np.ndarray, keys: np.ndarray | None = None, kinds: np.ndarray | None = None):
+    """Record batches of one row for each bucket."""
+    order = np.lexsort((starts, docs, buckets))
+    buckets, docs, starts = buckets[order], docs[order], starts[order]
+    keys, kinds = (x if x is None else x[order] for x in (keys, kinds))
+    cuts = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, np.int64)
+    for a, b in zip(cuts, cuts[1:]):
+        own, n = np.unique(docs[a:b], return_counts=True)
+        row = {"bucket": pa.array([buckets[a]], pa.int32()), "docs": own.astype("<i8").tobytes(), "counts": n.astype("<u4").tobytes(), "starts": starts[a:b].astype("<u4").tobytes()}
+        row |= {"keys": b"" if keys is None else keys[a:b].astype("<u8").tobytes(), "kinds": b"" if kinds is None else kinds[a:b].astype(np.int8).tobytes()}
+        yield pa.RecordBatch.from_pydict({k: v if k == "bucket" else pa.array([v], pa.binary()) for k, v in row.items()})
+
+
+def unpacked(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """(docs, starts, keys, kinds) of packed rows."""
+    cat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+    docs = np.repeat(cat("docs", "<i8"), cat("counts", "<u4"))
+    return docs, cat("starts", "<u4").astype(np.int64), cat("keys", "<u8"), cat("kinds", np.int8)
+
+
+def gathered(pieces, keep_first: bool, buckets: int):
+    """Packed rows of (keys, docs, starts) arrays by bucket of the key, after a look for repeats in each FLUSH of them."""
     held, n = [], 0
 
     def out():
-        cols = settled(*(np.concatenate(c) for c in zip(*held)), keep_first)
-        for at in range(0, len(cols[0]), 200_000):
-            key, doc, start, kind = (c[at : at + 200_000] for c in cols)
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "doc_id": doc, "start": start.astype(np.int32), "kind": kind})
+        keys, docs, starts, kinds = settled(*(np.concatenate(c) for c in zip(*held)), keep_first)
+        yield from packed((keys % np.uint64(buckets)).astype(np.int32), docs, starts, keys, kinds)
 
     for piece in pieces:
         held.append(piece)
@@ -80,10 +106,35 @@ def gathered(pieces, keep_first: bool):
         yield from out()
 
 
+def by_bucket(batches):
+    """Lists of rows (dicts) of one bucket each, from batches sorted by bucket."""
+    bucket, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                if rows:
+                    yield rows
+                bucket, rows = row["bucket"], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """All rows of a bucket side by side in one partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (common.mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """Rows of the anchors of every whole text."""
+    """Packed anchors of every whole text."""
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
+    buckets = bucket_count(docs.sparkSession)
 
     def pieces(batches):
         for batch in batches:
@@ -96,76 +147,154 @@ def anchors(docs: DataFrame) -> DataFrame:
                 if len(at):
                     yield common.windows(hashes, ANCHOR)[at], part["doc_id"].to_numpy()[owner[at]], place[at]
 
-    return docs.mapInArrow(lambda batches: gathered(pieces(batches), False), ROWS)
+    return docs.mapInArrow(lambda batches: gathered(pieces(batches), False, buckets), PACKED)
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(doc_id, start) of settled rows and of open ones that share their key with another row."""
-    several = F.count("*").over(Window.partitionBy("key")) > 1
-    return rows.withColumn("several", several).filter((F.col("kind") == SETTLED) | ((F.col("kind") == OPEN) & F.col("several"))).select("doc_id", "start")
+def judged(rows: DataFrame, keep_first: bool) -> DataFrame:
+    """Packed places, by bucket of their document: settled ones, and open ones that share their key with another place
+    (with keep_first: that aren't the smallest place of their key)."""
+    buckets = bucket_count(rows.sparkSession)
+
+    def run(batches):
+        for own in by_bucket(batches):
+            docs, starts, keys, kinds = unpacked(own)
+            order = np.lexsort((starts, docs, kinds == SETTLED, keys))
+            docs, starts, keys, kinds = docs[order], starts[order], keys[order], kinds[order]
+            same = keys[1:] == keys[:-1]
+            if keep_first:
+                # A settled place has a key of its own, so the first of a key is its smallest open place.
+                first = np.append(True, ~same)
+                heads = np.flatnonzero(first)[np.cumsum(first) - 1]
+                found = (kinds == SETTLED) | (docs != docs[heads]) | (starts != starts[heads])
+            else:
+                found = (kinds == SETTLED) | ((kinds == OPEN) & (np.append(same, False) | np.append(False, same)))
+            yield from packed(doc_bucket(docs[found], buckets), docs[found], starts[found])
+
+    return grouped(rows).mapInArrow(run, PACKED)
+
+
+def with_places(texts: DataFrame, places: DataFrame, schema: str, handle) -> DataFrame:
+    """handle(documents, texts, starts by document) for pieces of each bucket of documents, texts with their places.
+
+    Texts travel compressed; a bucket's places come first and stay in memory while its texts stream by.
+    """
+    buckets = bucket_count(texts.sparkSession)
+
+    def squeeze(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            docs = batch["doc_id"].to_numpy()
+            data = pa.array([press(t) for t in common.raw(batch["text"])], pa.binary())
+            yield pa.RecordBatch.from_pydict({"bucket": doc_bucket(docs, buckets), "rank": pa.array(np.ones(len(docs), np.int8)), "doc_id": docs, "data": data, "docs": pa.nulls(len(docs), pa.binary()), "counts": pa.nulls(len(docs), pa.binary()), "starts": pa.nulls(len(docs), pa.binary())})
+
+    def run(batches):
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor().decompress
+        bucket, starts, known = None, None, []
+        for batch in batches:
+            rank, names = batch["rank"].to_numpy(), batch["bucket"].to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (rank[1:] != rank[:-1]))), len(rank)) if len(rank) else []
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                if names[a] != bucket:
+                    bucket, known, starts = names[a], [], None
+                if rank[a] == 0:
+                    known += part.select(["docs", "counts", "starts"]).to_pylist()
+                    continue
+                if starts is None:
+                    starts = Places(known)
+                    known = []
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
+                    docs = some["doc_id"].to_numpy()
+                    yield from handle(docs, [unpress(x) for x in some["data"].to_pylist()], [starts.of(d) for d in docs.tolist()])
+
+    squeezed = texts.mapInArrow(squeeze, "bucket int, rank byte, doc_id long, data binary, docs binary, counts binary, starts binary")
+    own = places.select("bucket", F.lit(0).cast("byte").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("data"), "docs", "counts", "starts")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return squeezed.unionByName(own).repartition(parts, "bucket").sortWithinPartitions("bucket", "rank").mapInArrow(run, schema)
+
+
+class Places:
+    """Sorted starts by document, out of packed rows."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        docs = np.zeros(0, np.int64)
+        self.starts = docs
+        if rows:
+            cat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+            docs, self.starts = np.repeat(cat("docs", "<i8"), cat("counts", "<u4")), cat("starts", "<u4").astype(np.int64)
+            order = np.lexsort((self.starts, docs))
+            docs, self.starts = docs[order], self.starts[order]
+        self.docs, at = np.unique(docs, return_index=True)
+        self.cuts = np.append(at, len(docs))
+
+    def of(self, doc: int) -> np.ndarray:
+        k = int(np.searchsorted(self.docs, doc))
+        return self.starts[self.cuts[k] : self.cuts[k + 1]] if k < len(self.docs) and self.docs[k] == doc else self.starts[:0]
 
 
 def candidates(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows of the windows around repeated anchors."""
+    """Packed windows around repeated anchors: those that start at most PERIOD - 1 words before one, within the text."""
+    buckets = bucket_count(texts.sparkSession)
+
+    def handle(docs, data, starts):
+        some = [i for i, s in enumerate(starts) if len(s)]
+        if not some:
+            return
+        joined = np.frombuffer(b" ".join(data[i] for i in some), np.uint8)
+        cuts = np.concatenate([[0], np.cumsum([len(data[i]) + 1 for i in some])])
+        cuts[-1] -= 1
+        hashes, _, _, before = common.word_table(joined, cuts)
+        n = np.diff(before)
+        at = np.concatenate([starts[i] for i in some])
+        owner = np.repeat(np.arange(len(some)), [len(starts[i]) for i in some])
+        low = before[owner] + np.maximum(0, at - PERIOD + 1)
+        high = before[owner] + np.minimum(at, n[owner] - WINDOW)
+        step = np.zeros(len(hashes) + 2, np.int64)
+        fine = (high >= low) & (at + ANCHOR <= n[owner])
+        np.add.at(step, low[fine], 1)
+        np.add.at(step, high[fine] + 1, -1)
+        found = np.flatnonzero(np.cumsum(step) > 0)
+        if len(found):
+            doc = np.searchsorted(before, found, side="right") - 1
+            keys = common.windows(hashes, WINDOW)[found]
+            yield pa.RecordBatch.from_pydict({"doc": docs[np.array(some)[doc]], "start": (found - before[doc]).astype(np.int64), "key": keys.view(np.int64)})
 
     def pieces(batches):
         for batch in batches:
-            for part in common.sliced(batch):
-                hashes, _, _, before = common.word_table(*common.flat(part["text"]))
-                n = np.diff(before)
-                lists = part["starts"]
-                offsets = lists.offsets.to_numpy()
-                counts = np.diff(offsets)
-                at = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-                owner = np.repeat(np.arange(len(n)), counts)
-                # Windows that start at most PERIOD - 1 words before an anchor, within the text.
-                low = before[owner] + np.maximum(0, at - PERIOD + 1)
-                high = before[owner] + np.minimum(at, n[owner] - WINDOW)
-                step = np.zeros(len(hashes) + 2, np.int64)
-                fine = (high >= low) & (at + ANCHOR <= n[owner])
-                np.add.at(step, low[fine], 1)
-                np.add.at(step, high[fine] + 1, -1)
-                starts = np.flatnonzero(np.cumsum(step) > 0)
-                if len(starts):
-                    doc = np.searchsorted(before, starts, side="right") - 1
-                    yield common.windows(hashes, WINDOW)[starts], part["doc_id"].to_numpy()[doc], starts - before[doc]
-
-    grouped = places.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return texts.join(grouped, "doc_id").mapInArrow(lambda batches: gathered(pieces(batches), True), ROWS)
-
-
-def later(rows: DataFrame) -> DataFrame:
-    """(doc_id, start) of settled rows and of open ones that aren't the smallest place of their key."""
-    place = F.struct("doc_id", "start")
-    first = F.min(F.when(F.col("kind") == OPEN, place)).over(Window.partitionBy("key"))
-    return rows.withColumn("first", first).filter((F.col("kind") == SETTLED) | (place > F.col("first"))).select("doc_id", "start")
+            yield batch["key"].to_numpy().view(np.uint64), batch["doc"].to_numpy(), batch["start"].to_numpy()
+
+    wide = with_places(texts, places, "doc long, start long, key long", handle)
+    return wide.mapInArrow(lambda batches: gathered(pieces(batches), True, buckets), PACKED)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, text): the words that stay, joined by single spaces."""
     own = common.texts(docs)
-    drop = later(candidates(own, repeated(anchors(own)))).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-
-    def cut(batches):
-        for batch in batches:
-            for part in common.sliced(batch):
-                texts, n_words, removed = [], [], []
-                for text, starts in zip(common.raw(part["text"]), part["starts"].to_pylist()):
-                    words = text.split()
-                    n = len(words)
-                    if starts:
-                        step = np.zeros(n + WINDOW + 1, np.int64)
-                        at = np.array([s for s in starts if s + WINDOW <= n], np.int64)
-                        np.add.at(step, at, 1)
-                        np.add.at(step, at + WINDOW, -1)
-                        gone = np.cumsum(step)[:n] > 0
-                        words = [w for w, g in zip(words, gone.tolist()) if not g]
-                    texts.append(b" ".join(words))
-                    n_words.append(n)
-                    removed.append(n - len(words))
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string())})
-
-    return own.join(drop, "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
+    drop = judged(candidates(own, judged(anchors(own), False)), True)
+
+    def cut(docs, data, starts):
+        texts, n_words, removed = [], [], []
+        for text, at in zip(data, starts):
+            words = text.split()
+            n = len(words)
+            at = at[at + WINDOW <= n]
+            if len(at):
+                step = np.zeros(n + 1, np.int64)
+                np.add.at(step, at, 1)
+                np.add.at(step, at + WINDOW, -1)
+                gone = np.cumsum(step)[:n] > 0
+                words = [w for w, g in zip(words, gone.tolist()) if not g]
+            texts.append(b" ".join(words))
+            n_words.append(n)
+            removed.append(n - len(words))
+        yield pa.RecordBatch.from_pydict({"doc_id": docs, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string())})
+
+    return with_places(own, drop, "doc_id long, n_words long, n_removed long, text string", cut)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
