@@ -173,12 +173,12 @@ def judged(rows: DataFrame, keep_first: bool) -> DataFrame:
     return grouped(rows).mapInArrow(run, PACKED)
 
 
-def with_places(texts: DataFrame, places: DataFrame, schema: str, handle) -> DataFrame:
+def with_places(texts: DataFrame, places: DataFrame, schema: str, handle, index=None, columns: list[str] = ("docs", "counts", "starts")) -> DataFrame:
     """handle(documents, texts, starts by document) for pieces of each bucket of documents, texts with their places.
 
     Texts travel compressed; a bucket's places come first and stay in memory while its texts stream by.
     """
-    buckets = bucket_count(texts.sparkSession)
+    buckets, make, columns = bucket_count(texts.sparkSession), index or Places, list(columns)
 
     def squeeze(batches):
         import zstandard
@@ -187,7 +187,7 @@ def with_places(texts: DataFrame, places: DataFrame, schema: str, handle) -> Dat
         for batch in batches:
             docs = batch["doc_id"].to_numpy()
             data = pa.array([press(t) for t in common.raw(batch["text"])], pa.binary())
-            yield pa.RecordBatch.from_pydict({"bucket": doc_bucket(docs, buckets), "rank": pa.array(np.ones(len(docs), np.int8)), "doc_id": docs, "data": data, "docs": pa.nulls(len(docs), pa.binary()), "counts": pa.nulls(len(docs), pa.binary()), "starts": pa.nulls(len(docs), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": doc_bucket(docs, buckets), "rank": pa.array(np.ones(len(docs), np.int8)), "doc_id": docs, "data": data} | {c: pa.nulls(len(docs), pa.binary()) for c in columns})
 
     def run(batches):
         import zstandard
@@ -202,18 +202,18 @@ def with_places(texts: DataFrame, places: DataFrame, schema: str, handle) -> Dat
                 if names[a] != bucket:
                     bucket, known, starts = names[a], [], None
                 if rank[a] == 0:
-                    known += part.select(["docs", "counts", "starts"]).to_pylist()
+                    known += part.select(columns).to_pylist()
                     continue
                 if starts is None:
-                    starts = Places(known)
+                    starts = make(known)
                     known = []
                 for at in range(0, part.num_rows, 256):
                     some = part.slice(at, 256)
                     docs = some["doc_id"].to_numpy()
                     yield from handle(docs, [unpress(x) for x in some["data"].to_pylist()], [starts.of(d) for d in docs.tolist()])
 
-    squeezed = texts.mapInArrow(squeeze, "bucket int, rank byte, doc_id long, data binary, docs binary, counts binary, starts binary")
-    own = places.select("bucket", F.lit(0).cast("byte").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("data"), "docs", "counts", "starts")
+    squeezed = texts.mapInArrow(squeeze, ", ".join(["bucket int, rank byte, doc_id long, data binary", *(f"{c} binary" for c in columns)]))
+    own = places.select("bucket", F.lit(0).cast("byte").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("data"), *columns)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return squeezed.unionByName(own).repartition(parts, "bucket").sortWithinPartitions("bucket", "rank").mapInArrow(run, schema)
 

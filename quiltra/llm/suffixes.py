@@ -23,14 +23,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, substrings
+from .substrings import bucket_count, by_bucket, doc_bucket, grouped
 
 LENGTH = 200
-SEED_BYTES = 64
+#: Long anchors: a text changed in one place keeps few of the anchors around it.
+SEED_BYTES = 150
 SPAN = LENGTH - SEED_BYTES + 1
 FLUSH = 1_500_000
 OPEN, STANDS, WHOLE, UNLIKE, CLASH = 0, 1, 2, 3, 4
@@ -58,10 +59,12 @@ class Bytes:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.eight * powers(_BASE, n - 7))])
 
     def seeds(self) -> np.ndarray:
+        """Hashes of every SEED_BYTES bytes: of 128 by doubling, then of two such runs that overlap."""
         x = self.eight
-        for k in (8, 16, 32):
+        for k in (8, 16, 32, 64):
             x = common.mix(x[:-k] * np.uint64(0xA0761D6478BD642F) + x[k:])
-        return x
+        k = SEED_BYTES - 128
+        return common.mix(x[:-k] * np.uint64(0xA0761D6478BD642F) + x[k:])
 
     def content(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from each start on, for lengths of at least 8."""
@@ -127,18 +130,38 @@ def settled(keys, contents, docs, starts, counts):
     return [np.concatenate(c) for c in zip(*parts)]
 
 
-STRETCHES = "key long, content long, doc_id long, start int, n int, kind byte"
+#: Many rows of one bucket in one: numbers in binary columns, documents with the number of their rows.
+PACKED = "bucket int, docs binary, counts binary, starts binary, sizes binary, keys binary, rests binary, kinds binary"
+
+
+def packed(buckets, docs, starts, sizes, keys=None, rests=None, kinds=None):
+    order = np.lexsort((starts, docs, buckets))
+    cols = [None if c is None else c[order] for c in (buckets, docs, starts, sizes, keys, rests, kinds)]
+    buckets = cols[0]
+    cuts = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, np.int64)
+    for a, b in zip(cuts, cuts[1:]):
+        own, n = np.unique(cols[1][a:b], return_counts=True)
+        data = [own.astype("<i8"), n.astype("<u4"), cols[2][a:b].astype("<u4"), cols[3][a:b].astype("<u4")] + [None if c is None else c[a:b].astype(k) for c, k in zip(cols[4:], ("<u8", "<u8", "i1"))]
+        names = ["docs", "counts", "starts", "sizes", "keys", "rests", "kinds"]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([buckets[a]], pa.int32())} | {k: pa.array([b"" if d is None else d.tobytes()], pa.binary()) for k, d in zip(names, data)})
+
+
+def unpacked(rows: list[dict]):
+    """(docs, starts, sizes, keys, rests, kinds) of packed rows."""
+    cat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+    return (np.repeat(cat("docs", "<i8"), cat("counts", "<u4")), cat("starts", "<u4").astype(np.int64), cat("sizes", "<u4").astype(np.int64), cat("keys", "<u8"), cat("rests", "<u8"), cat("kinds", "i1"))
 
 
 def stretch_rows(docs: DataFrame) -> DataFrame:
+    """Packed stretches by bucket of their anchor."""
+    buckets = bucket_count(docs.sparkSession)
+
     def run(batches):
         held, n = [], 0
 
         def out():
-            cols = settled(*(np.concatenate(c) for c in zip(*held)))
-            for at in range(0, len(cols[0]), 200_000):
-                key, content, doc, start, count, kind = (c[at : at + 200_000] for c in cols)
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "content": content.view(np.int64), "doc_id": doc, "start": start.astype(np.int32), "n": count.astype(np.int32), "kind": kind})
+            key, content, doc, start, count, kind = settled(*(np.concatenate(c) for c in zip(*held)))
+            yield from packed((key % np.uint64(buckets)).astype(np.int32), doc, start, count, key, content, kind)
 
         for batch in batches:
             for part in common.sliced(batch):
@@ -154,68 +177,108 @@ def stretch_rows(docs: DataFrame) -> DataFrame:
         if n:
             yield from out()
 
-    return docs.mapInArrow(run, STRETCHES)
+    return docs.mapInArrow(run, PACKED)
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n, repeated): stretches repeated as a whole (true) and those to be opened (false)."""
-    key = Window.partitionBy("key")
-    unlike = F.max((F.col("kind") == CLASH).cast("int")).over(key) + (F.min("content").over(key) != F.max("content").over(key)).cast("int") > 0
-    seen = rows.withColumns({"unlike": unlike, "rows": F.count("*").over(key)})
-    open_row = (F.col("kind") == OPEN) & (F.col("rows") > 1)
-    opened = (F.col("kind") == UNLIKE) | (F.col("unlike") & (open_row | (F.col("kind") == STANDS)))
-    whole = (F.col("kind") == WHOLE) | (open_row & ~F.col("unlike"))
-    return seen.filter(opened | whole).select("doc_id", "start", "n", whole.alias("repeated"))
-
-
-SUFFIXES = "lead long, rest long, doc_id long, start int, kind byte"
+    """Packed places by bucket of their document; kind WHOLE: repeated as a whole, UNLIKE: to be opened."""
+    buckets = bucket_count(rows.sparkSession)
 
+    def run(batches):
+        for own in by_bucket(batches):
+            docs, starts, sizes, keys, contents, kinds = unpacked(own)
+            order = np.lexsort((contents, keys))
+            docs, starts, sizes, keys, contents, kinds = (x[order] for x in (docs, starts, sizes, keys, contents, kinds))
+            head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            group = np.cumsum(np.append(True, keys[1:] != keys[:-1])) - 1
+            n = np.diff(np.append(head, len(keys)))
+            tail = head + n - 1
+            unlike = (contents[head] != contents[tail]) | np.maximum.reduceat(kinds == CLASH, head)
+            open_row = (kinds == OPEN) & (n[group] > 1)
+            opened = (kinds == UNLIKE) | (unlike[group] & (open_row | (kinds == STANDS)))
+            whole = (kinds == WHOLE) | (open_row & ~unlike[group])
+            at = np.flatnonzero(opened | whole)
+            yield from packed(doc_bucket(docs[at], buckets), docs[at], starts[at], sizes[at], kinds=np.where(whole[at], WHOLE, UNLIKE).astype(np.int8))
+
+    return grouped(rows).mapInArrow(run, PACKED)
+
+
+def suffixes(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Packed suffixes of opened stretches: leading bytes, a hash of all LENGTH bytes, place, kind (OPEN, STANDS, WHOLE).
+
+    The bucket is the place of the leading bytes between splitters, which are drawn from the opened stretches.
+    """
+    buckets = bucket_count(texts.sparkSession)
 
-def suffixes(texts: DataFrame, opened: DataFrame) -> DataFrame:
-    """The suffixes of opened stretches: leading bytes, a hash of all LENGTH bytes, place and kind (OPEN, STANDS, WHOLE)."""
+    def handle(docs, data, places):
+        for doc, text, (starts, sizes, kinds) in zip(docs.tolist(), data, places):
+            fine = (kinds == UNLIKE) & (starts + sizes + LENGTH - 1 <= len(text))
+            if fine.any():
+                start, count = starts[fine], sizes[fine]
+                at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                own = Bytes(np.frombuffer(text, np.uint8))
+                yield pa.RecordBatch.from_pydict({"doc": np.full(len(at), doc), "start": at, "lead": own.words[at].view(np.int64), "rest": own.content(at, np.full(len(at), LENGTH)).view(np.int64)})
 
     def settle(lead, rest, docs, starts):
         order = multikey_order(lead, rest)
         lead, rest, docs, starts = lead[order], rest[order], docs[order], starts[order]
         first = np.append(True, (lead[1:] != lead[:-1]) | (rest[1:] != rest[:-1]))
-        last = np.append(first[1:], True)
-        known = ~(first & last)
-        own = spread(docs, starts)
+        known = ~(first & np.append(first[1:], True))
         more = np.flatnonzero(first & known)
-        kind = np.where(known, WHOLE, OPEN).astype(np.int8)
-        cols = [np.append(np.where(known, own, lead), lead[more]), np.append(rest, rest[more]), np.append(docs, docs[more]), np.append(starts, starts[more]), np.append(kind, np.full(len(more), STANDS, np.int8))]
-        for at in range(0, len(cols[0]), 200_000):
-            a, b, doc, start, k = (c[at : at + 200_000] for c in cols)
-            # The order of signed numbers is that of the bytes.
-            yield pa.RecordBatch.from_pydict({"lead": (a ^ np.uint64(1 << 63)).view(np.int64), "rest": b.view(np.int64), "doc_id": doc, "start": start.astype(np.int32), "kind": k})
+        kind = np.append(np.where(known, WHOLE, OPEN), np.full(len(more), STANDS)).astype(np.int8)
+        cols = [np.append(x, x[more]) for x in (docs, starts, lead, rest)]
+        spread_out = (spread(cols[0], cols[1]) % np.uint64(buckets)).astype(np.int32)
+        bucket = np.where(kind == WHOLE, spread_out, between(cols[2], cols[3], buckets))
+        yield from packed(bucket.astype(np.int32), cols[0], cols[1], np.ones(len(kind), np.int64), cols[2], cols[3], kind)
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for part in common.sliced(batch):
-                data, cuts = common.flat(part["text"])
-                lists = part["places"]
-                offsets = lists.offsets.to_numpy()
-                cells = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-                start, count = cells.field("start").to_numpy().astype(np.int64), cells.field("n").to_numpy().astype(np.int64)
-                text = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                fine = start + count + LENGTH - 1 <= np.diff(cuts)[text]
-                start, count, text = start[fine], count[fine], text[fine]
-                if not len(start):
-                    continue
-                at = np.repeat(start + cuts[text] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                text = np.repeat(text, count)
-                own = Bytes(data)
-                held.append((own.words[at], own.content(at, np.full(len(at), LENGTH)), part["doc_id"].to_numpy()[text], at - cuts[text]))
-                n += len(at)
-                if n >= FLUSH:
-                    yield from settle(*(np.concatenate(c) for c in zip(*held)))
-                    held, n = [], 0
+            held.append((batch["lead"].to_numpy().view(np.uint64), batch["rest"].to_numpy().view(np.uint64), batch["doc"].to_numpy(), batch["start"].to_numpy()))
+            n += batch.num_rows
+            if n >= FLUSH:
+                yield from settle(*(np.concatenate(c) for c in zip(*held)))
+                held, n = [], 0
         if n:
             yield from settle(*(np.concatenate(c) for c in zip(*held)))
 
-    grouped = opened.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-    return texts.join(grouped, "doc_id").mapInArrow(run, SUFFIXES)
+    cuts_lead, cuts_rest = splitters(texts, buckets)
+
+    def between(lead, rest, n):
+        """The range of each suffix: the number of splitters (leading bytes, then the hash) at or below it."""
+        low = np.searchsorted(cuts_lead, lead, side="left")
+        high = np.searchsorted(cuts_lead, lead, side="right")
+        out, tied = low.copy(), high > low
+        for k in np.unique(low[tied]):  # frequent beginnings: their splitters differ in the hash
+            own = np.flatnonzero(tied & (low == k))
+            out[own] = k + np.searchsorted(cuts_rest[k : high[own[0]]], rest[own], side="right")
+        return out
+
+    return with_places(texts, found, "doc long, start long, lead long, rest long", handle).mapInArrow(run, PACKED)
+
+
+#: Documents that splitters are drawn from, in expectation, and suffixes of each.
+SPLITTER_DOCS, SPLITTER_SUFFIXES = 2_000, 20
+
+
+def splitters(texts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles (leading bytes, hash) of a bounded sample of suffixes; only balance hangs on them."""
+    n = texts.count()
+    chance = (F.shiftright(F.xxhash64("doc_id"), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
+
+    def draw(batches):
+        for batch in batches:
+            for text in common.raw(batch["text"]):
+                if len(text) >= LENGTH:
+                    own = Bytes(np.frombuffer(text, np.uint8))
+                    at = np.linspace(0, len(text) - LENGTH, min(SPLITTER_SUFFIXES, len(text) - LENGTH + 1)).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"lead": own.words[at].view(np.int64), "rest": own.content(at, np.full(len(at), LENGTH)).view(np.int64)})
+
+    got = texts.filter(chance < SPLITTER_DOCS / max(1, n)).mapInArrow(draw, "lead long, rest long").toArrow()
+    lead, rest = (np.asarray(got[c].to_numpy()).astype(np.int64).view(np.uint64) for c in ("lead", "rest"))
+    order = np.lexsort((rest, lead))
+    at = order[np.unique(np.arange(1, parts) * len(order) // parts)] if len(order) else order
+    return lead[at], rest[at]
 
 
 def multikey_order(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -230,56 +293,65 @@ def multikey_order(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def sorted_repeats(rows: DataFrame) -> DataFrame:
-    """(doc_id, start) of the suffixes with an equal neighbour, from range-partitioned rows of ``suffixes``."""
+    """Packed places of the suffixes with an equal neighbour in the sorted order of their range, by bucket of their document."""
+    buckets = bucket_count(rows.sparkSession)
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        lead, rest, doc, start, kind = (np.concatenate([b[c].to_numpy() for b in parts]) for c in ("lead", "rest", "doc_id", "start", "kind"))
-        order = multikey_order(lead, rest)
-        lead, rest, doc, start, kind = (x[order] for x in (lead, rest, doc, start, kind))
-        same = (lead[1:] == lead[:-1]) & (rest[1:] == rest[:-1])
-        near = np.append(same, False) | np.append(False, same)
-        at = np.flatnonzero((kind == WHOLE) | ((kind == OPEN) & near))
-        yield pa.RecordBatch.from_pydict({"doc_id": doc[at], "start": start[at]})
+        for own in by_bucket(batches):
+            doc, start, size, lead, rest, kind = unpacked(own)
+            order = multikey_order(lead, rest)
+            doc, start, size, lead, rest, kind = (x[order] for x in (doc, start, size, lead, rest, kind))
+            judge = np.flatnonzero(kind != WHOLE)
+            same = (lead[judge][1:] == lead[judge][:-1]) & (rest[judge][1:] == rest[judge][:-1])
+            near = np.zeros(len(kind), bool)
+            near[judge] = np.append(same, False) | np.append(False, same)
+            at = np.flatnonzero((kind == WHOLE) | ((kind == OPEN) & near))
+            yield from packed(doc_bucket(doc[at], buckets), doc[at], start[at], size[at], kinds=np.full(len(at), WHOLE, np.int8))
+
+    return grouped(rows).mapInArrow(run, PACKED)
+
+
+class Spans:
+    """Sorted (starts, sizes, kinds) by document, out of packed rows."""
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "lead", "rest").mapInArrow(run, "doc_id long, start int")
+    def __init__(self, rows: list[dict]) -> None:
+        none = np.zeros(0, np.int64)
+        docs, self.starts, self.sizes, _, _, self.kinds = unpacked(rows) if rows else (none,) * 6
+        order = np.lexsort((self.starts, docs))
+        docs, self.starts, self.sizes, self.kinds = docs[order], self.starts[order], self.sizes[order], self.kinds[order]
+        self.docs, at = np.unique(docs, return_index=True)
+        self.cuts = np.append(at, len(docs))
+
+    def of(self, doc: int):
+        k = int(np.searchsorted(self.docs, doc))
+        a, b = (self.cuts[k], self.cuts[k + 1]) if k < len(self.docs) and self.docs[k] == doc else (0, 0)
+        return self.starts[a:b], self.sizes[a:b], self.kinds[a:b]
+
+
+def with_places(texts: DataFrame, places: DataFrame, schema: str, handle) -> DataFrame:
+    return substrings.with_places(texts, places, schema, handle, Spans, ["docs", "counts", "starts", "sizes", "keys", "rests", "kinds"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): the bytes that stay."""
     own = common.texts(docs)
     found = common.stored(judged(stretch_rows(own)), "stretches")
-    rows = common.stored(suffixes(own, found.filter("not repeated")), "suffixes")
-    places = found.filter("repeated").select("doc_id", "start", "n").unionByName(sorted_repeats(rows).select("doc_id", "start", F.lit(1).alias("n")))
-    drop = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-
-    def cut(batches):
-        for batch in batches:
-            for part in common.sliced(batch):
-                data, cuts = common.flat(part["text"])
-                n = np.diff(cuts)
-                gone = np.zeros(len(data) + 1, np.int64)
-                lists = part["places"]
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                text, cells = np.repeat(np.arange(part.num_rows), sizes), lists.flatten()
-                start, count = cells.field("start").to_numpy().astype(np.int64), cells.field("n").to_numpy().astype(np.int64)
-                fine = start + count + LENGTH - 1 <= n[text]
-                start, count = (start + cuts[text])[fine], count[fine]
-                np.add.at(gone, start, 1)
-                np.add.at(gone, start + count + LENGTH - 1, -1)
-                mark = np.cumsum(gone[:-1]) > 0
-                begins = mark.copy()
-                begins[1:] &= ~mark[:-1]
-                edges = cuts[:-1][cuts[:-1] < len(data)]
-                begins[edges] = mark[edges]
-                removed, spans = np.concatenate([[0], np.cumsum(mark)]), np.concatenate([[0], np.cumsum(begins)])
-                kept = [data[a:b][~mark[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "n_bytes": n, "n_removed": removed[cuts[1:]] - removed[cuts[:-1]], "n_spans": spans[cuts[1:]] - spans[cuts[:-1]], "kept": pa.array(kept, pa.binary())})
-
-    return own.join(drop, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    places = found.unionByName(sorted_repeats(suffixes(own, found)))
+
+    def cut(docs, data, spans):
+        rows = []
+        for doc, text, (start, size, kind) in zip(docs.tolist(), data, spans):
+            fine = (kind == WHOLE) & (start + size + LENGTH - 1 <= len(text))
+            gone = np.zeros(len(text) + 1, np.int64)
+            np.add.at(gone, start[fine], 1)
+            np.add.at(gone, start[fine] + size[fine] + LENGTH - 1, -1)
+            mark = np.cumsum(gone[:-1]) > 0
+            n_spans = int(np.count_nonzero(mark[1:] & ~mark[:-1]) + bool(len(mark) and mark[0]))
+            kept = np.frombuffer(text, np.uint8)[~mark].tobytes() if n_spans else text
+            rows.append((doc, len(text), len(text) - len(kept), n_spans, kept))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return with_places(own, places, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", cut)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
