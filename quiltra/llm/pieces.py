@@ -33,6 +33,8 @@ MARK = "▁"
 CHUNKS = re.compile(r"\n| *[^ \n]+| +")
 MASK = (1 << 32) - 1
 NEVER = float("inf")
+#: Size of the table of decisions, and the factors of a candidate's ends in its hash.
+TABLE, FROM, TO = 1 << 16, 40_503, 30_011
 #: Chunks of more characters keep their agenda in a heap.
 SHORT = 40
 
@@ -67,19 +69,21 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.rank = {p: -sp.get_score(i) for p, i in self.id.items()}
         self.data = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
-        self.below = int(dropout * (MASK + 1))
+        # The keyed hash of a candidate points into this table of drawn decisions.
+        draws = common.mix(np.arange(1, TABLE + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(TABLE))
+        self.skips = bytes((draws >> np.uint64(11)).astype(np.float64) / 2.0**53 < dropout) if dropout > 0 else b""
         self.seed = seed
         self.known: dict[int, Memo] = {}
 
     def chunk(self, text: str, variant: int) -> list[int]:
         """The ids of one chunk: spaces, then characters that are none."""
-        marked = [MARK if c == " " else c if c != MARK else "\x00" + c for c in text]
+        marked = list(text.replace(" ", MARK)) if MARK not in text else [MARK if c == " " else c if c != MARK else "\x00" + c for c in text]
         n = len(marked)
         if n <= SHORT:
             return self._ids(self._short(marked, text, variant))
         piece, left, right = marked, list(range(-1, n - 1)), list(range(1, n + 1))
         right[-1] = -1
-        rank, below = self.rank.get, self.below
+        rank, skips = self.rank.get, self.skips
         key = self._key(text, variant)
         agenda = []
         for i in range(n - 1):
@@ -92,12 +96,8 @@ class Pieces:
             _, i, j, both = heapq.heappop(agenda)
             if right[i] != j or piece[i] + piece[j] != both:
                 continue  # one of the two has merged with another since
-            if below:
-                h = (key ^ (i * 0x9E3779B1 + (i + len(both)) * 0x85EBCA77)) & MASK
-                h = (h ^ h >> 15) * 0x2C1B3C6D & MASK
-                h = (h ^ h >> 12) * 0x297A2D39 & MASK
-                if h ^ h >> 15 < below:
-                    continue
+            if skips and skips[(key ^ i * FROM ^ (i + len(both)) * TO) % TABLE]:
+                continue
             piece[i] = both
             k = right[i] = right[j]
             right[j] = -2
@@ -124,7 +124,7 @@ class Pieces:
 
     def _short(self, piece: list[str], text: str, variant: int) -> list[str]:
         """The same merges for a few symbols: the agenda is the list of the pairs' ranks."""
-        get, below, key = self.rank.get, self.below, self._key(text, variant)
+        get, skips, key = self.rank.get, self.skips, self._key(text, variant)
         at = list(range(len(piece)))
         agenda = [get(a + b, NEVER) for a, b in zip(piece, piece[1:])]
         while agenda:
@@ -133,13 +133,9 @@ class Pieces:
                 break
             i = agenda.index(best)
             both = piece[i] + piece[i + 1]
-            if below:
-                h = (key ^ (at[i] * 0x9E3779B1 + (at[i] + len(both)) * 0x85EBCA77)) & MASK
-                h = (h ^ h >> 15) * 0x2C1B3C6D & MASK
-                h = (h ^ h >> 12) * 0x297A2D39 & MASK
-                if h ^ h >> 15 < below:
-                    agenda[i] = NEVER
-                    continue
+            if skips and skips[(key ^ at[i] * FROM ^ (at[i] + len(both)) * TO) % TABLE]:
+                agenda[i] = NEVER
+                continue
             piece[i] = both
             del piece[i + 1], at[i + 1], agenda[i]
             if i < len(agenda):
@@ -149,7 +145,7 @@ class Pieces:
         return piece
 
     def _ids(self, piece: list[str]) -> list[int]:
-        ids = [self.id.get(p) for p in piece]
+        ids = list(map(self.id.get, piece))
         if None not in ids:
             return ids
         out = []
