@@ -200,7 +200,7 @@ def _(spark, sf):
     return D.pulses(f, "freq", 30.0, 0.25, 0.05, 4, 0.01, 100)
 
 
-@query("d27_pulses_inclusive")
+@query("d27_pulses_inclusive", "WITH {EMB}, f AS (SELECT DISTINCT source, block, chan, 1000.0 + chan * 5 AS freq FROM g), d AS (SELECT *, 4148.808 * 30 * (freq ** -2 - 1000.0 ** -2) AS d FROM f), k AS (SELECT *, max(d) OVER (PARTITION BY source, block) AS md FROM d), a AS (SELECT source, block, chan, CAST(round((0.05 + k * 0.25 + d) / 0.01) AS INTEGER) AS c FROM k, range(-20, 40) r(k) WHERE k BETWEEN floor((-md - 0.05) / 0.25) AND ceil((100 * 0.01 - 0.05) / 0.25) + 1) SELECT DISTINCT source, block, chan, CAST(c - 2 + i AS INTEGER) AS t FROM a, range(0, 5) r(i) WHERE c - 2 + i BETWEEN 0 AND 99")
 def _(spark, sf):
     f = emb(spark, sf).select(*BC).distinct().withColumn("freq", 1000.0 + F.col("chan") * 5)
     return D.pulses(f, "freq", 30.0, 0.25, 0.05, 4, 0.01, 100, "first", "round", True)

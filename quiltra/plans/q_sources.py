@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from quiltra.functions.exprs import B, BC, draw, rounded
+from quiltra.functions.exprs import B, BC, rounded
 from quiltra.operators import predicates as P
 from quiltra.operators import resample as R
 from quiltra.sources import grids, sinks
 
-from .base import query
+from .base import draw_sql, query
 
 emb = grids.embedding_grid
 
@@ -165,7 +165,7 @@ def _(spark, sf):
     return R.bilinear(R.block_mean(emb(spark, sf), 8, 10), (8, 10), (12, 25)).select(*BC, "t", *rounded("v"))
 
 
-@query("r09_focus_crop")
+@query("r09_focus_crop", f"WITH {{EMB}}, l AS (SELECT *, CASE WHEN abs(v) > 0.35 THEN 6 ELSE 0 END AS label FROM g), r AS (SELECT *, {draw_sql(1, 'source', 'block', 'chan', 't')} AS r FROM l WHERE label = 6), p AS (SELECT source, block, chan AS pc, t AS pt FROM (SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY r, chan, t) AS k FROM r) WHERE k = 1), b AS (SELECT DISTINCT source, block FROM g), u AS (SELECT *, {draw_sql(2, 'source', 'block')} AS u, {draw_sql(3, 'source', 'block')} AS w FROM b LEFT JOIN p USING (source, block)), c AS (SELECT source, block, greatest(0, least(48, CASE WHEN pc IS NOT NULL AND u % 1000 < 700 THEN pc - 8 ELSE u % 49 END)) AS c0, greatest(0, least(68, CASE WHEN pc IS NOT NULL AND u % 1000 < 700 THEN pt - 16 ELSE w % 69 END)) AS t0 FROM u) SELECT source, block, CAST(chan - c0 AS INTEGER) AS chan, CAST(t - t0 AS INTEGER) AS t, label FROM l JOIN c USING (source, block) WHERE chan BETWEEN c0 AND c0 + 15 AND t BETWEEN t0 AND t0 + 31")
 def _(spark, sf):
     labels = emb(spark, sf).withColumn("label", F.when(F.abs("v") > 0.35, 6).otherwise(0))
     return R.focus_crop(labels, 16, 32, 64, 100, 6, 0.7).select(*BC, "t", "label")
