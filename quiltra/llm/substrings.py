@@ -28,7 +28,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Places that a task gathers before it looks for repeats among them.
 FLUSH = 3_000_000
 #: Buckets for each shuffle partition; one bucket is in memory at a time.
-BUCKETS = 4
+BUCKETS = 2
 
 #: Kinds of a place: to be judged with the others of its key; settled; stands for settled ones.
 OPEN, SETTLED, STANDS = 0, 1, 2
@@ -76,34 +76,35 @@ def packed(buckets: np.ndarray, docs: np.ndarray, starts: np.ndarray, keys: np.n
     cuts = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, np.int64)
     for a, b in zip(cuts, cuts[1:]):
         own, n = np.unique(docs[a:b], return_counts=True)
-        row = {"bucket": pa.array([buckets[a]], pa.int32()), "docs": own.astype("<i8").tobytes(), "counts": n.astype("<u4").tobytes(), "starts": starts[a:b].astype("<u4").tobytes()}
-        row |= {"keys": b"" if keys is None else keys[a:b].astype("<u8").tobytes(), "kinds": b"" if kinds is None else kinds[a:b].astype(np.int8).tobytes()}
+        row = {"bucket": pa.array([buckets[a]], pa.int32()), "docs": common.thin(own), "counts": common.thin(n), "starts": common.thin(starts[a:b])}
+        row |= {"keys": b"" if keys is None else keys[a:b].astype("<u8").tobytes(), "kinds": b"" if kinds is None else common.thin(kinds[a:b])}
         yield pa.RecordBatch.from_pydict({k: v if k == "bucket" else pa.array([v], pa.binary()) for k, v in row.items()})
 
 
 def unpacked(rows: list[dict]) -> tuple[np.ndarray, ...]:
     """(docs, starts, keys, kinds) of packed rows."""
-    cat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-    docs = np.repeat(cat("docs", "<i8"), cat("counts", "<u4"))
-    return docs, cat("starts", "<u4").astype(np.int64), cat("keys", "<u8"), cat("kinds", np.int8)
+    cat = lambda name: np.concatenate([common.thick(r[name]) for r in rows])
+    return np.repeat(cat("docs"), cat("counts")), cat("starts"), np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]), cat("kinds")
 
 
-def gathered(pieces, keep_first: bool, buckets: int):
-    """Packed rows of (keys, docs, starts) arrays by bucket of the key, after a look for repeats in each FLUSH of them."""
+def flushed(pieces):
+    """Tuples of arrays, joined up to FLUSH places at a time."""
     held, n = [], 0
-
-    def out():
-        keys, docs, starts, kinds = settled(*(np.concatenate(c) for c in zip(*held)), keep_first)
-        yield from packed((keys % np.uint64(buckets)).astype(np.int32), docs, starts, keys, kinds)
-
     for piece in pieces:
         held.append(piece)
         n += len(piece[0])
         if n >= FLUSH:
-            yield from out()
+            yield tuple(np.concatenate(c) for c in zip(*held))
             held, n = [], 0
     if n:
-        yield from out()
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def gathered(pieces, keep_first: bool, buckets: int):
+    """Packed rows of (keys, docs, starts) arrays by bucket of the key, after a look for repeats in each FLUSH of them."""
+    for piece in flushed(pieces):
+        keys, docs, starts, kinds = settled(*piece, keep_first)
+        yield from packed((keys % np.uint64(buckets)).astype(np.int32), docs, starts, keys, kinds)
 
 
 def by_bucket(batches):
@@ -155,7 +156,7 @@ def judged(rows: DataFrame, keep_first: bool) -> DataFrame:
     (with keep_first: that aren't the smallest place of their key)."""
     buckets = bucket_count(rows.sparkSession)
 
-    def run(batches):
+    def judge(batches):
         for own in by_bucket(batches):
             docs, starts, keys, kinds = unpacked(own)
             order = np.lexsort((starts, docs, kinds == SETTLED, keys))
@@ -168,7 +169,11 @@ def judged(rows: DataFrame, keep_first: bool) -> DataFrame:
                 found = (kinds == SETTLED) | (docs != docs[heads]) | (starts != starts[heads])
             else:
                 found = (kinds == SETTLED) | ((kinds == OPEN) & (np.append(same, False) | np.append(False, same)))
-            yield from packed(doc_bucket(docs[found], buckets), docs[found], starts[found])
+            yield docs[found], starts[found]
+
+    def run(batches):
+        for docs, starts in flushed(judge(batches)):
+            yield from packed(doc_bucket(docs, buckets), docs, starts)
 
     return grouped(rows).mapInArrow(run, PACKED)
 
@@ -225,8 +230,8 @@ class Places:
         docs = np.zeros(0, np.int64)
         self.starts = docs
         if rows:
-            cat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-            docs, self.starts = np.repeat(cat("docs", "<i8"), cat("counts", "<u4")), cat("starts", "<u4").astype(np.int64)
+            cat = lambda name: np.concatenate([common.thick(r[name]) for r in rows])
+            docs, self.starts = np.repeat(cat("docs"), cat("counts")), cat("starts")
             order = np.lexsort((self.starts, docs))
             docs, self.starts = docs[order], self.starts[order]
         self.docs, at = np.unique(docs, return_index=True)

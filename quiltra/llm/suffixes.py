@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, substrings
-from .substrings import bucket_count, by_bucket, doc_bucket, grouped
+from .substrings import bucket_count, by_bucket, doc_bucket, flushed, grouped
 
 LENGTH = 200
 #: Long anchors: a text changed in one place keeps few of the anchors around it.
@@ -141,15 +141,17 @@ def packed(buckets, docs, starts, sizes, keys=None, rests=None, kinds=None):
     cuts = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, np.int64)
     for a, b in zip(cuts, cuts[1:]):
         own, n = np.unique(cols[1][a:b], return_counts=True)
-        data = [own.astype("<i8"), n.astype("<u4"), cols[2][a:b].astype("<u4"), cols[3][a:b].astype("<u4")] + [None if c is None else c[a:b].astype(k) for c, k in zip(cols[4:], ("<u8", "<u8", "i1"))]
+        data = [common.thin(own), common.thin(n), common.thin(cols[2][a:b]), common.thin(cols[3][a:b])]
+        data += [b"" if c is None else c[a:b].astype("<u8").tobytes() for c in cols[4:6]] + [b"" if cols[6] is None else common.thin(cols[6][a:b])]
         names = ["docs", "counts", "starts", "sizes", "keys", "rests", "kinds"]
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([buckets[a]], pa.int32())} | {k: pa.array([b"" if d is None else d.tobytes()], pa.binary()) for k, d in zip(names, data)})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([buckets[a]], pa.int32())} | {k: pa.array([d], pa.binary()) for k, d in zip(names, data)})
 
 
 def unpacked(rows: list[dict]):
     """(docs, starts, sizes, keys, rests, kinds) of packed rows."""
-    cat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-    return (np.repeat(cat("docs", "<i8"), cat("counts", "<u4")), cat("starts", "<u4").astype(np.int64), cat("sizes", "<u4").astype(np.int64), cat("keys", "<u8"), cat("rests", "<u8"), cat("kinds", "i1"))
+    cat = lambda name: np.concatenate([common.thick(r[name]) for r in rows])
+    words = lambda name: np.concatenate([np.frombuffer(r[name], "<u8") for r in rows])
+    return np.repeat(cat("docs"), cat("counts")), cat("starts"), cat("sizes"), words("keys"), words("rests"), cat("kinds")
 
 
 def stretch_rows(docs: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def judged(rows: DataFrame) -> DataFrame:
     """Packed places by bucket of their document; kind WHOLE: repeated as a whole, UNLIKE: to be opened."""
     buckets = bucket_count(rows.sparkSession)
 
-    def run(batches):
+    def judge(batches):
         for own in by_bucket(batches):
             docs, starts, sizes, keys, contents, kinds = unpacked(own)
             order = np.lexsort((contents, keys))
@@ -198,7 +200,11 @@ def judged(rows: DataFrame) -> DataFrame:
             opened = (kinds == UNLIKE) | (unlike[group] & (open_row | (kinds == STANDS)))
             whole = (kinds == WHOLE) | (open_row & ~unlike[group])
             at = np.flatnonzero(opened | whole)
-            yield from packed(doc_bucket(docs[at], buckets), docs[at], starts[at], sizes[at], kinds=np.where(whole[at], WHOLE, UNLIKE).astype(np.int8))
+            yield docs[at], starts[at], sizes[at], np.where(whole[at], WHOLE, UNLIKE)
+
+    def run(batches):
+        for docs, starts, sizes, kinds in flushed(judge(batches)):
+            yield from packed(doc_bucket(docs, buckets), docs, starts, sizes, kinds=kinds)
 
     return grouped(rows).mapInArrow(run, PACKED)
 
@@ -296,7 +302,7 @@ def sorted_repeats(rows: DataFrame) -> DataFrame:
     """Packed places of the suffixes with an equal neighbour in the sorted order of their range, by bucket of their document."""
     buckets = bucket_count(rows.sparkSession)
 
-    def run(batches):
+    def compare(batches):
         for own in by_bucket(batches):
             doc, start, size, lead, rest, kind = unpacked(own)
             order = multikey_order(lead, rest)
@@ -306,7 +312,11 @@ def sorted_repeats(rows: DataFrame) -> DataFrame:
             near = np.zeros(len(kind), bool)
             near[judge] = np.append(same, False) | np.append(False, same)
             at = np.flatnonzero((kind == WHOLE) | ((kind == OPEN) & near))
-            yield from packed(doc_bucket(doc[at], buckets), doc[at], start[at], size[at], kinds=np.full(len(at), WHOLE, np.int8))
+            yield doc[at], start[at], size[at]
+
+    def run(batches):
+        for docs, starts, sizes in flushed(compare(batches)):
+            yield from packed(doc_bucket(docs, buckets), docs, starts, sizes, kinds=np.full(len(docs), WHOLE))
 
     return grouped(rows).mapInArrow(run, PACKED)
 
