@@ -77,8 +77,8 @@ class Encoder:
 
     The library's model gives the ids of each piece of the vocabulary's split pattern, which always cuts before a single
     space that has no other white space beside it. So parts between spaces, and pieces in them, are encoded apart, each
-    distinct one once while it is remembered. Texts with longer runs of
-    white space, or with the name of the special token, go to the library whole.
+    distinct one once while it is remembered. Texts with longer runs of white space, or with the name of the special
+    token, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
