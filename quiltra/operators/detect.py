@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltra.functions.exprs import B, BC, BT, along_c, along_t, lower_median, tukey
+from quiltra.functions.exprs import B, BC, BT, along_t, lower_median, tukey
 from quiltra.operators.runs import in_runs, runs
 
 STATE = "struct<lo:int,hi:int,med:double,rms:double,done:boolean,n:int>"

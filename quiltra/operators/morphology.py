@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltra.functions.exprs import B, BC, BT, along_c, along_t
+from quiltra.functions.exprs import B, BC, along_c, along_t
 from quiltra.operators.runs import runs
 
 

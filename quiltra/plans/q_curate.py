@@ -1,11 +1,8 @@
 """Queries of joins, windows, set operations and dataset curation; documents stand for images, labels for masks."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quiltra.functions.exprs import draw
 from quiltra.operators import curate as C
-from quiltra.operators import stats
 from quiltra.sources import grids
 
 from .base import draw_sql, query
