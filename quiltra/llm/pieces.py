@@ -2,12 +2,15 @@
 
 A text is cut at spaces and line ends, which no piece of the vocabulary crosses. Within a chunk, an agenda holds the
 candidate merges of neighbouring symbols, best piece first. A candidate that comes up is skipped if the hash of (seed,
-variant, chunk, its place) falls below the dropout rate, so the same key always gives the same segmentation. What is in
-no piece becomes byte pieces. Decoding joins the pieces' bytes and is exact for every text: a marked space in the input
+document, place of the chunk in the text, the candidate's turn in the chunk) falls below the dropout rate: each occurrence
+of a word is drawn anew, and the same key always gives the same segmentation. What is in no piece becomes byte pieces. Decoding joins the pieces' bytes and is exact for every text: a marked space in the input
 is written as bytes, so it can't be mistaken for a space. With a dropout of 0 the pieces are those of plain merging.
 
 Defined results: null and empty texts have no pieces; rows are encoded one by one, so repeated rows give repeated
-results (the variant follows from the id) and long texts need no shuffle; extra columns are ignored.
+results (the key of the draws follows from the id) and long texts need no shuffle; extra columns are ignored.
+
+What a worker remembers of a chunk doesn't depend on the draw: a tree with a fork for each candidate in turn, kept or
+skipped, and the ids at its ends. An occurrence follows its own draws down the tree and is merged anew where it ends.
 """
 
 from __future__ import annotations
@@ -26,36 +29,18 @@ from . import common
 
 DROPOUT = 0.1
 SEED = 17
-#: Segmentations that a chunk can have at one seed; a document takes one of them throughout.
-VARIANTS = 2
-REMEMBERED = 100_000
+#: Results that a worker remembers before it begins anew.
+REMEMBERED = 200_000
 MARK = "▁"
 CHUNKS = re.compile(r"\n| *[^ \n]+| +")
-MASK = (1 << 32) - 1
 NEVER = float("inf")
-#: Size of the table of decisions, and the factors of a candidate's ends in its hash.
-TABLE, FROM, TO = 1 << 16, 40_503, 30_011
+#: Draws made at once for each chunk, and the steps of the hash from chunk to chunk and from draw to draw.
+DRAWN, CHUNK_STEP, DRAW_STEP = 16, 0xF1357AEA2E62A9C5, 0x9E3779B97F4A7C15
+M64 = (1 << 64) - 1
 #: Chunks of more characters keep their agenda in a heap.
 SHORT = 40
 
 
-class Memo(dict):
-    """The ids of chunks as bytes, of this generation and the one before."""
-
-    def __init__(self, pieces: Pieces, variant: int, old: dict | None) -> None:
-        self.pieces, self.variant, self.old = pieces, variant, old or {}
-        if old is not None:
-            old.old = {}
-
-    def __missing__(self, text: str) -> bytes:
-        got = self.old.get(text)
-        if got is None:
-            ids = self.pieces.chunk(text, self.variant)
-            got = struct.pack(f"<{len(ids)}i", *ids)
-        self[text] = got
-        return got
-
-
 class Pieces:
     """Vocabulary, encoder and decoder; ``model`` is the path of a SentencePiece BPE model with byte pieces."""
 
@@ -69,22 +54,32 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.rank = {p: -sp.get_score(i) for p, i in self.id.items()}
         self.data = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
-        # The keyed hash of a candidate points into this table of drawn decisions.
-        draws = common.mix(np.arange(1, TABLE + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(TABLE))
-        self.skips = bytes((draws >> np.uint64(11)).astype(np.float64) / 2.0**53 < dropout) if dropout > 0 else b""
-        self.seed = seed
-        self.known: dict[int, Memo] = {}
-
-    def chunk(self, text: str, variant: int) -> list[int]:
+        self.limit = np.uint64(min(M64, int(dropout * 2.0**64)))
+        self.dropout, self.seed = dropout, seed
+        self.known: dict[str, list | bytes] = {}
+        self.remembered = 0
+
+    def draws(self, keys: np.ndarray, first: int = 0) -> np.ndarray:
+        """For each chunk's key, the decisions on candidates ``first`` to first + DRAWN as bits, lowest first; 1 is a skip."""
+        if not self.dropout > 0:
+            return np.zeros(len(keys), np.uint16)
+        turns = np.arange(first + 1, first + DRAWN + 1, dtype=np.uint64) * np.uint64(DRAW_STEP)
+        return np.packbits(common.mix(keys[:, None] + turns) < self.limit, axis=1, bitorder="little").view("<u2").ravel()
+
+    def chunk(self, text: str, key: int) -> list[int]:
         """The ids of one chunk: spaces, then characters that are none."""
+        return self._merged(text, key, int(self.draws(np.array([key], np.uint64))[0]))[0]
+
+    def _merged(self, text: str, key: int, bits: int) -> tuple[list[int], int]:
+        """The ids of one chunk with the first draws ``bits``, and the number of candidates that came up."""
         marked = list(text.replace(" ", MARK)) if MARK not in text else [MARK if c == " " else c if c != MARK else "\x00" + c for c in text]
         n = len(marked)
         if n <= SHORT:
-            return self._ids(self._short(marked, text, variant))
+            piece, turn = self._short(marked, key, bits)
+            return self._ids(piece), turn
         piece, left, right = marked, list(range(-1, n - 1)), list(range(1, n + 1))
         right[-1] = -1
-        rank, skips = self.rank.get, self.skips
-        key = self._key(text, variant)
+        rank, turn, drawn = self.rank.get, 0, DRAWN
         agenda = []
         for i in range(n - 1):
             both = piece[i] + piece[i + 1]
@@ -96,7 +91,10 @@ class Pieces:
             _, i, j, both = heapq.heappop(agenda)
             if right[i] != j or piece[i] + piece[j] != both:
                 continue  # one of the two has merged with another since
-            if skips and skips[(key ^ i * FROM ^ (i + len(both)) * TO) % TABLE]:
+            if turn == drawn:
+                bits, drawn = int(self.draws(np.array([key], np.uint64), turn)[0]), drawn + DRAWN
+            turn, skip, bits = turn + 1, bits & 1, bits >> 1
+            if skip:
                 continue
             piece[i] = both
             k = right[i] = right[j]
@@ -117,15 +115,11 @@ class Pieces:
         while i >= 0:
             out.append(piece[i])
             i = right[i]
-        return self._ids(out)
+        return self._ids(out), turn
 
-    def _key(self, text: str, variant: int) -> int:
-        return zlib.crc32(text.encode("utf-8", "surrogatepass"), self.seed * 8191 + variant & MASK)
-
-    def _short(self, piece: list[str], text: str, variant: int) -> list[str]:
+    def _short(self, piece: list[str], key: int, bits: int) -> tuple[list[str], int]:
         """The same merges for a few symbols: the agenda is the list of the pairs' ranks."""
-        get, skips, key = self.rank.get, self.skips, self._key(text, variant)
-        at = list(range(len(piece)))
+        get, turn, drawn = self.rank.get, 0, DRAWN
         agenda = [get(a + b, NEVER) for a, b in zip(piece, piece[1:])]
         while agenda:
             best = min(agenda)
@@ -133,16 +127,19 @@ class Pieces:
                 break
             i = agenda.index(best)
             both = piece[i] + piece[i + 1]
-            if skips and skips[(key ^ at[i] * FROM ^ (at[i] + len(both)) * TO) % TABLE]:
+            if turn == drawn:
+                bits, drawn = int(self.draws(np.array([key], np.uint64), turn)[0]), drawn + DRAWN
+            turn, skip, bits = turn + 1, bits & 1, bits >> 1
+            if skip:
                 agenda[i] = NEVER
                 continue
             piece[i] = both
-            del piece[i + 1], at[i + 1], agenda[i]
+            del piece[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(both + piece[i + 1], NEVER)
             if i:
                 agenda[i - 1] = get(piece[i - 1] + both, NEVER)
-        return piece
+        return piece, turn
 
     def _ids(self, piece: list[str]) -> list[int]:
         ids = list(map(self.id.get, piece))
@@ -156,22 +153,50 @@ class Pieces:
                 out += [self.byte[b] for b in p.removeprefix("\x00" if len(p) > 1 else "").encode()]
         return out
 
+    def _anew(self, text: str, key: int, bits: int) -> bytes:
+        """Merges one occurrence and remembers the ids at the end of its draws."""
+        ids, turns = self._merged(text, key, bits)
+        data = struct.pack(f"<{len(ids)}i", *ids)
+        if turns > DRAWN:
+            return data
+        self.remembered += 1
+        if not turns:
+            self.known[text] = data
+            return data
+        node = self.known.get(text)
+        if node is None:
+            node = self.known[text] = [None, None]
+        for _ in range(turns - 1):
+            if node[bits & 1] is None:
+                node[bits & 1] = [None, None]
+            node, bits = node[bits & 1], bits >> 1
+        node[bits & 1] = data
+        return data
+
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        """The ids of a whole text; as usual for these vocabularies a space is put before it."""
+        """The ids of a whole text, drawn by the key ``variant``; as usual for these vocabularies a space is put before it."""
         if not text:
             return np.zeros(0, np.int32)
-        known = self.known.get(variant)
-        if known is None or len(known) > REMEMBERED:
-            known = self.known[variant] = Memo(self, variant, known)
-        return np.frombuffer(b"".join(map(known.__getitem__, CHUNKS.findall(" " + text))), np.int32)
+        if self.remembered > REMEMBERED:
+            self.known, self.remembered = {}, 0
+        chunks = CHUNKS.findall(" " + text)
+        start = common.mix(np.array([variant & M64], np.uint64) + np.uint64(self.seed * CHUNK_STEP & M64))
+        keys = common.mix(start + np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(CHUNK_STEP))
+        known, out = self.known, []
+        for place, (chunk, bits) in enumerate(zip(chunks, self.draws(keys).tolist())):
+            node, left = known.get(chunk), bits
+            while node.__class__ is list:
+                node, left = node[left & 1], left >> 1
+            out.append(node if node is not None else self._anew(chunk, int(keys[place]), bits))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the text, without the space before it."""
         return b"".join(map(self.data.__getitem__, ids.tolist()))[1:]
 
 
-def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """(doc_id, variant, ids) of every whole text."""
+def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """(doc_id, variant, ids) of every whole text; ``variant`` is the key of its draws, from seed and id."""
 
     def run(batches):
         pieces = Pieces(model, dropout, seed)
@@ -182,8 +207,8 @@ def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = S
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 yield pa.RecordBatch.from_pydict({"doc_id": own["doc_id"], "variant": own["variant"], "ids": lists})
 
-    rows = common.texts(docs).withColumn("variant", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants)).cast("int"))
-    return rows.mapInArrow(run, "doc_id long, variant int, ids array<int>")
+    rows = common.texts(docs).withColumn("variant", F.xxhash64(F.lit(seed), "doc_id"))
+    return rows.mapInArrow(run, "doc_id long, variant long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, model: str) -> DataFrame:
@@ -199,7 +224,7 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
             texts = [pieces.decode(x).decode() for x in own]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "variant": batch["variant"], "n_pieces": np.diff(cuts).astype(np.int64), "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()), "text": pa.array(texts, pa.string())})
 
-    return tokens.select("doc_id", "variant", "ids").mapInArrow(run, "doc_id long, variant int, n_pieces long, ids_crc32 long, text string")
+    return tokens.select("doc_id", "variant", "ids").mapInArrow(run, "doc_id long, variant long, n_pieces long, ids_crc32 long, text string")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

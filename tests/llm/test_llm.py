@@ -177,6 +177,24 @@ def test_long_and_short_agendas_agree():
         pieces.SHORT = old
 
 
+def test_each_occurrence_is_drawn_anew(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p = pieces.Pieces(path, 0.1)
+    word = " internationalisation"
+    ids = p.encode("\n".join([word] * 400), 5)
+    splits = bytes(ids.astype("<i4")).split(p.encode("\n", 5)[-1:].astype("<i4").tobytes())
+    assert len(set(splits)) > 5
+    # What is remembered doesn't change the draws, and about a tenth of the candidates is skipped.
+    assert p.encode("\n".join([word] * 400), 5).tolist() == ids.tolist() == pieces.Pieces(path, 0.1).encode("\n".join([word] * 400), 5).tolist()
+    bits = p.draws(np.arange(20_000, dtype=np.uint64) * np.uint64(77), 16)
+    assert abs(np.unpackbits(bits.view(np.uint8)).mean() - 0.1) < 0.005
+    rows = spark.createDataFrame([(i, word[1:]) for i in range(300)], "doc_id long, text string")
+    got = pieces.encoded(rows, path)
+    assert got.select("ids").distinct().count() > 5 and got.select("variant").distinct().count() == 300
+
+
 # 5
 
 
