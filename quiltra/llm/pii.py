@@ -5,9 +5,11 @@
    phones with other separators) have high recall and may overlap the strict ones and each other.
 2. Each proposed span has a few small features of its format and its context, as SQL expressions.
 3. Spans of all documents are counted by (features, outcome, fold). All features are bucketed, so this table is bounded
-   by the product of their ranges at any size. The outcome is weak: a span is good if it meets a base span of its kind.
+   by the product of their ranges at any size. The outcome is weak: base spans are good, strict ones that fail are bad,
+   and a loose span is judged by its own format and cue words of its kind before it (``looks_right``), base spans or not.
 4. Boosted trees of depth two are fitted to the table of counts, without one fold of the documents; that fold gives, for
-   each kind, the lowest score from which the share of good spans is at least PRECISION.
+   each kind, the lowest score from which the share of good spans is at least PRECISION. It counts the loose spans that
+   can be added, those that meet no base span; a kind with less than LEAST_HELD_OUT of them gets no loose spans.
 5. The trees become CASE expressions. Base spans stay; a loose span joins them if its score reaches its kind's threshold
    and no selected span of its kind overlaps it.
 
@@ -52,9 +54,17 @@ LOOSE = [
     ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
 ]
 CUES = r"(?i)\b(?:e-?mail|mail|contact|call|tel|phone|fax|mobile|ip|host|server|card|visa|account|pay)\b"
+#: Cue words of a kind before a loose span, and its formats that need none or do with a cue.
+CUES_OF = {"email": r"(?i)\b(?:e-?mail|mail|contact|write)\b", "ip": r"(?i)\b(?:ip|ipv6|host|server|address)\b", "card": r"(?i)\b(?:card|visa|account|pay)\b", "phone": r"(?i)\b(?:call|tel|phone|fax|mobile|contact)\b"}
+FORMAT = {
+    "email": (r"(?i)^[a-z0-9._%+-]+(?:\s?[\[(]at[\])]\s?|@)[a-z0-9-]+(?:\s?[\[(]dot[\])]\s?|\.)[a-z]{2,24}$", r"(?i)^\S+\s?(?:[\[(]at[\])]|@)\s?[a-z0-9-]+(?:\s?[\[(]dot[\])]\s?|\.)[a-z]{2,24}$"),
+    "ip": (r"(?i)^(?=.*[0-9a-f]{3})(?=.*[a-f])", r":"),
+    "card": (r"^[3-6][0-9]{3}([ ./_-]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$", r"^[3-6]"),
+    "phone": (r"^\([0-9]{3}\)[ .-]", r"^[0-9]{3}[ .-]|^\([0-9]{3}\)"),
+}
 SPAN = "array<struct<kind:int,start:int,end:int,s:string>>"
 #: Features of a span with the cuts that trees may use.
-CUTS = {"generator": range(8), "digits": [1, 4, 8, 9, 10, 12, 13, 15, 16, 19], "luhn": [1], "octets": [1], "separators": [1, 2, 3, 4], "plus": [1], "cue": [1], "left_word": [1], "right_word": [1], "length": [8, 12, 16, 20, 32]}
+CUTS = {"generator": range(8), "digits": [1, 4, 8, 9, 10, 12, 13, 15, 16, 19], "luhn": [1], "octets": [1], "separators": [1, 2, 3, 4], "plus": [1], "cue": [1], "left_word": [1], "right_word": [1], "spelled": [1], "length": [8, 12, 16, 20, 32]}
 
 
 def places(pattern: str, kind: int, needs: str) -> Column:
@@ -121,30 +131,45 @@ def meets(x: Column, spans: Column) -> Column:
     return F.exists(spans, lambda y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
 
 
+def before(x: Column) -> Column:
+    """The CONTEXT characters before span x in column text."""
+    return F.substring(F.col("text"), F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), x["start"]))
+
+
+def looks_right(x: Column) -> Column:
+    """The weak outcome of a loose span: its format, or a wider one after a cue word of its kind; cards also pass Luhn's check."""
+    right = F.substring(F.col("text"), x["end"] + 1, F.lit(1))
+    out = F.lit(False)
+    for i, kind in enumerate(KINDS):
+        alone, cued = FORMAT[kind]
+        fits = F.rlike(x["s"], F.lit(alone)) | (F.rlike(x["s"], F.lit(cued)) & F.rlike(before(x), F.lit(CUES_OF[kind])))
+        out = F.when(x["kind"] == i, fits & (passes("card", x["s"]) if kind == "card" else F.lit(True))).otherwise(out)
+    return F.coalesce(out & ~F.rlike(before(x), F.lit(r"[\p{L}\p{N}]$")) & ~F.rlike(right, F.lit(r"[\p{L}\p{N}]")), F.lit(False))
+
+
 def described(x: Column, generator: Column) -> Column:
     """The features of span x in column text."""
     s = x["s"]
-    left = F.substring(F.col("text"), F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), x["start"]))
-    right = F.substring(F.col("text"), x["end"] + 1, F.lit(1))
+    left, right = before(x), F.substring(F.col("text"), x["end"] + 1, F.lit(1))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return F.struct(
         generator.alias("generator"), F.least(F.length(digits(s)), F.lit(20)).alias("digits"), flag(luhn(s)).alias("luhn"), flag(octets(s)).alias("octets"),
         F.least(F.regexp_count(s, F.lit(r"[ ./_()\[\]:-]+")), F.lit(5)).alias("separators"), flag(s.startswith("+")).alias("plus"), flag(F.rlike(left, F.lit(CUES))).alias("cue"),
-        flag(F.rlike(left, F.lit(r"[\p{L}\p{N}]$"))).alias("left_word"), flag(F.rlike(right, F.lit(r"[\p{L}\p{N}]"))).alias("right_word"), F.least(F.floor(F.length(s) / 4) * 4, F.lit(64)).cast("int").alias("length"),
+        flag(F.rlike(left, F.lit(r"[\p{L}\p{N}]$"))).alias("left_word"), flag(F.rlike(right, F.lit(r"[\p{L}\p{N}]"))).alias("right_word"), flag(F.rlike(s, F.lit(r"(?i)[\[(](?:at|dot)[\])]"))).alias("spelled"), F.least(F.floor(F.length(s) / 4) * 4, F.lit(64)).cast("int").alias("length"),
     )
 
 
 def counts(spans: DataFrame) -> list:
-    """Rows (features, kind, good, held, n) over all proposed spans."""
-    as_seen = lambda x, generator, good: F.struct(described(x, generator).alias("f"), x["kind"].alias("kind"), good.alias("good"))
+    """Rows (features, kind, good, open, held, n) over all proposed spans."""
+    as_seen = lambda x, generator, good, open_: F.struct(described(x, generator).alias("f"), x["kind"].alias("kind"), good.alias("good"), open_.alias("open"))
     seen = F.concat(
-        F.transform("base", lambda x: as_seen(x, x["kind"], F.lit(True))),
-        F.transform("failed", lambda x: as_seen(x, x["kind"], F.lit(False))),
-        F.transform("loose", lambda x: as_seen(x, x["generator"], meets(x, F.col("base")))),
+        F.transform("base", lambda x: as_seen(x, x["kind"], F.lit(True), F.lit(False))),
+        F.transform("failed", lambda x: as_seen(x, x["kind"], F.lit(False), F.lit(False))),
+        F.transform("loose", lambda x: as_seen(x, x["generator"], looks_right(x), ~meets(x, F.col("base")))),
     )
     held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
     rows = spans.filter("size(base) + size(failed) + size(loose) > 0").select(held.alias("held"), F.explode(seen).alias("x"))
-    return rows.groupBy("x.f", "x.kind", "x.good", "held").agg(F.count("*").alias("n")).collect()
+    return rows.groupBy("x.f", "x.kind", "x.good", "x.open", "held").agg(F.count("*").alias("n")).collect()
 
 
 def boosted(rows: list) -> list[tuple]:
@@ -204,16 +229,18 @@ def margin(trees: list[tuple], f):
 
 
 def thresholds(rows: list, trees: list[tuple]) -> dict[int, float]:
-    """By kind, the lowest margin from which held-out loose spans are good often enough; none if there are too few."""
-    own = defaultdict(list)
+    """By kind, the lowest margin from which held-out loose spans that can be added are good often enough; none if there are too few."""
+    own = defaultdict(lambda: defaultdict(lambda: [0, 0]))
     for r in rows:
-        if r["held"] and r["f"]["generator"] >= len(KINDS):
-            own[r["kind"]].append((margin(trees, r["f"].asDict()), r["good"], r["n"]))
+        if r["held"] and r["open"]:
+            tied = own[r["kind"]][margin(trees, r["f"].asDict())]
+            tied[0] += r["n"] * r["good"]
+            tied[1] += r["n"]
     out = {}
     for kind, seen in own.items():
         good = n = 0
-        for m, ok, k in sorted(seen, key=lambda x: (-x[0], not x[1])):
-            good, n = good + k * ok, n + k
+        for m, (ok, k) in sorted(seen.items(), reverse=True):
+            good, n = good + ok, n + k
             if n >= LEAST_HELD_OUT and good >= PRECISION * n and m > 0:
                 out[kind] = m
     return out

@@ -142,6 +142,29 @@ def test_base_spans_and_redaction(spark):
     assert pii.report(pii.selected(empty(spark))).count() == 0
 
 
+def test_loose_spans_pass_by_merit(spark):
+    r = random.Random(6)
+    group = lambda: f"{r.randrange(4096, 65536):x}"
+    rows = []
+    for i in range(400):
+        rows += [f"{i} host fe80:{':'.join(group() for _ in range(7))} up", f"{i} ask jo{i} (at) site{i % 50} (dot) org today", f"{i} run {':'.join(str(r.randrange(10, 60)) for _ in range(8))} end", f"{i} meet @ noon. Then go", f"{i} ab{i}@site.org"]
+    df = spark.createDataFrame([(i, t, 0, "", 0) for i, t in enumerate(rows)], SCHEMA)
+    out = by_id(pii.redacted(df))
+    for i in range(0, len(rows), 5):
+        k = i // 5
+        assert (out[i].text, out[i + 1].text, out[i + 2].text, out[i + 3].text) == (f"{k} host [IP] up", f"{k} ask [EMAIL] today", rows[i + 2], rows[i + 3])
+        assert out[i + 4].text == f"{k} [EMAIL]"
+
+
+def test_tied_rows_count_before_the_threshold():
+    from pyspark.sql import Row
+
+    seen = lambda good, n: {"f": Row(generator=7), "kind": 3, "good": good, "open": True, "held": True, "n": n}
+    trees = [("generator", 0, 0.0, 1.0)]
+    assert pii.thresholds([seen(True, 90), seen(False, 10)], trees) == {}
+    assert pii.thresholds([seen(True, 99), seen(False, 1)], trees) == {3: 1.0}
+
+
 # 4
 
 
