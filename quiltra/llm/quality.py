@@ -4,8 +4,9 @@
 2. Documents are counted by vote pattern, over all of them. The number of patterns is bounded by 3 to the number of
    labellers, so the table of counts is small at any size; EM (Dawid and Skene's model: a class prior, and for each
    labeller the chance of each vote given the class) runs on it and gives each pattern a posterior.
-3. A logistic scorer over hashed word features learns the posteriors on a bounded sample: at most TRAIN_ROWS documents
-   (drawn by hash within each half of the posterior). Only features of LEAST_DOCS sampled documents or more get a weight.
+3. A logistic scorer over hashed word features learns the posteriors on a bounded sample: about TRAIN_ROWS distinct texts
+   at most (drawn by hash within each half of the posterior, each weighted by the inverse of its half's rate, so bias and
+   threshold follow the share of rejects among all distinct texts). Only features of LEAST_DOCS sampled documents or more get a weight.
 4. Every document is scored; it is rejected if its score exceeds the threshold that best separates the sample.
 
 Defined results: null and empty texts get the votes of a text without words (all labellers abstain but the length
@@ -99,7 +100,7 @@ def votes_of(text: bytes, marks: tuple[str, ...], starts: frozenset[str]) -> lis
 
 
 def votes(docs: DataFrame, marks: list[str] = (), with_features: bool = False) -> DataFrame:
-    """(doc_id, votes, features): one vote for each labeller, and the hashed features if asked for."""
+    """(doc_id, key, votes, features): a hash of the text, one vote for each labeller, and the hashed features if asked for."""
     all_marks, starts = tuple(marks), frozenset(m[:4] for m in marks)
 
     def run(batches):
@@ -107,9 +108,9 @@ def votes(docs: DataFrame, marks: list[str] = (), with_features: bool = False) -
             texts = common.raw(batch["text"])
             got = [votes_of(t, all_marks, starts) for t in texts]
             rows = [features(t).astype(np.int32).tobytes() if with_features else b"" for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "votes": pa.array(got, pa.list_(pa.int8())), "features": pa.array(rows, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "key": batch["key"], "votes": pa.array(got, pa.list_(pa.int8())), "features": pa.array(rows, pa.binary())})
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, votes array<tinyint>, features binary")
+    return common.texts(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, votes array<tinyint>, features binary")
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -199,7 +200,7 @@ def train(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray) -> t
 
 def model_of(docs: DataFrame, marks: list[str] = (), train_rows: int = TRAIN_ROWS):
     """Posteriors by pattern, and the scorer fitted on a bounded sample."""
-    counted = votes(docs, marks).groupBy("votes").agg(F.count("*").alias("n")).collect()
+    counted = votes(docs, marks).groupBy("votes").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("texts")).collect()
     if not counted:
         return {}, (np.zeros(1 << FEATURE_BITS), 0.0, 0.0), None
     patterns, counts = np.array([r["votes"] for r in counted], dtype=np.int64), np.array([r["n"] for r in counted], dtype=float)
@@ -207,14 +208,16 @@ def model_of(docs: DataFrame, marks: list[str] = (), train_rows: int = TRAIN_ROW
     posterior = {tuple(map(int, p)): float(x) for p, x in zip(patterns, post)}
     bad = [list(p) for p, x in posterior.items() if x >= 0.5]
     is_bad = F.array_contains(F.array(*[F.array(*[F.lit(v).cast("tinyint") for v in p]) for p in bad]), F.col("votes")) if bad else F.lit(False)
-    n_bad = counts[post >= 0.5].sum()
-    draw = (F.shiftright(F.xxhash64("doc_id"), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
-    rates = [min(1.0, 0.45 * train_rows / max(1.0, k)) for k in (n_bad, counts.sum() - n_bad)]
-    sample = votes(docs.filter(draw < max(rates)), marks, True).filter(draw < F.when(is_bad, rates[0]).otherwise(rates[1]))
-    got = sample.toArrow().sort_by("doc_id")
+    distinct = np.array([r["texts"] for r in counted], dtype=float)
+    draw = lambda key: (F.shiftright(key, 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
+    rates = [min(1.0, 0.45 * train_rows / max(1.0, k)) for k in (distinct[post >= 0.5].sum(), distinct[post < 0.5].sum())]
+    sample = votes(docs.filter(draw(F.xxhash64("text")) < max(rates)), marks, True).filter(draw(F.col("key")) < F.when(is_bad, rates[0]).otherwise(rates[1]))
+    # All rows of a text are in or none; one of them is kept.
+    got = sample.groupBy("key").agg(F.first("votes").alias("votes"), F.first("features").alias("features")).toArrow().sort_by("key")
     rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in got["features"].to_pylist()]
     target = np.array([posterior[tuple(v)] for v in got["votes"].to_pylist()])
-    return posterior, train(rows, target, np.ones(len(rows))), chance
+    weights = 1 / np.where(target >= 0.5, *rates)
+    return posterior, train(rows, target, weights), chance
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:

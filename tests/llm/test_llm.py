@@ -410,3 +410,21 @@ def test_classifier_on_held_out_rows(spark):
     labels = spark.createDataFrame([(i, int(i % 6 == 1)) for i in range(600)], "doc_id long, toxic int")
     assert quality.accepted(df, labels).columns == df.columns
     assert quality.scored(empty(spark)).count() == 0
+
+
+def test_sample_is_of_distinct_texts_with_their_weights(spark, monkeypatch):
+    rows = [(i, f"plain words number {i} of a clean text", 0, "", 0) for i in range(1500)] + [(2000 + i, f"bad*** text%%% says{i}*** such&&& things***", 0, "", 0) for i in range(60)]
+    rows += [(3000 + i, "hot*** text%%% is*** one&&& again***", 0, "", 0) for i in range(700)]
+    seen = {}
+    real = quality.train
+
+    def spy(rows, targets, weights):
+        seen.update(rows=rows, targets=targets, weights=weights)
+        return real(rows, targets, weights)
+
+    monkeypatch.setattr(quality, "train", spy)
+    got = by_id(quality.scored(spark.createDataFrame(rows, SCHEMA), train_rows=300))
+    bad = seen["targets"] >= 0.5
+    assert len({r.tobytes() for r in seen["rows"]}) == len(seen["rows"]) < 250 and bad.sum() == 61
+    assert abs(seen["weights"][~bad].sum() - 1500) < 400 and seen["weights"][bad].sum() == 61
+    assert all(got[i].rejected == (i >= 2000) for i in got)
