@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; ``run`` writes each stage's
 rows to the shared folder and reads them again as the next one's docs. All stages but the last return the columns of
 documents.
+
+Defined results: doc_id may be null or repeated. Rows with null or repeated ids are carried through the stages by
+a number of their own, and copies of a row are near copies of each other like any others, so one of them stays.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest doc_id."""
-    kept = near.join(docs).filter(near.kept()).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each class of near copies: the smallest doc_id, null ids last, then by a hash of the text and the row's place."""
+    keyed = common.keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.col("_key").alias("row"))
+    classes = near.join(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "class_id")
+    kept = classes.join(keyed.select("_key", order.alias("order")), "_key").groupBy("class_id").agg(F.min("order").alias("least"))
+    return keyed.join(kept.select(F.col("least.row").alias("_key")), "_key", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with benchmark items."""
-    hits = decontaminate.report(decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark")))
-    return docs.join(hits.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that aren't contaminated with benchmark items; each is judged by its own text, whatever its doc_id."""
+    keyed = common.keyed(docs)
+    hits = decontaminate.report(decontaminate.contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark")))
+    return keyed.join(hits.filter("contaminated").select(F.col("doc_id").alias("_key")), "_key", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

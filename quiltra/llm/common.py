@@ -46,6 +46,11 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, stored with a number of its own for each row in _key, to carry rows through operators that know doc_id alone."""
+    return stored(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def raw(column: pa.Array) -> list:
     """The column's values as bytes (strings as UTF-8), None for null."""
     return column.cast(pa.binary()).to_pylist()

@@ -428,3 +428,22 @@ def test_sample_is_of_distinct_texts_with_their_weights(spark, monkeypatch):
     assert len({r.tobytes() for r in seen["rows"]}) == len(seen["rows"]) < 250 and bad.sum() == 61
     assert abs(seen["weights"][~bad].sum() - 1500) < 400 and seen["weights"][bad].sum() == 61
     assert all(got[i].rejected == (i >= 2000) for i in got)
+
+
+# pipeline
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, say(1)), (5, say(2)), (5, say(2)), (5, say(3)), (None, say(2)), (3, say(3)), (None, say(4)), (None, say(4))]
+    df = spark.createDataFrame([(i, t, 0, "", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    out = corpus_pipeline.near_copies_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("None", say(1)), ("5", say(2)), ("3", say(3)), ("None", say(4))])
+    spark.createDataFrame([(1, say(9))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, say(9)), (None, say(1)), (7, say(9)), (7, say(2))]
+    df = spark.createDataFrame([(i, t, 0, "", 0) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.decontamination_stage(spark, df, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", say(1)), ("7", say(2))])
