@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -32,9 +31,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of the cluster (spark.checkpoint.dir)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="quiltra-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -51,6 +48,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(place, text) of each row, and (place, doc_id) where they differ.
+
+    A place is a number of its own for each row, in the order of doc_id, null first, then of the text. It is doc_id
+    itself where no id is null or repeated, which a count by id tells.
+    """
+    own = texts(docs)
+    if not own.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        return own.withColumnRenamed("doc_id", "place"), None
+    ordered = own.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    numbered = stored(ordered.withColumn("place", F.monotonically_increasing_id()), "placed")
+    return numbered.select("place", "text"), numbered.select("place", "doc_id")
+
+
+def with_ids(out: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """out with doc_id in place of its column place."""
+    if ids is None:
+        return out.withColumnRenamed("place", "doc_id")
+    return out.join(ids, "place").select("doc_id", *[c for c in out.columns if c != "place"])
+
+
 def raw(column: pa.Array) -> list:
     """The column's values as bytes (strings as UTF-8), None for null."""
     return column.cast(pa.binary()).to_pylist()

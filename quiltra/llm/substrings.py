@@ -9,8 +9,9 @@
 3. The places of repeated anchors go back to their texts, and extend there: all windows around them are candidates. They
    meet by the hash of their words, with the same pre-aggregation, and all but the smallest (doc_id, start) are removed.
 
-Defined results: null and empty texts have no words; texts shorter than a window keep all words; rows of equal id are one
-place, of which no row is earlier than the other; an empty table gives an empty result; extra columns are ignored.
+Defined results: null and empty texts have no words; texts shorter than a window keep all words; of rows with equal ids the
+one with the smaller text is earlier (rows that are wholly equal in any order), and null ids come first; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Places that a task gathers before it looks for repeats among them.
-FLUSH = 3_000_000
-#: Buckets for each shuffle partition; one bucket is in memory at a time.
-BUCKETS = 2
+FLUSH = 1_500_000
+#: A bucket is for about so many bytes of text, with BUCKETS for each shuffle partition at least; one is in memory at a time.
+BUCKET_BYTES, BUCKETS = 8 << 20, 2
+
+#: Texts that are unpacked at a time.
+PIECE_ROWS = 64
 
 #: Kinds of a place: to be judged with the others of its key; settled; stands for settled ones.
 OPEN, SETTLED, STANDS = 0, 1, 2
@@ -64,8 +68,10 @@ def settled(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, keep_first:
 PACKED = "bucket int, docs binary, counts binary, starts binary, keys binary, kinds binary"
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(texts: DataFrame) -> int:
+    """The number of buckets for these texts, from their bytes."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(BUCKETS * common.partitions(texts.sparkSession), total // BUCKET_BYTES)
 
 
 def packed(buckets: np.ndarray, docs: np.ndarray, starts: np.ndarray, keys: np.ndarray | None = None, kinds: np.ndarray | None = None):
@@ -123,19 +129,17 @@ def by_bucket(batches):
 
 def grouped(rows: DataFrame) -> DataFrame:
     """All rows of a bucket side by side in one partition."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
 def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (common.mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed anchors of every whole text."""
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
-    buckets = bucket_count(docs.sparkSession)
 
     def pieces(batches):
         for batch in batches:
@@ -151,10 +155,9 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lambda batches: gathered(pieces(batches), False, buckets), PACKED)
 
 
-def judged(rows: DataFrame, keep_first: bool) -> DataFrame:
+def judged(rows: DataFrame, keep_first: bool, buckets: int) -> DataFrame:
     """Packed places, by bucket of their document: settled ones, and open ones that share their key with another place
     (with keep_first: that aren't the smallest place of their key)."""
-    buckets = bucket_count(rows.sparkSession)
 
     def judge(batches):
         for own in by_bucket(batches):
@@ -178,12 +181,12 @@ def judged(rows: DataFrame, keep_first: bool) -> DataFrame:
     return grouped(rows).mapInArrow(run, PACKED)
 
 
-def with_places(texts: DataFrame, places: DataFrame, schema: str, handle, index=None, columns: list[str] = ("docs", "counts", "starts")) -> DataFrame:
-    """handle(documents, texts, starts by document) for pieces of each bucket of documents, texts with their places.
+def with_places(texts: DataFrame, places: DataFrame, schema: str, handle, buckets: int, index=None, columns: list[str] = ("docs", "counts", "starts")) -> DataFrame:
+    """What ``handle`` yields for an iterator of (documents, texts, starts by document), texts of a bucket with their places.
 
     Texts travel compressed; a bucket's places come first and stay in memory while its texts stream by.
     """
-    buckets, make, columns = bucket_count(texts.sparkSession), index or Places, list(columns)
+    make, columns = index or Places, list(columns)
 
     def squeeze(batches):
         import zstandard
@@ -194,7 +197,7 @@ def with_places(texts: DataFrame, places: DataFrame, schema: str, handle, index=
             data = pa.array([press(t) for t in common.raw(batch["text"])], pa.binary())
             yield pa.RecordBatch.from_pydict({"bucket": doc_bucket(docs, buckets), "rank": pa.array(np.ones(len(docs), np.int8)), "doc_id": docs, "data": data} | {c: pa.nulls(len(docs), pa.binary()) for c in columns})
 
-    def run(batches):
+    def pieces(batches):
         import zstandard
 
         unpress = zstandard.ZstdDecompressor().decompress
@@ -212,15 +215,15 @@ def with_places(texts: DataFrame, places: DataFrame, schema: str, handle, index=
                 if starts is None:
                     starts = make(known)
                     known = []
-                for at in range(0, part.num_rows, 256):
-                    some = part.slice(at, 256)
+                for at in range(0, part.num_rows, PIECE_ROWS):
+                    some = part.slice(at, PIECE_ROWS)
                     docs = some["doc_id"].to_numpy()
-                    yield from handle(docs, [unpress(x) for x in some["data"].to_pylist()], [starts.of(d) for d in docs.tolist()])
+                    yield docs, [unpress(x) for x in some["data"].to_pylist()], [starts.of(d) for d in docs.tolist()]
 
     squeezed = texts.mapInArrow(squeeze, ", ".join(["bucket int, rank byte, doc_id long, data binary", *(f"{c} binary" for c in columns)]))
     own = places.select("bucket", F.lit(0).cast("byte").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("data"), *columns)
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return squeezed.unionByName(own).repartition(parts, "bucket").sortWithinPartitions("bucket", "rank").mapInArrow(run, schema)
+    met = squeezed.unionByName(own).repartition(common.partitions(texts.sparkSession), "bucket").sortWithinPartitions("bucket", "rank")
+    return met.mapInArrow(lambda batches: handle(pieces(batches)), schema)
 
 
 class Places:
@@ -242,14 +245,16 @@ class Places:
         return self.starts[self.cuts[k] : self.cuts[k + 1]] if k < len(self.docs) and self.docs[k] == doc else self.starts[:0]
 
 
-def candidates(texts: DataFrame, places: DataFrame) -> DataFrame:
+def candidates(texts: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
     """Packed windows around repeated anchors: those that start at most PERIOD - 1 words before one, within the text."""
-    buckets = bucket_count(texts.sparkSession)
 
-    def handle(docs, data, starts):
-        some = [i for i, s in enumerate(starts) if len(s)]
-        if not some:
-            return
+    def windows(pieces):
+        for docs, data, starts in pieces:
+            some = [i for i, s in enumerate(starts) if len(s)]
+            for at in range(0, len(some), 32):
+                yield from around(docs, data, starts, some[at : at + 32])
+
+    def around(docs, data, starts, some):
         joined = np.frombuffer(b" ".join(data[i] for i in some), np.uint8)
         cuts = np.concatenate([[0], np.cumsum([len(data[i]) + 1 for i in some])])
         cuts[-1] -= 1
@@ -266,40 +271,37 @@ def candidates(texts: DataFrame, places: DataFrame) -> DataFrame:
         found = np.flatnonzero(np.cumsum(step) > 0)
         if len(found):
             doc = np.searchsorted(before, found, side="right") - 1
-            keys = common.windows(hashes, WINDOW)[found]
-            yield pa.RecordBatch.from_pydict({"doc": docs[np.array(some)[doc]], "start": (found - before[doc]).astype(np.int64), "key": keys.view(np.int64)})
+            yield common.windows(hashes, WINDOW)[found], docs[np.array(some)[doc]], (found - before[doc]).astype(np.int64)
 
-    def pieces(batches):
-        for batch in batches:
-            yield batch["key"].to_numpy().view(np.uint64), batch["doc"].to_numpy(), batch["start"].to_numpy()
-
-    wide = with_places(texts, places, "doc long, start long, key long", handle)
-    return wide.mapInArrow(lambda batches: gathered(pieces(batches), True, buckets), PACKED)
+    return with_places(texts, places, PACKED, lambda pieces: gathered(windows(pieces), True, buckets), buckets)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, text): the words that stay, joined by single spaces."""
-    own = common.texts(docs)
-    drop = judged(candidates(own, judged(anchors(own), False)), True)
-
-    def cut(docs, data, starts):
-        texts, n_words, removed = [], [], []
-        for text, at in zip(data, starts):
-            words = text.split()
-            n = len(words)
-            at = at[at + WINDOW <= n]
-            if len(at):
-                step = np.zeros(n + 1, np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + WINDOW, -1)
-                gone = np.cumsum(step)[:n] > 0
-                words = [w for w, g in zip(words, gone.tolist()) if not g]
-            texts.append(b" ".join(words))
-            n_words.append(n)
-            removed.append(n - len(words))
-        yield pa.RecordBatch.from_pydict({"doc_id": docs, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string())})
-
-    return with_places(own, drop, "doc_id long, n_words long, n_removed long, text string", cut)
+    own, ids = common.placed(docs)
+    own = own.withColumnRenamed("place", "doc_id")
+    buckets = bucket_count(own)
+    drop = judged(candidates(own, judged(anchors(own, buckets), False, buckets), buckets), True, buckets)
+
+    def cut(pieces):
+        for docs, data, starts in pieces:
+            texts, n_words, removed = [], [], []
+            for text, at in zip(data, starts):
+                words = text.split()
+                n = len(words)
+                at = at[at + WINDOW <= n]
+                if len(at):
+                    step = np.zeros(n + 1, np.int64)
+                    np.add.at(step, at, 1)
+                    np.add.at(step, at + WINDOW, -1)
+                    gone = np.cumsum(step)[:n] > 0
+                    words = [w for w, g in zip(words, gone.tolist()) if not g]
+                texts.append(b" ".join(words))
+                n_words.append(n)
+                removed.append(n - len(words))
+            yield pa.RecordBatch.from_pydict({"place": docs, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string())})
+
+    return common.with_ids(with_places(own, drop, "place long, n_words long, n_removed long, text string", cut, buckets), ids)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,26 +89,72 @@ def test_token_index_matches_the_library(spark, docs, texts):
 # 2
 
 
-def test_bytes_of_repeated_strings_go(spark, docs, texts):
-    data = {d: t.encode() for d, t in texts.items()}
-    n = suffixes.LENGTH
-    seen = {}
-    for t in data.values():
+def repeated_bytes(texts):
+    """For each text the mark of its bytes that lie in a repeated string, by brute force."""
+    n, seen = suffixes.LENGTH, {}
+    for t in texts:
         for i in range(len(t) - n + 1):
             seen[t[i : i + n]] = seen.get(t[i : i + n], 0) + 1
-    got = by_id(suffixes.deduplicated(docs))
-    for d, t in data.items():
+    out = []
+    for t in texts:
         gone = np.zeros(len(t) + 1, int)
         for i in range(len(t) - n + 1):
             if seen[t[i : i + n]] > 1:
                 gone[i] += 1
                 gone[i + n] -= 1
-        mark = np.cumsum(gone)[:-1] > 0
+        out.append(np.cumsum(gone)[:-1] > 0)
+    return out
+
+
+def test_bytes_of_repeated_strings_go(spark, docs, texts):
+    data = {d: t.encode() for d, t in texts.items()}
+    got = by_id(suffixes.deduplicated(docs))
+    for (d, t), mark in zip(data.items(), repeated_bytes(data.values())):
         kept = bytes(b for b, m in zip(t, mark) if not m)
         assert (got[d].n_bytes, got[d].n_removed, bytes(got[d].kept)) == (len(t), int(mark.sum()), kept)
     assert suffixes.deduplicated(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("buckets, flush", [(1, 1 << 20), (64, 3000), (300, 1)])
+def test_repeats_over_many_tasks_and_ranges(spark, buckets, flush):
+    r = random.Random(11)
+    say = lambda n: "".join(r.choice("abcde \n\x00") for _ in range(n))
+    passage, inner = say(700), say(150)
+    texts = [say(r.randint(0, 900)) for _ in range(40)]
+    texts += [say(r.randint(0, 300)) + passage + say(r.randint(0, 300)) for _ in range(60)]  # one passage amid unlike text
+    texts += [say(100) + passage[a : a + 230] + inner + passage[a + 230 :] for a in range(0, 300, 20)]
+    texts += ["x" * 1000, "x" * 199, "x" * 200, "ab" * 300, "\x00" * 500]
+    for _ in range(30):  # near copies
+        t = list(texts[0] + passage[:300] + texts[1])
+        t[r.randrange(len(t))] = "#"
+        texts.append("".join(t))
+    rows = [(None if i % 50 == 7 else i // 2, t, 0, "", 0) for i, t in enumerate(texts)] + [(0, texts[3], 0, "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.deduplicated(df, buckets, flush).select("n_bytes", "n_removed", "kept").collect())
+    data = [t.encode() for _, t, *_ in rows]
+    want = sorted((len(t), int(m.sum()), bytes(np.frombuffer(t, np.uint8)[~m])) for t, m in zip(data, repeated_bytes(data)))
+    assert got == want
+    assert suffixes.deduplicated(df, buckets, flush).filter("doc_id is null").count() == sum(i is None for i, *_ in rows)
+
+
+def test_long_texts_are_read_in_chunks(spark):
+    r = random.Random(5)
+    block = "".join(r.choice("abcdefgh") for _ in range(3000))
+    long = "".join(r.choice("abcdefgh") for _ in range(suffixes.CHUNK - 1500)) + block + "".join(r.choice("abcdefgh") for _ in range(suffixes.CHUNK))
+    got = by_id(suffixes.deduplicated(spark.createDataFrame([(1, long, 0, "", 0), (2, block, 0, "", 0)], SCHEMA)))
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed, bytes(got[1].kept).decode()) == (3000, 1, 3000, long.replace(block, ""))
+
+
+def test_multikey_order_is_that_of_bytes():
+    r = random.Random(3)
+    words = sorted((bytes(r.choice(b"ab\x00") for _ in range(r.randint(1, 40))) for _ in range(400)), key=lambda _: r.random()) + [b"same" * 8] * 5
+    lengths = np.array([len(w) for w in words])
+    order, differs = suffixes.multikey(np.frombuffer(b"".join(words) + bytes(8), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    got = [words[i] for i in order]
+    assert sorted(got) == sorted(words) and [w for w in got if 0 not in w] == sorted(w for w in words if 0 not in w)
+    assert [d == -2 for d in differs[1:]] == [a == b for a, b in zip(got, got[1:])]
+
+
 # 3
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
