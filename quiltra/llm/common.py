@@ -55,13 +55,14 @@ def partitions(spark: SparkSession) -> int:
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(place, text) of each row, and (place, doc_id) where they differ.
 
-    A place is a number of its own for each row, in the order of doc_id, null first, then of the text. It is doc_id
+    A place is a number of its own for each row, in the order of doc_id, null last, then of the text. It is doc_id
     itself where no id is null or repeated, which a count by id tells.
     """
     own = texts(docs)
     if not own.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
         return own.withColumnRenamed("doc_id", "place"), None
-    ordered = own.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), "text"]
+    ordered = own.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     numbered = stored(ordered.withColumn("place", F.monotonically_increasing_id()), "placed")
     return numbered.select("place", "text"), numbered.select("place", "doc_id")
 

@@ -4,14 +4,18 @@
    smallest doc_id; only representatives go on.
 2. Bands of MinHash values: the numbers of bands and rows are chosen for the target recall at the threshold. Buckets of
    two or more representatives connect them; connected buckets form clusters.
-3. The sets of each cluster meet in tasks of at most two blocks of BLOCK representatives, a cluster of several blocks in
-   one task for each pair of them. A task computes exact similarities of all its pairs, block by block, and returns one
-   row for each representative: its number of links, and its root in the task's forest of links. Pairs are never rows.
-4. Connected components over those roots give each document its class id, the smallest doc_id that it is linked with.
+3. Units of work are whole clusters, in which each text is sent once, or the single buckets of a cluster whose buckets
+   hold fewer pairs than it has itself (one that chance collisions have chained); a pair of those counts only in the
+   first band that it shares. A unit's sets meet in tasks of at most two blocks of BLOCK representatives, one task for
+   each pair of blocks. A task computes exact similarities of its pairs, block by block, and returns one row for each
+   representative: its number of links, and its root in the task's forest of links. Pairs are never rows.
+4. Connected components over those roots give each class of equal sets its class id, the smallest doc_id that it is
+   linked with; documents get it through their set's key, in one join that Spark can split where copies are many.
 
 Defined results: null texts and texts without words have no shingles, no links and their own id as class; texts of one
-to four words have one shingle, all their words; rows of equal text are copies of each other, also with equal ids (such
-rows get equal results); an empty table gives an empty result; extra columns are ignored.
+to four words have one shingle, all their words; each row is a place of its own, so rows of equal id are told apart by
+their texts, and rows of equal text are copies of each other, also with equal ids; null ids come last, so a class id is
+null only if all ids of the class are; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ from . import common
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
-BLOCK = 256
+#: Most MinHash values; more of them make room for more rows in a band, and so for fewer chance candidates.
+HASHES = 192
+BLOCK = 128
 
 
 def bands_for(similarity: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -41,7 +47,7 @@ def bands_for(similarity: float, recall: float, most: int = 256) -> tuple[int, i
     return best
 
 
-BANDS, ROWS = bands_for(SIMILARITY, RECALL, 96)
+BANDS, ROWS = bands_for(SIMILARITY, RECALL, HASHES)
 
 
 def shingles(hashes: np.ndarray, width: int = WORDS) -> np.ndarray:
@@ -102,17 +108,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+UNIT = ["cluster", "band", "bucket"]
+
+
 def compared(rows: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, root, links) of rows (cluster, i, j, block, doc_id, text), clustered and sorted by (cluster, i, j).
+    """(doc_id, root, links) of rows (cluster, band, bucket, i, j, block, doc_id, bands, text), sorted by unit, i and j.
 
-    With i = j all pairs of the block are compared, otherwise those of block i with block j.
+    With i = j all pairs of the block are compared, otherwise those of block i with block j. In the unit of one bucket,
+    pairs that share an earlier band are left to it.
     """
 
-    def judge(ids: list[int], blocks: list[int], sets: list[np.ndarray], same: bool):
+    def judge(ids: list[int], blocks: list[int], sets: list[np.ndarray], bands: list, key: tuple):
+        same, band = key[3] == key[4], key[1]
         n = np.array([len(s) for s in sets])
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
         at = np.cumsum(n) - n
         parent, links = list(range(len(ids))), np.zeros(len(ids), np.int64)
+        earlier = np.array([b[:band] for b in bands], np.int64) if band > 0 else None
 
         def find(x):
             while parent[x] != x:
@@ -131,6 +143,8 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
             mark[own] = False
             near = shared >= similarity * (n + n[x] - shared) - 1e-9
             near &= (np.arange(len(ids)) > x) if same else (side != side[x])
+            if earlier is not None:
+                near &= ~(earlier == earlier[x]).any(1)
             for y in np.flatnonzero(near).tolist():
                 links[x] += 1
                 links[y] += 1
@@ -141,54 +155,78 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[x] for x in got], pa.int64()), "root": pa.array([ids[find(x)] for x in got], pa.int64()), "links": pa.array(links[got], pa.int64())})
 
     def run(batches):
-        key, ids, blocks, sets = None, [], [], []
+        key, held = None, ([], [], [], [])
         for batch in batches:
             for part, own in sets_of(batch):
-                for *now, block, doc, s in zip(*(part[c].to_pylist() for c in ("cluster", "i", "j", "block", "doc_id")), own):
+                for *now, block, doc, bands, s in zip(*(part[c].to_pylist() for c in (*UNIT, "i", "j", "block", "doc_id", "bands")), own):
                     if now != key:
-                        if key and len(ids) > 1:
-                            yield judge(ids, blocks, sets, key[1] == key[2])
-                        key, ids, blocks, sets = now, [], [], []
-                    ids.append(doc)
-                    blocks.append(block)
-                    sets.append(s)
-        if key and len(ids) > 1:
-            yield judge(ids, blocks, sets, key[1] == key[2])
+                        if len(held[0]) > 1:
+                            yield judge(*held, key)
+                        key, held = now, ([], [], [], [])
+                    for column, value in zip(held, (doc, block, s, bands)):
+                        column.append(value)
+        if len(held[0]) > 1:
+            yield judge(*held, key)
 
     return rows.mapInArrow(run, "doc_id long, root long, links long")
 
 
+def units(rows: DataFrame) -> DataFrame:
+    """(doc_id, cluster, band, bucket, bands) of the representatives that are to be compared; band -1 is a whole cluster."""
+    shared = rows.groupBy("band", "bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1")
+    # A representative hangs on the smallest leader of its buckets; only leaders are left to connect.
+    met = rows.join(shared, ["band", "bucket"])
+    hung = common.stored(met.groupBy("doc_id").agg(F.min("least").alias("leader"), F.collect_set("least").alias("leaders")), "leaders")
+    edges = hung.select(F.explode("leaders").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
+    roots = components(edges).select(F.col("node").alias("leader"), "root")
+    clusters = hung.select("doc_id", "leader").join(roots, "leader", "left").select("doc_id", F.coalesce("root", "leader").alias("cluster"))
+    whole = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    cost = shared.join(roots, shared["least"] == roots["leader"], "left").groupBy(F.coalesce("root", "least").alias("cluster")).agg(F.sum(F.col("members") * F.col("members")).alias("pairs"))
+    chained = whole.join(cost, "cluster").select("cluster", (F.col("n") * F.col("n") > F.col("pairs")).alias("chained"))
+    placed = common.stored(clusters.join(chained, "cluster"), "clusters")
+    one = placed.filter("not chained").select("doc_id", "cluster", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("array<long>").alias("bands"))
+    some = met.join(placed.filter("chained").select("doc_id", "cluster"), "doc_id").select("doc_id", "cluster", "band", "bucket", "bands")
+    return one.unionByName(some)
+
+
+def links_of(texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, root, links) by task, of the units' representatives with their texts."""
+    sizes = found.groupBy(*UNIT).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    placed = found.join(sizes, UNIT).withColumn("block", block)
+    met = placed.select("doc_id", *UNIT, "block", "bands", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("doc_id", *UNIT, "block", "bands", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # Texts are shuffled to their tasks at every size, so that the plan doesn't turn on how many there are.
+    pairs = met.join(texts.hint("merge"), "doc_id").repartition(*UNIT, "i", "j").sortWithinPartitions(*UNIT, "i", "j", "doc_id")
+    return common.stored(compared(pairs, similarity), "links")
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, representative, n_links, n_shingles) of every document.
 
     ``representative`` is the smallest doc_id with the same set of shingles; ``n_links`` counts the representatives of
     other sets with a similarity of at least the threshold.
     """
-    own = common.texts(docs)
+    own, ids = common.placed(docs)
+    own = own.withColumnRenamed("place", "doc_id")
     signed = common.stored(signatures(own), "signatures")
-    classes = signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("representative"), F.any_value("bands").alias("bands"))
+    key = ["k1", "k2", "n"]
+    classes = signed.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("representative"), F.any_value("bands").alias("bands"))
     classes = common.stored(classes, "classes")
-    rows = classes.select(F.col("representative").alias("doc_id"), F.posexplode("bands").alias("band", "bucket"))
-    shared = rows.groupBy("band", "bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    # A representative hangs on the smallest leader of its buckets; only leaders are left to connect.
-    hung = rows.join(shared, ["band", "bucket"]).groupBy("doc_id").agg(F.min("least").alias("leader"), F.collect_set("least").alias("leaders"))
-    hung = common.stored(hung, "leaders")
-    edges = hung.select(F.explode("leaders").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
-    roots = components(edges)
-    clusters = hung.select("doc_id", "leader").join(roots, F.col("leader") == F.col("node"), "left").select("doc_id", F.coalesce("root", "leader").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = clusters.join(sizes, "cluster").withColumn("block", block)
-    met = placed.select("doc_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("doc_id", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # Texts are shuffled to their tasks at every size, so that the plan doesn't turn on how many there are.
-    pairs = met.join(own.hint("merge"), "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    links = common.stored(compared(pairs, similarity), "links")
-    roots = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    found = links.groupBy("doc_id").agg(F.sum("links").alias("n_links")).join(roots, F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("representative"), "n_links", "root")
-    members = signed.select("doc_id", "k1", "k2", "n").join(classes.drop("bands"), ["k1", "k2", "n"], "left")
-    out = members.withColumn("representative", F.coalesce("representative", "doc_id")).join(found, "representative", "left")
-    return out.select("doc_id", F.coalesce("root", "representative").alias("class_id"), "representative", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    rows = classes.select(F.col("representative").alias("doc_id"), "bands", F.posexplode("bands").alias("band", "bucket"))
+    links = links_of(own, units(rows), similarity)
+    roots = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("representative"), "root")
+    found = links.groupBy(F.col("doc_id").alias("representative")).agg(F.sum("links").alias("n_links")).join(roots, "representative")
+    # Classes are small beside their copies: they are finished first, and met by all documents in one join.
+    ended = common.stored(classes.drop("bands").join(found, "representative", "left"), "ended")
+    out = signed.select("doc_id", *key).join(ended.hint("merge"), key, "left")
+    least = F.coalesce("representative", "doc_id")
+    out = out.select("doc_id", F.coalesce("root", least).alias("class_id"), least.alias("representative"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    if ids is None:
+        return out
+    for name in ("class_id", "representative", "doc_id"):
+        out = out.join(ids.select(F.col("place").alias(name), F.col("doc_id").alias("_id")), name).drop(name).withColumnRenamed("_id", name)
+    return out.select("doc_id", "class_id", "representative", "n_links", "n_shingles")
 
 
 def kept() -> Column:

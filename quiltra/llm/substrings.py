@@ -10,7 +10,7 @@
    meet by the hash of their words, with the same pre-aggregation, and all but the smallest (doc_id, start) are removed.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all words; of rows with equal ids the
-one with the smaller text is earlier (rows that are wholly equal in any order), and null ids come first; an empty table
+one with the smaller text is earlier (rows that are wholly equal in any order), and null ids come last; an empty table
 gives an empty result; extra columns are ignored.
 """
 

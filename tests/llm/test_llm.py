@@ -415,6 +415,32 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= 96
 
 
+def test_chained_clusters_are_compared_by_bucket(spark):
+    """Texts that share half of their words chain into one cluster; its links are those of all pairs."""
+    words = [f"w{i}" for i in range(1500)]
+    texts = {}
+    for i in range(450):  # each text slides along the words, so that neighbours are near and distant ones unlike
+        texts[i] = " ".join(words[3 * i : 3 * i + 100] + [f"own{i}"])
+        if i % 3 == 0:
+            texts[1000 + i] = texts[i] + " more"
+    df = spark.createDataFrame([(i, t, 0, "", 0) for i, t in texts.items()], SCHEMA)
+    own = near.signatures(common.texts(df)).select("doc_id", "bands", F.posexplode("bands").alias("band", "bucket"))
+    found = near.units(own)
+    assert found.filter("band >= 0").count() > 0
+    sets = shingle_sets(texts)
+    want = {a: sum(sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    got = by_id(near.join(df))
+    assert {d: x.n_links for d, x in got.items()} == want
+
+
+def test_join_tells_rows_of_equal_or_null_ids_apart(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, say(1)), (5, say(2)), (5, say(2)), (5, say(3)), (None, say(2)), (3, say(3)), (None, say(4)), (9, None)]
+    got = near.join(spark.createDataFrame([(i, t, 0, "", 0) for i, t in rows], SCHEMA)).collect()
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=key) == sorted([(None, None), (5, 5), (5, 5), (5, 3), (None, 5), (3, 3), (None, None), (9, 9)], key=key)
+
+
 def test_large_groups_are_compared_in_blocks(spark):
     base_words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base_words[:i] + ["x"] + base_words[i + 1 :]), 0, "", 0) for i in range(200)] + [(i + 200, " ".join(base_words + [f"end{i}"]), 0, "", 0) for i in range(120)]
