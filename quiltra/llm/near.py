@@ -171,12 +171,14 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, root long, links long")
 
 
-def units(rows: DataFrame) -> DataFrame:
-    """(doc_id, cluster, band, bucket, bands) of the representatives that are to be compared; band -1 is a whole cluster."""
+def units(signed: DataFrame) -> DataFrame:
+    """(doc_id, cluster, band, bucket, bands) of the representatives (doc_id, bands) that are to be compared; band -1 is a whole cluster."""
+    rows = signed.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("band", "bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1")
+    shared = common.stored(shared, "buckets")
     # A representative hangs on the smallest leader of its buckets; only leaders are left to connect.
-    met = rows.join(shared, ["band", "bucket"])
-    hung = common.stored(met.groupBy("doc_id").agg(F.min("least").alias("leader"), F.collect_set("least").alias("leaders")), "leaders")
+    hung = rows.join(shared, ["band", "bucket"]).groupBy("doc_id").agg(F.min("least").alias("leader"), F.collect_set("least").alias("leaders"))
+    hung = common.stored(hung, "leaders")
     edges = hung.select(F.explode("leaders").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
     roots = components(edges).select(F.col("node").alias("leader"), "root")
     clusters = hung.select("doc_id", "leader").join(roots, "leader", "left").select("doc_id", F.coalesce("root", "leader").alias("cluster"))
@@ -185,7 +187,8 @@ def units(rows: DataFrame) -> DataFrame:
     chained = whole.join(cost, "cluster").select("cluster", (F.col("n") * F.col("n") > F.col("pairs")).alias("chained"))
     placed = common.stored(clusters.join(chained, "cluster"), "clusters")
     one = placed.filter("not chained").select("doc_id", "cluster", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("array<long>").alias("bands"))
-    some = met.join(placed.filter("chained").select("doc_id", "cluster"), "doc_id").select("doc_id", "cluster", "band", "bucket", "bands")
+    own = placed.filter("chained").join(signed, "doc_id").select("doc_id", "cluster", "bands", F.posexplode("bands").alias("band", "bucket"))
+    some = own.join(shared.select("band", "bucket"), ["band", "bucket"], "left_semi").select("doc_id", "cluster", "band", "bucket", "bands")
     return one.unionByName(some)
 
 
@@ -213,8 +216,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     key = ["k1", "k2", "n"]
     classes = signed.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("representative"), F.any_value("bands").alias("bands"))
     classes = common.stored(classes, "classes")
-    rows = classes.select(F.col("representative").alias("doc_id"), "bands", F.posexplode("bands").alias("band", "bucket"))
-    links = links_of(own, units(rows), similarity)
+    links = links_of(own, units(classes.select(F.col("representative").alias("doc_id"), "bands")), similarity)
     roots = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("representative"), "root")
     found = links.groupBy(F.col("doc_id").alias("representative")).agg(F.sum("links").alias("n_links")).join(roots, "representative")
     # Classes are small beside their copies: they are finished first, and met by all documents in one join.
