@@ -2,14 +2,16 @@
 
 1. Generators are regular expressions. The four strict ones (email, ip, card, phone) give the base spans: leftmost,
    non-overlapping matches of a kind that pass its check. Loose ones (spelled-out mail addresses, IPv6, cards and
-   phones with other separators) have high recall and may overlap the strict ones and each other.
+   phones with other separators, assigned secrets, any long run of key characters) have high recall and may overlap
+   the strict ones and each other.
 2. Each proposed span has a few small features of its format and its context, as SQL expressions.
 3. Spans of all documents are counted by (features, outcome, fold). All features are bucketed, so this table is bounded
    by the product of their ranges at any size. The outcome is weak: base spans are good, strict ones that fail are bad,
    and a loose span is judged by its own format and cue words of its kind before it (``looks_right``), base spans or not.
 4. Boosted trees of depth two are fitted to the table of counts, without one fold of the documents; that fold gives, for
    each kind, the lowest score from which the share of good spans is at least PRECISION. It counts the loose spans that
-   can be added, those that meet no base span; a kind with less than LEAST_HELD_OUT of them gets no loose spans.
+   can be added, those that meet no base span. The share of a kind is drawn towards that of all kinds, and theirs towards
+   what the trees say themselves, by PRIOR spans each: so a kind with few held-out spans, or none, is judged alike.
 5. The trees become CASE expressions. Base spans stay; a loose span joins them if its score reaches its kind's threshold
    and no selected span of its kind overlaps it.
 
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KINDS = ["email", "ip", "card", "phone"]
-PRECISION = 0.98
-#: A kind's threshold needs so many held-out loose spans.
-LEAST_HELD_OUT = 20
-TREES, RATE = 20, 0.3
+BASE = ["email", "ip", "card", "phone"]
+KINDS = [*BASE, "secret"]
+PRECISION = 0.95
+#: The weight of what is known beforehand, in held-out spans.
+PRIOR = 10
+TREES, RATE = 40, 0.3
 #: Characters before a span in which cue words count.
 CONTEXT = 24
 
@@ -50,21 +53,25 @@ NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x
 LOOSE = [
     ("email", r"(?i)\b[a-z0-9._%+-]{2,64}\s?(?:\(at\)|\[at\]|@)\s?[a-z0-9-]{2,63}\s?(?:\(dot\)|\[dot\]|\.)\s?[a-z]{2,24}\b", r"(?i)[\[(]at[\])]|\s@|@\s"),
     ("ip", r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+    ("ip", r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?(?![0-9a-f:])", r"::"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){2}[ ./_-]{1,2}[0-9]{1,7}(?![0-9])", r"[0-9]{4}[ ./_-]{1,2}[0-9]{4}[ ./_-]"),
     ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
+    ("secret", r"(?i)(?<=(?:token|secret|password|passwd|pwd|key|bearer)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[a-z0-9+/_.~-]{8,200}", r"(?i)(?:token|secret|password|passwd|pwd|key|bearer)[\"']?\s{0,2}[=:]"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])", r"[A-Za-z0-9+/_-]{20}"),
 ]
-CUES = r"(?i)\b(?:e-?mail|mail|contact|call|tel|phone|fax|mobile|ip|host|server|card|visa|account|pay)\b"
+CUES = r"(?i)\b(?:e-?mail|mail|contact|call|tel|phone|fax|mobile|ip|host|server|card|visa|account|pay|token|secret|password|key)\b"
 #: Cue words of a kind before a loose span, and its formats that need none or do with a cue.
-CUES_OF = {"email": r"(?i)\b(?:e-?mail|mail|contact|write)\b", "ip": r"(?i)\b(?:ip|ipv6|host|server|address)\b", "card": r"(?i)\b(?:card|visa|account|pay)\b", "phone": r"(?i)\b(?:call|tel|phone|fax|mobile|contact)\b"}
+CUES_OF = {"email": r"(?i)\b(?:e-?mail|mail|contact|write)\b", "ip": r"(?i)\b(?:ip|ipv6|host|server|address)\b", "card": r"(?i)\b(?:card|visa|account|pay)\b", "phone": r"(?i)\b(?:call|tel|phone|fax|mobile|contact)\b", "secret": r"(?i)(?:token|secret|password|passwd|pwd|key|bearer)[\"']?\s{0,2}[=:]"}
 FORMAT = {
     "email": (r"(?i)^[a-z0-9._%+-]+(?:\s?[\[(]at[\])]\s?|@)[a-z0-9-]+(?:\s?[\[(]dot[\])]\s?|\.)[a-z]{2,24}$", r"(?i)^\S+\s?(?:[\[(]at[\])]|@)\s?[a-z0-9-]+(?:\s?[\[(]dot[\])]\s?|\.)[a-z]{2,24}$"),
-    "ip": (r"(?i)^(?=.*[0-9a-f]{3})(?=.*[a-f])", r":"),
+    "ip": (r"(?i)^(?=.*[0-9a-f]{3}.*:.*[0-9a-f]{3})(?=.*[0-9])(?=.*[a-f])", r"[0-9].*:.*:|:.*:.*[0-9]"),
     "card": (r"^[3-6][0-9]{3}([ ./_-]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$", r"^[3-6]"),
     "phone": (r"^\([0-9]{3}\)[ .-]", r"^[0-9]{3}[ .-]|^\([0-9]{3}\)"),
+    "secret": (r"^(?=(?:.*[0-9]){4})(?=(?:.*[a-z]){2})(?:[0-9a-f]{32,}|(?=.*[A-Z])[A-Za-z0-9+/_-]{24,})$", r"^(?=.*[0-9])(?=.*[A-Za-z]).{8,}$"),
 }
 SPAN = "array<struct<kind:int,start:int,end:int,s:string>>"
 #: Features of a span with the cuts that trees may use.
-CUTS = {"generator": range(8), "digits": [1, 4, 8, 9, 10, 12, 13, 15, 16, 19], "luhn": [1], "octets": [1], "separators": [1, 2, 3, 4], "plus": [1], "cue": [1], "left_word": [1], "right_word": [1], "spelled": [1], "length": [8, 12, 16, 20, 32]}
+CUTS = {"generator": range(12), "mixed": [1], "hexadecimal": [1], "assigned": [1], "digits": [1, 4, 8, 9, 10, 12, 13, 15, 16, 19], "luhn": [1], "octets": [1], "separators": [1, 2, 3, 4], "plus": [1], "cue": [1], "left_word": [1], "right_word": [1], "spelled": [1], "length": [8, 12, 16, 20, 32]}
 
 
 def places(pattern: str, kind: int, needs: str) -> Column:
@@ -116,13 +123,13 @@ def of_kind(kind: int):
 def proposed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _row, base, failed, loose): spans that pass, strict ones that don't, and those of loose generators."""
     out = common.rows(docs)
-    for i, kind in enumerate(KINDS):
+    for i, kind in enumerate(BASE):
         out = out.withColumn(f"_{kind}", places(STRICT[kind], i, NEEDS[kind]))
-    good = [F.filter(f"_{k}", checked(k, True)) for k in KINDS]
-    bad = [F.filter(f"_{k}", checked(k, False)) for k in KINDS if k != "email"]
+    good = [F.filter(f"_{k}", checked(k, True)) for k in BASE]
+    bad = [F.filter(f"_{k}", checked(k, False)) for k in BASE if k != "email"]
     loose = [places(pattern, KINDS.index(kind), needs) for kind, pattern, needs in LOOSE]
     out = out.withColumns({"base": F.concat(*good), "failed": F.concat(*bad)} | {f"_loose{i}": x for i, x in enumerate(loose)})
-    loose = F.concat(*[F.transform(f"_loose{i}", tagged(len(KINDS) + i)) for i in range(len(LOOSE))])
+    loose = F.concat(*[F.transform(f"_loose{i}", tagged(len(BASE) + i)) for i in range(len(LOOSE))])
     return out.select("doc_id", "text", "_row", "base", "failed", loose.alias("loose"))
 
 
@@ -156,6 +163,7 @@ def described(x: Column, generator: Column) -> Column:
         generator.alias("generator"), F.least(F.length(digits(s)), F.lit(20)).alias("digits"), flag(luhn(s)).alias("luhn"), flag(octets(s)).alias("octets"),
         F.least(F.regexp_count(s, F.lit(r"[ ./_()\[\]:-]+")), F.lit(5)).alias("separators"), flag(s.startswith("+")).alias("plus"), flag(F.rlike(left, F.lit(CUES))).alias("cue"),
         flag(F.rlike(left, F.lit(r"[\p{L}\p{N}]$"))).alias("left_word"), flag(F.rlike(right, F.lit(r"[\p{L}\p{N}]"))).alias("right_word"), flag(F.rlike(s, F.lit(r"(?i)[\[(](?:at|dot)[\])]"))).alias("spelled"), F.least(F.floor(F.length(s) / 4) * 4, F.lit(64)).cast("int").alias("length"),
+        flag(F.rlike(s, F.lit(r"[0-9]")) & F.rlike(s, F.lit(r"[A-Za-z]"))).alias("mixed"), flag(F.rlike(s, F.lit(r"(?i)^[0-9a-f]+$"))).alias("hexadecimal"), flag(F.rlike(left, F.lit(r"[=:]\s{0,2}[\"']?$"))).alias("assigned"),
     )
 
 
@@ -229,21 +237,33 @@ def margin(trees: list[tuple], f):
 
 
 def thresholds(rows: list, trees: list[tuple]) -> dict[int, float]:
-    """By kind, the lowest margin from which held-out loose spans that can be added are good often enough; none if there are too few."""
-    own = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+    """By kind, the lowest margin from which loose spans that can be added are good often enough.
+
+    The shares are of held-out spans with the margin or more: PRIOR spans of the share of all kinds are added to a kind's,
+    and to theirs PRIOR spans of the chance that the margin stands for.
+    """
+    held, seen = defaultdict(lambda: [0, 0]), defaultdict(set)
     for r in rows:
-        if r["held"] and r["open"]:
-            tied = own[r["kind"]][margin(trees, r["f"].asDict())]
-            tied[0] += r["n"] * r["good"]
-            tied[1] += r["n"]
-    out = {}
-    for kind, seen in own.items():
-        good = n = 0
-        for m, (ok, k) in sorted(seen.items(), reverse=True):
-            good, n = good + ok, n + k
-            if n >= LEAST_HELD_OUT and good >= PRECISION * n and m > 0:
-                out[kind] = m
-    return out
+        if r["open"]:
+            m = margin(trees, r["f"].asDict())
+            seen[r["kind"]].add(m)
+            if r["held"]:
+                for own in (held[r["kind"], m], held[None, m]):
+                    own[0] += r["n"] * r["good"]
+                    own[1] += r["n"]
+
+    def above(kind, m: float) -> tuple[int, int]:
+        own = [x for (k, at), x in held.items() if k == kind and at >= m]
+        return sum(x[0] for x in own), sum(x[1] for x in own)
+
+    def share(kind: int, m: float) -> float:
+        good, n = above(None, m)
+        prior = (good + PRIOR / (1 + math.exp(-m))) / (n + PRIOR)
+        good, n = above(kind, m)
+        return (good + PRIOR * prior) / (n + PRIOR)
+
+    found = {kind: [m for m in margins if m > 0 and share(kind, m) >= PRECISION] for kind, margins in seen.items()}
+    return {kind: min(own) for kind, own in found.items() if own}
 
 
 def selected(docs: DataFrame) -> DataFrame:
@@ -268,7 +288,7 @@ def listed(spans: Column) -> Column:
 
 
 def report(found: DataFrame) -> DataFrame:
-    n = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    n = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return found.select("doc_id", *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

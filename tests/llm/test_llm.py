@@ -202,6 +202,34 @@ def test_loose_spans_pass_by_merit(spark):
         assert out[i + 4].text == f"{k} [EMAIL]"
 
 
+def test_few_planted_spans_are_added_and_look_alikes_are_not(spark):
+    r = random.Random(12)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    plain = [" ".join(some("abcdefghij", r.randint(2, 30)) for _ in range(40)) + f" x{i}@site.org 10.0.0.{i % 200}" for i in range(300)]
+    secret = [f'{some("abc", 5)} token = "{some("0123456789abcdef", 36)}" then' for _ in range(12)]
+    alike = [f'{some("abc", 5)} total = "{some("abcdefghijklmnop", 36)}" then' for _ in range(12)]
+    df = spark.createDataFrame([(i, t, 0, "", 0) for i, t in enumerate(plain + secret + alike)], SCHEMA)
+    got = by_id(pii.report(pii.selected(df)))
+    for i, t in enumerate(plain + secret + alike):
+        assert got[i].base_sha256 == hashlib.sha256(base(t).encode()).hexdigest()
+        want = [x for x in base(t).split(",") if x]
+        if i in range(300, 312):
+            at = t.index('"') + 1
+            want.append(f"secret:{at}:{at + 36}")
+        assert got[i].spans == ",".join(want)
+
+
+def test_boosted_trees_tell_counted_rows_apart():
+    from pyspark.sql import Row
+
+    names = list(pii.CUTS)
+    row = lambda good, n, **f: {"f": Row(**{k: f.get(k, 0) for k in names}), "kind": 4, "good": good, "open": True, "held": False, "n": n}
+    rows = [row(True, 30, digits=12, cue=1), row(False, 40, digits=12, cue=0), row(False, 50, digits=2, cue=1)]
+    trees = pii.boosted(rows)
+    m = [pii.margin(trees, x["f"].asDict()) for x in rows]
+    assert m[0] > 2 and m[1] < -2 and m[2] < -2
+
+
 def test_tied_rows_count_before_the_threshold():
     from pyspark.sql import Row
 
@@ -424,8 +452,7 @@ def test_chained_clusters_are_compared_by_bucket(spark):
         if i % 3 == 0:
             texts[1000 + i] = texts[i] + " more"
     df = spark.createDataFrame([(i, t, 0, "", 0) for i, t in texts.items()], SCHEMA)
-    own = near.signatures(common.texts(df)).select("doc_id", "bands", F.posexplode("bands").alias("band", "bucket"))
-    found = near.units(own)
+    found = near.units(near.signatures(common.texts(df)).select("doc_id", "bands"))
     assert found.filter("band >= 0").count() > 0
     sets = shingle_sets(texts)
     want = {a: sum(sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in sets) for a in sets}
