@@ -52,6 +52,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """rows by their column ``bucket`` (numbers from 0 on), each partition with as many buckets as any other, give or take one.
+
+    Sorted by bucket, then ``order``. Spark deals rows by a hash; each partition's buckets carry a number that falls to it.
+    """
+    parts = partitions(rows.sparkSession)
+    number = {r["part"]: r["id"] for r in rows.sparkSession.range(24 * parts, numPartitions=1).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("part")).collect()}
+    slots = F.split(F.lit(",".join(str(number.get(p, p)) for p in range(parts))), ",").cast("array<int>")
+    slot = F.element_at(slots, F.col("bucket") % parts + 1)
+    return rows.withColumn("slot", slot).repartition(parts, "slot").sortWithinPartitions("bucket", *order).drop("slot")
+
+
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(place, text) of each row, and (place, doc_id) where they differ.
 

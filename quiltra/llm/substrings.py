@@ -127,11 +127,6 @@ def by_bucket(batches):
         yield rows
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """All rows of a bucket side by side in one partition."""
-    return rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
-
-
 def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (common.mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
@@ -178,7 +173,7 @@ def judged(rows: DataFrame, keep_first: bool, buckets: int) -> DataFrame:
         for docs, starts in flushed(judge(batches)):
             yield from packed(doc_bucket(docs, buckets), docs, starts)
 
-    return grouped(rows).mapInArrow(run, PACKED)
+    return common.dealt(rows).mapInArrow(run, PACKED)
 
 
 def with_places(texts: DataFrame, places: DataFrame, schema: str, handle, buckets: int, index=None, columns: list[str] = ("docs", "counts", "starts")) -> DataFrame:
@@ -222,8 +217,7 @@ def with_places(texts: DataFrame, places: DataFrame, schema: str, handle, bucket
 
     squeezed = texts.mapInArrow(squeeze, ", ".join(["bucket int, rank byte, doc_id long, data binary", *(f"{c} binary" for c in columns)]))
     own = places.select("bucket", F.lit(0).cast("byte").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("data"), *columns)
-    met = squeezed.unionByName(own).repartition(common.partitions(texts.sparkSession), "bucket").sortWithinPartitions("bucket", "rank")
-    return met.mapInArrow(lambda batches: handle(pieces(batches)), schema)
+    return common.dealt(squeezed.unionByName(own), "rank").mapInArrow(lambda batches: handle(pieces(batches)), schema)
 
 
 class Places:

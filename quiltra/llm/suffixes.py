@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, substrings
-from .substrings import bucket_count, by_bucket, doc_bucket, flushed, grouped
+from .substrings import bucket_count, by_bucket, doc_bucket, flushed
 
 LENGTH = 200
 #: Bytes of an anchor, a whole number of 8-byte words; a string has SPAN places for it.
@@ -402,7 +402,7 @@ def sorted_repeats(rows: DataFrame, buckets: int) -> DataFrame:
         for docs, starts, sizes in flushed(compare(batches)):
             yield from packed(doc_bucket(docs, buckets), docs, starts, sizes, np.full(len(docs), WHOLE))
 
-    return grouped(rows).mapInArrow(run, PACKED)
+    return common.dealt(rows).mapInArrow(run, PACKED)
 
 
 class Spans:
