@@ -30,22 +30,46 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column | str, k: int = 1)
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_k") <= k).drop("_k")
 
 
+#: Cells that the order of a group is cut into; each is ranked on its own.
+CELLS = 1024
+
+
+def ranked(rows: DataFrame, keys: list[str], cell: Column, *order: Column | str) -> DataFrame:
+    """rows with ``_rank``, the place from 1 on in the order of their keys.
+
+    ``cell`` is a number that never falls along the order. Rows are ranked within (keys, cell), so that a large group is
+    spread over tasks; the small table of cells gives the rows in the cells before.
+    """
+    own = rows.withColumn("_cell", cell)
+    counts = own.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_n")).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order))
+    same = [F.col(f"_r.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in [*keys, "_cell"]]
+    met = own.withColumn("_within", within).alias("_r").join(before.alias("_b"), same)
+    return met.select("_r.*", (F.col("_within") + F.col("_before")).alias("_rank")).drop("_cell", "_within")
+
+
+def by_draw(rows: DataFrame, keys: list[str], name: str, seed: int) -> DataFrame:
+    """``ranked`` by seeded draws, then name."""
+    return ranked(rows, keys, F.floor(draw(seed, name) * CELLS / 4294967296), draw(seed, name), name)
+
+
 def every_nth(rows: DataFrame, keys: list[str], order: str, ratio: float) -> DataFrame:
-    """Column split: every int(1/ratio)-th row of each group in order is validation."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return rows.withColumn("split", F.when(at % int(1 / ratio) == 0, "val").otherwise("train"))
+    """Column split: every int(1/ratio)-th row of each group in the order of a number is validation."""
+    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    span = max(1, (ends["hi"] or 0) - (ends["lo"] or 0))
+    at = ranked(rows, keys, F.floor((F.col(order) - F.lit(ends["lo"] or 0)) * (CELLS / span)), order)
+    return at.withColumn("split", F.when((F.col("_rank") - 1) % int(1 / ratio) == 0, "val").otherwise("train")).drop("_rank")
 
 
 def random_split(rows: DataFrame, keys: list[str], name: str, k: int, seed: int) -> DataFrame:
     """Column split: k rows of each group, by the order of seeded draws, are validation."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(draw(seed, name), name))
-    return rows.withColumn("split", F.when(at <= k, "val").otherwise("train"))
+    return by_draw(rows, keys, name, seed).withColumn("split", F.when(F.col("_rank") <= k, "val").otherwise("train")).drop("_rank")
 
 
 def sampled(rows: DataFrame, keys: list[str], name: str, k: Column | int, seed: int) -> DataFrame:
     """k rows of each group without replacement, by the order of seeded draws."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(draw(seed, name), name))
-    return rows.withColumn("_k", at).filter(F.col("_k") <= k).drop("_k")
+    return by_draw(rows, keys, name, seed).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def allocated(capacity: DataFrame, keys: list[str], name: str, space: str, target: Column) -> DataFrame:
@@ -61,10 +85,9 @@ def allocated(capacity: DataFrame, keys: list[str], name: str, space: str, targe
 
 def reshuffled(rows: DataFrame, cover: str, name: str, seed: int) -> DataFrame:
     """Column new_split: within a cover, as many training rows as before, chosen anew by seeded draws."""
-    w = Window.partitionBy(cover)
-    n = F.count_if(F.col("split") == "train").over(w)
-    at = F.row_number().over(w.orderBy(draw(seed, name), name))
-    return rows.withColumn("new_split", F.when(at <= n, "train").otherwise("val"))
+    n = rows.groupBy(cover).agg(F.count_if(F.col("split") == "train").alias("_n"))
+    own = by_draw(rows, [cover], name, seed).join(n, cover)
+    return own.withColumn("new_split", F.when(F.col("_rank") <= F.col("_n"), "train").otherwise("val")).drop("_rank", "_n")
 
 
 def changes(rows: DataFrame) -> DataFrame:
@@ -86,21 +109,24 @@ def trimmed(rows: DataFrame, group: Column, name: str, k: int, seed: int) -> Dat
     return rows.join(gone, name, "left_anti")
 
 
-def weighted_draws(rows: DataFrame, name: str, weight: str, n: int, seed: int, buckets: int = 64) -> DataFrame:
+def weighted_draws(rows: DataFrame, name: str, weight: str, n: int, seed: int) -> DataFrame:
     """n rows with replacement, in proportion to weight: draws fall into intervals of the running weight.
 
-    The running sum is taken within hash buckets first, and over the small table of buckets after; draws meet their row
-    by bucket.
+    The running sum goes by draws of the names: within cells of them, and over the small table of cells. Its range is cut
+    into four steps for each row; a row lies in the steps that its interval touches, a draw in one, and they meet by step.
     """
-    own = rows.select(name, F.col(weight).cast("double").alias("_w")).withColumn("_b", F.pmod(F.xxhash64(name), F.lit(buckets)))
-    total = own.groupBy("_b").agg(F.sum("_w").alias("_t"))
-    every = Window.orderBy("_b")  # one row for each bucket
-    edges = total.select("_b", (F.sum("_t").over(every) - F.col("_t")).alias("_from"), F.sum("_t").over(every).alias("_to"), F.sum("_t").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    draws = rows.sparkSession.range(n).withColumn("_u", (draw(seed, "id") + 0.5) / 4294967296.0)
-    placed = draws.join(F.broadcast(edges), (F.col("_u") * F.col("_all") >= F.col("_from")) & (F.col("_u") * F.col("_all") < F.col("_to"))).select("id", "_b", (F.col("_u") * F.col("_all") - F.col("_from")).alias("_x"))
-    run = Window.partitionBy("_b").orderBy(name)
-    spans = own.withColumn("_hi", F.sum("_w").over(run)).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    return placed.join(spans, "_b").filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("id", name)
+    order = draw(seed, name)
+    own = rows.select(name, F.col(weight).cast("double").alias("_w")).withColumns({"_o": order, "_cell": F.floor(order * CELLS / 4294967296)})
+    every = Window.orderBy("_cell")  # one row for each cell
+    cells = own.groupBy("_cell").agg(F.sum("_w").alias("_t"), F.count("*").alias("_n"))
+    cells = cells.select("_cell", (F.sum("_t").over(every) - F.col("_t")).alias("_from"))
+    total = own.agg(F.sum("_w").alias("_all"), (F.count("*") * 4).alias("_steps"))
+    run = F.sum("_w").over(Window.partitionBy("_cell").orderBy("_o", name).rowsBetween(Window.unboundedPreceding, 0))
+    spans = own.withColumn("_run", run).join(cells, "_cell").crossJoin(F.broadcast(total)).withColumn("_hi", F.col("_from") + F.col("_run")).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    step = lambda x: F.floor(x / F.col("_all") * F.col("_steps"))
+    spans = spans.select(name, "_lo", "_hi", F.explode(F.sequence(step(F.col("_lo")), step(F.col("_hi")))).alias("_step"))
+    draws = rows.sparkSession.range(n).crossJoin(F.broadcast(total)).withColumn("_x", (draw(seed, "id") + 0.5) / 4294967296.0 * F.col("_all"))
+    return draws.select("id", "_x", step(F.col("_x")).alias("_step")).join(spans, "_step").filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("id", name)
 
 
 def named(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:

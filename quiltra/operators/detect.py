@@ -69,7 +69,7 @@ def clip_channels(channels: DataFrame, k: float, value: str = "std") -> DataFram
     """Channel flags: channels whose deviation is outside what 30 rounds of clipping keep; the lower limit is at least 0."""
     own = channels.withColumn("v", F.col(value))
     b = clip_bounds(own, B, k, 30, floor_zero=True, rate=0.01)
-    return own.join(F.broadcast(b), B).withColumn("flag", (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).drop("least", "most", "v")
+    return own.join(b, B).withColumn("flag", (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).drop("least", "most", "v")
 
 
 def mean_outliers(channels: DataFrame, k: float, among: str | None = None, centre: str = "median") -> DataFrame:
@@ -77,14 +77,14 @@ def mean_outliers(channels: DataFrame, k: float, among: str | None = None, centr
     own = channels.filter(~F.col(among)) if among else channels
     mid = lower_median("mean") if centre == "median" else F.avg("mean")
     s = own.groupBy(*B).agg(mid.alias("_mid"), F.stddev_pop("mean").alias("_dev"), F.count("*").alias("_n"))
-    out = channels.join(F.broadcast(s), B, "left")
+    out = channels.join(s, B, "left")
     far = F.coalesce((F.col("_n") >= 3) & (F.abs(F.col("mean") - F.col("_mid")) > k * F.col("_dev")), F.lit(False))
     return out.withColumn("flag", far & ~F.col(among) if among else far).drop("_mid", "_dev", "_n")
 
 
 def tukey_channels(channels: DataFrame, q: float) -> DataFrame:
     s = channels.groupBy(*B).agg(F.percentile("std", 0.25).alias("_a"), F.percentile("std", 0.75).alias("_b"))
-    return channels.join(F.broadcast(s), B).withColumn("flag", (F.col("_b") > F.col("_a")) & tukey(F.col("_a"), F.col("_b"), F.col("std"), q)).drop("_a", "_b")
+    return channels.join(s, B).withColumn("flag", (F.col("_b") > F.col("_a")) & tukey(F.col("_a"), F.col("_b"), F.col("std"), q)).drop("_a", "_b")
 
 
 def lagged(rows: DataFrame, keys: list[str], at: str, value: str, k: int) -> Column:
@@ -217,7 +217,7 @@ def sum_threshold_2d(pixels: DataFrame, mask: str, k: float, sizes: int) -> Data
     """SumThreshold along both axes of the residual about a smooth surface, in units of the block's deviation."""
     r = smoothed(pixels, mask).withColumn("r", F.col("v") - F.col("smooth"))
     dev = r.groupBy(*B).agg(F.stddev_pop("r").alias("_dev"))
-    own = r.join(F.broadcast(dev), B).withColumn("r", F.col("r") / (F.col("_dev") + 1e-6)).drop("_dev", "smooth")
+    own = r.join(dev, B).withColumn("r", F.col("r") / (F.col("_dev") + 1e-6)).drop("_dev", "smooth")
     own = sum_threshold(own, BC, "t", k, sizes, "r", mask).withColumnRenamed("hit", "_along_t")
     return sum_threshold(own, BT, "chan", k, sizes, "r", mask).withColumn("m", F.col("hit") | F.col("_along_t")).drop("hit", "_along_t", "r")
 
@@ -226,7 +226,7 @@ def vertical(pixels: DataFrame, excluded: str, k: float = 4.0, least: int = 3) -
     """Flags of times whose mean over kept pixels stands k deviations above the block's, in runs of at least ``least``."""
     t = pixels.groupBy(*BT).agg(F.coalesce(F.avg(F.when(~F.col(excluded), F.col("v"))), F.lit(0.0)).alias("mean"))
     s = t.groupBy(*B).agg(F.avg("mean").alias("_m"), F.stddev_pop("mean").alias("_d"))
-    hot = t.join(F.broadcast(s), B).withColumn("_hot", F.col("mean") > F.col("_m") + k * F.col("_d")).drop("_m", "_d")
+    hot = t.join(s, B).withColumn("_hot", F.col("mean") > F.col("_m") + k * F.col("_d")).drop("_m", "_d")
     return in_runs(hot, B, "t", "_hot", least, "flag").drop("_hot")
 
 
@@ -236,7 +236,7 @@ def vertical_robust(pixels: DataFrame, point: str, k: float = 4.0, ratio: float
     up = t.filter("med > 0")
     mid = up.groupBy(*B).agg(F.percentile("med", 0.5).alias("_m"))
     far = up.join(mid, B).groupBy(*B).agg(F.first("_m").alias("_m"), (F.percentile(F.abs(F.col("med") - F.col("_m")), 0.5) * 1.4826).alias("_d"))
-    return t.join(F.broadcast(far), B, "left").withColumn("flag", F.coalesce((F.col("med") > F.col("_m") + k * F.col("_d")) & (F.col("ratio") > ratio), F.lit(False))).drop("_m", "_d")
+    return t.join(far, B, "left").withColumn("flag", F.coalesce((F.col("med") > F.col("_m") + k * F.col("_d")) & (F.col("ratio") > ratio), F.lit(False))).drop("_m", "_d")
 
 
 def repeated_columns(grid: DataFrame, eps: float, rho: float, share: float, least: int) -> DataFrame:
@@ -287,7 +287,7 @@ def cancelled(pixels: DataFrame, point: str, share: float = 0.3) -> DataFrame:
 def channel_kinds(channels: DataFrame) -> DataFrame:
     """Kind of each run of flagged channels against the mean of all channel means: bright, dark or complex."""
     mid = channels.groupBy(*B).agg(F.avg("mean").alias("_mid"))
-    own = channels.join(F.broadcast(mid), B).withColumn("_island", F.col("chan") - F.row_number().over(Window.partitionBy(*B, "flag").orderBy("chan"))).filter("flag")
+    own = channels.join(mid, B).withColumn("_island", F.col("chan") - F.row_number().over(Window.partitionBy(*B, "flag").orderBy("chan"))).filter("flag")
     r = own.groupBy(*B, "_island").agg(F.min("chan").alias("first"), F.max("chan").alias("last"), F.count("*").alias("n"), F.avg("mean").alias("m"), F.first("_mid").alias("_mid"), F.bool_and(F.col("mean") > F.col("_mid") + 1e-5).alias("up"), F.bool_and(F.col("mean") < F.col("_mid") - 1e-5).alias("down"))
     short = F.col("n") <= 2
     kind = F.when(short, F.when(F.col("m") > F.col("_mid"), "bright").otherwise("dark")).when(F.col("up"), "bright").when(F.col("down"), "dark").otherwise("complex")
@@ -302,7 +302,7 @@ def rms_outliers(pixels: DataFrame, mask: str, keys: list[str], k: float) -> Dat
     """Flags of channels or times (by keys) whose RMS over unmasked pixels stands k deviations above the mean RMS."""
     r = pixels.groupBy(*keys).agg(F.coalesce(F.sqrt(F.avg(F.when(~F.col(mask), F.col("v") * F.col("v")))), F.lit(0.0)).alias("rms"))
     s = r.groupBy(*B).agg(F.avg("rms").alias("_m"), F.stddev_pop("rms").alias("_d"))
-    return r.join(F.broadcast(s), B).withColumn("flag", F.col("rms") > F.col("_m") + k * F.col("_d")).drop("_m", "_d")
+    return r.join(s, B).withColumn("flag", F.col("rms") > F.col("_m") + k * F.col("_d")).drop("_m", "_d")
 
 
 def rank_dilated(rows: DataFrame, keys: list[str], at: str, flag: str, eta: float = 0.2) -> DataFrame:
@@ -321,5 +321,5 @@ def simple_flow(grid: DataFrame, k_in: float = 6.0, k_out: float = 3.0) -> DataF
     a = clip_channels(ch, k_out, "std").withColumnRenamed("flag", "_a")
     own = a.withColumn("v", F.col("mean"))
     b = clip_bounds(own, B, k_out, 30, rate=0.01)
-    flags = own.join(F.broadcast(b), B).withColumn("flag", F.col("_a") | (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).select(*BC, "flag")
+    flags = own.join(b, B).withColumn("flag", F.col("_a") | (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).select(*BC, "flag")
     return points.join(widened(flags, "flag"), BC).withColumnRenamed("flag", "m_horiz").withColumnRenamed("m", "m_point")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltra.functions.exprs import draw
+from quiltra.functions.exprs import BC, draw
+from quiltra.operators.substitute import normalised
+from quiltra.sources import grids
 
 K = 6
 
@@ -21,6 +25,19 @@ def confusion(pairs: DataFrame, keys: list[str] = (), classes: int = K, ignore:
     return full.join(n.select(*keys, F.col("truth").cast("int").alias("truth"), F.col("pred").cast("int").alias("pred"), "n"), [*keys, "truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def clamped(pairs: DataFrame, label: str, most: int, ignore: int = 255) -> DataFrame:
+    """Labels above ``most`` become it; rows with the label ``ignore`` go."""
+    return pairs.filter(F.col(label) != ignore).withColumn(label, F.least(F.col(label), F.lit(most)))
+
+
+def method_metrics(pairs: DataFrame, methods: list[str], classes: int = K, ignore: int | None = None) -> DataFrame:
+    """(method, status, label, tp, iou, precision, recall, f1): class metrics of each method; one without pairs is skipped."""
+    own = class_metrics(confusion(pairs.filter(F.col("method").isin(methods)), ["method"], classes, ignore), ["method"]).withColumn("status", F.lit("evaluated"))
+    named = pairs.sparkSession.createDataFrame([(m,) for m in methods], "method string")
+    missing = named.join(own.select("method").distinct(), "method", "left_anti").withColumn("status", F.lit("skipped"))
+    return own.unionByName(missing, allowMissingColumns=True).select("method", "status", "label", "tp", "iou", "precision", "recall", "f1")
+
+
 def ratio(a: Column, b: Column, eps: float) -> Column:
     return (a + eps) / (b + eps) if eps else F.when(b > 0, a / b).otherwise(0.0)
 
@@ -66,12 +83,22 @@ def preservation(pairs: DataFrame, keys: list[str], pulsar: int = 5, two_class:
     return own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(kept.cast("double")).alias("kept"))
 
 
+#: Chances of at most 0, 1, 2, ... in a Poisson distribution of mean 1.
+POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(10)]
+
+
 def bootstrap(deltas: DataFrame, name: str, delta: str, draws: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """Mean of paired differences with the quantile interval of resampled means. Sums over hash-drawn places; the rows are numbered once."""
-    own = deltas.select(name, F.col(delta).alias("_d")).withColumn("_i", F.row_number().over(Window.orderBy(name)) - 1)  # one row for each block
-    n = own.agg(F.count("*").alias("_n"), F.avg("_d").alias("mean"))
-    at = deltas.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).select("draw", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("place")).withColumn("_i", draw(seed, "draw", "place") % F.col("_n"))
-    means = at.join(own, "_i").groupBy("draw").agg(F.avg("_d").alias("_m"))
+    """Mean of paired differences with the quantile interval of resampled means.
+
+    How often a row is in a resample is drawn for itself from a Poisson distribution of mean 1, by a hash of the draw and the
+    row's name. So rows need no numbers and no exchange: each task sums its rows for all draws.
+    """
+    own = deltas.select(name, F.col(delta).alias("_d"))
+    u = draw(seed, "draw", name) / 4294967296.0
+    times = sum(F.when(u >= p, 1).otherwise(0) for p in POISSON)
+    each = own.select(name, "_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_k", times)
+    means = each.groupBy("draw").agg((F.sum(F.col("_d") * F.col("_k")) / F.sum("_k")).alias("_m"))
+    n = own.agg(F.avg("_d").alias("mean"))
     s = means.agg(F.percentile("_m", (1 - level) / 2).alias("low"), F.percentile("_m", (1 + level) / 2).alias("high"))
     return n.select("mean").crossJoin(s)
 
@@ -121,22 +148,35 @@ def softmax(scores: Column) -> Column:
 
 
 def scored_blocks(series: DataFrame, model, classes: int) -> DataFrame:
-    """(source, block, chan, t, scores): a model function of a numpy array [n, T] to [n, T, classes], called on batches of packed rows."""
+    """(source, block, chan, t, scores): a model function of a numpy array [n, T] to [n, T, classes], called once for all
+    packed rows of one length in a batch."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            rows = batch["v"].to_pylist()
-            keys = [batch[c].to_pylist() for c in ("source", "block", "chan")]
-            out = {c: [] for c in ("source", "block", "chan", "t", "scores")}
-            for i, row in enumerate(rows):
-                got = model(np.array([row]))[0]
-                for t in range(len(row)):
-                    for c, k in zip(("source", "block", "chan"), keys):
-                        out[c].append(k[i])
-                    out["t"].append(t)
-                    out["scores"].append(got[t].tolist())
-            yield pa.RecordBatch.from_pydict({"source": pa.array(out["source"], pa.string()), "block": pa.array(out["block"], pa.int64()), "chan": pa.array(out["chan"], pa.int32()), "t": pa.array(out["t"], pa.int32()), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
+            v = batch["v"]
+            flat, ends = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+            ends, sizes = ends - ends[0], np.diff(ends)
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == n)
+                got = np.ascontiguousarray(model(flat[ends[at][:, None] + np.arange(n)]), dtype=np.float64).reshape(-1)
+                keys = batch.select(["source", "block", "chan"]).take(pa.array(np.repeat(at, n)))
+                scores = pa.ListArray.from_arrays(np.arange(len(at) * n + 1, dtype=np.int32) * classes, pa.array(got))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.tile(np.arange(n, dtype=np.int32), len(at))), scores], ["source", "block", "chan", "t", "scores"])
 
     return series.select("source", "block", "chan", "v").mapInArrow(run, "source string, block long, chan int, t int, scores array<double>")
+
+
+def labelled(grid: DataFrame, model, classes: int, k: float = 3.0, priors: list[float] | None = None, scale: float = 1.0, offset: float = 0.0, flipped: int | None = None, classwise: bool = True) -> DataFrame:
+    """(BC, t, label) of a grid by a model, in its variants.
+
+    Values are scaled and shifted first (raw samples), flipped along ``flipped`` channels before and after scoring if given, and
+    normalised by ``k`` deviations. Scores are weighed by ``priors`` if there are any. Without ``classwise`` labels are 0 and 1.
+    """
+    own = grid.withColumn("v", F.col("v") * scale + offset)
+    turned = lambda df: df.withColumn("chan", (flipped - 1 - F.col("chan")).cast("int")) if flipped else df
+    scored = scored_blocks(grids.packed(turned(normalised(own, k))), model, classes)
+    scores = with_priors(F.col("scores"), priors) if priors else F.col("scores")
+    label = argmax(scores)
+    return turned(scored.select(*BC, "t", (label if classwise else (label > 0).cast("int")).alias("label")))

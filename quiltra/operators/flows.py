@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quiltra.functions.exprs import B, BC, BT
 from quiltra.operators import detect as D
 from quiltra.operators import morphology as M
 from quiltra.operators import resample as R
+from quiltra.operators import stats
 from quiltra.operators import substitute as X
 
 #: Channel detectors by name: pixels with m_point -> (BC, flag).
@@ -48,8 +51,42 @@ def tukey_channels(pixels: DataFrame, nchan: int, k: float, fallback: float) ->
     return D.tukey_channels(pixels.groupBy(*BC).agg(F.stddev_pop("v").alias("std")), 1.5).select(*BC, "flag")
 
 
-def full_flow(grid: DataFrame, nchan: int, k_in: float = 3.0, k_out: float = 3.0, fallback: float = 2.0, detector: str = "sigma", substitute: bool = True, area: int = 5000, least: int = 3, seed: int = 1) -> DataFrame:
-    """All masks and the prioritised label of each pixel: points, channels, times, repeated columns, blocks."""
+@dataclass(frozen=True)
+class PulseTrain:
+    """A dispersed pulse train: widths in samples, times in seconds, frequencies in MHz; ``inter_*`` is a second pulse."""
+
+    dm: float
+    period: float
+    t0: float
+    width: int
+    tbin: float
+    nsamp: int
+    inter_width: int = 0
+    inter_t0: float | None = None
+    lowest: float = 0.0
+    highest: float = 1e6
+
+
+def pulse_pixels(channels: DataFrame, freq: str, p: PulseTrain) -> DataFrame:
+    """Pixels of the train and, if it has a width, of the interpulse (half a period later unless said otherwise)."""
+    own = channels.filter(F.col(freq).between(p.lowest, p.highest))
+    out = D.pulses(own, freq, p.dm, p.period, p.t0, p.width, p.tbin, p.nsamp)
+    if p.inter_width:
+        t0 = p.t0 + p.period / 2 if p.inter_t0 is None else p.inter_t0
+        out = out.unionByName(D.pulses(own, freq, p.dm, p.period, t0, p.inter_width, p.tbin, p.nsamp)).distinct()
+    return out
+
+
+def full_flow(
+    grid: DataFrame, nchan: int, k_in: float = 3.0, k_out: float = 3.0, fallback: float = 2.0, detector: str = "sigma", substitute: bool = True, area: int = 5000, least: int = 3, seed: int = 1,
+    pulse: DataFrame | None = None, with_blocks: bool = True, with_vertical: bool = True, periods: tuple[int, int, int, float] | None = None,
+) -> DataFrame:
+    """All masks and the prioritised label of each pixel: points, channels, times, repeated columns, blocks.
+
+    ``pulse`` has the pixels (BC, t) of known pulses; ``periods`` (shortest, longest, pairs, share) turns on the periodic
+    mask, the points of channels that repeat with a period. clean_med and clean_rms are the block's median and deviation
+    about it over the pixels that no mask holds.
+    """
     own = grid.repartition(*B)
     own = D.clip(own, k_in).withColumnRenamed("m", "m_point")
     own = M.kept(M.dilated_diamond(M.without_lonely(own, "m_point"), "m_point", 1), "points")
@@ -59,12 +96,30 @@ def full_flow(grid: DataFrame, nchan: int, k_in: float = 3.0, k_out: float = 3.0
     work = work.join(ch, BC)
     if substitute:
         work = X.across_channels(work, "m_horiz", "m_point", seed + 1)
-    t = D.vertical(work.withColumn("_x", F.col("m_horiz") | F.col("m_point")), "_x", 4.0, least).select(*BT, F.col("flag").alias("_v"))
-    same = D.repeated_columns(grid, 1e-6, 0.02, 0.98, 16).select(*B, F.explode(F.sequence("first", "last")).alias("t"), F.lit(True).alias("_r"))
-    out = own.join(ch, BC).join(t, BT).join(F.broadcast(same), BT, "left").withColumn("m_vert", F.col("_v") | F.coalesce("_r", F.lit(False))).drop("_v", "_r")
-    big = M.blocks(out.select(*BC, "t", F.col("m_point").alias("_b")), "_b", 7, 7, area).select(*BC, "t", "m_block")
-    out = out.join(big, [*BC, "t"]).withColumns({"m_periodic": F.lit(False), "m_pulse": F.lit(False)})
-    return out.withColumns({"m_global": F.col("m_point") | F.col("m_horiz") | F.col("m_vert") | F.col("m_block"), "label": M.labels_by_priority(M.FULL_ORDER)})
+    out = own.join(ch, BC)
+    if with_vertical:
+        t = D.vertical(work.withColumn("_x", F.col("m_horiz") | F.col("m_point")), "_x", 4.0, least).select(*BT, F.col("flag").alias("_v"))
+        same = D.repeated_columns(grid, 1e-6, 0.02, 0.98, 16).select(*B, F.explode(F.sequence("first", "last")).alias("t"), F.lit(True).alias("_r"))
+        out = out.join(t, BT).join(same, BT, "left").withColumn("m_vert", F.col("_v") | F.coalesce("_r", F.lit(False))).drop("_v", "_r")
+    else:
+        out = out.withColumn("m_vert", F.lit(False))
+    if with_blocks:
+        big = M.blocks(out.select(*BC, "t", F.col("m_point").alias("_b")), "_b", 7, 7, area).select(*BC, "t", "m_block")
+        out = out.join(big, [*BC, "t"])
+    else:
+        out = out.withColumn("m_block", F.lit(False))
+    if periods:
+        repeated = D.periodic(own, "m_point", *periods).select(*BC, F.lit(True).alias("_p"))
+        out = out.join(repeated, BC, "left").withColumn("m_periodic", F.col("m_point") & F.coalesce("_p", F.lit(False))).drop("_p")
+    else:
+        out = out.withColumn("m_periodic", F.lit(False))
+    if pulse is not None:
+        out = out.join(pulse.select(*BC, "t", F.lit(True).alias("_p")), [*BC, "t"], "left").withColumn("m_pulse", F.coalesce("_p", F.lit(False))).drop("_p")
+    else:
+        out = out.withColumn("m_pulse", F.lit(False))
+    out = out.withColumns({"m_global": F.col("m_point") | F.col("m_horiz") | F.col("m_vert") | F.col("m_block"), "label": M.labels_by_priority(M.FULL_ORDER)})
+    clean = stats.rms_about_median(out.filter(~F.col("m_global")).select(*BC, "t", "v"), B).select(*B, F.col("med").alias("clean_med"), F.col("rms").alias("clean_rms"))
+    return out.join(clean, B, "left")
 
 
 def short_flow(grid: DataFrame, pulse: DataFrame, k_in: float = 6.0, k_out: float = 3.0, area: int = 5000, seed: int = 1) -> DataFrame:
@@ -76,7 +131,7 @@ def short_flow(grid: DataFrame, pulse: DataFrame, k_in: float = 6.0, k_out: floa
     ch = D.clip_channels(ch, k_out).join(D.cancelled(own, "m_point"), BC).select(*BC, (F.col("flag") & ~F.col("cancel")).alias("m_horiz"))
     t = D.vertical_robust(own, "m_point").select(*BT, F.col("flag").alias("_v"))
     same = D.repeated_columns(grid, 1e-5, 0.01, 0.98, 2).select(*B, F.explode(F.sequence("first", "last")).alias("t"), F.lit(True).alias("_r"))
-    out = own.join(ch, BC).join(t, BT).join(F.broadcast(same), BT, "left").withColumn("m_vert", F.col("_v") | F.coalesce("_r", F.lit(False))).drop("_v", "_r")
+    out = own.join(ch, BC).join(t, BT).join(same, BT, "left").withColumn("m_vert", F.col("_v") | F.coalesce("_r", F.lit(False))).drop("_v", "_r")
     big = M.blocks(out.select(*BC, "t", F.col("m_point").alias("_b")), "_b", 7, 7, area).select(*BC, "t", "m_block")
     out = M.cleaned_points(out.join(big, [*BC, "t"]), "m_point")
     return out.withColumn("label", M.labels_by_priority(M.SIMPLE_ORDER))

@@ -22,6 +22,16 @@ SIMPLE_ORDER = [("m_vert", 2), ("m_horiz", 1), ("m_point", 3), ("m_block", 4), (
 CONTIGUOUS = {0: 0, 1: 1, 2: 2, 6: 3, 7: 4, 8: 5}
 
 
+def merged(masks: list[Column]) -> Column:
+    """The number, from 1 on, of the last mask that holds; 0 if none does."""
+    return F.greatest(*[F.when(m, i + 1).otherwise(0) for i, m in enumerate(masks)])
+
+
+def expanded(grid: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pixel with the flags of its channel (or time, by keys)."""
+    return grid.join(flags, keys)
+
+
 def mapped(label: str, codes: dict[int, int]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.col(label).cast("int"))
 

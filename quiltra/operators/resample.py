@@ -64,7 +64,7 @@ def focus_crop(labels: DataFrame, height: int, width: int, nchan: int, nsamp: in
     focused = F.col("p").isNotNull() & (F.col("u") % 1000 < share * 1000)
     at = lambda p, r, n, k: F.greatest(F.lit(0), F.least(F.lit(n - k), F.when(focused, p - k // 2).otherwise(r % (n - k + 1)))).cast("int")
     corner = corner.select(*B, at(F.col("p.chan"), F.col("u"), nchan, height).alias("c0"), at(F.col("p.t"), F.col("w"), nsamp, width).alias("t0"))
-    own = labels.join(F.broadcast(corner), B).filter(F.col("chan").between(F.col("c0"), F.col("c0") + height - 1) & F.col("t").between(F.col("t0"), F.col("t0") + width - 1))
+    own = labels.join(corner, B).filter(F.col("chan").between(F.col("c0"), F.col("c0") + height - 1) & F.col("t").between(F.col("t0"), F.col("t0") + width - 1))
     return own.withColumns({"chan": F.col("chan") - F.col("c0"), "t": F.col("t") - F.col("t0")}).drop("c0", "t0")
 
 

@@ -72,7 +72,7 @@ def bin_of(v: Column, lo: Column, width: Column, bins: int) -> Column:
 def histogram(grid: DataFrame, bins: int, keys: list[str] = B) -> DataFrame:
     """Counts, density and centre of the non-empty bins between a group's smallest and largest value."""
     s = grid.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
-    own = grid.join(F.broadcast(s), keys).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    own = grid.join(s, keys).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     own = own.withColumn("bin", bin_of(F.col("v"), F.col("lo"), F.col("width"), bins))
     out = own.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("total").alias("total"))
     return out.select(*keys, "bin", "n", (F.col("lo") + (F.col("bin") + 0.5) * F.col("width")).alias("centre"), (F.col("n") / (F.col("total") * F.col("width"))).alias("density"))
@@ -99,7 +99,7 @@ def noise(grid: DataFrame, keys: list[str] = B, bins: int = 50) -> DataFrame:
 def split_histogram(pixels: DataFrame, mask: str, bins: int) -> DataFrame:
     """Counts of kept and flagged values in shared bins."""
     s = pixels.groupBy(*B).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    own = pixels.join(F.broadcast(s), B)
+    own = pixels.join(s, B)
     b = bin_of(F.col("v"), F.col("lo"), (F.col("hi") - F.col("lo")) / bins, bins)
     return own.groupBy(*B, b.alias("bin")).agg(F.count_if(~F.col(mask)).alias("kept"), F.count_if(F.col(mask)).alias("flagged"))
 

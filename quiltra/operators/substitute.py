@@ -56,16 +56,16 @@ def normalised(grid: DataFrame, k: float = 3.0, keys: list[str] = B) -> DataFram
     """mean - k std to 0, mean + k std to 1, clamped; 0.5 where the deviation vanishes."""
     s = grid.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
     x = (F.col("v") - (F.col("_m") - k * F.col("_s"))) / (2 * k * F.col("_s"))
-    return grid.join(F.broadcast(s), keys).withColumn("v", F.when(F.col("_s") <= 1e-6, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))).drop("_m", "_s")
+    return grid.join(s, keys).withColumn("v", F.when(F.col("_s") <= 1e-6, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))).drop("_m", "_s")
 
 
 def standardised(grid: DataFrame, k: float = 1.0, keys: list[str] = B) -> DataFrame:
     """(v - mean) / (k std); 0 where the deviation vanishes."""
     s = grid.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
-    return grid.join(F.broadcast(s), keys).withColumn("v", F.when(F.col("_s") <= 1e-6, 0.0).otherwise((F.col("v") - F.col("_m")) / (k * F.col("_s")))).drop("_m", "_s")
+    return grid.join(s, keys).withColumn("v", F.when(F.col("_s") <= 1e-6, 0.0).otherwise((F.col("v") - F.col("_m")) / (k * F.col("_s")))).drop("_m", "_s")
 
 
 def pulses_to_median(pixels: DataFrame, pulse: str) -> DataFrame:
     """Pulse pixels take their block's median."""
     s = pixels.groupBy(*B).agg(F.percentile("v", 0.5).alias("_med"))
-    return pixels.join(F.broadcast(s), B).withColumn("v", F.when(F.col(pulse), F.col("_med")).otherwise(F.col("v"))).drop("_med")
+    return pixels.join(s, B).withColumn("v", F.when(F.col(pulse), F.col("_med")).otherwise(F.col("v"))).drop("_med")

@@ -38,7 +38,7 @@ def _(spark, sf):
     return a.join(v, "b").join(masks(spark, sf).filter("toxic = 1").select((F.col("doc_id") % 40).alias("b")).distinct(), "b")
 
 
-@query("j07_pixel_pairs", "WITH {EMB} SELECT a.block, a.chan, a.t, a.v > 0.1 AS truth, b.v > 0.2 AS pred FROM g a JOIN g b USING (source, block, chan, t)")
+@query("j07_pixel_pairs", "WITH {EMB}, u AS (SELECT block, chan, t, v > 0.1 AS truth, NULL AS pred FROM g UNION ALL SELECT block, chan, t, NULL, v > 0.2 FROM g) SELECT block, chan, t, bool_or(truth) AS truth, bool_or(pred) AS pred FROM u GROUP BY ALL")
 def _(spark, sf):
     g = grids.by_block(grids.embedding_grid(spark, sf))
     a, b = g.select("source", "block", "chan", "t", (F.col("v") > 0.1).alias("truth")), g.select("source", "block", "chan", "t", (F.col("v") > 0.2).alias("pred"))
@@ -103,15 +103,15 @@ def _(spark, sf):
     return C.trimmed(samples(spark, sf), F.col("dataset") == "src7", "name", 10, 9).select("name", "dataset")
 
 
-@query("c12_weighted_draws")
+@query("c12_weighted_draws", f"WITH w AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 3.0 WHEN quality = 0 THEN 2.0 ELSE 1.0 END AS w, {draw_sql(4, 'doc_id')} AS o FROM labels), r AS (SELECT doc_id, sum(w) OVER (ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) AS hi, w, sum(w) OVER () AS al FROM w), d AS (SELECT id, ({draw_sql(4, 'id')} + 0.5) / 4294967296.0 AS u FROM range(0, 500) x(id)) SELECT id, doc_id FROM d JOIN r ON u * al >= hi - w AND u * al < hi")
 def _(spark, sf):
     w = masks(spark, sf).withColumn("w", F.when(F.col("toxic") == 1, 3.0).when(F.col("quality") == 0, 2.0).otherwise(1.0))
     return C.weighted_draws(w, "doc_id", "w", 500, 4)
 
 
-@query("c13_named", "SELECT 'doc' || i AS name, i IN (SELECT doc_id FROM labels) AS found FROM (SELECT doc_id AS i FROM documents WHERE doc_id % 9 = 0)")
+@query("c13_named", "SELECT 'doc' || i AS name, i IN (SELECT doc_id FROM labels) AS found FROM (SELECT doc_id AS i FROM documents)")
 def _(spark, sf):
-    wanted = grids.table(spark, sf, "documents").filter("doc_id % 9 = 0").select(F.concat(F.lit("doc"), "doc_id").alias("name"))
+    wanted = grids.table(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("name"))
     return C.named(masks(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("name")), wanted, "name")
 
 

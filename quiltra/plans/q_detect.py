@@ -159,7 +159,13 @@ def _(spark, sf):
     return D.sum_threshold(g, BC, "t", 0.3, 4, mask="m").select(*BC, "t", "hit")
 
 
-@query("d19_w04_sum_threshold_2d")
+def smooth_sql(rows: str, mask: str) -> str:
+    """Tables ws (residual about the masked Gaussian mean along time) and wr (in units of the block's deviation)."""
+    return f"""ws AS (SELECT a.*, a.v - coalesce(s, a.v) AS r0 FROM {rows} a LEFT JOIN (SELECT source, block, chan, CAST(t - o AS INTEGER) AS t, sum(v * exp(-o * o / 112.5)) / sum(exp(-o * o / 112.5)) AS s FROM {rows}, range(-20, 20) x(o) WHERE NOT ({mask}) GROUP BY source, block, chan, t - o) b USING (source, block, chan, t)),
+wr AS (SELECT *, r0 / (stddev_pop(r0) OVER (PARTITION BY source, block) + 1e-6) AS r FROM ws)"""
+
+
+@query("d19_w04_sum_threshold_2d", "WITH {EMB}, " + smooth_sql("g", "abs(v) > 0.45") + ", " + threshold_sql("wr", "source, block, chan", "t", "r", "abs(v) > 0.45", 3.0, 4, "wx").replace(" AS hit", " AS along") + ", wy AS (SELECT source, block, chan, t, v, r, along FROM wx), " + threshold_sql("wy", "source, block, t", "chan", "r", "abs(v) > 0.45", 3.0, 4, "wz") + " SELECT source, block, chan, t, hit OR along AS m FROM wz")
 def _(spark, sf):
     return D.sum_threshold_2d(emb(spark, sf).withColumn("m0", F.abs("v") > 0.45), "m0", 3.0, 4).select(*BC, "t", "m")
 
@@ -222,7 +228,13 @@ def _(spark, sf):
     return D.channel_kinds(flagged_channels(spark, sf))
 
 
-@query("d31_m17_simple_flow")
+SIMPLE = "WITH RECURSIVE {EMB}, " + clip_sql("c", "g", "source, block, chan", 2.5, kind="avg") + """, pt AS (SELECT source, block, chan, t, v, v < a[1] OR v > a[len(a)] AS m_point FROM g JOIN c USING (source, block, chan)),
+ch AS (SELECT source, block, chan, coalesce(avg(v) FILTER (NOT m_point), 0) AS mean, coalesce(stddev_pop(v) FILTER (NOT m_point), 0) AS std FROM pt GROUP BY ALL), xs AS (SELECT source, block, chan, std AS v FROM ch), xm AS (SELECT source, block, chan, mean AS v FROM ch), """ + clip_sql("cs", "xs", "source, block", 2.0, 30, floor=True, rate=0.01) + ", " + clip_sql("cm", "xm", "source, block", 2.0, 30, rate=0.01) + """,
+fl AS (SELECT source, block, chan, std < cs.a[1] OR std > cs.a[len(cs.a)] OR mean < cm.a[1] OR mean > cm.a[len(cm.a)] AS flag FROM ch JOIN cs USING (source, block) JOIN cm USING (source, block)),
+wd AS (SELECT source, block, chan, bool_or(flag) OVER (PARTITION BY source, block ORDER BY chan ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m_horiz FROM fl) SELECT source, block, chan, t, m_point, m_horiz FROM pt JOIN wd USING (source, block, chan)"""
+
+
+@query("d31_m17_simple_flow", SIMPLE)
 def _(spark, sf):
     return D.simple_flow(emb(spark, sf), 2.5, 2.0).select(*BC, "t", "m_point", "m_horiz")
 

@@ -8,6 +8,7 @@ from quiltra.operators import substitute as X
 from quiltra.sources import grids
 
 from .base import draw_sql, query
+from .q_masks import by_class_sql
 
 emb = grids.embedding_grid
 TRUTH = "CASE WHEN v > 0.2 THEN 5 WHEN v > 0.14 THEN 3 WHEN chan % 16 = 2 THEN 1 WHEN t % 25 = 4 THEN 2 ELSE 0 END"
@@ -25,11 +26,27 @@ def pairs(spark, sf):
     return emb(spark, sf).withColumns({"truth": F.expr(TRUTH), "pred": F.expr(PRED)})
 
 
-@query("e01_e14_e15_confusion", "WITH {EMB}, " + PAIRS + ", " + CELLS + " SELECT truth, pred, n FROM m")
+@query("e01_confusion", "WITH {EMB}, " + PAIRS + ", " + CELLS + " SELECT truth, pred, n FROM m")
 def _(spark, sf):
     return E.confusion(pairs(spark, sf))
 
 
+METHODS = ["first", "second", "absent"]
+
+
+@query("e14_method_metrics", "WITH {EMB}, " + PAIRS + ", w AS (SELECT 'first' AS method, truth, pred FROM q UNION ALL SELECT 'second', truth, CASE WHEN pred = 3 THEN 0 ELSE pred END FROM q), i AS (SELECT method, CAST(label AS INTEGER) AS label, (SELECT count(*) FROM w WHERE w.method = x.method AND truth = label) AS t, (SELECT count(*) FROM w WHERE w.method = x.method AND pred = label) AS p, (SELECT count(*) FROM w WHERE w.method = x.method AND truth = label AND pred = label) AS tp FROM (SELECT DISTINCT method FROM w) x, range(0, 6) r(label)) SELECT method, 'evaluated' AS status, label, CAST(tp AS BIGINT) AS tp, round(CASE WHEN t + p - tp > 0 THEN tp / (t + p - tp) ELSE 0 END, 6) AS iou, round(CASE WHEN p > 0 THEN tp / p ELSE 0 END, 6) AS precision, round(CASE WHEN t > 0 THEN tp / t ELSE 0 END, 6) AS recall, round(CASE WHEN t + p > 0 THEN 2 * tp / (t + p) ELSE 0 END, 6) AS f1 FROM i UNION ALL SELECT 'absent', 'skipped', NULL, NULL, NULL, NULL, NULL, NULL")
+def _(spark, sf):
+    own = pairs(spark, sf)
+    both = own.withColumn("method", F.lit("first")).unionByName(own.withColumns({"method": F.lit("second"), "pred": F.when(F.col("pred") == 3, 0).otherwise(F.col("pred"))}))
+    return E.method_metrics(both, METHODS).select("method", "status", "label", "tp", *rounded("iou", "precision", "recall", "f1"))
+
+
+@query("e15_confusion_ignoring", "WITH {EMB}, " + PAIRS.replace("q AS", "q0 AS") + ", q AS (SELECT * REPLACE (CASE WHEN t % 13 = 0 THEN 255 ELSE truth END AS truth) FROM q0), " + CELLS + " SELECT truth, pred, n FROM m")
+def _(spark, sf):
+    own = pairs(spark, sf).withColumn("truth", F.when(F.col("t") % 13 == 0, 255).otherwise(F.col("truth")))
+    return E.confusion(own, ignore=255)
+
+
 @query("e02_class_metrics", "WITH {EMB}, " + PAIRS + ", " + CELLS + ", " + metric_sql() + " SELECT label, tp, round(iou, 6) AS iou, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM s")
 def _(spark, sf):
     return E.class_metrics(E.confusion(pairs(spark, sf))).select("label", "tp", *rounded("iou", "precision", "recall", "f1"))
@@ -59,10 +76,10 @@ def _(spark, sf):
     return E.preservation(pairs(spark, sf), ["block"]).select("block", "n", *rounded("kept"))
 
 
-BOOT = f"d AS (SELECT CAST(t AS BIGINT) AS t, avg(v) AS d FROM g GROUP BY t), o AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i FROM d), n AS (SELECT count(*) AS n, avg(d) AS mean FROM d), a AS (SELECT draw, {draw_sql(1, 'draw', 'place')} % n AS i FROM range(0, 200) x(draw), range(0, 100) y(place), n), m AS (SELECT draw, avg(d) AS m FROM a JOIN o USING (i) GROUP BY draw)"
+BOOT = f"d AS (SELECT CAST(t AS BIGINT) AS t, avg(v) AS d FROM g GROUP BY t), a AS (SELECT draw, d, {draw_sql(1, 'draw', 't')} / 4294967296.0 AS u FROM d, range(0, 200) x(draw)), k AS (SELECT draw, d, {' + '.join(f'CASE WHEN u >= {p!r} THEN 1 ELSE 0 END' for p in E.POISSON)} AS k FROM a), m AS (SELECT draw, sum(d * k) / sum(k) AS m FROM k GROUP BY draw)"
 
 
-@query("e08_bootstrap", "WITH {EMB}, " + BOOT + " SELECT round((SELECT mean FROM n), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
+@query("e08_bootstrap", "WITH {EMB}, " + BOOT + " SELECT round((SELECT avg(d) FROM d), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
 def _(spark, sf):
     d = emb(spark, sf).groupBy("t").agg(F.avg("v").alias("d"))
     return E.bootstrap(d, "t", "d", 200, 1).select(*rounded("mean", "low", "high"))
@@ -80,8 +97,8 @@ def _(spark, sf):
 
 @query("e11_ignored_labels", "SELECT l_linenumber AS truth, count(*) AS n FROM (SELECT least(l_linenumber, 5) AS l_linenumber FROM lineitem WHERE l_linenumber <> 7) GROUP BY ALL")
 def _(spark, sf):
-    li = grids.table(spark, sf, "lineitem").filter("l_linenumber <> 7")
-    return li.groupBy(F.least(F.col("l_linenumber"), F.lit(5)).alias("truth")).agg(F.count("*").alias("n"))
+    li = E.clamped(grids.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("truth")), "truth", 5, ignore=7)
+    return li.groupBy("truth").agg(F.count("*").alias("n"))
 
 
 @query("e12_j04_statuses", "SELECT CASE WHEN d.doc_id % 17 = 0 THEN 'no_index' WHEN l.doc_id IS NULL THEN 'missing_gt' WHEN d.doc_id % 5 <> l.doc_id % 4 THEN 'size_mismatch' WHEN toxic = 1 THEN 'ignored' ELSE 'success' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL")
@@ -120,17 +137,23 @@ def three_levels(x):
 NORM = "s AS (SELECT source, block, avg(v) AS m, stddev_pop(v) AS s FROM g GROUP BY ALL), n AS (SELECT source, block, chan, t, greatest(0, least(1, (v - (m - 3 * s)) / (6 * s))) AS x FROM g JOIN s USING (source, block))"
 
 
-@query("i03_i06_scored_blocks", "WITH {EMB}, " + NORM + " SELECT source, block, chan, t, CASE WHEN 1 - x >= 0.55 AND 1 - x >= x THEN 0 WHEN 0.55 >= x THEN 1 ELSE 2 END AS label FROM n")
+LEVELS = "CASE WHEN 1 - x >= 0.55 AND 1 - x >= x THEN 0 WHEN 0.55 >= x THEN 1 ELSE 2 END"
+
+
+@query("i03_scored_blocks", "WITH {EMB}, " + NORM + f" SELECT source, block, chan, t, {LEVELS} AS label FROM n")
+def _(spark, sf):
+    return E.labelled(emb(spark, sf), three_levels, 3).select(*BC, "t", "label")
+
+
+@query("i06_scoring_variants", "WITH {EMB}, r AS (SELECT source, block, chan, t, 2.0 * v + 1.0 AS v FROM g), s AS (SELECT source, block, avg(v) AS m, stddev_pop(v) AS s FROM r GROUP BY ALL), n AS (SELECT source, block, chan, t, greatest(0, least(1, (v - (m - 2 * s)) / (4 * s))) AS x FROM r JOIN s USING (source, block)) SELECT source, block, chan, t, CASE WHEN 1 - x >= 0.55 * 1.2 AND 1 - x >= x THEN 0 ELSE 1 END AS label FROM n")
 def _(spark, sf):
-    scored = E.scored_blocks(grids.packed(X.normalised(emb(spark, sf))), three_levels, 3)
-    return scored.select(*BC, "t", E.argmax(F.col("scores")).alias("label"))
+    return E.labelled(emb(spark, sf), three_levels, 3, k=2.0, priors=[1.0, 1.2, 1.0], scale=2.0, offset=1.0, flipped=64, classwise=False).select(*BC, "t", "label")
 
 
-@query("i04_scored_and_cleaned")
+@query("i04_scored_and_cleaned", "WITH {EMB}, " + NORM + f", y AS (SELECT source, block, chan, t, v, CASE WHEN {LEVELS} = 1 THEN 0 ELSE 3 END AS label FROM g JOIN n USING (source, block, chan, t)), " + by_class_sql() + " SELECT source, block, chan, t, v, label FROM z")
 def _(spark, sf):
     g = emb(spark, sf)
-    scored = E.scored_blocks(grids.packed(X.normalised(g)), three_levels, 3)
-    label = scored.select(*BC, "t", F.when(E.argmax(F.col("scores")) == 1, 0).otherwise(3).alias("label"))
+    label = E.labelled(g, three_levels, 3).select(*BC, "t", F.when(F.col("label") == 1, 0).otherwise(3).alias("label"))
     return X.by_class(g.join(label, [*BC, "t"]), "label").select(*BC, "t", "v", "label")
 
 

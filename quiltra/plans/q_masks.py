@@ -37,13 +37,13 @@ def _(spark, sf):
 @query("m02_merge_last_wins", "WITH {EMB} SELECT source, block, chan, t, greatest(CASE WHEN abs(v) > 0.1 THEN 1 ELSE 0 END, CASE WHEN chan % 7 = 0 THEN 2 ELSE 0 END, CASE WHEN t % 11 = 0 THEN 3 ELSE 0 END) AS label FROM g")
 def _(spark, sf):
     masks = [F.abs("v") > 0.1, F.col("chan") % 7 == 0, F.col("t") % 11 == 0]
-    return emb(spark, sf).select(*BC, "t", F.greatest(*[F.when(m, i + 1).otherwise(0) for i, m in enumerate(masks)]).alias("label"))
+    return emb(spark, sf).select(*BC, "t", M.merged(masks).alias("label"))
 
 
 @query("m05_j08_expand_channels", "WITH {EMB}, f AS (SELECT source, block, chan, max(v) > 0.4 AS flag FROM g GROUP BY ALL) SELECT source, block, chan, t, flag FROM g JOIN f USING (source, block, chan)")
 def _(spark, sf):
     g = emb(spark, sf)
-    return g.join(g.groupBy(*BC).agg((F.max("v") > 0.4).alias("flag")), BC).select(*BC, "t", "flag")
+    return M.expanded(g, g.groupBy(*BC).agg((F.max("v") > 0.4).alias("flag")), BC).select(*BC, "t", "flag")
 
 
 @query("m06_w03_without_lonely", "WITH {EMB}, " + MASKS + ", " + box_sql("i", 3, 3, "sum", "n", "p", ", m") + " SELECT source, block, chan, t, m AND x > 1 AS m FROM n")
@@ -71,6 +71,13 @@ def _(spark, sf):
     return M.cleaned_points(points(spark, sf), "m").select(*BC, "t", "m")
 
 
+def comp_sql(rows: str) -> str:
+    """Recursive tables of the 8-connected components of the cells in ``rows``: p (cells with id), l (id, comp) and bx (boxes)."""
+    return f"""p AS (SELECT source, block, chan, t, block * 100000 + chan * 1000 + t AS id FROM {rows}), o AS (SELECT CAST(da * 1000 + db AS BIGINT) AS o FROM range(-1, 2) x(da), range(-1, 2) y(db)),
+e AS (SELECT a.id AS a, b.id AS b FROM (SELECT id, id + o AS near FROM p, o) a JOIN p b ON a.near = b.id), r AS (SELECT id, id AS comp FROM p UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(comp) AS comp FROM r GROUP BY id),
+bx AS (SELECT comp, min(chan) AS c0, max(chan) AS c1, min(t) AS t0, max(t) AS t1, count(*) AS area, max(chan) - min(chan) + 1 AS h, max(t) - min(t) + 1 AS w FROM p JOIN l USING (id) GROUP BY comp)"""
+
+
 COMP = "WITH RECURSIVE {EMB}, p AS (SELECT source, block, chan, t, block * 100000 + chan * 1000 + t AS id FROM g WHERE abs(v) > 0.2), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.source = b.source AND a.block = b.block AND abs(a.chan - b.chan) <= 1 AND abs(a.t - b.t) <= 1), r AS (SELECT id, id AS comp FROM p UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(comp) AS comp FROM r GROUP BY id)"
 
 
@@ -89,12 +96,21 @@ def _coded(spark, sf):
     return emb(spark, sf).withColumn("label", F.when(F.col("v") > 0.18, 3).when(F.col("v") < -0.25, 2).when(F.col("chan") == 9, 1).otherwise(0))
 
 
-@query("m13_points_to_blocks")
+CODED = "y AS (SELECT *, CASE WHEN v > 0.18 THEN 3 WHEN v < -0.25 THEN 2 WHEN chan = 9 THEN 1 ELSE 0 END AS label FROM g)"
+
+
+def to_blocks_sql(classes: str, verdict: str, label: str) -> str:
+    """SQL of y with labels by the verdict on the component, closed over 3 x 3, that a pixel lies in."""
+    closed = "yi AS (SELECT *, CASE WHEN label IN (" + classes + ") THEN 1 ELSE 0 END AS i FROM y), " + box_sql("i", 3, 3, "max", "ya", "yi") + ", " + box_sql("x", 3, 3, "min", "yb", "ya")
+    return "WITH RECURSIVE {EMB}, " + CODED + ", " + closed + ", yc AS (SELECT * FROM yb WHERE x = 1), " + comp_sql("yc") + f", j AS (SELECT source, block, chan, t, {verdict} AS k FROM p JOIN l USING (id) JOIN bx USING (comp)) SELECT source, block, chan, t, {label} AS label FROM y LEFT JOIN j USING (source, block, chan, t)"
+
+
+@query("m13_points_to_blocks", to_blocks_sql("3, 4", "CASE WHEN area > 12 AND h >= 3 AND w >= 3 AND w / h > 0.2 AND w / h < 5 THEN 1 ELSE 0 END", "CASE WHEN k = 1 AND label IN (0, 3) THEN 4 WHEN k = 0 AND label = 0 THEN 3 ELSE label END"))
 def _(spark, sf):
     return M.points_to_blocks(_coded(spark, sf), "label", 3, 12, 3).select(*BC, "t", "label")
 
 
-@query("m14_points_to_blocks_main")
+@query("m14_points_to_blocks_main", to_blocks_sql("2, 3, 4", "CASE WHEN area < 0.45 * h * w AND w > 10 THEN 3 WHEN (area > 800 AND w >= 20 AND h >= 20 AND w / h > 0.25 AND w / h < 4) OR (area > 1500 AND w / h > 0.2 AND w / h < 5) THEN 4 WHEN area < 400 THEN 3 END", "CASE WHEN k = 4 AND label IN (0, 2, 3) THEN 4 WHEN k = 3 AND label IN (2, 3, 4) THEN 3 ELSE label END"))
 def _(spark, sf):
     return M.points_to_blocks_main(_coded(spark, sf), "label", 3).select(*BC, "t", "label")
 
@@ -110,29 +126,40 @@ def _(spark, sf):
 
 
 DRAW = draw_sql(1, "source", "block", "chan", "t")
-DRAW2 = draw_sql(1, "source", "block", "chan", "t")
 
 
-@query("x01_x02_in_channel", f"WITH {{EMB}}, {MASKS}, s AS (SELECT source, block, chan, v AS nv, row_number() OVER (PARTITION BY source, block, chan ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY source, block, chan) AS n FROM p WHERE NOT m), c AS (SELECT DISTINCT source, block, chan, n FROM s), q AS (SELECT p.*, CASE WHEN m THEN {DRAW} % n END AS k FROM p LEFT JOIN c USING (source, block, chan)) SELECT q.source, q.block, q.chan, t, coalesce(nv, v) AS v FROM q LEFT JOIN s ON q.source = s.source AND q.block = s.block AND q.chan = s.chan AND q.k = s.k")
+@query("x01_x02_in_channel", f"WITH {{EMB}}, {MASKS}, s AS (SELECT source, block, chan, list(v ORDER BY t) FILTER (NOT m) AS own FROM p GROUP BY ALL) SELECT source, block, chan, t, CASE WHEN m AND len(own) > 0 THEN own[{DRAW} % len(own) + 1] ELSE v END AS v FROM p JOIN s USING (source, block, chan)")
 def _(spark, sf):
     return X.in_channel(points(spark, sf), "m").select(*BC, "t", "v")
 
 
-@query("x03_across_channels", f"WITH {{EMB}}, p AS (SELECT *, abs(v) > 0.2 AS m, chan % 8 = 3 AS f FROM g), s AS (SELECT source, block, t, v AS nv, row_number() OVER (PARTITION BY source, block, t ORDER BY chan) - 1 AS k, count(*) OVER (PARTITION BY source, block, t) AS n FROM p WHERE NOT m AND NOT f), c AS (SELECT DISTINCT source, block, t, n FROM s), q AS (SELECT p.*, CASE WHEN f THEN {DRAW} % n END AS k, n FROM p LEFT JOIN c USING (source, block, t)) SELECT q.source, q.block, chan, q.t, coalesce(nv, CASE WHEN f AND q.n IS NULL THEN 0.0 ELSE v END) AS v FROM q LEFT JOIN s ON q.source = s.source AND q.block = s.block AND q.t = s.t AND q.k = s.k")
+@query("x03_across_channels", f"WITH {{EMB}}, p AS (SELECT *, abs(v) > 0.2 AS m, chan % 8 = 3 AS f FROM g), s AS (SELECT source, block, t, list(v ORDER BY chan) FILTER (NOT m AND NOT f) AS own FROM p GROUP BY ALL) SELECT source, block, chan, t, CASE WHEN f THEN coalesce(own[{DRAW} % len(own) + 1], 0.0) ELSE v END AS v FROM p JOIN s USING (source, block, t)")
 def _(spark, sf):
     return X.across_channels(points(spark, sf).withColumn("f", F.col("chan") % 8 == 3), "f", "m").select(*BC, "t", "v")
 
 
+CLASSES = "y AS (SELECT *, CASE WHEN v > 0.2 THEN 5 WHEN chan % 16 = 2 THEN 1 WHEN v < -0.2 THEN 3 ELSE 0 END AS label FROM g)"
+
+
+def by_class_sql(aware: bool = True) -> str:
+    """Tables that clean y (source, block, chan, t, v, label) along time, then along channels, into z."""
+    wanted, kept = ("(label <> 5 OR lined)", "label <> 5") if aware else ("true", "true")
+    return f"""yc AS (SELECT source, block, chan, bool_or(label = 1) AS lined, avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) > 0.05 AS enough, list(v ORDER BY t) FILTER (label = 0) AS own FROM y GROUP BY ALL),
+y1 AS (SELECT source, block, chan, t, label, v AS old, CASE WHEN label <> 0 AND {wanted} AND enough AND len(own) > 0 THEN own[{draw_sql(1, 'source', 'block', 'chan', 't')} % len(own) + 1] ELSE v END AS v FROM y JOIN yc USING (source, block, chan)),
+yt AS (SELECT source, block, t, list(v ORDER BY chan) FILTER (label = 0) AS own FROM y1 GROUP BY ALL),
+z AS (SELECT source, block, chan, t, label, CASE WHEN label <> 0 AND abs(v - old) < 1e-7 AND {kept} AND len(own) > 0 THEN own[{draw_sql(2, 'source', 'block', 'chan', 't')} % len(own) + 1] ELSE v END AS v FROM y1 JOIN yt USING (source, block, t))"""
+
+
 def _classes(spark, sf):
     return emb(spark, sf).withColumn("label", F.when(F.col("v") > 0.2, 5).when(F.col("chan") % 16 == 2, 1).when(F.col("v") < -0.2, 3).otherwise(0))
 
 
-@query("x04_class_aware")
+@query("x04_class_aware", f"WITH {{EMB}}, {CLASSES}, {by_class_sql()} SELECT source, block, chan, t, v FROM z")
 def _(spark, sf):
     return X.by_class(_classes(spark, sf), "label").select(*BC, "t", "v")
 
 
-@query("x05_class_blind")
+@query("x05_class_blind", f"WITH {{EMB}}, {CLASSES}, {by_class_sql(False)} SELECT source, block, chan, t, v FROM z")
 def _(spark, sf):
     return X.by_class(_classes(spark, sf), "label", aware=False).select(*BC, "t", "v")
 
@@ -169,7 +196,13 @@ def _(spark, sf):
     return flows.short_flow(emb(spark, sf), pulse, 2.5, 2.0, area=20).select(*BC, "t", "label")
 
 
-@query("d35_low_pass_residual")
+# Means of 3 x 3 cells, Gaussian means of them along time and along channels, taken from each pixel's nearest cell.
+LOW_PASS = """sm AS (SELECT source, block, CAST(chan // 3 AS INTEGER) AS chan, CAST(t // 3 AS INTEGER) AS t, avg(v) AS v FROM {rows} GROUP BY source, block, chan // 3, t // 3),
+st AS (SELECT a.source, a.block, a.chan, a.t, sum(b.v * exp(-o * o / 50.0)) / sum(exp(-o * o / 50.0)) AS v FROM sm a, range(-15, 16) r(o), sm b WHERE b.source = a.source AND b.block = a.block AND b.chan = a.chan AND b.t = a.t + o GROUP BY ALL),
+sc AS (SELECT a.source, a.block, a.chan, a.t, sum(b.v * exp(-o * o / 12.5)) / sum(exp(-o * o / 12.5)) AS v FROM st a, range(-10, 11) r(o), st b WHERE b.source = a.source AND b.block = a.block AND b.t = a.t AND b.chan = a.chan + o GROUP BY ALL)"""
+
+
+@query("d35_low_pass_residual", "WITH {EMB}, " + LOW_PASS.format(rows="g") + " SELECT g.source, g.block, g.chan, g.t, round(g.v - sc.v, 6) AS v FROM g JOIN sc ON sc.source = g.source AND sc.block = g.block AND sc.chan = g.chan // 3 AND sc.t = g.t // 3")
 def _(spark, sf):
     return flows.low_pass_residual(emb(spark, sf), 64, 100).select(*BC, "t", *rounded("v"))
 

@@ -25,9 +25,16 @@ SAMPLES = "smp AS (SELECT source AS dataset, CASE WHEN doc_id % 4 = 0 THEN 'val'
 QUANT = "s AS (SELECT source, block, chan, min(v) AS lo, max(v) AS hi FROM g GROUP BY ALL), q AS (SELECT source, block, chan, t, v, CAST(floor((v - CASE WHEN hi > lo THEN lo ELSE hi END) / CASE WHEN hi > lo THEN (hi - lo) / 255 ELSE 1 END + 0.5) AS INTEGER) AS raw, CASE WHEN hi > lo THEN (hi - lo) / 255 ELSE 1 END AS scl, CASE WHEN hi > lo THEN lo ELSE hi END AS offs FROM g JOIN s USING (source, block, chan))"
 
 
-@query("s01_s02_scan_range", "SELECT vec_id, len(embedding) AS n FROM embeddings WHERE vec_id BETWEEN 100 AND 299")
+@query("s01_scan", "SELECT vec_id, len(embedding) AS n FROM embeddings")
 def _(spark, sf):
-    return grids.table(spark, sf, "embeddings").filter(F.col("vec_id").between(100, 299)).select("vec_id", F.size("embedding").cast("long").alias("n"))
+    return grids.table(spark, sf, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"))
+
+
+@query("s02_scan_range", "SELECT vec_id, len(embedding) AS n FROM embeddings WHERE vec_id BETWEEN (SELECT count(*) // 4 FROM embeddings) AND (SELECT 3 * count(*) // 4 FROM embeddings)")
+def _(spark, sf):
+    e = grids.table(spark, sf, "embeddings")
+    n = e.count()
+    return e.filter(F.col("vec_id").between(n // 4, 3 * n // 4)).select("vec_id", F.size("embedding").cast("long").alias("n"))
 
 
 @query("s03_grouped_blocks", "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT vec_id AS subint, CAST(floor(vec_id / 48.0) AS BIGINT) AS new_block FROM embeddings, n WHERE floor(vec_id / 48.0) < floor(n / 48.0)")
@@ -62,7 +69,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = sinks.new_path(spark, "blocks")
     sinks.by_block(emb(spark, sf), path)
-    back = sinks.by_block(emb(spark, sf).filter("block = 1").withColumn("v", F.col("v") + 1), path, overwrite=True)
+    back = sinks.by_block(emb(spark, sf).filter("block = 1").withColumn("v", F.col("v") + 1), path, overwrite=True, confirmed=sinks.CONFIRMATION)
     return back.select("source", F.col("block").cast("long").alias("block"), "v").groupBy(*B).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
@@ -83,14 +90,19 @@ def _(spark, sf):
     return d.select("doc_id", grids.source_name(F.concat(F.lit("/data/run/"), "source", F.lit("_beam"), F.col("doc_id") % 3, F.lit("_x.fits"))).alias("source"))
 
 
-@query("s15_run_summary", "WITH {EMB} SELECT count(DISTINCT block) AS blocks, count(DISTINCT chan) AS nchan, max(t) + 1 AS nsamp, count(*) AS pixels, count(*) FILTER (abs(v) > 0.25) AS flagged, CAST(0 AS BIGINT) AS tail_rows FROM g")
+@query("s15_run_summary", "WITH {EMB} SELECT count(DISTINCT block) AS blocks, count(DISTINCT chan) AS nchan, max(t) + 1 AS nsamp, count(*) AS pixels, count(*) FILTER (abs(v) > 0.25) AS flagged, (SELECT count(*) % 48 FROM embeddings) AS tail_rows, CAST(3 AS DOUBLE) AS k_in, CAST(2.5 AS DOUBLE) AS k_out FROM g")
 def _(spark, sf):
-    g = emb(spark, sf)
-    one = g.agg(F.countDistinct("block").alias("blocks"), F.countDistinct("chan").alias("nchan"), (F.max("t") + 1).alias("nsamp"), F.count("*").alias("pixels"), F.count_if(F.abs("v") > 0.25).alias("flagged"), F.lit(0).cast("long").alias("tail_rows"))
-    return sinks.json_lines(one, sinks.new_path(spark, "summary"))
+    pixels = emb(spark, sf).withColumn("m", F.abs("v") > 0.25)
+    return sinks.run_summary(grids.table(spark, sf, "embeddings"), 48, pixels, "m", {"k_in": 3.0, "k_out": 2.5}, sinks.new_path(spark, "summary"))
+
+
+@query("s23_file_lists", f"WITH {SAMPLES} SELECT 'before' AS list, name FROM smp WHERE split = 'train' UNION ALL SELECT 'after', name FROM smp WHERE split = 'val'")
+def _(spark, sf):
+    s = samples(spark, sf)
+    return sinks.file_lists(s.filter("split = 'train'"), s.filter("split = 'val'"), "name", sinks.new_path(spark, "lists"))
 
 
-@query("s16_s23_manifest", f"WITH {SAMPLES} SELECT dataset, split, count(*) AS n FROM smp GROUP BY ALL")
+@query("s16_manifest", f"WITH {SAMPLES} SELECT dataset, split, count(*) AS n FROM smp GROUP BY ALL")
 def _(spark, sf):
     return sinks.json_lines(samples(spark, sf).select("dataset", "split", "name"), sinks.new_path(spark, "manifest")).groupBy("dataset", "split").agg(F.count("*").alias("n"))
 
@@ -125,10 +137,10 @@ def _(spark, sf):
     return sinks.newest(spark, f"{sf}/events.parquet")
 
 
-@query("s22_commit_plan", f"WITH {SAMPLES} SELECT name, 'new_' || name AS target, dataset, split, doc_id, factor FROM smp WHERE doc_id % 10 = 3")
+@query("s22_commit_plan", f"WITH {SAMPLES} SELECT name, 'new_' || name AS target, dataset, split, doc_id, factor FROM smp")
 def _(spark, sf):
     s = samples(spark, sf)
-    plan = s.filter(F.col("doc_id") % 10 == 3).select("name", F.concat(F.lit("new_"), "name").alias("target"))
+    plan = s.select("name", F.concat(F.lit("new_"), "name").alias("target"))
     return sinks.committed(plan, s, s.select(F.col("name").alias("target")), sinks.new_path(spark, "commit")).select("name", "target", "dataset", "split", "doc_id", "factor")
 
 

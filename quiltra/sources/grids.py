@@ -70,7 +70,7 @@ def quantised_block(grid: DataFrame) -> DataFrame:
     s = grid.groupBy(*B).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     step = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / 255).otherwise(1.0)
     raw = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v") - F.col("lo")) / step))).cast("int")
-    return grid.join(F.broadcast(s), B).select(*BC, "t", raw.alias("raw"), step.alias("scl"), F.col("lo").alias("offs"))
+    return grid.join(s, B).select(*BC, "t", raw.alias("raw"), step.alias("scl"), F.col("lo").alias("offs"))
 
 
 def dequantised(samples: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def stitched(grid: DataFrame, k: int, nsamp: int) -> DataFrame:
     """k blocks in a row as one; groups that lack a block go."""
     own = grid.withColumns({"wide": F.floor(F.col("block") / k).cast("long"), "wide_t": (F.col("t") + (F.col("block") % k) * nsamp).cast("int")})
     whole = own.groupBy("source", "wide").agg(F.countDistinct("block").alias("k")).filter(F.col("k") == k).select("source", "wide")
-    return own.join(F.broadcast(whole), ["source", "wide"], "left_semi").select("source", F.col("wide").alias("block"), "chan", F.col("wide_t").alias("t"), "v")
+    return own.join(whole, ["source", "wide"], "left_semi").select("source", F.col("wide").alias("block"), "chan", F.col("wide_t").alias("t"), "v")
 
 
 def source_name(path: Column) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 def new_path(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        # A folder of this machine serves local masters only, whose tasks run here.
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="quiltra-")
@@ -19,10 +22,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def by_block(grid: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
-    """One folder for each source and block; fails if the path exists, unless only the given blocks are to be replaced."""
+#: What a caller must say to have stored blocks replaced.
+CONFIRMATION = "I know what I am doing!"
+
+
+def by_block(grid: DataFrame, path: str, overwrite: bool = False, confirmed: str = "") -> DataFrame:
+    """One folder for each source and block; fails if the path exists, unless only the given blocks are to be replaced.
+
+    Blocks are replaced in place only if ``confirmed`` is the sentence CONFIRMATION.
+    """
     spark = grid.sparkSession
     writer = grid.repartition("source", "block").write.partitionBy("source", "block")
+    if overwrite and confirmed != CONFIRMATION:
+        raise ValueError(f"stored blocks are replaced only if confirmed is {CONFIRMATION!r}")
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
@@ -47,6 +59,19 @@ def csv(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).csv(path, header=True)
 
 
+def run_summary(rows: DataFrame, per_block: int, pixels: DataFrame, mask: str, limits: dict[str, float], path: str) -> DataFrame:
+    """One row of a run, as JSON: geometry, rows of ``rows`` after the last whole block, pixels and flagged ones, thresholds."""
+    tail = rows.agg((F.count("*") % per_block).alias("tail_rows"))
+    one = pixels.agg(F.countDistinct("source", "block").alias("blocks"), F.countDistinct("chan").alias("nchan"), (F.max("t") + 1).alias("nsamp"), F.count("*").alias("pixels"), F.count_if(mask).alias("flagged"))
+    return json_lines(one.crossJoin(tail).withColumns({k: F.lit(float(v)) for k, v in limits.items()}), path)
+
+
+def file_lists(before: DataFrame, after: DataFrame, name: str, folder: str) -> DataFrame:
+    """The names before and after a change as text files in order; returns (list, name) as read back."""
+    parts = [lines(rows, name, name, f"{folder}/{which}").select(F.lit(which).alias("list"), F.col("value").alias(name)) for which, rows in (("before", before), ("after", after))]
+    return parts[0].unionByName(parts[1])
+
+
 def lines(rows: DataFrame, column: str, order: str, path: str) -> DataFrame:
     rows.orderBy(order).select(column).write.mode("errorifexists").text(path)
     return rows.sparkSession.read.text(path)

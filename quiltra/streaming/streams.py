@@ -20,12 +20,23 @@ def run(stream: DataFrame, handle, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def by_block(stream: DataFrame, detect, path: str) -> DataFrame:
-    """detect on each batch; its blocks replace themselves only, so that a rerun leaves one output for each block."""
+def by_block(stream: DataFrame, to_grid, detect, path: str) -> DataFrame:
+    """detect on whole blocks, whose rows may come in several batches.
+
+    The pixels of each batch, to_grid(batch), are stored by block in a folder of the batch; detection runs on all stored
+    pixels of the blocks that the batch touches. Both replace only what is theirs, so a batch that is run again leaves
+    one copy of its pixels and one output for each block.
+    """
     spark = stream.sparkSession
+    held = new_path(spark, "pixels")
 
-    def handle(batch: DataFrame, _: int) -> None:
-        detect(batch).write.partitionBy("source", "block").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    def handle(batch: DataFrame, number: int) -> None:
+        grid = to_grid(batch)
+        grid.withColumn("batch", F.lit(number)).write.partitionBy("batch", "source", "block").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(held)
+        pixels = spark.read.parquet(held)
+        touched = pixels.filter(F.col("batch") == number).select("source", "block").distinct()
+        whole = pixels.join(touched, ["source", "block"], "left_semi").select(*[F.col(c).cast(t) for c, t in grid.dtypes])
+        detect(whole).write.partitionBy("source", "block").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     run(stream, handle, new_path(spark, "stream"))
     return spark.read.parquet(path)
