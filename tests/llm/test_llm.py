@@ -259,19 +259,22 @@ def test_pieces_decode_to_the_text(spark, docs, texts):
     assert pieces.round_trip(empty(spark)).count() == 0
 
 
-def test_long_and_short_agendas_agree():
+def test_rows_of_a_matrix_merge_like_a_heap():
     import public_tokenizers
 
     p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.2)
-    old = pieces.SHORT
-    try:
-        for text in (" internationalisation", " anstthble", "é" * 30):
-            pieces.SHORT = 1000
-            a = p.chunk(text, 1)
-            pieces.SHORT = 0
-            assert p.chunk(text, 1) == a
-    finally:
-        pieces.SHORT = old
+    r = random.Random(7)
+    words = ["".join(r.choice("aeinrstlhdé") for _ in range(r.randint(1, 60))) for _ in range(300)] + ["internationalisation", "é" * 30, "日本語 x", "▁▁a", "\x00"]
+    for text in words:
+        symbols = p.of_character[np.array([ord(c) for c in " " + text])].tolist()
+        root = common.mix(np.array([9], np.uint64) + np.uint64(p.seed * pieces.CHUNK_STEP & pieces.M64))
+        if " " in text:
+            continue
+        key = int(common.mix(root + np.array([1], np.uint64) * np.uint64(pieces.CHUNK_STEP))[0])
+        ids = []
+        for x in p.merged(symbols, key):
+            ids += [x] if x < p.size else p.byte[list(chr(x - p.size).encode())].tolist()
+        assert p.encode(text, 9).tolist() == ids
 
 
 def test_each_occurrence_is_drawn_anew(spark):
