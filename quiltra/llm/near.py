@@ -33,6 +33,8 @@ RECALL = 0.9999
 #: Most MinHash values; more of them make room for more rows in a band, and so for fewer chance candidates.
 HASHES = 192
 BLOCK = 128
+#: Parts that a large unit's rows are dealt in.
+SALTS = 32
 
 
 def bands_for(similarity: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -194,9 +196,12 @@ def units(signed: DataFrame) -> DataFrame:
 
 def links_of(texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, root, links) by task, of the units' representatives with their texts."""
-    sizes = found.groupBy(*UNIT).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = found.join(sizes, UNIT).withColumn("block", block)
+    # Only units of several blocks need to know how many; a large unit's rows are salted, so as to meet that in many tasks.
+    sizes = found.groupBy(*UNIT).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int"))
+    placed = own.join(sizes, [*UNIT, "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = placed.select("doc_id", *UNIT, "block", "bands", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("doc_id", *UNIT, "block", "bands", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # Texts are shuffled to their tasks at every size, so that the plan doesn't turn on how many there are.
