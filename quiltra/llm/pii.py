@@ -56,8 +56,8 @@ LOOSE = [
     ("ip", r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?(?![0-9a-f:])", r"::"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){2}[ ./_-]{1,2}[0-9]{1,7}(?![0-9])", r"[0-9]{4}[ ./_-]{1,2}[0-9]{4}[ ./_-]"),
     ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
-    ("secret", r"(?i)(?<=(?:token|secret|password|passwd|pwd|key|bearer)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[a-z0-9+/_.~-]{8,200}", r"(?i)(?:token|secret|password|passwd|pwd|key|bearer)[\"']?\s{0,2}[=:]"),
-    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])", r"[A-Za-z0-9+/_-]{20}"),
+    ("secret", r"(?i)(?<=(?:token|secret|password|passwd|pwd|key|bearer)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[a-z0-9+/_.~-]{8,200}", r"[nNtTdDyYrR][\"']?\s{0,2}[=:]"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])", r"[0-9][A-Za-z]|[A-Za-z][0-9]"),
 ]
 CUES = r"(?i)\b(?:e-?mail|mail|contact|call|tel|phone|fax|mobile|ip|host|server|card|visa|account|pay|token|secret|password|key)\b"
 #: Cue words of a kind before a loose span, and its formats that need none or do with a cue.
