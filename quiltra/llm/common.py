@@ -43,9 +43,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs, stored with a number of its own for each row in _key, to carry rows through operators that know doc_id alone."""
-    return stored(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, stored with a number of its own for each row, and the name of that column, which no other has.
+
+    It carries rows through operators that know doc_id alone.
+    """
+    name = "_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
 def partitions(spark: SparkSession) -> int:

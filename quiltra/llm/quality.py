@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import operator
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,17 @@ LABELLED_ROWS = 10_000
 MARK_SHARE, LEAST_MARKED = 0.015, 5
 #: Lengths in letters of the word beginnings in the lexicon, and in bytes of those that the scorer sees.
 BEGINNINGS, BYTE_BEGINNINGS = (4, 5, 6, 7), (4, 5, 7)
-#: Highest chance that a labeller rejects a clean document.
-MOST_FALSE = 0.002
+#: What is known beforehand of labellers: how often one rejects a clean document, with so many times the weight of the documents.
+FALSE_REJECTS, PRIOR_WEIGHT = 0.002, 30.0
 
-# Insults that count as toxic.
-INSULTS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
+# Common insults, without regard to any table.
+INSULTS = """
+arrogant awful bastard bigot brainless braindead bully cheat clown clueless clumsy coward crazy creep cretin crook cruel deceitful deranged
+disgrace disgusting dishonest dolt dork dumb dunce dweeb failure fake fool foolish fraud freak garbage gross gullible hateful hideous hypocrite
+idiot idiotic ignorant imbecile incompetent inferior insane jerk lame laughable lazy liar loser lousy lowlife lunatic miserable moron moronic
+nasty nitwit obnoxious parasite pathetic pest pig psycho rat repulsive revolting ridiculous rotten rubbish scum scumbag selfish shameful shameless
+sick sleazy slimy snake spineless stupid stupidity terrible thief thug trash twit ugly useless vile vulgar weakling weirdo wicked worthless wretched
+""".split()
 
 
 def lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[str]:
@@ -65,10 +72,10 @@ def lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> li
     return kept
 
 
-LABELLERS = ["learned_words", "insults", "any_insult", "marks_after_words", "symbols", "shouting", "capitals", "same_word_again", "few_words", "columns"]
-ENDS = (b"***", b"%%%", b"&&&", b"$$$", b"###")
+LABELLERS = ["learned_words", "insults", "marked_words", "symbols", "exclamations", "capitals", "same_word_again", "few_words", "bare_marks"]
 #: Bytes that are no symbols: letters, digits, white space, common punctuation and all beyond ASCII.
 PLAIN = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum() or chr(b).isspace() or chr(b) in ".,;:'!?()-")
+SYMBOLS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 INSULT_WORDS = frozenset(w.encode() for w in INSULTS)
 
 
@@ -76,26 +83,27 @@ def votes_of(text: bytes, marks: tuple[str, ...], starts: frozenset[str]) -> lis
     """The labellers' votes on a whole text: 1 reject, 0 keep, -1 abstain. ``starts`` are the first four letters of the marks."""
     words = text.split()
     n = max(1, len(words))
-    distinct = set(words)
-    m = max(1, len(distinct))
-    low = [w.strip(b".,;:*&%$#!?|\"'()").lower() for w in distinct]
-    insults = sum(w in INSULT_WORDS for w in low)
+    counts = Counter(words)
+    m = max(1, len(counts))
+    cores = {w: w.strip(SYMBOLS).lower() for w in counts}
+    insults = len(INSULT_WORDS.intersection(cores.values()))
     marked = 0
     if marks:
         parts = [p for p in text.decode().lower().replace("\n", " ").split(" ") if p[:4] in starts]
         marked = sum(p.startswith(marks) for p in set(parts))
-    ends = sum(w.endswith(ENDS) for w in distinct) / m
+    ends = sum(w[-3:] == w[-1:] * 3 and w[-1] in SYMBOLS for w in counts) / m
     symbols = len(text.translate(None, PLAIN)) / n
-    shouts, bars = text.count(b"!!") / n, text.count(b" | ") / n
-    capitals = sum(len(w) > 2 and w.isupper() for w in distinct) / m
+    exclamations = text.count(b"!") / n
+    capitals = sum(len(w) > 2 and w.isupper() for w in counts) / m
     again = sum(map(operator.eq, words, words[1:])) / n
+    bare = sum(k for w, k in counts.items() if not cores[w]) / n
     enough = len(words) >= 5
     vote = lambda bad, good: 1 if bad else 0 if good else -1
     return [
-        vote(marked >= 2, marked == 0), vote(insults >= 2, insults == 0), vote(insults >= 1, insults == 0),
-        vote(enough and ends >= 0.3, ends < 0.05), vote(enough and symbols >= 0.5, symbols < 0.2), vote(enough and shouts >= 0.3, shouts < 0.05),
+        vote(marked >= 2, marked == 0), vote(insults >= 2, insults == 0),
+        vote(enough and ends >= 0.3, ends < 0.05), vote(enough and symbols >= 0.5, symbols < 0.2), vote(enough and exclamations >= 0.3, exclamations < 0.05),
         vote(enough and capitals >= 0.4, capitals < 0.1), vote(enough and again >= 0.3, again < 0.05),
-        vote(len(words) >= 50 and m < 0.15 * n, len(words) < 50 or m > 0.25 * n), vote(enough and bars >= 0.25, bars < 0.05),
+        vote(len(words) >= 50 and m < 0.15 * n, len(words) < 50 or m > 0.25 * n), vote(enough and bare >= 0.25, bare < 0.05),
     ]
 
 
@@ -116,7 +124,9 @@ def votes(docs: DataFrame, marks: list[str] = (), with_features: bool = False) -
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns: the posterior of rejection for each, the labellers' chances [labeller, class, vote], the prior.
 
-    Rejecting votes start as three times as likely among rejects; chances are smoothed by one vote each.
+    The start takes any rejecting vote for a likely reject. Chances are those of the highest posterior: each vote is
+    smoothed by one, and the votes on clean documents by PRIOR_WEIGHT times as many votes that reject at FALSE_REJECTS. For
+    labellers look for unlike faults, so few agree on one; what holds the class together is that clean text is seldom rejected.
     """
     m = patterns.shape[1]
     share_bad = (patterns == 1).sum(1) / np.maximum(1, (patterns >= 0).sum(1))
@@ -128,11 +138,11 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
             own = patterns == vote
             for c, p in enumerate((1 - post, post)):
                 chance[:, c, vote] = (own * (p * counts)[:, None]).sum(0) + 1
+        said = chance[:, 0, :2].sum(1)
+        chance[:, 0, 1] += PRIOR_WEIGHT * said * FALSE_REJECTS
+        chance[:, 0, 0] += PRIOR_WEIGHT * said * (1 - FALSE_REJECTS)
+        chance[:, 0, -1] *= 1 + PRIOR_WEIGHT
         chance /= chance.sum(2, keepdims=True)
-        # Labellers look for unlike faults, so few agree on one; what holds the class together is that clean text rarely gets a reject.
-        over = np.maximum(chance[:, 0, 1] - MOST_FALSE, 0)
-        chance[:, 0, 1] -= over
-        chance[:, 0, 0] += over
         at = chance[np.arange(m)[None, :], :, patterns]
         odds = np.log(prior / (1 - prior)) + (np.log(at[:, :, 1]) - np.log(at[:, :, 0])).sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))

@@ -343,6 +343,27 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.shards(empty(spark), 8).count() == 0
 
 
+def test_sharding_query_follows_its_contract(spark, tmp_path):
+    """Sizes, checksums, law and slots by brute force; equal texts side by side."""
+    r = random.Random(3)
+    rows = [(i, None if i % 97 == 0 else "é" * r.randint(0, 40) + str(i % 50 if i % 3 else "same")) for i in range(3000)]
+    spark.createDataFrame([(i, t, 0, "", 0) for i, t in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(sharding.op6_sharding(spark, str(tmp_path)))
+    assert sorted(got) == [i for i, _ in rows]
+    total = 0
+    for i, t in rows:
+        data = (t or "").encode()
+        assert (got[i]["size"], got[i].text_crc32, got[i].law, got[i].grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        total += len(data) + 16
+    shards = {}
+    for x in got.values():
+        shards.setdefault(x.shard, []).append(x)
+    assert sorted(shards) == list(range(40))
+    most = max(x["size"] for x in got.values())
+    for own in shards.values():
+        assert sorted(x.slot for x in own) == list(range(len(own))) and abs(sum(x["size"] for x in own) - total / 40) <= most
+
+
 def test_written_shards_hold_all_rows(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
@@ -491,6 +512,53 @@ def test_em_finds_the_better_labeller():
     assert post[(patterns == 1).any(1)].min() > 0.5 > post[(patterns == 0).all(1)].max()
 
 
+def test_em_on_counted_patterns_is_em_on_rows():
+    """A plain EM over single rows, without counts, gives the same posteriors."""
+    r = np.random.default_rng(2)
+    rows = r.choice([-1, 0, 1], (500, 4), p=[0.2, 0.7, 0.1])
+    patterns, at, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    post, chance, prior = quality.accuracies(patterns, counts.astype(float), rounds=30)
+    said = (rows >= 0).sum(1)
+    bad = (rows == 1).sum(1)
+    p = [min(0.99, max(0.01, 0.5 + b / max(1, n) / 2 if b else 0.0)) for b, n in zip(bad, said)]
+    for _ in range(30):
+        share = min(0.5, max(1e-4, sum(p) / len(p)))
+        odds = np.full(len(rows), np.log(share / (1 - share)))
+        for k in range(4):
+            for v in (-1, 0, 1):
+                is_v = rows[:, k] == v
+                n1, n0 = sum(x for x, y in zip(p, is_v) if y) + 1, sum(1 - x for x, y in zip(p, is_v) if y) + 1
+                if v >= 0:
+                    all_said = sum((1 - x) for x, y in zip(p, rows[:, k]) if y >= 0) + 2
+                    n0 += quality.PRIOR_WEIGHT * all_said * (quality.FALSE_REJECTS if v else 1 - quality.FALSE_REJECTS)
+                else:
+                    n0 *= 1 + quality.PRIOR_WEIGHT
+                t1, t0 = sum(p) + 3, (len(p) - sum(p) + 3) * (1 + quality.PRIOR_WEIGHT)
+                odds[is_v] += np.log(n1 / t1) - np.log(n0 / t0)
+        new = list(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+        moved = max(abs(a - b) for a, b in zip(p, new))
+        if moved < 1e-6:
+            break
+        p = new
+    assert np.abs(post[at.ravel()] - np.array(p)).max() < 1e-6
+
+
+def test_scorer_is_a_logistic_fit_of_its_features():
+    """At the weights that it ends with, a plain gradient of the weighted log loss is near 0."""
+    r = np.random.default_rng(4)
+    targets = (r.random(400) < 0.3).astype(float)
+    rows = [np.flatnonzero(r.random(30) < np.where(np.arange(30) < 6, 0.5 if t else 0.02, 0.3)) for t in targets]
+    rows = [x.astype(np.int64) for x in rows]
+    weights = np.where(targets > 0.5, 1.0, 3.0)
+    w, b, cut = quality.train(rows, targets, weights)
+    used = np.flatnonzero(w)
+    assert set(used) <= set(range(6)) and len(used) == 6
+    score = np.array([w[x].sum() + b for x in rows])
+    gap = (1 / (1 + np.exp(-score)) - targets) * weights / weights.sum()
+    assert abs(gap.sum()) < 1e-2 and all(abs(sum(g for g, x in zip(gap, rows) if f in x)) < 1e-2 for f in used)
+    assert (score > cut)[targets > 0.5].mean() > 0.9 and (score > cut)[targets < 0.5].mean() < 0.1
+
+
 def test_classifier_on_held_out_rows(spark):
     r = random.Random(8)
     vocab = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 8))) for _ in range(400)]
@@ -549,3 +617,81 @@ def test_stages_keep_rows_with_null_and_repeated_ids(spark, tmp_path):
     df = spark.createDataFrame([(i, t, 0, "", 0) for i, t in rows], SCHEMA)
     got = corpus_pipeline.decontamination_stage(spark, df, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", say(1)), ("7", say(2))])
+
+
+def odd_tables(spark, folder):
+    """Documents with nulls, empty, repeated and long rows and a clashing column, and the tables that stages read."""
+    say = lambda k, n=60: " ".join(f"word{k}x{i}" for i in range(n))
+    texts = [say(k) for k in range(30)] + [say(3), say(3) + " more", None, "", "short", say(99, 5000), say(5) + " mail me@site.org", "bad*** text%%% is*** one&&& again*** " * 10]
+    rows = [(i if i % 9 else None, t, len(t or ""), "x", 7) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4]]
+    spark.createDataFrame([(1, say(99, 5000)[:400]), (2, say(7))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 20)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _key string, cluster int")
+
+
+def test_every_stage_handles_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = odd_tables(spark, str(tmp_path))
+    count = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        left = out.count()
+        assert {"quality": left >= count - 3, "near_copies": left == count - 5, "decontamination": left == count - 1, "pii": left == count}[name], (name, left, count)
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.pii_stage(spark, docs, str(tmp_path)).filter("text like '%[EMAIL]%'").count() == 1
+    got = corpus_pipeline.pieces_stage(spark, docs, str(tmp_path))
+    assert got.count() == count and got.agg(F.sum("n_bytes")).first()[0] == docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages on clean and planted rows: what is left, and that its pieces decode to the redacted text."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    vocab = ["".join(r.choice("abcdefghi") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    item = say(30)
+    clean = [say(r.randint(40, 120)) for _ in range(120)]
+    texts = dict(enumerate(clean))
+    texts |= {200 + i: texts[i] for i in range(10)}  # exact copies
+    texts |= {300 + i: texts[i + 20] + " tail" for i in range(10)}  # near copies
+    texts |= {400 + i: say(40) + " " + item + " " + say(20) for i in range(5)}  # benchmark passages
+    texts |= {500 + i: say(30) + f" mail a{i}@b.org or 10.1.2.{i} now" for i in range(5)}
+    texts |= {600 + i: " ".join(w + "***" for w in say(60).split()) for i in range(30)}  # rejected
+    spark.createDataFrame([(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("b1", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sets = shingle_sets({i: t for i, t in texts.items() if i < 600})
+    left = []
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in left):
+            left.append(i)
+    left = [i for i in left if not 400 <= i < 410]
+    want = {}
+    for i in left:
+        t = re.sub(r"[a-z0-9]+@b\.org", "[EMAIL]", re.sub(r"10\.1\.2\.[0-9]", "[IP]", texts[i]))
+        want[i] = (len(t.encode()), zlib.crc32(t.encode()))
+    got = {x.doc_id: (x.n_bytes, x.text_crc32) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_near_copies_recall_against_all_pairs(spark):
+    """Queries are the rows with doc_id divisible by 100, against all rows of a driver table."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no driver tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {x.doc_id: x.text or "" for x in docs.select("doc_id", "text").collect()}
+    sets = shingle_sets(texts)
+    got = by_id(near.join(docs))
+    pairs = found = 0
+    for a in (d for d in sets if d % 100 == 0 and sets[d]):
+        for b in sets:
+            if b != a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs += 1
+                found += got[a].class_id == got[b].class_id
+    assert found >= 0.9 * pairs
