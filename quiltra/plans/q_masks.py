@@ -9,6 +9,7 @@ from quiltra.operators import morphology as M
 from quiltra.operators import substitute as X
 from quiltra.sources import grids
 
+from . import flow_sql
 from .base import draw_sql, query
 
 emb = grids.embedding_grid
@@ -184,15 +185,20 @@ def _(spark, sf):
     return X.pulses_to_median(emb(spark, sf).withColumn("m", (F.col("chan") + F.col("t")) % 17 == 0), "m").select(*BC, "t", *rounded("v"))
 
 
-@query("d32_full_flow")
+def _pulse(spark, sf):
+    f = emb(spark, sf).select(*BC).distinct().withColumn("freq", 1000.0 + F.col("chan") * 5)
+    return flows.pulse_pixels(f, "freq", flows.PulseTrain(30.0, 0.25, 0.05, 2, 0.01, 100))
+
+
+@query("d32_full_flow", flow_sql.FULL)
 def _(spark, sf):
-    return flows.full_flow(emb(spark, sf), 64, 2.5, 2.0, area=20).select(*BC, "t", "m_point", "m_horiz", "m_vert", "m_block", "m_global", "label")
+    out = flows.full_flow(emb(spark, sf), 64, 2.5, 2.0, area=20, pulse=_pulse(spark, sf))
+    return out.select(*BC, "t", "m_point", "m_horiz", "m_vert", "m_block", "m_pulse", "m_global", "label", *rounded("clean_med", "clean_rms"))
 
 
-@query("d33_short_flow")
+@query("d33_short_flow", flow_sql.SHORT)
 def _(spark, sf):
-    f = emb(spark, sf).select(*BC).distinct().withColumn("freq", 1000.0 + F.col("chan") * 5)
-    pulse = D.pulses(f, "freq", 30.0, 0.25, 0.05, 2, 0.01, 100)
+    pulse = _pulse(spark, sf)
     return flows.short_flow(emb(spark, sf), pulse, 2.5, 2.0, area=20).select(*BC, "t", "label")
 
 
@@ -207,6 +213,6 @@ def _(spark, sf):
     return flows.low_pass_residual(emb(spark, sf), 64, 100).select(*BC, "t", *rounded("v"))
 
 
-@query("d37_strategy")
+@query("d37_strategy", flow_sql.strategy(LOW_PASS))
 def _(spark, sf):
     return flows.strategy(emb(spark, sf), 64, 100, 3.0)

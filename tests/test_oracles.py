@@ -8,8 +8,6 @@ import pytest
 
 SF = "/root/testdata/sf0.01"
 TABLES = "lineitem events embeddings orders documents labels benchmark".split()
-#: Flows that take long are checked in test_grid.py and by the driver.
-SLOW = {"d32_full_flow", "d33_short_flow", "d37_strategy", "m13_points_to_blocks", "m14_points_to_blocks_main"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
@@ -17,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables"
 def names():
     from quiltra.plans import registry
 
-    return [n for n in registry.queries() if n not in SLOW]
+    return list(registry.queries())
 
 
 def normal(rows, columns):
@@ -40,8 +38,8 @@ def test_query_matches_sql(spark, name):
     columns = sorted(df.columns)
     got = [r.asDict() for r in df.collect()]
     sql = registry.oracle_sql().get(name)
-    if sql is None:
-        assert len(got) > 0
+    if sql is None:  # what depends on the time of files has no SQL
+        assert name == "s21_newest_file" and len(got) == 1 and got[0]["path"].endswith(".parquet")
         return
     con = duckdb.connect()
     for t in TABLES:
