@@ -244,3 +244,18 @@ def kept() -> Column:
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
     return join(common.table(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB, from all pairs of sets that share a shingle.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + k - 1), ' ')) AS sh FROM (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+k AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, '' ORDER BY sh)) AS key FROM s GROUP BY doc_id),
+r AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n FROM k GROUP BY key),
+rs AS (SELECT rep, n, sh FROM r JOIN s ON s.doc_id = r.rep),
+p AS (SELECT a.rep AS a, b.rep AS b FROM rs a JOIN rs b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+l(id, root) USING KEY (id) AS (SELECT rep, rep FROM r UNION SELECT p.b, min(l.root) FROM l JOIN p ON p.a = l.id JOIN recurring.l o ON o.id = p.b WHERE l.root < o.root GROUP BY p.b),
+c AS (SELECT a AS rep, count(*) AS n_links FROM p GROUP BY a)
+SELECT d.doc_id, coalesce(l.root, d.doc_id) AS class_id, coalesce(r.rep, d.doc_id) AS representative, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN r ON r.key = k.key LEFT JOIN l ON l.id = r.rep LEFT JOIN c ON c.rep = r.rep
+"""

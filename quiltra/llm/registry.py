@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
 from .media import op5_media_columns
-from .near import op9_ngram_jaccard_join
+from .near import OP9_SQL, op9_ngram_jaccard_join
 from .pieces import op4_sentencepiece
 from .pii import op3_pii
 from .quality import op10_quality_classifier
 from .sharding import op6_sharding
 from .substrings import OP8_SQL, op8_substring_dedup
-from .suffixes import op2_suffix_array_dedup
+from .suffixes import OP2_SQL, op2_suffix_array_dedup
 from .tokens import op1_token_blocks
 
 QUERIES = [op1_token_blocks, op2_suffix_array_dedup, op3_pii, op4_sentencepiece, op5_media_columns, op6_sharding, op7_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_classifier]
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op2_suffix_array_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}

@@ -450,3 +450,18 @@ def deduplicated(docs: DataFrame, buckets: int | None = None, flush: int = FLUSH
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 200-byte strings."""
     return deduplicated(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB: every 200-byte string by its checksum, and the runs that repeated ones cover.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 199)) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+e AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS new FROM r),
+k AS (SELECT doc_id, i, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 199 AS z FROM k GROUP BY doc_id, k),
+g AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) + 1 AS a, a - 1 AS z FROM s UNION ALL SELECT doc_id, max(z) + 1, any_value(n) FROM s JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(substr(hex(b), 2 * a - 1, 2 * (z - a + 1)), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) WHERE z >= a GROUP BY doc_id),
+c AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, CASE WHEN n_removed IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(kept, ''))) END AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
