@@ -8,7 +8,7 @@ from .near import OP9_SQL, op9_ngram_jaccard_join
 from .pieces import op4_sentencepiece
 from .pii import op3_pii
 from .quality import op10_quality_classifier
-from .sharding import op6_sharding
+from .sharding import OP6_SQL, op6_sharding
 from .substrings import OP8_SQL, op8_substring_dedup
 from .suffixes import OP2_SQL, op2_suffix_array_dedup
 from .tokens import op1_token_blocks
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {"op2_suffix_array_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}

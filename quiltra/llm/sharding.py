@@ -27,9 +27,9 @@ OVERSAMPLE = 16
 
 
 def shard_key() -> Column:
-    """40 bits of the text's hash, then 24 bits of the id's hash."""
-    text, own = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64("doc_id")
-    return F.shiftleft(F.shiftright(text, 24), 24).bitwiseOR(own.bitwiseAND(F.lit(0xFFFFFF).cast("long")))
+    """36 bits of the text's hash, then 24 bits of the id's hash."""
+    text, own = F.md5(F.coalesce("text", F.lit(""))), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.conv(F.concat(F.substring(text, 1, 9), F.substring(own, 1, 6)), 16, 10).cast("long")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,3 +110,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal size."""
     placed = shards(common.table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same rows in DuckDB, on the running sum over all rows; the checksum's table is built from its rule.
+OP6_SQL = """
+WITH r AS (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+d AS (SELECT doc_id, text, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 9) || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6) AS BIGINT) AS key FROM documents),
+c AS (SELECT doc_id, size, key, CAST(xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, size - 15), lambda i: CAST('0x' || hex(array_slice(b, i, i)) AS BIGINT))), lambda c, x: xor(steps[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8))) AS BIGINT) AS text_crc32 FROM d, r),
+s AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, CAST(least(39, floor(before * 40 / total)) AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY key, doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
