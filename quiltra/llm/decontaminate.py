@@ -13,6 +13,7 @@ table gives no hits; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -26,7 +27,7 @@ WINDOW = 13
 #: A document is contaminated if hits make up at least 1/COVERAGE of its words.
 COVERAGE = 20
 #: Text of items in one automaton; more items are handled in further passes over the documents.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 22
 
 #: Lower-cases A-Z and turns every byte that is no part of a word into a space.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -179,15 +180,27 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str,
         yield [(r["item"], bytes(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
 
 
+#: The index of the last block of items that this worker has seen, by the block's name.
+_LATEST: dict[str, Index] = {}
+
+
+def index_of(name: str, items: list[tuple[str, bytes]], window: int) -> Index:
+    """The index of a block, built once by each worker and kept for its next tasks."""
+    if name not in _LATEST:
+        _LATEST.clear()
+        _LATEST[name] = Index(items, window)
+    return _LATEST[name]
+
+
 STATE = "doc_id long, text string, n_words long, marks binary, items array<string>"
 
 
 def scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
     """Adds the hits of one block of items to (doc_id, text, n_words, marks, items): bit i of marks is word i."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        index = Index(shared.value, window)
+        index = index_of(name, shared.value, window)
         for batch in batches:
             for part in common.sliced(batch):
                 before, mark, found = index.hits(*common.flat(part["text"]))

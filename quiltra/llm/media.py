@@ -203,6 +203,15 @@ def packets(data: bytes) -> tuple[list[tuple[int, int, int, int]], list[tuple[in
     return table, cues
 
 
+def parsed(data: bytes) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]] | None:
+    """``packets`` of a stored file, None if it is malformed: cut off, not of this format, or without a frame."""
+    try:
+        table, cues = packets(data)
+    except (ValueError, IndexError, KeyError, StopIteration, struct.error):
+        return None
+    return (table, cues) if table and all(0 <= at <= at + n <= len(data) for _, _, at, n in table) else None
+
+
 def payload_of(data: bytes, table: list[tuple[int, int, int, int]]) -> bytes:
     """The frames' bytes in the order of the table; neighbouring ranges are cut in one piece."""
     parts, start, end = [], None, None
@@ -236,12 +245,12 @@ def to_media(docs: DataFrame, lacing: str = "fixed") -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row for each frame of a (doc_id, media) table: doc_id, packet, track, timestamp_ms, offset, size."""
+    """One row for each frame of a (doc_id, media) table: doc_id, packet, track, timestamp_ms, offset, size; none for a malformed file."""
 
     def parse(batches):
         for batch in batches:
             for doc, data in zip(batch["doc_id"].to_pylist(), batch["media"].to_pylist()):
-                found = np.array(packets(data)[0], dtype=np.int64).reshape(-1, 4)
+                found = np.array((parsed(data or b"") or ([], []))[0], dtype=np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(found), pa.int64()), "packet": np.arange(len(found)), "track": found[:, 0], "timestamp_ms": found[:, 1], "offset": found[:, 2], "size": found[:, 3]})
 
     return media.select("doc_id", "media").mapInArrow(parse, "doc_id long, packet long, track long, timestamp_ms long, offset long, size long")
@@ -250,14 +259,19 @@ def packet_table(media: DataFrame) -> DataFrame:
 def features(media: DataFrame) -> DataFrame:
     """Features of each stored file, from its parsed packets alone.
 
-    ``feature`` is mean, root mean square and zero crossings of the samples about 128, and the span of timestamps.
+    ``feature`` is mean, root mean square and zero crossings of the samples about 128, and the span of timestamps. A
+    malformed file, or null, has no payload and the feature ``malformed``.
     """
 
     def read(batches):
         for batch in batches:
             rows = []
             for doc, n, data in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"].to_pylist()):
-                table, cues = packets(data)
+                found = parsed(data := data or b"")
+                if found is None:
+                    rows.append((doc, n, 0, hashlib.sha256(b"").hexdigest(), 0, len(data), hashlib.sha256(data).hexdigest(), "malformed", 0, 0))
+                    continue
+                table, cues = found
                 payload = payload_of(data, table)
                 x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
                 mean, rms = float(x.mean()), float(np.sqrt(np.mean(np.square(x, dtype=np.int32))))

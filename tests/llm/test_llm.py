@@ -319,6 +319,16 @@ def test_uneven_lacing_and_unknown_sizes():
     assert media.packets(data)[0] == [(1, 8, len(data) - 3, 3)]
 
 
+def test_malformed_files_have_a_result(spark):
+    good = media.mux(media.padded(b"text"))
+    rows = [(1, 4, good), (2, 4, good[:-3]), (3, 4, b"no media"), (4, 4, b""), (5, 4, None), (6, 4, good[:40])]
+    df = spark.createDataFrame([(i, n, None if d is None else bytearray(d)) for i, n, d in rows], media.MEDIA)
+    got = by_id(media.features(df))
+    assert got[1].feature != "malformed" and got[1].payload_bytes == 576
+    assert all((got[i].feature, got[i].payload_bytes, got[i].tail_crc32) == ("malformed", 0, 0) for i in (2, 3, 4, 5, 6))
+    assert media.packet_table(df).filter("doc_id > 1").count() == 0
+
+
 def test_media_of_documents(spark, docs, texts):
     got = by_id(media.features(media.to_media(docs)))
     for d, t in texts.items():
