@@ -30,12 +30,12 @@ def _(spark, sf):
     return out.withColumn("doc_id", F.when(F.col("side") == "extra", F.col("doc_id") + 100000).otherwise(F.col("doc_id")))
 
 
-@query("j05_w08_u02_common_blocks", f"WITH {SAMPLES}, s AS (SELECT doc_id % 40 AS b, name, split FROM smp), a AS (SELECT b, min(name) AS train FROM s WHERE split = 'train' GROUP BY ALL), v AS (SELECT b, min(name) AS val FROM s WHERE split = 'val' GROUP BY ALL), l AS (SELECT DISTINCT doc_id % 40 AS b FROM labels WHERE toxic = 1) SELECT b, train, val FROM a JOIN v USING (b) JOIN l USING (b)")
+@query("j05_w08_u02_common_blocks", f"WITH {SAMPLES}, s AS (SELECT doc_id % 41 AS b, name, split FROM smp), a AS (SELECT b, min(name) AS train FROM s WHERE split = 'train' GROUP BY ALL), v AS (SELECT b, min(name) AS val FROM s WHERE split = 'val' GROUP BY ALL), l AS (SELECT DISTINCT doc_id % 41 AS b FROM labels WHERE toxic = 1) SELECT b, train, val FROM a JOIN v USING (b) JOIN l USING (b)")
 def _(spark, sf):
-    s = samples(spark, sf).withColumn("b", F.col("doc_id") % 40)
+    s = samples(spark, sf).withColumn("b", F.col("doc_id") % 41)
     a = C.first_by(s.filter("split = 'train'"), ["b"], "name").select("b", F.col("name").alias("train"))
     v = C.first_by(s.filter("split = 'val'"), ["b"], "name").select("b", F.col("name").alias("val"))
-    return a.join(v, "b").join(masks(spark, sf).filter("toxic = 1").select((F.col("doc_id") % 40).alias("b")).distinct(), "b")
+    return a.join(v, "b").join(masks(spark, sf).filter("toxic = 1").select((F.col("doc_id") % 41).alias("b")).distinct(), "b")
 
 
 @query("j07_pixel_pairs", "WITH {EMB}, u AS (SELECT block, chan, t, v > 0.1 AS truth, NULL AS pred FROM g UNION ALL SELECT block, chan, t, NULL, v > 0.2 FROM g) SELECT block, chan, t, bool_or(truth) AS truth, bool_or(pred) AS pred FROM u GROUP BY ALL")
