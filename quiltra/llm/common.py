@@ -139,11 +139,33 @@ _IS_SPACE[list(SPACES)] = True
 _PLACED = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64))
 
 
-def word_table(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_table(data: np.ndarray, cuts: np.ndarray, piece: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between white space of several texts in one byte array.
 
     Returns their 64-bit hashes, first bytes and ends, and for each text (and the end) the number of words before it.
+    Arrays over single bytes hold about ``piece`` of them, however long a text is: it is taken up to a white space.
     """
+    n = len(data)
+    if n <= 2 * piece:
+        return _words(data, cuts)
+    bounds = [0]
+    while bounds[-1] < n:
+        at = min(n, bounds[-1] + piece)
+        ends = cuts[np.searchsorted(cuts, at) :]
+        stop = int(ends[0]) if len(ends) else n
+        while at < stop:  # the next white space, or the text's end
+            found = np.flatnonzero(_IS_SPACE[data[at : min(stop, at + 4096)]])
+            if len(found):
+                at += int(found[0])
+                break
+            at = min(stop, at + 4096)
+        bounds.append(at)
+    parts = [(a, *_words(data[a:b], np.unique(np.clip(cuts, a, b)) - a)) for a, b in zip(bounds, bounds[1:])]
+    hashes, starts, ends = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + p[0] for p in parts]), np.concatenate([p[3] + p[0] for p in parts])
+    return hashes, starts, ends, np.searchsorted(starts, cuts)
+
+
+def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     inside = ~_IS_SPACE[data]
     first = inside.copy()

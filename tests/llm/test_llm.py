@@ -58,6 +58,15 @@ def test_word_table_splits_like_python():
     assert h[0] == h[before[3]] and len(set(h.tolist())) == len(h) - 1
 
 
+def test_word_table_in_pieces_is_that_of_the_whole():
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab \n") for _ in range(r.randint(0, 400))).encode() for _ in range(30)] + [b"x" * 9000, b"", b" " * 300]
+    data, cuts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = common.word_table(data, cuts)
+    for piece in (1, 50, 3000):
+        assert all(a.tolist() == b.tolist() for a, b in zip(whole, common.word_table(data, cuts, piece)))
+
+
 # 1
 
 
