@@ -38,7 +38,7 @@ SPAN = LENGTH - ANCHOR + 1
 #: Bytes that are hashed at a time; bytes of stretches, and suffixes, that a task gathers before it sends them on; suffixes
 #: of unlike stretches that are sorted at a time (more if one anchor has more).
 CHUNK, FLUSH_BYTES, FLUSH_SUFFIXES, OPENED = 1 << 18, 24 << 20, 60_000, 400_000
-#: Most ranges, and stretches drawn for each of them; beyond it, ranges grow with the input.
+#: Most ranges between sampled splitters, and stretches drawn for each of them; larger inputs divide each range evenly.
 MOST_RANGES, DRAWN = 8_192, 12
 OPEN, WHOLE, STANDS = 0, 1, 2
 _BASE = 0xD1342543DE82EF95
@@ -147,9 +147,13 @@ def straight(record: bytes) -> tuple[bytes, int, int]:
 
 
 class Ranges:
-    """Splitters of stretches, by the bytes of their anchors, and of suffixes, by all LENGTH bytes."""
+    """Splitters of stretches, by the bytes of their anchors, and of suffixes, by all LENGTH bytes.
 
-    def __init__(self, drawn: list[bytes], parts: int) -> None:
+    ``fine`` parts of each range of stretches are cut at even steps of the leading word, so one anchor lies in one of them.
+    """
+
+    def __init__(self, drawn: list[bytes], parts: int, fine: int = 1) -> None:
+        self.fine = fine
         self.anchors = self._cut(sorted(r[:ANCHOR] for r in drawn), parts, ANCHOR)
         known = set(self.anchors.tolist())
         # As numpy drops zeros at the end, so must what is compared with it.
@@ -163,21 +167,27 @@ class Ranges:
 
     @property
     def count(self) -> int:
-        return len(self.anchors) + len(self.suffixes) + 2
+        return (len(self.anchors) + 1) * self.fine + len(self.suffixes) + 1
 
     def of_stretches(self, records: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The range of each record, and whether it has the anchor of a splitter."""
         own = np.frombuffer(b"".join(r[:ANCHOR] for r in records), f"S{ANCHOR}")
         at = np.searchsorted(self.anchors, own, side="right")
-        return at, np.append(np.zeros(1, f"S{ANCHOR}"), self.anchors)[at] == own if len(self.anchors) else np.zeros(len(own), bool)
+        part = at
+        if self.fine > 1:
+            words = lambda keys: np.array([int.from_bytes(k.ljust(8, b"\0")[:8], "big") for k in keys.tolist()], np.float64)
+            edges = np.concatenate([[0.0], words(self.anchors), [2.0**64]])
+            share = (words(own) - edges[at]) / np.maximum(1.0, edges[at + 1] - edges[at])
+            part = at * self.fine + np.clip((share * self.fine).astype(np.int64), 0, self.fine - 1)
+        return part, np.append(np.zeros(1, f"S{ANCHOR}"), self.anchors)[at] == own if len(self.anchors) else np.zeros(len(own), bool)
 
     def of_suffixes(self, strings: list[bytes]) -> np.ndarray:
-        return len(self.anchors) + 1 + np.searchsorted(self.suffixes, np.frombuffer(b"".join(strings), f"S{LENGTH}"), side="right")
+        return (len(self.anchors) + 1) * self.fine + np.searchsorted(self.suffixes, np.frombuffer(b"".join(strings), f"S{LENGTH}"), side="right")
 
 
-def ranges_of(texts: DataFrame, buckets: int) -> Ranges:
+def ranges_of(texts: DataFrame, buckets: int, most: int = MOST_RANGES) -> Ranges:
     """Splitters from a bounded sample of stretches of whole texts; only balance hangs on it."""
-    parts = min(buckets, MOST_RANGES)
+    parts = min(buckets, most)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     want = DRAWN * parts / max(1.0, 2 * total / SPAN)
     docs_rate = min(1.0, 32 * want)
@@ -191,7 +201,7 @@ def ranges_of(texts: DataFrame, buckets: int) -> Ranges:
                 keep = common.mix(docs.astype(np.uint64) * np.uint64(_BASE) + own.astype(np.uint64)) < limit
                 yield pa.RecordBatch.from_pydict({"record": pa.array([rotated(by_doc[d], *numbers(v)) for d, v in zip(docs[keep].tolist(), own[keep].tolist())], pa.binary())})
 
-    return Ranges(texts.filter(chance <= docs_rate).mapInArrow(draw, "record binary").toArrow()["record"].to_pylist(), parts)
+    return Ranges(texts.filter(chance <= docs_rate).mapInArrow(draw, "record binary").toArrow()["record"].to_pylist(), parts, -(-buckets // parts))
 
 
 #: Many rows of one bucket in one: places with the number of their rows, starts, sizes (strings that start side by side), kinds,
@@ -422,13 +432,13 @@ class Spans:
         return self.starts[a:b], self.sizes[a:b]
 
 
-def deduplicated(docs: DataFrame, buckets: int | None = None, flush: int = FLUSH_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, buckets: int | None = None, flush: int = FLUSH_BYTES, most_ranges: int = MOST_RANGES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): the bytes that stay. ``buckets`` follows from the bytes if it isn't given."""
     own, ids = common.placed(docs)
     own = own.withColumnRenamed("place", "doc_id")
     buckets = buckets or bucket_count(own)
     found = repeated_anchors(own, buckets)
-    places = sorted_repeats(records(own, found, ranges_of(own, buckets), buckets, flush), buckets)
+    places = sorted_repeats(records(own, found, ranges_of(own, buckets, most_ranges), buckets, flush), buckets)
 
     def cut(pieces):
         for docs, data, spans in pieces:

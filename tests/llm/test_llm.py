@@ -124,8 +124,8 @@ def test_bytes_of_repeated_strings_go(spark, docs, texts):
     assert suffixes.deduplicated(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("buckets, flush", [(1, 1 << 20), (64, 3000), (300, 1)])
-def test_repeats_over_many_tasks_and_ranges(spark, buckets, flush):
+@pytest.mark.parametrize("buckets, flush, most", [(1, 1 << 20, 8), (64, 3000, 64), (300, 1, 300), (90, 5000, 7)])
+def test_repeats_over_many_tasks_and_ranges(spark, buckets, flush, most):
     r = random.Random(11)
     say = lambda n: "".join(r.choice("abcde \n\x00") for _ in range(n))
     passage, inner = say(700), say(150)
@@ -139,7 +139,7 @@ def test_repeats_over_many_tasks_and_ranges(spark, buckets, flush):
         texts.append("".join(t))
     rows = [(None if i % 50 == 7 else i // 2, t, 0, "", 0) for i, t in enumerate(texts)] + [(0, texts[3], 0, "", 0)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    got = sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.deduplicated(df, buckets, flush).select("n_bytes", "n_removed", "kept").collect())
+    got = sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.deduplicated(df, buckets, flush, most).select("n_bytes", "n_removed", "kept").collect())
     data = [t.encode() for _, t, *_ in rows]
     want = sorted((len(t), int(m.sum()), bytes(np.frombuffer(t, np.uint8)[~m])) for t, m in zip(data, repeated_bytes(data)))
     assert got == want
