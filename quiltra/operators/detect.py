@@ -37,7 +37,9 @@ def clip_states(a: Column, k: float, rounds: int, kind: str = "lower", floor_zer
             settled = (s["n"] > 0) & (F.abs(x["med"] - s["med"]) < 1e-6) & (F.abs(x["rms"] - s["rms"]) / F.greatest(s["rms"], F.lit(1e-12)) < rate)
             stop = (x["rms"] <= 1e-12) | settled
             done = stop | ((lo == s["lo"]) & (hi == s["hi"]))
-            return F.struct(F.when(stop, s["lo"]).otherwise(lo).cast("int").alias("lo"), F.when(stop, s["hi"]).otherwise(hi).cast("int").alias("hi"), x["med"].alias("med"), x["rms"].alias("rms"), done.alias("done"), (s["n"] + 1).alias("n"))
+            new_lo, new_hi = F.when(stop, s["lo"]).otherwise(lo), F.when(stop, s["hi"]).otherwise(hi)
+            ends = [new_lo.cast("int").alias("lo"), new_hi.cast("int").alias("hi")]
+            return F.struct(*ends, x["med"].alias("med"), x["rms"].alias("rms"), done.alias("done"), (s["n"] + 1).alias("n"))
 
         new = F.element_at(F.transform(F.array(now), cut), 1)
         return F.when(s["done"] | (s["hi"] - s["lo"] < 2), states).otherwise(F.concat(states, F.array(new)))
@@ -150,7 +152,9 @@ def residual_tukey(grid: DataFrame, q: float = 3.0) -> DataFrame:
 def profile_mask(cube: DataFrame, bins: int, q: float = 2.0, zapped: list[int] = ()) -> DataFrame:
     """Flags of (subint, chan): deviation, range or first Fourier amplitude outside the quartiles of all kept profiles."""
     angle = 2 * 3.141592653589793 * F.col("bin") / bins
-    f = cube.groupBy("subint", "chan").agg(F.stddev_pop("v").alias("std"), (F.max("v") - F.min("v")).alias("ptp"), F.sqrt(F.pow(F.sum(F.col("v") * F.cos(angle)), 2) + F.pow(F.sum(F.col("v") * F.sin(angle)), 2)).alias("lfamp"))
+    wave = F.sqrt(F.pow(F.sum(F.col("v") * F.cos(angle)), 2) + F.pow(F.sum(F.col("v") * F.sin(angle)), 2))
+    spread = F.max("v") - F.min("v")
+    f = cube.groupBy("subint", "chan").agg(F.stddev_pop("v").alias("std"), spread.alias("ptp"), wave.alias("lfamp"))
     kept = f.filter(~F.col("chan").isin(list(zapped))) if zapped else f
     names = ["std", "ptp", "lfamp"]
     s = kept.agg(*[F.percentile(n, p).alias(f"{n}{i}") for n in names for i, p in enumerate((0.25, 0.75))])
@@ -288,7 +292,11 @@ def channel_kinds(channels: DataFrame) -> DataFrame:
     """Kind of each run of flagged channels against the mean of all channel means: bright, dark or complex."""
     mid = channels.groupBy(*B).agg(F.avg("mean").alias("_mid"))
     own = channels.join(mid, B).withColumn("_island", F.col("chan") - F.row_number().over(Window.partitionBy(*B, "flag").orderBy("chan"))).filter("flag")
-    r = own.groupBy(*B, "_island").agg(F.min("chan").alias("first"), F.max("chan").alias("last"), F.count("*").alias("n"), F.avg("mean").alias("m"), F.first("_mid").alias("_mid"), F.bool_and(F.col("mean") > F.col("_mid") + 1e-5).alias("up"), F.bool_and(F.col("mean") < F.col("_mid") - 1e-5).alias("down"))
+    above, below = F.bool_and(F.col("mean") > F.col("_mid") + 1e-5), F.bool_and(F.col("mean") < F.col("_mid") - 1e-5)
+    r = own.groupBy(*B, "_island").agg(
+        F.min("chan").alias("first"), F.max("chan").alias("last"), F.count("*").alias("n"),
+        F.avg("mean").alias("m"), F.first("_mid").alias("_mid"), above.alias("up"), below.alias("down"),
+    )
     short = F.col("n") <= 2
     kind = F.when(short, F.when(F.col("m") > F.col("_mid"), "bright").otherwise("dark")).when(F.col("up"), "bright").when(F.col("down"), "dark").otherwise("complex")
     return r.select(*B, "first", "last", "n", kind.alias("kind"))

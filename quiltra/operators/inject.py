@@ -53,7 +53,9 @@ def _seeds(grid: DataFrame, n: int, nchan: int, nsamp: int, seed: int, per_sourc
 def clusters(grid: DataFrame, n: int, nchan: int, nsamp: int, height: float, seed: int = 1, stretch: int = 1, code: int = 6, per_source: bool = False) -> DataFrame:
     """Small rectangles of points, up to 3 x 3, taller in frequency by ``stretch``."""
     s = _seeds(grid, n, nchan, nsamp, seed, per_source)
-    cells = s.select(*B, "c", "x", "u", F.explode(F.sequence(F.lit(0), (F.floor(F.col("u") * 3) * stretch).cast("int"))).alias("i")).select(*B, (F.col("c") + F.col("i")).alias("chan"), "x", F.explode(F.sequence(F.lit(0), F.floor(F.col("u") * 9 % 3).cast("int"))).alias("j"))
+    high, wide = (F.floor(F.col("u") * 3) * stretch).cast("int"), F.floor(F.col("u") * 9 % 3).cast("int")
+    cells = s.select(*B, "c", "x", "u", F.explode(F.sequence(F.lit(0), high)).alias("i"))
+    cells = cells.select(*B, (F.col("c") + F.col("i")).alias("chan"), "x", F.explode(F.sequence(F.lit(0), wide)).alias("j"))
     cells = cells.select(*B, "chan", (F.col("x") + F.col("j")).alias("t"), F.lit(height).alias("_s"), F.lit(True).alias("_l"))
     return _added(grid, cells, [*BC, "t"], code)
 

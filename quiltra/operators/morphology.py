@@ -51,7 +51,9 @@ def without_lonely(grid: DataFrame, mask: str, n: int = 3) -> DataFrame:
 def dilated_diamond(grid: DataFrame, mask: str, radius: int) -> DataFrame:
     """Flags within ``radius`` steps of a flag; only flagged pixels send rows."""
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-(radius - abs(a)), radius - abs(a) + 1)])
-    near = grid.filter(F.col(mask)).select(*BC, "t", F.explode(offsets).alias("o")).select(*B, (F.col("chan") + F.col("o.a")).alias("chan"), (F.col("t") + F.col("o.b")).alias("t")).distinct().withColumn("_d", F.lit(True))
+    sent = grid.filter(F.col(mask)).select(*BC, "t", F.explode(offsets).alias("o"))
+    near = sent.select(*B, (F.col("chan") + F.col("o.a")).alias("chan"), (F.col("t") + F.col("o.b")).alias("t"))
+    near = near.distinct().withColumn("_d", F.lit(True))
     return grid.join(near, [*BC, "t"], "left").withColumn(mask, F.coalesce("_d", F.lit(False))).drop("_d")
 
 

@@ -23,4 +23,6 @@ def without_isolated(channels: DataFrame, keys: list[str], at: str, flag: str, l
     """(keys, first, last, n) of the runs that stay: longer ones, and short ones with a flag within ``gap`` on either side."""
     own = runs(channels, keys, at, flag)
     w = Window.partitionBy(*keys).orderBy("first")
-    return own.withColumn("_near", F.coalesce(F.col("first") - F.lag("last").over(w) <= gap, F.lit(False)) | F.coalesce(F.lead("first").over(w) - F.col("last") <= gap, F.lit(False))).filter((F.col("n") > longest) | F.col("_near")).drop("_near")
+    before = F.coalesce(F.col("first") - F.lag("last").over(w) <= gap, F.lit(False))
+    after = F.coalesce(F.lead("first").over(w) - F.col("last") <= gap, F.lit(False))
+    return own.withColumn("_near", before | after).filter((F.col("n") > longest) | F.col("_near")).drop("_near")

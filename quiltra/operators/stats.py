@@ -116,7 +116,10 @@ def flag_shares(pixels: DataFrame, mask: str) -> DataFrame:
 
 
 def timing_summary(rows: DataFrame, stage: str, secs: str) -> DataFrame:
-    return rows.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.sum(secs).alias("total"), F.avg(secs).alias("mean"), F.percentile(secs, 0.5).alias("median"), F.min(secs).alias("least"), F.max(secs).alias("most"), F.stddev_pop(secs).alias("std"))
+    return rows.groupBy(F.col(stage).alias("stage")).agg(
+        F.count("*").alias("n"), F.sum(secs).alias("total"), F.avg(secs).alias("mean"), F.percentile(secs, 0.5).alias("median"),
+        F.min(secs).alias("least"), F.max(secs).alias("most"), F.stddev_pop(secs).alias("std"),
+    )
 
 
 def class_weights(counts: DataFrame, smoothing: str = "sqrt", floor: float = 0.1, median_cap: float = 3.0, ratio_cap: float = 10.0, power: float = 0.5) -> DataFrame:

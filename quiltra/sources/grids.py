@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def embedding_grid(spark: SparkSession, sf_dir: str, block: int = 100) -> DataFrame:
     """Vectors as spectra: one channel for each element, ``block`` vectors in a block."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("chan", "v"))
-    return e.select(F.lit("emb").alias("source"), F.floor(F.col("vec_id") / block).cast("long").alias("block"), F.col("chan").cast("int").alias("chan"), (F.col("vec_id") % block).cast("int").alias("t"), F.col("v").cast("double").alias("v"))
+    place = F.floor(F.col("vec_id") / block).cast("long").alias("block"), (F.col("vec_id") % block).cast("int").alias("t")
+    return e.select(F.lit("emb").alias("source"), place[0], F.col("chan").cast("int").alias("chan"), place[1], F.col("v").cast("double").alias("v"))
 
 
 def lineitem_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,9 @@ def samples_of(rows: DataFrame, nchan: int, npol: int = 1, pol: int = 0) -> Data
     flat = rows.select(*B, "subint", "dat_scl", "dat_offs", F.posexplode("data").alias("pos", "raw"), F.floor(F.size("data") / (npol * nchan)).alias("nsblk"))
     chan = F.col("pos") % nchan
     own = flat.filter(F.floor(F.col("pos") / nchan) % npol == pol)
-    return own.select(*B, chan.cast("int").alias("chan"), (F.col("subint") * F.col("nsblk") + F.floor(F.col("pos") / (npol * nchan))).cast("int").alias("t"), (F.col("raw") * F.element_at("dat_scl", chan + 1) + F.element_at("dat_offs", chan + 1)).alias("v"))
+    t = (F.col("subint") * F.col("nsblk") + F.floor(F.col("pos") / (npol * nchan))).cast("int")
+    v = F.col("raw") * F.element_at("dat_scl", chan + 1) + F.element_at("dat_offs", chan + 1)
+    return own.select(*B, chan.cast("int").alias("chan"), t.alias("t"), v.alias("v"))
 
 
 def grouped_blocks(rows: DataFrame, per_block: int) -> DataFrame:
