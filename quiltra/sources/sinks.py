@@ -23,7 +23,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 #: What a caller must say to have stored blocks replaced.
-CONFIRMATION = "I know what I am doing!"
+CONFIRMATION = "replace the stored blocks"
 
 
 def by_block(grid: DataFrame, path: str, overwrite: bool = False, confirmed: str = "") -> DataFrame:
