@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 #: Most MinHash values; more of them make room for more rows in a band, and so for fewer chance candidates.
 HASHES = 192
-BLOCK = 128
+BLOCK = 96
 #: Parts that a large unit's rows are dealt in.
 SALTS = 32
 
