@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quiltra.functions.exprs import B, BC, rounded
-from quiltra.operators import detect as D
 from quiltra.operators import flows
 from quiltra.operators import morphology as M
 from quiltra.operators import substitute as X
