@@ -35,62 +35,72 @@ ROUNDS = 200
 LIFT = 8
 #: Bound on the labelled documents that the lexicon of toxic words is drawn from, and the least share of toxic ones with a word.
 LABELLED_ROWS = 10_000
-MARK_SHARE, LEAST_MARKED = 0.015, 5
+MARK_SHARE, LEFT_TO_CHANCE = 0.015, 0.5
 #: Lengths in letters of the word beginnings in the lexicon, and in bytes of those that the scorer sees.
 BEGINNINGS, BYTE_BEGINNINGS = (4, 5, 6, 7), (4, 5, 7)
-#: What is known beforehand of labellers: how often one rejects a clean document, with so many times the weight of the documents.
-FALSE_REJECTS, PRIOR_WEIGHT = 0.002, 30.0
+#: What is known beforehand of labellers, as so many votes: that their votes on a class are the more often right ones.
+BELIEF = 4.0
 
-# Common insults, without regard to any table.
-INSULTS = """
-arrogant awful bastard bigot brainless braindead bully cheat clown clueless clumsy coward crazy creep cretin crook cruel deceitful deranged
-disgrace disgusting dishonest dolt dork dumb dunce dweeb failure fake fool foolish fraud freak garbage gross gullible hateful hideous hypocrite
-idiot idiotic ignorant imbecile incompetent inferior insane jerk lame laughable lazy liar loser lousy lowlife lunatic miserable moron moronic
-nasty nitwit obnoxious parasite pathetic pest pig psycho rat repulsive revolting ridiculous rotten rubbish scum scumbag selfish shameful shameless
-sick sleazy slimy snake spineless stupid stupidity terrible thief thug trash twit ugly useless vile vulgar weakling weirdo wicked worthless wretched
-""".split()
 
+def beginning(k: int):
+    return lambda w: F.substring(w, 1, k)
 
-def lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[str]:
-    """Beginnings of words that mark toxic documents: in at least MARK_SHARE of the toxic texts, in no other labelled text.
 
-    Reads at most about ``rows`` labelled documents, drawn by hash. Each entry is in a fixed share of the sample, so the
-    list has at most 1/MARK_SHARE times as many entries as a document has words.
+def lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[list[str]]:
+    """Words, and beginnings of words, that mark toxic documents, two lists, each drawn from a half of the labelled documents of its own.
+
+    An entry is in at least MARK_SHARE of the half's toxic texts, and in so many that chance leaves few, in no other text of
+    the half. Reads at most about
+    ``rows`` labelled documents, drawn by hash. Each entry is in a fixed share of the sample, so a list has at most
+    1/MARK_SHARE times as many entries as a document has words.
     """
     marked = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n = marked.count()
     chance = (F.shiftright(F.xxhash64("doc_id", F.lit(7)), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
     own = common.texts(docs).filter(chance < min(1.0, rows / max(1, n))).join(marked, "doc_id").dropDuplicates(["text"])
+    own = own.withColumn("half", F.pmod(F.xxhash64("text", F.lit(8)), F.lit(2)).cast("int"))
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) > 3)
-    starts = F.array_distinct(F.flatten(F.array(*[F.transform(words, lambda w, k=k: F.substring(w, 1, k)) for k in BEGINNINGS])))
-    least = max(LEAST_MARKED, int(MARK_SHARE * own.filter("toxic = 1").count()))
-    found = own.select("toxic", F.explode(starts).alias("start")).groupBy("start").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good"))
-    kept: list[str] = []
-    for start in sorted((r["start"] for r in found.filter((F.col("bad") >= least) & (F.col("good") == 0)).select("start").collect()), key=lambda s: (len(s), s)):
-        if not start.startswith(tuple(kept)):
-            kept.append(start)
+    starts = F.array_distinct(F.flatten(F.array(words, *[F.transform(words, beginning(k)) for k in BEGINNINGS])))
+    sizes = {(r["half"], r["toxic"]): r["count"] for r in own.groupBy("half", (F.col("toxic") == 1).alias("toxic")).count().collect()}
+    found = own.select("toxic", "half", F.explode(starts).alias("start")).groupBy("half", "start").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good"))
+    found = common.stored(found, "beginnings")
+    # Of beginnings in k texts, chance leaves share**k of them in toxic ones alone; from ``least`` on, less than LEFT_TO_CHANCE in all.
+    times = {(r["half"], r["k"]): r["count"] for r in found.filter(F.col("bad") + F.col("good") <= 64).groupBy("half", (F.col("bad") + F.col("good")).alias("k")).count().collect()}
+    bounds = []
+    for half in (0, 1):
+        toxic = sizes.get((half, True), 0)
+        share, k, left = toxic / max(1, toxic + sizes.get((half, False), 0)), 65, 0.0
+        while k > 1 and left + times.get((half, k - 1), 0) * share ** (k - 1) < LEFT_TO_CHANCE:
+            k -= 1
+            left += times.get((half, k), 0) * share**k
+        bounds.append(max(k, int(MARK_SHARE * toxic)))
+    least = F.when(F.col("half") == 0, bounds[0]).otherwise(bounds[1])
+    kept: list[list[str]] = [[], []]
+    for r in sorted(found.filter((F.col("bad") >= least) & (F.col("good") == 0)).select("half", "start").collect(), key=lambda r: (len(r["start"]), r["start"])):
+        if not r["start"].startswith(tuple(kept[r["half"]])):
+            kept[r["half"]].append(r["start"])
     return kept
 
 
-LABELLERS = ["learned_words", "insults", "marked_words", "symbols", "exclamations", "capitals", "same_word_again", "few_words", "bare_marks"]
+#: Labellers of form and of toxic words; each group has an EM of its own, for a text can have either fault without the other.
+FORM = ["marked_words", "symbols", "exclamations", "capitals", "same_word_again", "few_words", "bare_marks"]
+TOXIC = ["words_of_one_half", "words_of_the_other_half", "several_words"]
+LABELLERS = [*FORM, *TOXIC]
 #: Bytes that are no symbols: letters, digits, white space, common punctuation and all beyond ASCII.
 PLAIN = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum() or chr(b).isspace() or chr(b) in ".,;:'!?()-")
 SYMBOLS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
-INSULT_WORDS = frozenset(w.encode() for w in INSULTS)
 
 
-def votes_of(text: bytes, marks: tuple[str, ...], starts: frozenset[str]) -> list[int]:
+def votes_of(text: bytes, marks: list[tuple[str, ...]], starts: frozenset[str]) -> list[int]:
     """The labellers' votes on a whole text: 1 reject, 0 keep, -1 abstain. ``starts`` are the first four letters of the marks."""
     words = text.split()
     n = max(1, len(words))
     counts = Counter(words)
     m = max(1, len(counts))
     cores = {w: w.strip(SYMBOLS).lower() for w in counts}
-    insults = len(INSULT_WORDS.intersection(cores.values()))
-    marked = 0
-    if marks:
-        parts = [p for p in text.decode().lower().replace("\n", " ").split(" ") if p[:4] in starts]
-        marked = sum(p.startswith(marks) for p in set(parts))
+    parts = {p for p in text.decode().lower().replace("\n", " ").split(" ") if p[:4] in starts} if starts else ()
+    marked = [sum(p.startswith(own) for p in parts) for own in marks]
+    several = sum(p.startswith(marks[0] + marks[1]) for p in parts)
     ends = sum(w[-3:] == w[-1:] * 3 and w[-1] in SYMBOLS for w in counts) / m
     symbols = len(text.translate(None, PLAIN)) / n
     exclamations = text.count(b"!") / n
@@ -100,16 +110,16 @@ def votes_of(text: bytes, marks: tuple[str, ...], starts: frozenset[str]) -> lis
     enough = len(words) >= 5
     vote = lambda bad, good: 1 if bad else 0 if good else -1
     return [
-        vote(marked >= 2, marked == 0), vote(insults >= 2, insults == 0),
         vote(enough and ends >= 0.3, ends < 0.05), vote(enough and symbols >= 0.5, symbols < 0.2), vote(enough and exclamations >= 0.3, exclamations < 0.05),
         vote(enough and capitals >= 0.4, capitals < 0.1), vote(enough and again >= 0.3, again < 0.05),
         vote(len(words) >= 50 and m < 0.15 * n, len(words) < 50 or m > 0.25 * n), vote(enough and bare >= 0.25, bare < 0.05),
+        *[vote(k >= 1, bool(own)) for k, own in zip(marked, marks)], vote(several >= 2, bool(starts) and several == 0),
     ]
 
 
-def votes(docs: DataFrame, marks: list[str] = (), with_features: bool = False) -> DataFrame:
+def votes(docs: DataFrame, marks: list[list[str]] = ((), ()), with_features: bool = False) -> DataFrame:
     """(doc_id, key, votes, features): a hash of the text, one vote for each labeller, and the hashed features if asked for."""
-    all_marks, starts = tuple(marks), frozenset(m[:4] for m in marks)
+    all_marks, starts = [tuple(own) for own in marks], frozenset(m[:4] for own in marks for m in own)
 
     def run(batches):
         for batch in batches:
@@ -124,9 +134,8 @@ def votes(docs: DataFrame, marks: list[str] = (), with_features: bool = False) -
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns: the posterior of rejection for each, the labellers' chances [labeller, class, vote], the prior.
 
-    The start takes any rejecting vote for a likely reject. Chances are those of the highest posterior: each vote is
-    smoothed by one, and the votes on clean documents by PRIOR_WEIGHT times as many votes that reject at FALSE_REJECTS. For
-    labellers look for unlike faults, so few agree on one; what holds the class together is that clean text is seldom rejected.
+    The start takes any rejecting vote for a likely reject. Each vote is smoothed by one, and by BELIEF votes that are right
+    on the class; all else is the documents'.
     """
     m = patterns.shape[1]
     share_bad = (patterns == 1).sum(1) / np.maximum(1, (patterns >= 0).sum(1))
@@ -137,11 +146,7 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
         for vote in (-1, 0, 1):
             own = patterns == vote
             for c, p in enumerate((1 - post, post)):
-                chance[:, c, vote] = (own * (p * counts)[:, None]).sum(0) + 1
-        said = chance[:, 0, :2].sum(1)
-        chance[:, 0, 1] += PRIOR_WEIGHT * said * FALSE_REJECTS
-        chance[:, 0, 0] += PRIOR_WEIGHT * said * (1 - FALSE_REJECTS)
-        chance[:, 0, -1] *= 1 + PRIOR_WEIGHT
+                chance[:, c, vote] = (own * (p * counts)[:, None]).sum(0) + 1 + BELIEF * (vote == c)
         chance /= chance.sum(2, keepdims=True)
         at = chance[np.arange(m)[None, :], :, patterns]
         odds = np.log(prior / (1 - prior)) + (np.log(at[:, :, 1]) - np.log(at[:, :, 0])).sum(1)
@@ -152,6 +157,18 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     return post, chance, prior
 
 
+def posteriors(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chance that a text has either fault, by pattern; the labellers' chances), by EM in each group of labellers."""
+    clean, chances = np.ones(len(patterns)), []
+    for own in (slice(0, len(FORM)), slice(len(FORM), None)):
+        kinds, at = np.unique(patterns[:, own], axis=0, return_inverse=True)
+        post, chance, _ = accuracies(kinds, np.bincount(at.ravel(), weights=counts, minlength=len(kinds)))
+        # Where no labeller of the group rejects, the group has nothing to say against a text.
+        clean *= 1 - np.where((kinds == 1).any(1), post, 0.0)[at.ravel()]
+        chances.append(chance)
+    return 1 - clean, np.concatenate(chances)
+
+
 def features(text: bytes) -> np.ndarray:
     """Distinct hashed features: lower-cased words without marks at the end, their beginnings, the marks alone, case and repeats."""
     out = set()
@@ -208,13 +225,13 @@ def train(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray) -> t
     return w, b, float((edges[k] + edges[k + 1]) / 2)
 
 
-def model_of(docs: DataFrame, marks: list[str] = (), train_rows: int = TRAIN_ROWS):
+def model_of(docs: DataFrame, marks: list[list[str]] = ((), ()), train_rows: int = TRAIN_ROWS):
     """Posteriors by pattern, and the scorer fitted on a bounded sample."""
     counted = votes(docs, marks).groupBy("votes").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("texts")).collect()
     if not counted:
         return {}, (np.zeros(1 << FEATURE_BITS), 0.0, 0.0), None
     patterns, counts = np.array([r["votes"] for r in counted], dtype=np.int64), np.array([r["n"] for r in counted], dtype=float)
-    post, chance, _ = accuracies(patterns, counts)
+    post, chance = posteriors(patterns, counts)
     posterior = {tuple(map(int, p)): float(x) for p, x in zip(patterns, post)}
     bad = [list(p) for p, x in posterior.items() if x >= 0.5]
     is_bad = F.array_contains(F.array(*[F.array(*[F.lit(v).cast("tinyint") for v in p]) for p in bad]), F.col("votes")) if bad else F.lit(False)
@@ -233,7 +250,7 @@ def model_of(docs: DataFrame, marks: list[str] = (), train_rows: int = TRAIN_ROW
 def scored(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, score, rejected) of every document; labels (doc_id, toxic) give the lexicon, if there are any."""
     own = common.texts(docs)
-    _, (w, b, cut), _ = model_of(own, lexicon(own, labels) if labels is not None else [], train_rows)
+    _, (w, b, cut), _ = model_of(own, lexicon(own, labels) if labels is not None else ((), ()), train_rows)
     shared = docs.sparkSession.sparkContext.broadcast((w, b, cut))
 
     def run(batches):
@@ -248,7 +265,7 @@ def scored(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = T
 def accepted(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that aren't rejected."""
     own = common.texts(docs, text_col=text_col)
-    _, (w, b, cut), _ = model_of(own, lexicon(own, labels) if labels is not None else [], train_rows)
+    _, (w, b, cut), _ = model_of(own, lexicon(own, labels) if labels is not None else ((), ()), train_rows)
     shared = docs.sparkSession.sparkContext.broadcast((w, b, cut))
 
     def run(batches):

@@ -4,15 +4,16 @@ Documents are range-partitioned by id. Each task encodes its documents in order
 A segment's payload is one self-contained byte string:
 
     "PFOR", ids in a block (u16), documents (u32), blocks (u32), ids (u64)
-    documents x (id i64, ids with the end id u32), blocks x start of the block (u32), blocks
+    documents x (id i64, ids with the end id u32, its highest bit set if the document has no id), blocks x start of the
+    block (u32), blocks
     block: minimum (u32), width (u8), exceptions (u8), packed low bits (16 bytes for each bit of width),
            exceptions x position (u8), exceptions x high bits (u32)
 
 A block holds 128 ids less their minimum. The width is the bit length at the PERCENTILE of the block; longer values keep
 their low bits in place and their high bits in the exception list. Value 4*i+l sits in lane l of four 32-bit lanes.
 
-Defined results: a null or empty text is the end id alone; rows of equal id are ordered by text and all kept; an empty
-table writes no segment; a very long text is one segment of its own; extra columns are ignored.
+Defined results: a null or empty text is the end id alone; rows of equal id are ordered by text and all kept; rows without
+an id come last, by text, and are all kept; an empty table writes no segment; a very long text is one segment of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from . import common
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 16
+NO_ID = 1 << 31
 END_ID = 0
 #: Distinct pieces of text whose ids a worker remembers.
 REMEMBERED = 150_000
@@ -201,22 +203,23 @@ def unpack(starts: np.ndarray, blocks: np.ndarray, n_ids: int) -> np.ndarray:
     return (values + base[:, None]).reshape(-1)[:n_ids]
 
 
-def segment(docs: list[int], counts: list[int], ids: np.ndarray) -> bytes:
+def segment(docs: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     starts, blocks = pack(ids)
     table = np.zeros(len(docs), np.dtype([("doc", "<i8"), ("n", "<u4")]))
-    table["doc"], table["n"] = docs, counts
+    table["doc"], table["n"] = [d or 0 for d in docs], [n | NO_ID * (d is None) for d, n in zip(docs, counts)]
     return HEADER.pack(b"PFOR", BLOCK, len(docs), len(starts), len(ids)) + table.tobytes() + starts.astype("<u4").tobytes() + blocks
 
 
-def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, their numbers of ids, all ids)."""
+def read_segment(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(document ids, null where there is none, their numbers of ids, all ids)."""
     magic, block, n_docs, n_blocks, n_ids = HEADER.unpack_from(data)
     if magic != b"PFOR" or block != BLOCK:
         raise ValueError("not a segment of token ids")
     table = np.frombuffer(data, np.dtype([("doc", "<i8"), ("n", "<u4")]), n_docs, HEADER.size)
     at = HEADER.size + table.nbytes
     starts = np.frombuffer(data, "<u4", n_blocks, at)
-    return table["doc"].astype(np.int64), table["n"].astype(np.int64), unpack(starts, np.frombuffer(data, np.uint8, offset=at + starts.nbytes), n_ids)
+    docs = pa.array(table["doc"].astype(np.int64), mask=table["n"] >= NO_ID)
+    return docs, table["n"].astype(np.int64) & (NO_ID - 1), unpack(starts, np.frombuffer(data, np.uint8, offset=at + starts.nbytes), n_ids)
 
 
 def one_block(data: bytes, k: int) -> np.ndarray:
@@ -256,7 +259,8 @@ def segments(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield flush()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = common.texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    by_id = F.col("doc_id").asc_nulls_last()
+    ordered = common.texts(docs).repartitionByRange(parts, by_id).sortWithinPartitions(by_id, "text")
     return ordered.mapInArrow(encode, SEGMENTS)
 
 
@@ -271,7 +275,7 @@ def token_index(files: DataFrame) -> DataFrame:
     Starts need the ids in earlier partitions: a table of one row for each partition, summed in order and broadcast.
     """
     totals = files.groupBy("part").agg(F.min("first_doc").alias("first"), F.sum("n_ids").alias("ids"))
-    before = totals.select("part", (F.sum("ids").over(Window.orderBy("first", "part")) - F.col("ids")).alias("before"))
+    before = totals.select("part", (F.sum("ids").over(Window.orderBy(F.col("first").asc_nulls_last(), "part")) - F.col("ids")).alias("before"))
 
     def decode(batches):
         for batch in batches:
