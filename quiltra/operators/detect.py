@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from quiltra.functions.exprs import B, BC, BT, along_t, lower_median, tukey
-from quiltra.operators.runs import in_runs, runs
+from quiltra.operators.runs import in_runs
+from quiltra.operators.stats import channel_spread, noise
 
 STATE = "struct<lo:int,hi:int,med:double,rms:double,done:boolean,n:int>"
 
@@ -70,10 +71,13 @@ def clip_trace(grid: DataFrame, k: float) -> DataFrame:
     return s.select(*BC, F.col("s.n").alias("round"), F.col("s.med").alias("med"), F.col("s.rms").alias("rms"), (F.col("s.hi") - F.col("s.lo") + 1).alias("kept"))
 
 
-def clip_channels(channels: DataFrame, k: float, value: str = "std") -> DataFrame:
-    """Channel flags: channels whose deviation is outside what 30 rounds of clipping keep; the lower limit is at least 0."""
+def clip_channels(channels: DataFrame, k: float, value: str = "std", kind: str = "lower", floor_zero: bool = True) -> DataFrame:
+    """Channel flags: channels whose deviation is outside what 30 rounds of clipping keep; the lower limit is at least 0.
+
+    The shorter flows clip about the averaged median, without that limit.
+    """
     own = channels.withColumn("v", F.col(value))
-    b = clip_bounds(own, B, k, 30, floor_zero=True, rate=0.01)
+    b = clip_bounds(own, B, k, 30, kind, floor_zero, 0.01)
     return own.join(b, B).withColumn("flag", (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).drop("least", "most", "v")
 
 
@@ -81,15 +85,16 @@ def mean_outliers(channels: DataFrame, k: float, among: str | None = None, centr
     """Channel flags: means outside centre +- k deviations of the block's channels (those not flagged in ``among``; three at least)."""
     own = channels.filter(~F.col(among)) if among else channels
     mid = lower_median("mean") if centre == "median" else F.avg("mean")
-    s = own.groupBy(*B).agg(mid.alias("_mid"), F.stddev_pop("mean").alias("_dev"), F.count("*").alias("_n"))
+    s = own.groupBy(*B).agg(mid.alias("_mid"), F.stddev_pop("mean").alias("_dev"), F.count("mean").alias("_n"))
     out = channels.join(s, B, "left")
     far = F.coalesce((F.col("_n") >= 3) & (F.abs(F.col("mean") - F.col("_mid")) > k * F.col("_dev")), F.lit(False))
     return out.withColumn("flag", far & ~F.col(among) if among else far).drop("_mid", "_dev", "_n")
 
 
-def tukey_channels(channels: DataFrame, q: float) -> DataFrame:
+def tukey_channels(channels: DataFrame, q: float, always: bool = False) -> DataFrame:
+    """Channel flags: deviations outside the quartiles by q times their distance; none where the quartiles are equal, unless ``always``."""
     s = channels.groupBy(*B).agg(F.percentile("std", 0.25).alias("_a"), F.percentile("std", 0.75).alias("_b"))
-    return channels.join(s, B).withColumn("flag", (F.col("_b") > F.col("_a")) & tukey(F.col("_a"), F.col("_b"), F.col("std"), q)).drop("_a", "_b")
+    return channels.join(s, B).withColumn("flag", ((F.col("_b") > F.col("_a")) | F.lit(always)) & tukey(F.col("_a"), F.col("_b"), F.col("std"), q)).drop("_a", "_b")
 
 
 def lagged(rows: DataFrame, keys: list[str], at: str, value: str, k: int) -> Column:
@@ -154,8 +159,8 @@ def iqrm(rows: DataFrame, keys: list[str], at: str, value: str, size: int, radiu
 def iqrm_or_tukey(grid: DataFrame, nchan: int, nsamp: int) -> DataFrame:
     """Pixel flags: all of a channel whose deviation is flagged, else the pixels that IQRM flags along its time."""
     std = grid.groupBy(*BC).agg(F.stddev_pop("v").alias("std"))
-    flags = tukey_channels(std, 1.5).withColumnRenamed("flag", "_t").join(iqrm(std, B, "chan", "std", nchan, nchan // 10).select(*BC, F.col("flag").alias("_i")), BC).select(*BC, (F.col("_t") | F.col("_i")).alias("_c"))
-    pixels = iqrm(grid, BC, "t", "v", nsamp, nsamp // 10)
+    flags = tukey_channels(std, 1.5, always=True).withColumnRenamed("flag", "_t").join(iqrm(std, B, "chan", "std", nchan, max(1, nchan // 10)).select(*BC, F.col("flag").alias("_i")), BC).select(*BC, (F.col("_t") | F.col("_i")).alias("_c"))
+    pixels = iqrm(grid, BC, "t", "v", nsamp, max(1, nsamp // 10))
     return pixels.join(flags, BC).withColumn("m", F.col("_c") | F.col("flag")).drop("_c", "flag")
 
 
@@ -196,20 +201,24 @@ def phase_spikes(cube: DataFrame, q: float = 4.0, zapped: list[int] = ()) -> Dat
     return total.join(F.broadcast(s), "bin").select("subint", "bin", "total", "med", tukey(F.col("_a"), F.col("_b"), F.col("total"), q).alias("flag"))
 
 
-def without_spikes(cube: DataFrame, flags: DataFrame) -> DataFrame:
-    """Flagged places get the profile's median plus the place's median over the number of channels."""
-    n = cube.groupBy("subint", "bin").agg(F.count("*").alias("_n"))
+def without_spikes(cube: DataFrame, flags: DataFrame, zapped: list[int] = ()) -> DataFrame:
+    """Flagged places get the profile's median plus the place's median over the number of channels; zapped channels stay as they are and don't count."""
+    valid = ~F.col("chan").isin(list(zapped)) if zapped else F.lit(True)
+    n = cube.filter(valid).groupBy("subint", "bin").agg(F.count("*").alias("_n"))
     base = cube.groupBy("subint", "chan").agg(F.percentile("v", 0.5).alias("_base"))
-    own = cube.join(base, ["subint", "chan"]).join(flags.join(n, ["subint", "bin"]).select("subint", "bin", "flag", "med", "_n"), ["subint", "bin"])
-    return own.select("subint", "chan", "bin", F.when(F.col("flag"), F.col("_base") + F.col("med") / F.col("_n")).otherwise(F.col("v")).alias("v"))
+    own = cube.join(base, ["subint", "chan"]).join(flags.join(n, ["subint", "bin"]).select("subint", "bin", "flag", "med", "_n"), ["subint", "bin"], "left")
+    return own.select("subint", "chan", "bin", F.when(F.col("flag") & valid, F.col("_base") + F.col("med") / F.col("_n")).otherwise(F.col("v")).alias("v"))
 
 
 def bad_bins(flags: DataFrame) -> DataFrame:
     return flags.filter("flag").groupBy("subint").agg(F.array_sort(F.collect_list("bin")).alias("bins"))
 
 
-def window_hits(rows: DataFrame, keys: list[str], at: str, value: Column, mask: Column, first: float, sizes: int) -> DataFrame:
-    """SumThreshold: whether some full window of 1, 2, 4, ... places has a mean of |value| over unmasked ones above its limit."""
+def window_hits(rows: DataFrame, keys: list[str], at: str, value: Column, mask: Column, first: Column, sizes: int) -> DataFrame:
+    """SumThreshold: whether some full window of 1, 2, 4, ... places has a mean of |value| over unmasked ones above its limit.
+
+    ``first`` is the limit of a single place: a constant, or a column of each row's group.
+    """
     import math
 
     w = Window.partitionBy(*keys).orderBy(at)
@@ -224,9 +233,9 @@ def window_hits(rows: DataFrame, keys: list[str], at: str, value: Column, mask:
     return rows.withColumn("_hit", F.greatest(*[F.col(f"_g{m}") for m in range(1, sizes + 1)]) if sizes > 1 else F.col("_g1")).drop(*[f"_{c}{m}" for c in "hg" for m in range(1, sizes + 1)])
 
 
-def sum_threshold(rows: DataFrame, keys: list[str], at: str, first: float, sizes: int, value: str = "v", mask: str | None = None) -> DataFrame:
+def sum_threshold(rows: DataFrame, keys: list[str], at: str, first: float | Column, sizes: int, value: str = "v", mask: str | None = None) -> DataFrame:
     m = F.col(mask) if mask else F.lit(False)
-    return window_hits(rows, keys, at, F.col(value), m, first, sizes).withColumnRenamed("_hit", "hit")
+    return window_hits(rows, keys, at, F.col(value), m, F.lit(first) if isinstance(first, (int, float)) else first, sizes).withColumnRenamed("_hit", "hit")
 
 
 def smoothed(pixels: DataFrame, mask: str, sigma: float = 7.5, taps: int = 40) -> DataFrame:
@@ -241,12 +250,17 @@ def smoothed(pixels: DataFrame, mask: str, sigma: float = 7.5, taps: int = 40) -
 
 
 def sum_threshold_2d(pixels: DataFrame, mask: str, k: float, sizes: int) -> DataFrame:
-    """SumThreshold along both axes of the residual about a smooth surface, in units of the block's deviation."""
-    r = smoothed(pixels, mask).withColumn("r", F.col("v") - F.col("smooth"))
-    dev = r.groupBy(*B).agg(F.stddev_pop("r").alias("_dev"))
-    own = r.join(dev, B).withColumn("r", F.col("r") / (F.col("_dev") + 1e-6)).drop("_dev", "smooth")
-    own = sum_threshold(own, BC, "t", k, sizes, "r", mask).withColumnRenamed("hit", "_along_t")
-    return sum_threshold(own, BT, "chan", k, sizes, "r", mask).withColumn("m", F.col("hit") | F.col("_along_t")).drop("hit", "_along_t", "r")
+    """SumThreshold along both axes of the residual about a smooth surface, in units of the values' deviation in the block.
+
+    The limit of a single pixel is k times the noise of the block's unmasked residual. Masked pixels take no part in the
+    surface and the noise; windows hold all pixels.
+    """
+    dev = pixels.groupBy(*B).agg(F.stddev_pop("v").alias("_dev"))
+    own = smoothed(pixels, mask).join(dev, B).withColumn("r", (F.col("v") - F.col("smooth")) / (F.col("_dev") + 1e-6)).drop("_dev", "smooth")
+    level = noise(own.filter(~F.col(mask)).select(*BC, "t", F.col("r").alias("v"))).select(*B, (k * F.col("sigma")).alias("_first"))
+    own = own.join(level, B, "left").withColumn("_first", F.coalesce("_first", F.lit(0.0)))
+    own = sum_threshold(own, BC, "t", F.col("_first"), sizes, "r").withColumnRenamed("hit", "_along_t")
+    return sum_threshold(own, BT, "chan", F.col("_first"), sizes, "r").withColumn("m", F.col("hit") | F.col("_along_t")).drop("hit", "_along_t", "r", "_first")
 
 
 def vertical(pixels: DataFrame, excluded: str, k: float = 4.0, least: int = 3) -> DataFrame:
@@ -257,45 +271,141 @@ def vertical(pixels: DataFrame, excluded: str, k: float = 4.0, least: int = 3) -
     return in_runs(hot, B, "t", "_hot", least, "flag").drop("_hot")
 
 
-def vertical_robust(pixels: DataFrame, point: str, k: float = 4.0, ratio: float = 0.05) -> DataFrame:
-    """Flags of times whose median stands k scaled median distances above the positive medians' median, with enough points."""
-    t = pixels.groupBy(*BT).agg(F.percentile("v", 0.5).alias("med"), F.avg(F.col(point).cast("double")).alias("ratio"))
+def vertical_robust(pixels: DataFrame, point: str, k: float = 4.0, ratio: float = 0.05, flag: str | None = None) -> DataFrame:
+    """Flags of times whose median stands k scaled median distances above the positive medians' median, with enough points.
+
+    Pixels of flagged channels take part neither in the medians nor in the share of points; a time without others has the
+    median 0. Two positive medians are needed in a block.
+    """
+    good = ~F.col(flag) if flag else F.lit(True)
+    t = pixels.groupBy(*BT).agg(F.coalesce(F.percentile(F.when(good, F.col("v")), 0.5), F.lit(0.0)).alias("med"), F.coalesce(F.avg(F.when(good, F.col(point).cast("double"))), F.lit(0.0)).alias("ratio"))
     up = t.filter("med > 0")
-    mid = up.groupBy(*B).agg(F.percentile("med", 0.5).alias("_m"))
+    mid = up.groupBy(*B).agg(F.percentile("med", 0.5).alias("_m"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
     far = up.join(mid, B).groupBy(*B).agg(F.first("_m").alias("_m"), (F.percentile(F.abs(F.col("med") - F.col("_m")), 0.5) * 1.4826).alias("_d"))
     return t.join(far, B, "left").withColumn("flag", F.coalesce((F.col("med") > F.col("_m") + k * F.col("_d")) & (F.col("ratio") > ratio), F.lit(False))).drop("_m", "_d")
 
 
+def anchored_runs(cells: np.ndarray, eps: float, rho: float, share: float, least: int) -> list[tuple[int, int]]:
+    """The runs (first, last) of alike columns of one block as [channels, times], NaN where a cell is missing.
+
+    Going up in time, a column like the one before it is an anchor: its run takes the columns on both sides up to the first
+    that isn't like the anchor itself, and the next anchor is looked for after the run's end.
+    """
+    n = cells.shape[1]
+
+    def alike(a: int, b: int) -> bool:
+        d = np.abs(cells[:, a] - cells[:, b])
+        both = ~np.isnan(d)
+        if not both.any():
+            return False
+        size = (np.abs(cells[both, a]) + np.abs(cells[both, b])).mean() / 2
+        return d[both].mean() <= min(eps, rho * size) and (d[both] <= eps).mean() >= share
+
+    out, t = [], 1
+    while t < n:
+        if not alike(t, t - 1):
+            t += 1
+            continue
+        first, last = t - 1, t
+        while last + 1 < n and alike(last + 1, t):
+            last += 1
+        while first > 0 and alike(first - 1, t):
+            first -= 1
+        if last - first + 1 >= least:
+            out.append((first, last))
+        t = last + 1
+    return out
+
+
 def repeated_columns(grid: DataFrame, eps: float, rho: float, share: float, least: int) -> DataFrame:
-    """Runs (first, last, n) of neighbouring times that look alike: mean difference at most min(eps, rho times the mean size),
-    and at least ``share`` of the channels within eps."""
-    own = grid.withColumn("p", F.lag("v").over(along_t())).filter("p is not null")
+    """Runs (first, last, n) of times that look like the run's anchor: mean difference at most min(eps, rho times the mean size),
+    and at least ``share`` of the channels within eps; channels in which either time is missing don't count.
+
+    Anchors are times like the one before them. Most blocks have none and end there; a block that has some is brought
+    together for the walk from anchor to anchor, in as many comparisons as it has times, or three a time at most.
+    """
+    own = grid.select(*BC, "t", "v").withColumns({"p": F.lag("v").over(along_t()), "_b": F.lag("t").over(along_t())}).filter(F.col("_b") == F.col("t") - 1)
     d = F.abs(F.col("v") - F.col("p"))
     s = own.groupBy(*BT).agg(F.avg(d).alias("d"), F.avg((F.abs("v") + F.abs("p")) / 2).alias("size"), F.avg((d <= eps).cast("double")).alias("near"))
-    like = s.withColumn("like", (F.col("d") <= F.least(F.lit(eps), rho * F.col("size"))) & (F.col("near") >= share))
-    return runs(like, B, "t", "like").select(*B, (F.col("first") - 1).alias("first"), "last", (F.col("n") + 1).alias("n")).filter(F.col("n") >= least)
+    some = s.filter((F.col("d") <= F.least(F.lit(eps), rho * F.col("size")) + 1e-12) & (F.col("near") >= share - 1e-12)).select(*B).distinct()
+
+    def walk(table: pa.Table) -> pa.Table:
+        chan, t = table["chan"].to_numpy(), table["t"].to_numpy()
+        cells = np.full((chan.max() - chan.min() + 1, t.max() - t.min() + 1), np.nan)
+        cells[chan - chan.min(), t - t.min()] = table["v"].to_numpy()
+        found = np.array(anchored_runs(cells, eps, rho, share, least), np.int64).reshape(-1, 2)
+        first, last = found.T + int(t.min())
+        keys = {c: pa.repeat(table[c][0], len(found)) for c in B}
+        return pa.table({**keys, "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32()), "n": pa.array(last - first + 1, pa.int64())})
+
+    schema = StructType([*[grid.schema[c] for c in B], StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("n", LongType())])
+    return grid.select(*BC, "t", "v").join(some, B, "left_semi").groupBy(*B).applyInArrow(walk, schema)
+
+
+def packed_times(points: DataFrame, mask: str) -> DataFrame:
+    """(BC, words): a channel's flagged times as bits of 64-bit words, from time 0 on; channels without flags have no row."""
+    words = points.filter(F.col(mask)).groupBy(*BC, F.floor(F.col("t") / 64).cast("int").alias("_w"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, t % 64))").alias("_bits"))
+    held = words.groupBy(*BC).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bits"))).alias("_m"))
+    every = F.sequence(F.lit(0), F.array_max(F.map_keys("_m")))
+    return held.select(*BC, F.transform(every, lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0).cast("long"))).alias("words"))
+
+
+def _earlier(words: Column, by: Column) -> Column:
+    """Bits moved ``by`` times down (up, if negative), within the words there are."""
+    at = lambda k: F.coalesce(F.get(words, k), F.lit(0).cast("long"))
+    q, r = F.floor(by / 64).cast("int"), F.pmod(by, F.lit(64)).cast("int")
+    low = lambda k: F.call_function("shiftrightunsigned", at(k + q), r)
+    high = lambda k: F.when(r > 0, F.call_function("shiftleft", at(k + q + 1), 64 - r)).otherwise(F.lit(0).cast("long"))
+    return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: low(k).bitwiseOR(high(k)))
+
+
+def _both(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def _ones(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))
 
 
 def periodic(points: DataFrame, mask: str, shortest: int, longest: int, pairs: int, share: float) -> DataFrame:
-    """The best period of each channel's flagged points: most pairs a period apart, then larger share, then shorter period."""
-    p = points.filter(F.col(mask)).select(*BC, "t")
-    n = p.groupBy(*BC).agg(F.count("*").alias("_n"))
-    at = p.select(*BC, F.explode(F.sequence(F.lit(shortest), F.lit(longest))).alias("period"), "t")
-    met = at.withColumn("_t2", F.col("t") + F.col("period")).join(p.select(*BC, F.col("t").alias("_t2")), [*BC, "_t2"])
-    s = met.groupBy(*BC, "period").agg(F.count("*").alias("pairs")).join(n, BC)
-    good = s.filter((F.col("pairs") >= pairs) & (F.col("pairs") >= share * F.col("_n")))
-    best = Window.partitionBy(*BC).orderBy(F.desc("pairs"), F.desc(F.col("pairs") / F.col("_n")), "period")
-    return good.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select(*BC, "period", "pairs")
+    """(BC, period, pairs, members): the best period of each channel's flagged points, most pairs a period apart, then the larger
+    share, then the shorter period; ``members`` are the packed times of both points of its pairs.
+
+    A channel is one row of packed times, and its pairs at a period are the ones of the words and the same words moved down.
+    The shortest period is 2, and at least two pairs are asked for.
+    """
+    own = packed_times(points, mask).withColumn("_n", _ones(F.col("words"))).filter(F.col("_n") >= max(2, pairs))
+    at = own.select("*", F.explode(F.sequence(F.lit(max(2, shortest)), F.lit(longest))).alias("period"))
+    s = at.withColumn("_p", _both(F.col("words"), _earlier(F.col("words"), F.col("period")))).withColumn("pairs", _ones(F.col("_p")))
+    good = s.filter((F.col("pairs") >= max(2, pairs)) & (F.col("pairs") >= share * F.col("_n")))
+    # All periods of a channel share its number of points, so most pairs is also the largest share.
+    best = good.groupBy(*BC).agg(F.max(F.struct("pairs", (-F.col("period")).alias("_less"), "_p")).alias("_b"))
+    best = best.select(*BC, (-F.col("_b._less")).alias("period"), F.col("_b.pairs").alias("pairs"), F.col("_b._p").alias("_p"))
+    members = F.zip_with("_p", _earlier(F.col("_p"), -F.col("period")), lambda x, y: x.bitwiseOR(y))
+    return best.select(*BC, "period", "pairs", members.alias("members"))
+
+
+def periodic_points(points: DataFrame, mask: str, shortest: int, longest: int, pairs: int, share: float) -> DataFrame:
+    """points with ``m_periodic``: whether a pixel belongs to a pair at its channel's best period."""
+    found = periodic(points, mask, shortest, longest, pairs, share).select(*BC, "members")
+    word = F.coalesce(F.get("members", F.floor(F.col("t") / 64).cast("int")), F.lit(0).cast("long"))
+    bit = F.call_function("shiftrightunsigned", word, (F.col("t") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return points.join(found, BC, "left").withColumn("m_periodic", bit == 1).drop("members")
 
 
 DELAY = 4148.808
 
 
-def pulses(channels: DataFrame, freq: str, dm: float, period: float, t0: float, width: int, tbin: float, nsamp: int, reference: str = "max", rounding: str = "floor", inclusive: bool = False) -> DataFrame:
-    """Pixels (chan, t) of a dispersed pulse train: arrivals are exploded to samples, so that pixels join by equality."""
+def pulses(channels: DataFrame, freq: str, dm: float, period: float, t0: float, width: int, tbin: float, nsamp: int, reference: str = "max", rounding: str = "floor", inclusive: bool = False, within: tuple[float, float] | None = None) -> DataFrame:
+    """Pixels (chan, t) of a dispersed pulse train: arrivals are exploded to samples, so that pixels join by equality.
+
+    ``within`` keeps channels of these frequencies; the reference frequency is that of all channels.
+    """
     ref = (F.max(freq) if reference == "max" else F.min_by(freq, "chan")).over(Window.partitionBy(*B))
     d = channels.withColumn("_ref", ref).withColumn("_d", DELAY * dm * (F.pow(F.col(freq), -2) - F.pow("_ref", -2)))
     d = d.withColumn("_first", F.floor((-F.max("_d").over(Window.partitionBy(*B)) - t0) / period).cast("int"))
+    d = d.filter(F.col(freq).between(*within)) if within else d
     k = F.sequence(F.col("_first"), (F.ceil(F.lit((nsamp * tbin - t0) / period)) + 1).cast("int"))
     at = (t0 + F.col("k") * period + F.col("_d")) / tbin
     mid = F.floor(at) if rounding == "floor" else F.round(at)
@@ -312,7 +422,11 @@ def cancelled(pixels: DataFrame, point: str, share: float = 0.3) -> DataFrame:
 
 
 def channel_kinds(channels: DataFrame) -> DataFrame:
-    """Kind of each run of flagged channels against the mean of all channel means: bright, dark or complex."""
+    """Kind of each run of flagged channels against the mean of all channel means: bright, dark or complex.
+
+    Runs of one or two channels go by their mean, longer ones are bright or dark if all their channels are; what is within
+    1e-5 of the mean of all is neither.
+    """
     mid = channels.groupBy(*B).agg(F.avg("mean").alias("_mid"))
     own = channels.join(mid, B).withColumn("_island", F.col("chan") - F.row_number().over(Window.partitionBy(*B, "flag").orderBy("chan"))).filter("flag")
     above, below = F.bool_and(F.col("mean") > F.col("_mid") + 1e-5), F.bool_and(F.col("mean") < F.col("_mid") - 1e-5)
@@ -321,7 +435,8 @@ def channel_kinds(channels: DataFrame) -> DataFrame:
         F.avg("mean").alias("m"), F.first("_mid").alias("_mid"), above.alias("up"), below.alias("down"),
     )
     short = F.col("n") <= 2
-    kind = F.when(short, F.when(F.col("m") > F.col("_mid"), "bright").otherwise("dark")).when(F.col("up"), "bright").when(F.col("down"), "dark").otherwise("complex")
+    own_mean = F.when(F.col("m") > F.col("_mid") + 1e-5, "bright").when(F.col("m") < F.col("_mid") - 1e-5, "dark").otherwise("complex")
+    kind = F.when(short, own_mean).when(F.col("up"), "bright").when(F.col("down"), "dark").otherwise("complex")
     return r.select(*B, "first", "last", "n", kind.alias("kind"))
 
 
@@ -348,9 +463,7 @@ def rank_dilated(rows: DataFrame, keys: list[str], at: str, flag: str, eta: floa
 def simple_flow(grid: DataFrame, k_in: float = 6.0, k_out: float = 3.0) -> DataFrame:
     """Points by clipping with the averaged median; channels by clipped means or deviations, widened by one."""
     points = clip(grid, k_in, "avg")
-    ch = points.groupBy(*BC).agg(F.avg(F.when(~F.col("m"), F.col("v"))).alias("mean"), F.stddev_pop(F.when(~F.col("m"), F.col("v"))).alias("std")).na.fill(0.0, ["mean", "std"])
-    a = clip_channels(ch, k_out, "std").withColumnRenamed("flag", "_a")
-    own = a.withColumn("v", F.col("mean"))
-    b = clip_bounds(own, B, k_out, 30, rate=0.01)
-    flags = own.join(b, B).withColumn("flag", F.col("_a") | (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).select(*BC, "flag")
+    ch = channel_spread(points, "m")
+    a = clip_channels(ch, k_out, "std", "avg", False).withColumnRenamed("flag", "_a")
+    flags = clip_channels(a, k_out, "mean", "avg", False).withColumn("flag", F.col("_a") | F.col("flag")).select(*BC, "flag")
     return points.join(widened(flags, "flag"), BC).withColumnRenamed("flag", "m_horiz").withColumnRenamed("m", "m_point")

@@ -10,45 +10,50 @@ from pyspark.sql import functions as F
 from quiltra.functions.exprs import B, BC, BT
 from quiltra.operators import detect as D
 from quiltra.operators import morphology as M
-from quiltra.operators import resample as R
 from quiltra.operators import stats
 from quiltra.operators import substitute as X
 
-#: Channel detectors by name: pixels with m_point -> (BC, flag).
-CHANNEL_DETECTORS = {}
+#: Detectors by name: pixels (BC, t, v, m_point) of blocks of nchan x nsamp -> the same pixels with m_horiz.
+DETECTORS = {}
 
 
-def channel_detector(name: str):
+def detector(name: str):
     def add(f):
-        CHANNEL_DETECTORS[name] = f
+        DETECTORS[name] = f
         return f
 
     return add
 
 
-@channel_detector("sigma")
-def sigma_channels(pixels: DataFrame, nchan: int, k: float, fallback: float) -> DataFrame:
-    """Clipped deviations; then means of the others; isolated runs go; if none is left, all means at ``fallback``."""
+@detector("sigma")
+def sigma_pixels(pixels: DataFrame, nchan: int, nsamp: int, k: float, fallback: float) -> DataFrame:
+    """Whole channels: clipped deviations, without isolated runs; then means among the channels left; then all means at ``fallback``.
+
+    Points are left out of deviations and means. A channel of points takes all its values for its deviation and its last
+    mean, and has no part among the channels left.
+    """
     from quiltra.operators.runs import without_isolated
 
-    ch = pixels.groupBy(*BC).agg(F.coalesce(F.avg(F.when(~F.col("m_point"), F.col("v"))), F.avg("v")).alias("mean"), F.coalesce(F.stddev_pop(F.when(~F.col("m_point"), F.col("v"))), F.stddev_pop("v")).alias("std"))
-    a = D.clip_channels(ch, k).withColumnRenamed("flag", "_a")
-    b = D.mean_outliers(a, 3.0, "_a").withColumn("flag", F.col("flag") | F.col("_a"))
-    kept = without_isolated(b, B, "chan", "flag").select(*B, F.explode(F.sequence("first", "last")).alias("chan"), F.lit(True).alias("_k"))
-    c = b.join(kept, BC, "left").withColumn("_k", F.coalesce("_k", F.lit(False)))
-    more = D.mean_outliers(c.select(*BC, "mean", "_k"), fallback, centre="mean")
-    return more.select(*BC, (F.col("_k") | F.col("flag")).alias("flag"))
+    spread = stats.channel_spread(pixels, "m_point").select(*BC, "std")
+    means = pixels.groupBy(*BC).agg(F.avg(F.when(~F.col("m_point"), F.col("v"))).alias("mean"), F.avg("v").alias("_all"))
+    a = D.clip_channels(spread.join(means, BC), k).withColumnRenamed("flag", "_a")
+    stay = without_isolated(a, B, "chan", "_a").select(*B, F.explode(F.sequence("first", "last")).alias("chan"), F.lit(True).alias("_s"))
+    b = a.join(stay, BC, "left").withColumn("_s", F.coalesce("_s", F.lit(False)))
+    c = D.mean_outliers(b, 3.0, "_s").withColumnRenamed("flag", "_b").withColumn("mean", F.coalesce("mean", "_all"))
+    flags = D.mean_outliers(c, fallback, centre="mean").select(*BC, (F.col("_s") | F.col("_b") | F.col("flag")).alias("m_horiz"))
+    return pixels.join(flags, BC)
 
 
-@channel_detector("iqrm")
-def iqrm_channels(pixels: DataFrame, nchan: int, k: float, fallback: float) -> DataFrame:
-    std = pixels.groupBy(*BC).agg(F.stddev_pop("v").alias("std"))
-    return D.iqrm(std, B, "chan", "std", nchan, max(1, nchan // 10), k).select(*BC, "flag")
+@detector("iqrm")
+def iqrm_pixels(pixels: DataFrame, nchan: int, nsamp: int, k: float, fallback: float) -> DataFrame:
+    """Whole channels by Tukey's rule or votes on their deviations, and the pixels of the others by votes along time."""
+    return D.iqrm_or_tukey(pixels, nchan, nsamp).withColumnRenamed("m", "m_horiz")
 
 
-@channel_detector("tukey")
-def tukey_channels(pixels: DataFrame, nchan: int, k: float, fallback: float) -> DataFrame:
-    return D.tukey_channels(pixels.groupBy(*BC).agg(F.stddev_pop("v").alias("std")), 1.5).select(*BC, "flag")
+@detector("tukey")
+def tukey_pixels(pixels: DataFrame, nchan: int, nsamp: int, k: float, fallback: float) -> DataFrame:
+    """Pixels by Tukey's rule along their channel's time."""
+    return D.tukey_time(pixels, 3.0).withColumnRenamed("m", "m_horiz")
 
 
 @dataclass(frozen=True)
@@ -68,100 +73,135 @@ class PulseTrain:
 
 
 def pulse_pixels(channels: DataFrame, freq: str, p: PulseTrain) -> DataFrame:
-    """Pixels of the train and, if it has a width, of the interpulse (half a period later unless said otherwise)."""
-    own = channels.filter(F.col(freq).between(p.lowest, p.highest))
-    out = D.pulses(own, freq, p.dm, p.period, p.t0, p.width, p.tbin, p.nsamp)
+    """Pixels of the train and, if it has a width, of the interpulse (half a period later unless said otherwise), in the
+    channels from the lowest to the highest frequency. Delays are those to the highest channel of all."""
+    train = lambda t0, width: D.pulses(channels, freq, p.dm, p.period, t0, width, p.tbin, p.nsamp, within=(p.lowest, p.highest))
+    out = train(p.t0, p.width)
     if p.inter_width:
-        t0 = p.t0 + p.period / 2 if p.inter_t0 is None else p.inter_t0
-        out = out.unionByName(D.pulses(own, freq, p.dm, p.period, t0, p.inter_width, p.tbin, p.nsamp)).distinct()
+        out = out.unionByName(train(p.t0 + p.period / 2 if p.inter_t0 is None else p.inter_t0, p.inter_width)).distinct()
     return out
 
 
+def joined_mask(pixels: DataFrame, found: DataFrame | None, keys: list[str], name: str) -> DataFrame:
+    """pixels with the mask ``name``: whether their keys are among those found."""
+    if found is None:
+        return pixels.withColumn(name, F.lit(False))
+    return pixels.join(found.select(*keys).distinct().withColumn("_f", F.lit(True)), keys, "left").withColumn(name, F.coalesce("_f", F.lit(False))).drop("_f")
+
+
+def times_of(runs: DataFrame) -> DataFrame:
+    return runs.select(*B, F.explode(F.sequence("first", "last")).alias("t"))
+
+
 def full_flow(
-    grid: DataFrame, nchan: int, k_in: float = 3.0, k_out: float = 3.0, fallback: float = 2.0, detector: str = "sigma", substitute: bool = True, area: int = 5000, least: int = 3, seed: int = 1,
+    grid: DataFrame, nchan: int, nsamp: int, k_in: float = 3.0, k_out: float = 3.0, fallback: float = 2.0, detector: str = "sigma", substitute: bool = True, area: int = 5000, least: int = 1, seed: int = 1,
     pulse: DataFrame | None = None, with_blocks: bool = True, with_vertical: bool = True, periods: tuple[int, int, int, float] | None = None,
 ) -> DataFrame:
-    """All masks and the prioritised label of each pixel: points, channels, times, repeated columns, blocks.
+    """All masks and the prioritised label of each pixel: points, channels, times, repeated columns, blocks, kinds of channels.
 
-    ``pulse`` has the pixels (BC, t) of known pulses; ``periods`` (shortest, longest, pairs, share) turns on the periodic
-    mask, the points of channels that repeat with a period. clean_med and clean_rms are the block's median and deviation
-    about it over the pixels that no mask holds.
+    ``detector`` names one of DETECTORS. Times and repeated columns are looked for in the substituted values. ``pulse`` has
+    the pixels (BC, t) of known pulses; ``periods`` (shortest, longest, pairs, share) turns on the periodic mask. m_global holds
+    all masks but those two. final_med and final_rms are the median of all values of the block and the deviation about it.
     """
     own = grid.repartition(*B)
     own = D.clip(own, k_in).withColumnRenamed("m", "m_point")
     own = M.kept(M.dilated_diamond(M.without_lonely(own, "m_point"), "m_point", 1), "points")
     work = X.in_channel(own, "m_point", seed) if substitute else own
-    ch = CHANNEL_DETECTORS[detector](work, nchan, k_out, fallback)
-    ch = M.kept(ch.join(D.cancelled(own, "m_point"), BC).select(*BC, (F.col("flag") & ~F.col("cancel")).alias("m_horiz")), "channels")
-    work = work.join(ch, BC)
+    hits = M.kept(DETECTORS[detector](work, nchan, nsamp, k_out, fallback).select(*BC, "t", "v", "m_point", "m_horiz"), "hits")
+    ch = hits.groupBy(*BC).agg(F.bool_or("m_horiz").alias("_any"), (F.avg(F.col("m_point").cast("double")) > 0.3).alias("_cancel"))
+    ch = M.kept(ch.select(*BC, "_cancel", (F.col("_any") & ~F.col("_cancel")).alias("_flag")), "channels")
+    work = hits.join(ch, BC).withColumn("m_horiz", F.col("m_horiz") & ~F.col("_cancel")).drop("_cancel")
     if substitute:
-        work = X.across_channels(work, "m_horiz", "m_point", seed + 1)
-    out = own.join(ch, BC)
+        work = X.across_channels(work, "_flag", "m_point", seed + 1)
+    work = M.kept(work, "work")
+    times = None
     if with_vertical:
-        t = D.vertical(work.withColumn("_x", F.col("m_horiz") | F.col("m_point")), "_x", 4.0, least).select(*BT, F.col("flag").alias("_v"))
-        same = D.repeated_columns(grid, 1e-6, 0.02, 0.98, 16).select(*B, F.explode(F.sequence("first", "last")).alias("t"), F.lit(True).alias("_r"))
-        out = out.join(t, BT).join(same, BT, "left").withColumn("m_vert", F.col("_v") | F.coalesce("_r", F.lit(False))).drop("_v", "_r")
-    else:
-        out = out.withColumn("m_vert", F.lit(False))
+        hot = D.vertical(work.withColumn("_x", F.col("m_horiz") | F.col("m_point")), "_x", 4.0, least).filter("flag").select(*BT)
+        times = hot.unionByName(times_of(D.repeated_columns(work, 1e-6, 0.02, 0.98, 16)))
+    out = joined_mask(own.join(work.select(*BC, "t", "m_horiz"), [*BC, "t"]), times, BT, "m_vert")
     if with_blocks:
-        big = M.blocks(out.select(*BC, "t", F.col("m_point").alias("_b")), "_b", 7, 7, area).select(*BC, "t", "m_block")
+        big = M.blocks(own.select(*BC, "t", F.col("m_point").alias("_b")), "_b", area=area, diamond=7).select(*BC, "t", "m_block")
         out = out.join(big, [*BC, "t"])
     else:
         out = out.withColumn("m_block", F.lit(False))
-    if periods:
-        repeated = D.periodic(own, "m_point", *periods).select(*BC, F.lit(True).alias("_p"))
-        out = out.join(repeated, BC, "left").withColumn("m_periodic", F.col("m_point") & F.coalesce("_p", F.lit(False))).drop("_p")
-    else:
-        out = out.withColumn("m_periodic", F.lit(False))
-    if pulse is not None:
-        out = out.join(pulse.select(*BC, "t", F.lit(True).alias("_p")), [*BC, "t"], "left").withColumn("m_pulse", F.coalesce("_p", F.lit(False))).drop("_p")
-    else:
-        out = out.withColumn("m_pulse", F.lit(False))
-    out = out.withColumns({"m_global": F.col("m_point") | F.col("m_horiz") | F.col("m_vert") | F.col("m_block"), "label": M.labels_by_priority(M.FULL_ORDER)})
-    clean = stats.rms_about_median(out.filter(~F.col("m_global")).select(*BC, "t", "v"), B).select(*B, F.col("med").alias("clean_med"), F.col("rms").alias("clean_rms"))
-    return out.join(clean, B, "left")
+    out = D.periodic_points(out, "m_point", *periods) if periods else out.withColumn("m_periodic", F.lit(False))
+    out = joined_mask(out, pulse, [*BC, "t"], "m_pulse")
+    kinds = grid.groupBy(*BC).agg(F.avg("v").alias("mean")).join(ch.select(*BC, F.col("_flag").alias("flag")), BC)
+    kinds = D.channel_kinds(kinds).select(*B, F.explode(F.sequence("first", "last")).alias("chan"), "kind")
+    out = out.join(kinds, BC, "left").withColumns({f"m_{k}": F.coalesce(F.col("kind") == k, F.lit(False)) for k in ("bright", "dark", "complex")}).drop("kind")
+    every = ["m_point", "m_horiz", "m_vert", "m_block", "m_bright", "m_dark", "m_complex"]
+    out = out.withColumns({"m_global": F.greatest(*every), "label": M.labels_by_priority(M.FULL_ORDER)})
+    final = stats.rms_about_median(grid.select(*BC, "t", "v"), B).select(*B, F.col("med").alias("final_med"), F.col("rms").alias("final_rms"))
+    return out.join(final, B, "left")
 
 
 def short_flow(grid: DataFrame, pulse: DataFrame, k_in: float = 6.0, k_out: float = 3.0, area: int = 5000, seed: int = 1) -> DataFrame:
-    """The shorter flow: pulse pixels set aside first, averaged medians, robust stripes, cleaned points."""
-    own = grid.join(pulse.withColumn("m_pulse", F.lit(True)), [*BC, "t"], "left").withColumn("m_pulse", F.coalesce("m_pulse", F.lit(False)))
+    """The shorter flow: pulse pixels set aside first, averaged medians, robust stripes and repeats of the substituted values,
+    cleaned points."""
+    own = joined_mask(grid, pulse, [*BC, "t"], "m_pulse")
     own = M.kept(D.clip(X.pulses_to_median(own, "m_pulse"), k_in, "avg").withColumnRenamed("m", "m_point"), "points")
     work = X.in_channel(own, "m_point", seed)
-    ch = work.groupBy(*BC).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    ch = D.clip_channels(ch, k_out).join(D.cancelled(own, "m_point"), BC).select(*BC, (F.col("flag") & ~F.col("cancel")).alias("m_horiz"))
-    t = D.vertical_robust(own, "m_point").select(*BT, F.col("flag").alias("_v"))
-    same = D.repeated_columns(grid, 1e-5, 0.01, 0.98, 2).select(*B, F.explode(F.sequence("first", "last")).alias("t"), F.lit(True).alias("_r"))
-    out = own.join(ch, BC).join(t, BT).join(same, BT, "left").withColumn("m_vert", F.col("_v") | F.coalesce("_r", F.lit(False))).drop("_v", "_r")
+    ch = D.clip_channels(stats.channel_spread(work, "m_point"), k_out, kind="avg", floor_zero=False)
+    ch = M.kept(ch.join(D.cancelled(own, "m_point"), BC).select(*BC, (F.col("flag") & ~F.col("cancel")).alias("m_horiz")), "channels")
+    work = M.kept(work.join(ch, BC), "work")
+    hot = D.vertical_robust(work, "m_point", flag="m_horiz").filter("flag").select(*BT)
+    out = joined_mask(own.join(ch, BC), hot.unionByName(times_of(D.repeated_columns(work, 1e-5, 0.01, 0.98, 2))), BT, "m_vert")
     big = M.blocks(out.select(*BC, "t", F.col("m_point").alias("_b")), "_b", 7, 7, area).select(*BC, "t", "m_block")
     out = M.cleaned_points(out.join(big, [*BC, "t"]), "m_point")
     return out.withColumn("label", M.labels_by_priority(M.SIMPLE_ORDER))
 
 
-def low_pass_residual(grid: DataFrame, nchan: int, nsamp: int, down: int = 3, height: int = 21, width: int = 31, sigma_c: float = 2.5, sigma_t: float = 5.0) -> DataFrame:
-    """Values less a surface: means of down x down cells, Gaussian weights along both axes, grown back to the grid."""
-    c, t = -(-nchan // down), -(-nsamp // down)
-    small = R.block_mean(grid, down, down)
-    soft = D.smoothed(small.withColumn("_no", F.lit(False)), "_no", sigma_t, width).withColumn("v", F.col("smooth")).drop("smooth")
-    turned = R.transposed(soft).withColumn("_no", F.lit(False))
-    soft = R.transposed(D.smoothed(turned, "_no", sigma_c, height).select(*B, "chan", "t", F.col("smooth").alias("v")))
-    surface = R.nearest(soft, (c, t), (c * down, t * down), "v").withColumnRenamed("v", "_s")
-    return grid.join(surface, [*BC, "t"]).withColumn("v", F.col("v") - F.col("_s")).drop("_s")
-
-
-def strategy(grid: DataFrame, nchan: int, nsamp: int, first: float = 6.0, sizes: int = 4, rounds: int = 2, eta: float = 0.2, k: float = 3.0) -> DataFrame:
-    """Flags by rounds of falling thresholds: SumThreshold along both axes, RMS of times and channels, low-pass residual;
-    then a last SumThreshold, rank dilation and RMS. Each round reads the rows that the one before wrote."""
-    own = grid.withColumn("m", F.lit(False))
-    for i in range(rounds + 1):
-        level = first * 2.0 ** (rounds - i) / 2.0**rounds * 2
-        own = D.sum_threshold_2d(own.withColumnRenamed("m", "_o"), "_o", level, sizes).withColumn("m", F.col("m") | F.col("_o")).drop("_o")
-        own = M.kept(own, "round")
-        if i < rounds:
-            ch = D.rms_outliers(own, "m", BC, k).select(*BC, F.col("flag").alias("_c"))
-            tm = D.rms_outliers(own, "m", BT, k).select(*BT, F.col("flag").alias("_t"))
-            own = M.kept(own.join(ch, BC).join(tm, BT).withColumn("m", F.col("m") | F.col("_c") | F.col("_t")).drop("_c", "_t"), "round")
-            flat = low_pass_residual(own.withColumn("v", F.when(F.col("m"), 0.0).otherwise(F.col("v"))).select(*BC, "t", "v"), nchan, nsamp).withColumnRenamed("v", "_v")
-            own = own.join(flat, [*BC, "t"]).withColumn("v", F.when(F.col("m"), F.col("v")).otherwise(F.col("_v"))).drop("_v")
+def blurred(cells: DataFrame, at: str, sigma: float, taps: int, n: int) -> DataFrame:
+    """Gaussian sums along ``at`` of the columns _sum and _weight, at the places 0 .. n-1: each cell sends its share to all that it reaches."""
+    spread = F.transform(F.sequence(F.lit(-(taps // 2)), F.lit(taps - taps // 2 - 1)), lambda o: F.struct(o.alias("o"), F.exp(-o * o / (2 * sigma * sigma)).alias("w")))
+    sent = cells.withColumn("_x", F.explode(spread)).withColumn(at, (F.col(at) - F.col("_x.o")).cast("int")).filter(F.col(at).between(0, n - 1))
+    return sent.groupBy(*BC, "t").agg(F.sum(F.col("_sum") * F.col("_x.w")).alias("_sum"), F.sum(F.col("_weight") * F.col("_x.w")).alias("_weight"))
+
+
+def low_pass_residual(grid: DataFrame, nchan: int, nsamp: int, down: int = 3, height: int = 21, width: int = 31, sigma_c: float = 2.5, sigma_t: float = 5.0, mask: str | None = None) -> DataFrame:
+    """Values less a surface: means of down x down cells over unmasked pixels, Gaussian weights along both axes, grown back.
+
+    A normalised convolution: sums of weighted values and sums of weights, in which cells without unmasked pixels have none.
+    Where no cell with a weight is in reach the surface is 0.
+    """
+    cell = {c: F.floor(F.col(c) / down).cast("int") for c in ("chan", "t")}
+    good = grid.filter(~F.col(mask)) if mask else grid
+    small = good.select(*B, cell["chan"].alias("chan"), cell["t"].alias("t"), "v").groupBy(*BC, "t").agg(F.avg("v").alias("_sum"), F.lit(1.0).alias("_weight"))
+    soft = blurred(blurred(small, "t", sigma_t, width, -(-nsamp // down)), "chan", sigma_c, height, -(-nchan // down))
+    soft = soft.select(*B, F.col("chan").alias("_c"), F.col("t").alias("_t"), (F.col("_sum") / F.col("_weight")).alias("_s"))
+    own = grid.withColumns({"_c": cell["chan"], "_t": cell["t"]}).join(soft, [*B, "_c", "_t"], "left")
+    return own.withColumn("v", F.col("v") - F.coalesce("_s", F.lit(0.0))).drop("_s", "_c", "_t")
+
+
+def above_noise(pixels: DataFrame, level: float, sizes: int) -> DataFrame:
+    """pixels with the hits of SumThreshold along both axes added to m; flagged pixels don't count, and the limit of a single
+    pixel is ``level`` times the noise of the block's others."""
+    limit = stats.noise(pixels.filter(~F.col("m"))).select(*B, (level * F.col("sigma")).alias("_first"))
+    own = pixels.join(limit, B, "left").withColumn("_first", F.coalesce("_first", F.lit(0.0)))
+    own = D.sum_threshold(own, BC, "t", F.col("_first"), sizes, mask="m").withColumnRenamed("hit", "_along")
+    own = D.sum_threshold(own, BT, "chan", F.col("_first"), sizes, mask="m")
+    return own.withColumn("m", F.col("m") | F.col("hit") | F.col("_along")).drop("hit", "_along", "_first")
+
+
+def strategy(grid: DataFrame, nchan: int, nsamp: int, first: float = 6.0, sizes: int = 4, rounds: int = 2, base: float = 1.0, step: float = 2.0, eta: float = 0.2, k_time: float = 3.5, k_chan: float = 1.5, k_last: float = 4.0) -> DataFrame:
+    """Flags by rounds of falling thresholds, factor = step ** (rounds + 1 - round).
+
+    A round: SumThreshold along both axes at ``first`` * base * factor times the noise, times of outlying RMS (k_time) and
+    channels (k_chan * factor) of the same values, then the original values less their low-pass surface, flagged pixels left
+    out of it. After the rounds: SumThreshold at factor 1, rank dilation along both axes, times of outlying RMS (k_last) of the
+    original values. Each round reads the rows that the one before wrote.
+    """
+    own = grid.select(*BC, "t", "v").withColumns({"_v": F.col("v"), "m": F.lit(False)})
+    for i in range(1, rounds + 1):
+        factor = step ** (rounds + 1 - i)
+        own = M.kept(above_noise(own, first * base * factor, sizes), "hits")
+        ch = D.rms_outliers(own, "m", BC, k_chan * factor).select(*BC, F.col("flag").alias("_c"))
+        tm = D.rms_outliers(own, "m", BT, k_time).select(*BT, F.col("flag").alias("_o"))
+        own = own.join(ch, BC).join(tm, BT).withColumns({"m": F.col("m") | F.col("_c") | F.col("_o"), "v": F.col("_v")}).drop("_c", "_o")
+        own = M.kept(low_pass_residual(own, nchan, nsamp, mask="m"), "round")
+    own = above_noise(own, first * base, sizes)
     own = D.rank_dilated(own, BC, "t", "m", eta).withColumnRenamed("dilated", "_a")
-    own = D.rank_dilated(own, BT, "chan", "m", eta).withColumn("m", F.col("m") | F.col("_a") | F.col("dilated")).drop("_a", "dilated")
-    return own.select(*BC, "t", "m")
+    own = D.rank_dilated(own, BT, "chan", "m", eta).withColumn("m", F.col("m") | F.col("_a") | F.col("dilated"))
+    own = M.kept(own.select(*BC, "t", F.col("_v").alias("v"), "m"), "dilated")
+    tm = D.rms_outliers(own, "m", BT, k_last).select(*BT, F.col("flag").alias("_o"))
+    return own.join(tm, BT).select(*BC, "t", (F.col("m") | F.col("_o")).alias("m"))

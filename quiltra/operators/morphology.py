@@ -54,7 +54,7 @@ def whole_blocks(grid: DataFrame, mask: str, change: Callable[[np.ndarray], np.n
     """
 
     def run(table: pa.Table) -> pa.Table:
-        chan, t = (np.unique(table[c].to_numpy(), return_inverse=True)[1].ravel() for c in ("chan", "t"))
+        chan, t = (place - place.min() for place in (table[c].to_numpy() for c in ("chan", "t")))
         cells = np.zeros((chan.max() + 1, t.max() + 1), np.int16)
         cells[chan, t] = table[mask].to_numpy(zero_copy_only=False)
         new = pa.array(change(cells)[chan, t] > 0)
@@ -81,12 +81,17 @@ def without_lonely(grid: DataFrame, mask: str, n: int = 3) -> DataFrame:
 
 
 def dilated_diamond(grid: DataFrame, mask: str, radius: int) -> DataFrame:
-    """Flags within ``radius`` steps of a flag; only flagged pixels send rows."""
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-(radius - abs(a)), radius - abs(a) + 1)])
-    sent = grid.filter(F.col(mask)).select(*BC, "t", F.explode(offsets).alias("o"))
-    near = sent.select(*B, (F.col("chan") + F.col("o.a")).alias("chan"), (F.col("t") + F.col("o.b")).alias("t"))
-    near = near.distinct().withColumn("_d", F.lit(True))
-    return grid.join(near, [*BC, "t"], "left").withColumn(mask, F.coalesce("_d", F.lit(False))).drop("_d")
+    """Flags within ``radius`` steps of a flag, by running distances, whose cost doesn't grow with the radius.
+
+    Along time the nearest flag of the channel, then along channels the least of that distance and the channels between.
+    """
+    at = F.when(F.col(mask), F.col("t"))
+    ever = Window.unboundedPreceding, Window.unboundedFollowing
+    before, after = F.last(at, True).over(along_t().rowsBetween(ever[0], 0)), F.first(at, True).over(along_t().rowsBetween(0, ever[1]))
+    own = grid.withColumn("_d", F.coalesce(F.least(F.col("t") - before, after - F.col("t")), F.lit(2 * radius + 1)))
+    below, above = along_c().rangeBetween(-radius, 0), along_c().rangeBetween(0, radius)
+    near = F.least(F.min(F.col("_d") - F.col("chan")).over(below) + F.col("chan"), F.min(F.col("_d") + F.col("chan")).over(above) - F.col("chan"))
+    return own.withColumn("_n", near <= radius).withColumn(mask, F.col("_n")).drop("_d", "_n")
 
 
 def dilated_box(grid: DataFrame, mask: str, height: int, width: int) -> DataFrame:
@@ -173,9 +178,10 @@ def inside(grid: DataFrame, b: DataFrame, out: str) -> DataFrame:
     return own.withColumn(out, F.coalesce(F.exists("_s", lambda s: (s["t0"] <= F.col("t")) & (F.col("t") <= s["t1"])), F.lit(False))).drop("_s")
 
 
-def blocks(grid: DataFrame, mask: str, height: int, width: int, area: int, fill: float = 0.5, low: float = 0.2, high: float = 5.0) -> DataFrame:
-    """Block flags: boxes of the large, full components of the dilated mask."""
-    return inside(grid, shaped(boxes(components(dilated_box(grid, mask, height, width), mask)), area, fill, low, high), "m_block")
+def blocks(grid: DataFrame, mask: str, height: int = 1, width: int = 1, area: int = 5000, fill: float = 0.5, low: float = 0.2, high: float = 5.0, diamond: int = 0) -> DataFrame:
+    """Block flags: boxes of the large, full components of the mask, dilated by height x width or by a diamond of that radius."""
+    grown = dilated_diamond(grid, mask, diamond) if diamond else dilated_box(grid, mask, height, width)
+    return inside(grid, shaped(boxes(components(grown, mask)), area, fill, low, high), "m_block")
 
 
 def repaired_lines(grid: DataFrame, label: str, taps: int, code: int = 1) -> DataFrame:
@@ -201,7 +207,9 @@ def points_to_blocks(grid: DataFrame, label: str, k: int, area: int = 400, side:
 
 
 def points_to_blocks_main(grid: DataFrame, label: str, k: int) -> DataFrame:
-    """The same for classes 2, 3 and 4 by fill, size and aspect of the component's box."""
+    """The same for classes 2, 3 and 4 by fill, size and aspect of the component's box: thin and small components become 3
+    with all that they hold, large ones become 4 where they cover 0, 2 or 3. The closing takes at most 31 x 31."""
+    k = max(1, min(k, 31))
     own = closed(grid.withColumn("_m", F.col(label).isin(2, 3, 4)), "_m", k, k)
     parts = components(own, "_m")
     b = boxes(parts)
@@ -212,7 +220,7 @@ def points_to_blocks_main(grid: DataFrame, label: str, k: int) -> DataFrame:
     b = b.withColumn("_to", F.when(thin, 3).when(big, 4).when(F.col("area") < 400, 3))
     cells = parts.join(b.select(*B, "comp", "_to"), [*B, "comp"]).select(*BC, "_to", F.explode(F.sequence("first", "last")).alias("t"))
     own = own.join(cells, [*BC, "t"], "left")
-    new = F.when((F.col("_to") == 4) & F.col(label).isin(0, 2, 3), 4).when((F.col("_to") == 3) & F.col(label).isin(2, 3, 4), 3).otherwise(F.col(label))
+    new = F.when((F.col("_to") == 4) & F.col(label).isin(0, 2, 3), 4).when(F.col("_to") == 3, 3).otherwise(F.col(label))
     return own.withColumn(label, F.coalesce(new, F.col(label))).drop("_m", "_to")
 
 

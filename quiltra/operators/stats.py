@@ -122,13 +122,19 @@ def timing_summary(rows: DataFrame, stage: str, secs: str) -> DataFrame:
     )
 
 
-def class_weights(counts: DataFrame, smoothing: str = "sqrt", floor: float = 0.1, median_cap: float = 3.0, ratio_cap: float = 10.0, power: float = 0.5) -> DataFrame:
-    """(label, weight) of (label, n): inverse frequencies, smoothed, floored, capped and scaled to a mean of 1."""
+def class_weights(counts: DataFrame, classes: list[int], smoothing: str = "sqrt", floor: float = 0.1, median_cap: float = 3.0, ratio_cap: float = 1000.0, power: float = 0.6) -> DataFrame:
+    """(label, weight) of all classes from (label, n): inverse frequencies, smoothed, floored, capped and scaled to a mean of 1.
+
+    A class without pixels gets the floor. The caps are median_cap times the median, and ratio_cap times the least weight.
+    """
     every = Window.partitionBy(F.lit(0))  # one row for each class
-    w = F.sum("n").over(every) / (F.col("n") * F.count("*").over(every))
-    w = {"sqrt": F.sqrt(w), "log": F.log1p(w), "pow": F.pow(w, F.lit(power)), "none": w}[smoothing]
-    out = counts.filter("n > 0").withColumn("w", w).withColumn("w", F.greatest("w", F.lit(floor)))
-    out = out.withColumn("w", F.least("w", median_cap * F.percentile("w", 0.5).over(every))).withColumn("w", F.least("w", ratio_cap * F.min("w").over(every)))
+    named = counts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, classes))).alias("label"))
+    own = named.join(counts.select(F.col("label").cast("int").alias("label"), "n"), "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = F.when(F.col("n") > 0, F.sum("n").over(every) / (F.col("n") * len(classes))).otherwise(0.0)
+    w = {"sqrt": F.sqrt(w + 1e-12), "log": F.log1p(w), "pow": F.pow(w + 1e-12, F.lit(power)), "none": w}[smoothing]
+    out = own.withColumn("w", w).withColumn("w", F.greatest("w", F.lit(floor)))
+    out = out.withColumn("_most", median_cap * F.percentile("w", 0.5).over(every)).withColumn("w", F.least("w", "_most"))
+    out = out.withColumn("w", F.least("w", ratio_cap * F.min("w").over(every)))
     return out.select("label", (F.col("w") / F.avg("w").over(every)).alias("weight"))
 
 

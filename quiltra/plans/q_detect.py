@@ -9,6 +9,7 @@ from quiltra.sources import grids
 
 from .base import query
 
+C, T, S = "source, block, chan", "source, block, t", "source, block"
 emb = grids.embedding_grid
 line = grids.lineitem_grid
 
@@ -98,7 +99,7 @@ def _(spark, sf):
     return D.iqrm(line(spark, sf), BC, "t", "v", 83, 8, 1.5).select(*BC, "t", "flag")
 
 
-@query("d11_iqrm_or_tukey", "WITH {EMB}, " + SPREAD + ", s AS (SELECT source, block, quantile_cont(std, 0.25) AS a, quantile_cont(std, 0.75) AS b FROM ch GROUP BY ALL), " + iqrm_sql("ch", "source, block", "chan", "std", 64, 6, 3.0, "k") + ", " + iqrm_sql("g", "source, block, chan", "t", "v", 100, 10, 3.0, "q") + " SELECT source, block, g.chan, g.t, (b > a AND (std < a - 1.5 * (b - a) OR std > b + 1.5 * (b - a))) OR k.chan IS NOT NULL OR q.t IS NOT NULL AS m FROM g JOIN ch USING (source, block, chan) JOIN s USING (source, block) LEFT JOIN k USING (source, block, chan) LEFT JOIN q USING (source, block, chan, t)")
+@query("d11_iqrm_or_tukey", "WITH {EMB}, " + SPREAD + ", s AS (SELECT source, block, quantile_cont(std, 0.25) AS a, quantile_cont(std, 0.75) AS b FROM ch GROUP BY ALL), " + iqrm_sql("ch", "source, block", "chan", "std", 64, 6, 3.0, "k") + ", " + iqrm_sql("g", "source, block, chan", "t", "v", 100, 10, 3.0, "q") + " SELECT source, block, g.chan, g.t, std < a - 1.5 * (b - a) OR std > b + 1.5 * (b - a) OR k.chan IS NOT NULL OR q.t IS NOT NULL AS m FROM g JOIN ch USING (source, block, chan) JOIN s USING (source, block) LEFT JOIN k USING (source, block, chan) LEFT JOIN q USING (source, block, chan, t)")
 def _(spark, sf):
     return D.iqrm_or_tukey(emb(spark, sf), 64, 100).select(*BC, "t", "m")
 
@@ -134,10 +135,11 @@ def _(spark, sf):
     return D.phase_spikes(cube(spark, sf), 0.5).select("subint", "bin", F.round("total", 2).alias("total"), "flag")
 
 
-@query("d16_without_spikes", "WITH " + SPIKE + " SELECT subint, chan, bin, round(CASE WHEN flag THEN base + med / n ELSE v END, 8) AS v FROM cube JOIN b USING (subint, chan) JOIN fl USING (subint, bin)")
+@query("d16_without_spikes", "WITH " + SPIKE.replace("total, count(*) AS n FROM cube JOIN b USING (subint, chan) GROUP", "total, count(*) AS n FROM cube JOIN b USING (subint, chan) WHERE chan NOT IN (4, 9) GROUP")
+       + " SELECT subint, chan, bin, round(CASE WHEN flag AND chan NOT IN (4, 9) THEN base + med / n ELSE v END, 8) AS v FROM cube JOIN b USING (subint, chan) LEFT JOIN fl USING (subint, bin)")
 def _(spark, sf):
     c = cube(spark, sf)
-    return D.without_spikes(c, D.phase_spikes(c, 0.5)).select("subint", "chan", "bin", F.round("v", 8).alias("v"))
+    return D.without_spikes(c, D.phase_spikes(c, 0.5, [4, 9]), [4, 9]).select("subint", "chan", "bin", F.round("v", 8).alias("v"))
 
 
 @query("d17_bad_bins", "WITH " + SPIKE + " SELECT subint, array_to_string(list_sort(list(bin)), ',') AS bins FROM fl WHERE flag GROUP BY subint")
@@ -145,10 +147,13 @@ def _(spark, sf):
     return D.bad_bins(D.phase_spikes(cube(spark, sf), 0.5)).select("subint", F.array_join("bins", ",").alias("bins"))
 
 
-def threshold_sql(rows: str, keys: str, at: str, value: str, mask: str, first: float, sizes: int, name: str) -> str:
+def threshold_sql(rows: str, keys: str, at: str, value: str, mask: str, first: float | str, sizes: int, name: str) -> str:
+    """{name}: rows with ``hit``; ``first`` is the limit of one place, a number or a column's expression."""
     import math
 
-    hits = ", ".join(f"count(*) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN CURRENT ROW AND {2 ** (m - 1) - 1} FOLLOWING) = {2 ** (m - 1)} AND coalesce(avg(CASE WHEN NOT ({mask}) THEN abs({value}) END) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN CURRENT ROW AND {2 ** (m - 1) - 1} FOLLOWING) > {first / 1.5 ** math.log2(m)!r}, false) AS h{m}" for m in range(1, sizes + 1))
+    limit = lambda m: f"({first}) / {1.5 ** math.log2(m)!r}" if isinstance(first, str) else repr(first / 1.5 ** math.log2(m))
+
+    hits = ", ".join(f"count(*) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN CURRENT ROW AND {2 ** (m - 1) - 1} FOLLOWING) = {2 ** (m - 1)} AND coalesce(avg(CASE WHEN NOT ({mask}) THEN abs({value}) END) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN CURRENT ROW AND {2 ** (m - 1) - 1} FOLLOWING) > {limit(m)}, false) AS h{m}" for m in range(1, sizes + 1))
     back = " OR ".join(f"bool_or(h{m}) OVER (PARTITION BY {keys} ORDER BY {at} ROWS BETWEEN {2 ** (m - 1) - 1} PRECEDING AND CURRENT ROW)" for m in range(1, sizes + 1))
     return f"{name}_h AS (SELECT *, {hits} FROM {rows}), {name} AS (SELECT *, {back} AS hit FROM {name}_h)"
 
@@ -160,14 +165,38 @@ def _(spark, sf):
 
 
 def smooth_sql(rows: str, mask: str) -> str:
-    """Tables ws (residual about the masked Gaussian mean along time) and wr (in units of the block's deviation)."""
-    return f"""ws AS (SELECT a.*, a.v - coalesce(s, a.v) AS r0 FROM {rows} a LEFT JOIN (SELECT source, block, chan, CAST(t - o AS INTEGER) AS t, sum(v * exp(-o * o / 112.5)) / sum(exp(-o * o / 112.5)) AS s FROM {rows}, range(-20, 20) x(o) WHERE NOT ({mask}) GROUP BY source, block, chan, t - o) b USING (source, block, chan, t)),
-wr AS (SELECT *, r0 / (stddev_pop(r0) OVER (PARTITION BY source, block) + 1e-6) AS r FROM ws)"""
+    """Tables ws (residual about the masked Gaussian mean along time) and wr (in units of the values' deviation in the block)."""
+    return f"""
+wk AS (
+  SELECT {C}, CAST(t - o AS INTEGER) AS t, sum(v * exp(-o * o / 112.5)) / sum(exp(-o * o / 112.5)) AS s
+  FROM {rows}, range(-20, 20) x(o) WHERE NOT ({mask}) GROUP BY {C}, t - o),
+ws AS (SELECT a.*, a.v - coalesce(s, a.v) AS r0 FROM {rows} a LEFT JOIN wk b USING ({C}, t)),
+wr AS (SELECT *, r0 / (stddev_pop(v) OVER (PARTITION BY {S}) + 1e-6) AS r FROM ws)"""
+
+
+def noise_sql(rows: str, value: str, where: str, name: str) -> str:
+    """{name}(source, block, sigma): deviation out of the weighted moments of a histogram of 50 bins."""
+    return f"""
+{name}_b AS (SELECT {S}, min({value}) AS lo, (max({value}) - min({value})) / 50 AS w FROM {rows} WHERE {where} GROUP BY ALL),
+{name}_i AS (
+  SELECT {S}, lo, w, CASE WHEN w > 0 THEN least(49, floor(({value} - lo) / w)) ELSE 0 END AS bin, count(*) AS n
+  FROM {rows} JOIN {name}_b USING ({S}) WHERE {where} GROUP BY ALL),
+{name}_h AS (SELECT {S}, lo + (bin + 0.5) * w AS x, n FROM {name}_i),
+{name}_m AS (SELECT {S}, sum(x * n) / sum(n) AS mu FROM {name}_h GROUP BY ALL),
+{name} AS (SELECT {S}, sqrt(sum(n * (x - mu) ** 2) / sum(n)) AS sigma FROM {name}_h JOIN {name}_m USING ({S}) GROUP BY ALL)"""
+
 
+#: Blocks of unlike noise: the values of odd ones are cubed.
+UNLIKE = f"u AS (SELECT {C}, t, CASE WHEN block % 2 = 1 THEN v * v * v ELSE v END AS v FROM g)"
 
-@query("d19_w04_sum_threshold_2d", "WITH {EMB}, " + smooth_sql("g", "abs(v) > 0.45") + ", " + threshold_sql("wr", "source, block, chan", "t", "r", "abs(v) > 0.45", 3.0, 4, "wx").replace(" AS hit", " AS along") + ", wy AS (SELECT source, block, chan, t, v, r, along FROM wx), " + threshold_sql("wy", "source, block, t", "chan", "r", "abs(v) > 0.45", 3.0, 4, "wz") + " SELECT source, block, chan, t, hit OR along AS m FROM wz")
+
+@query("d19_w04_sum_threshold_2d", f"""WITH {{EMB}}, {UNLIKE}, {smooth_sql("u", "abs(v) > 0.3")}, {noise_sql("wr", "r", "NOT (abs(v) > 0.3)", "wn")},
+wj AS (SELECT * FROM wr JOIN wn USING ({S})), {threshold_sql("wj", C, "t", "r", "false", "2.0 * sigma", 4, "wx")},
+wy AS (SELECT {C}, t, r, sigma, hit AS along FROM wx), {threshold_sql("wy", T, "chan", "r", "false", "2.0 * sigma", 4, "wz")}
+SELECT {C}, t, hit OR along AS m FROM wz""")
 def _(spark, sf):
-    return D.sum_threshold_2d(emb(spark, sf).withColumn("m0", F.abs("v") > 0.45), "m0", 3.0, 4).select(*BC, "t", "m")
+    g = emb(spark, sf).withColumn("v", F.when(F.col("block") % 2 == 1, F.col("v") * F.col("v") * F.col("v")).otherwise(F.col("v")))
+    return D.sum_threshold_2d(g.withColumn("m0", F.abs("v") > 0.3), "m0", 2.0, 4).select(*BC, "t", "m")
 
 
 @query("d20_dual_threshold", "WITH {EMB}, " + SPREAD + ", " + threshold_sql("ch", "source, block", "chan", "mean", "false", 0.02, 3, "a") + ", " + threshold_sql("ch", "source, block", "chan", "std", "false", 0.13, 3, "b") + " SELECT source, block, a.chan, a.hit OR b.hit AS flag FROM a JOIN b USING (source, block, chan)")
@@ -182,19 +211,82 @@ def _(spark, sf):
     return D.vertical(points(spark, sf), "m", 0.8, 2).select(*BT, "flag")
 
 
-@query("d22_vertical_robust", "WITH {EMB}, tm AS (SELECT source, block, t, quantile_cont(v, 0.5) AS med, avg(CASE WHEN abs(v) > 0.25 THEN 1.0 ELSE 0.0 END) AS ratio FROM g GROUP BY ALL), m AS (SELECT source, block, quantile_cont(med, 0.5) AS mid FROM tm WHERE med > 0 GROUP BY ALL), f AS (SELECT source, block, any_value(mid) AS mid, quantile_cont(abs(med - mid), 0.5) * 1.4826 AS dev FROM tm JOIN m USING (source, block) WHERE med > 0 GROUP BY ALL) SELECT source, block, t, coalesce(med > mid + 1 * dev AND ratio > 0.02, false) AS flag FROM tm LEFT JOIN f USING (source, block)")
+@query("d22_vertical_robust", f"""WITH {{EMB}},
+tm AS (
+  SELECT {T}, quantile_cont(v, 0.5) FILTER (chan % 5 <> 2) AS med, avg(CASE WHEN abs(v) > 0.25 THEN 1.0 ELSE 0.0 END) FILTER (chan % 5 <> 2) AS ratio
+  FROM g GROUP BY ALL),
+m AS (SELECT {S}, quantile_cont(med, 0.5) AS mid FROM tm WHERE med > 0 GROUP BY ALL HAVING count(*) > 1),
+f AS (SELECT {S}, any_value(mid) AS mid, quantile_cont(abs(med - mid), 0.5) * 1.4826 AS dev FROM tm JOIN m USING ({S}) WHERE med > 0 GROUP BY ALL)
+SELECT {T}, coalesce(med > mid + 1 * dev AND ratio > 0.02, false) AS flag FROM tm LEFT JOIN f USING ({S})""")
+def _(spark, sf):
+    own = points(spark, sf).withColumn("bad", F.col("chan") % 5 == 2)
+    return D.vertical_robust(own, "m", 1.0, 0.02, "bad").select(*BT, "flag")
+
+
+def repeated(rows: str, eps: float, rho: float, share: float, least: int) -> str:
+    """rr: the runs of alike times of ``rows``. ra has each anchor's run, rw walks from an anchor to the first behind its run."""
+    return f"""
+rq AS (
+  SELECT a.source, a.block, a.t AS a, b.t AS b, avg(abs(a.v - b.v)) AS d, avg((abs(a.v) + abs(b.v)) / 2) AS size,
+    avg(CASE WHEN abs(a.v - b.v) <= {eps!r} THEN 1.0 ELSE 0.0 END) AS near
+  FROM {rows} a JOIN {rows} b ON a.source = b.source AND a.block = b.block AND a.chan = b.chan AND a.t <> b.t GROUP BY ALL),
+rl AS (SELECT {S}, a, b FROM rq WHERE d <= least({eps!r}, {rho!r} * size) AND near >= {share!r}),
+rt AS (SELECT DISTINCT {T} FROM {rows}),
+ra AS (
+  SELECT l.source, l.block, l.a, coalesce(max(CASE WHEN rt.t < l.a AND o.b IS NULL THEN rt.t END), min(rt.t) - 1) + 1 AS first,
+    coalesce(min(CASE WHEN rt.t > l.a AND o.b IS NULL THEN rt.t END), max(rt.t) + 1) - 1 AS last
+  FROM rl l JOIN rt ON rt.source = l.source AND rt.block = l.block
+  LEFT JOIN rl o ON o.source = l.source AND o.block = l.block AND o.a = l.a AND o.b = rt.t WHERE l.b = l.a - 1 AND rt.t <> l.a GROUP BY ALL),
+rn AS (
+  SELECT r.source, r.block, r.a, r.first, r.last, min(n.a) AS next
+  FROM ra r LEFT JOIN ra n ON n.source = r.source AND n.block = r.block AND n.a > r.last GROUP BY ALL),
+rw AS (
+  SELECT {S}, min(a) AS at FROM ra GROUP BY ALL
+  UNION ALL SELECT w.source, w.block, n.next FROM rw w JOIN rn n ON n.source = w.source AND n.block = w.block AND n.a = w.at WHERE n.next IS NOT NULL),
+rr AS (
+  SELECT n.source, n.block, n.first, n.last FROM rw w JOIN rn n ON n.source = w.source AND n.block = w.block AND n.a = w.at
+  WHERE n.last - n.first + 1 >= {least})"""
+
+
+#: A grid whose first 40 times drift, with a stretch of equal times.
+DRIFT = f"""
+dg AS (
+  SELECT {C}, t, CASE WHEN t < 40 THEN f + 0.009 * t WHEN t BETWEEN 50 AND 70 THEN f ELSE v END AS v
+  FROM g JOIN (SELECT {C}, v AS f FROM g WHERE t = 0) USING ({C}))"""
+
+
+def drifting(spark, sf):
+    g = emb(spark, sf)
+    own = g.join(g.filter("t = 0").select(*BC, F.col("v").alias("f")), BC)
+    return own.withColumn("v", F.when(F.col("t") < 40, F.col("f") + 0.009 * F.col("t")).when(F.col("t").between(50, 70), F.col("f")).otherwise(F.col("v"))).drop("f")
+
+
+@query("d23_repeated_columns", f"WITH RECURSIVE {{EMB}}, {DRIFT}, {repeated('dg', 0.02, 5.0, 0.98, 4)} SELECT {S}, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CAST(last - first + 1 AS BIGINT) AS n FROM rr")
 def _(spark, sf):
-    return D.vertical_robust(points(spark, sf), "m", 1.0, 0.02).select(*BT, "flag")
+    return D.repeated_columns(drifting(spark, sf), 0.02, 5.0, 0.98, 4)
+
+
+PERIODS = f"""
+p AS (SELECT {C}, t FROM g WHERE abs(v) > 0.15), n AS (SELECT {C}, count(*) AS n FROM p GROUP BY ALL),
+m AS (
+  SELECT a.source, a.block, a.chan, b.t - a.t AS period, count(*) AS pairs
+  FROM p a JOIN p b ON a.source = b.source AND a.block = b.block AND a.chan = b.chan AND b.t - a.t BETWEEN 3 AND 20 GROUP BY ALL),
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY {C} ORDER BY pairs DESC, pairs / n DESC, period) AS k
+  FROM m JOIN n USING ({C}) WHERE pairs >= 4 AND pairs >= 0.2 * n)"""
 
 
-@query("d23_repeated_columns", "WITH {EMB}, p AS (SELECT *, lag(v) OVER (PARTITION BY source, block, chan ORDER BY t) AS p FROM g), s AS (SELECT source, block, t, avg(abs(v - p)) AS d, avg((abs(v) + abs(p)) / 2) AS size, avg(CASE WHEN abs(v - p) <= 0.25 THEN 1.0 ELSE 0.0 END) AS near FROM p WHERE p IS NOT NULL GROUP BY ALL), l AS (SELECT *, d <= least(0.25, 1.5 * size) AND near >= 0.8 AS alike FROM s), i AS (SELECT *, t - row_number() OVER (PARTITION BY source, block ORDER BY t) AS island FROM l WHERE alike) SELECT source, block, CAST(min(t) - 1 AS INTEGER) AS first, max(t) AS last, count(*) + 1 AS n FROM i GROUP BY source, block, island HAVING count(*) + 1 >= 3")
+@query("d25_j10_w09_periodic", f"WITH {{EMB}}, {PERIODS} SELECT {C}, period, pairs FROM k WHERE k = 1")
 def _(spark, sf):
-    return D.repeated_columns(emb(spark, sf), 0.25, 1.5, 0.8, 3)
+    return D.periodic(emb(spark, sf).withColumn("m", F.abs("v") > 0.15), "m", 3, 20, 4, 0.2).select(*BC, "period", "pairs")
 
 
-@query("d25_j10_w09_periodic", "WITH {EMB}, p AS (SELECT source, block, chan, t FROM g WHERE abs(v) > 0.15), n AS (SELECT source, block, chan, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT a.source, a.block, a.chan, b.t - a.t AS period, count(*) AS pairs FROM p a JOIN p b ON a.source = b.source AND a.block = b.block AND a.chan = b.chan AND b.t - a.t BETWEEN 3 AND 20 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source, block, chan ORDER BY pairs DESC, pairs / n DESC, period) AS k FROM m JOIN n USING (source, block, chan) WHERE pairs >= 4 AND pairs >= 0.2 * n) SELECT source, block, chan, period, pairs FROM k WHERE k = 1")
+@query("d25_periodic_points", f"""WITH {{EMB}}, {PERIODS},
+q AS (SELECT {C}, t, t + period AS ahead, t - period AS back FROM p JOIN k USING ({C}) WHERE k = 1),
+b AS (SELECT q.* FROM q SEMI JOIN p ON p.source = q.source AND p.block = q.block AND p.chan = q.chan AND (p.t = q.ahead OR p.t = q.back))
+SELECT g.source, g.block, g.chan, g.t, b.t IS NOT NULL AS m_periodic FROM g LEFT JOIN b USING ({C}, t)""")
 def _(spark, sf):
-    return D.periodic(emb(spark, sf).withColumn("m", F.abs("v") > 0.15), "m", 3, 20, 4, 0.2)
+    return D.periodic_points(emb(spark, sf).withColumn("m", F.abs("v") > 0.15), "m", 3, 20, 4, 0.2).select(*BC, "t", "m_periodic")
 
 
 PULSE = "f AS (SELECT DISTINCT source, block, chan, 1000.0 + chan * 5 AS freq FROM g), d AS (SELECT *, 4148.808 * {dm} * (freq ** -2 - (max(freq) OVER (PARTITION BY source, block)) ** -2) AS d FROM f), k AS (SELECT *, max(d) OVER (PARTITION BY source, block) AS md FROM d), a AS (SELECT source, block, chan, CAST(floor(({t0} + k * {p} + d) / 0.01) AS INTEGER) AS c FROM k, range(-20, 40) r(k) WHERE k BETWEEN floor((-md - {t0}) / {p}) AND ceil((100 * 0.01 - {t0}) / {p}) + 1), px AS (SELECT DISTINCT source, block, chan, CAST(c - {h} + i AS INTEGER) AS t FROM a, range(0, {w}) r(i) WHERE c - {h} + i BETWEEN 0 AND 99)"
@@ -223,13 +315,13 @@ def _(spark, sf):
     return D.cancelled(emb(spark, sf).withColumn("m", F.abs("v") > 0.15), "m", 0.25)
 
 
-@query("d30_channel_kinds", "WITH {EMB}, " + FLAGGED + ", m AS (SELECT source, block, avg(mean) AS mid FROM f GROUP BY ALL) SELECT source, block, min(chan) AS first, max(chan) AS last, count(*) AS n, CASE WHEN count(*) <= 2 THEN CASE WHEN avg(mean) > any_value(mid) THEN 'bright' ELSE 'dark' END WHEN bool_and(mean > mid + 1e-5) THEN 'bright' WHEN bool_and(mean < mid - 1e-5) THEN 'dark' ELSE 'complex' END AS kind FROM i JOIN m USING (source, block) WHERE flag GROUP BY source, block, island")
+@query("d30_channel_kinds", "WITH {EMB}, " + FLAGGED + ", m AS (SELECT source, block, avg(mean) AS mid FROM f GROUP BY ALL) SELECT source, block, min(chan) AS first, max(chan) AS last, count(*) AS n, CASE WHEN count(*) <= 2 THEN CASE WHEN avg(mean) > any_value(mid) + 1e-5 THEN 'bright' WHEN avg(mean) < any_value(mid) - 1e-5 THEN 'dark' ELSE 'complex' END WHEN bool_and(mean > mid + 1e-5) THEN 'bright' WHEN bool_and(mean < mid - 1e-5) THEN 'dark' ELSE 'complex' END AS kind FROM i JOIN m USING (source, block) WHERE flag GROUP BY source, block, island")
 def _(spark, sf):
     return D.channel_kinds(flagged_channels(spark, sf))
 
 
 SIMPLE = "WITH RECURSIVE {EMB}, " + clip_sql("c", "g", "source, block, chan", 2.5, kind="avg") + """, pt AS (SELECT source, block, chan, t, v, v < a[1] OR v > a[len(a)] AS m_point FROM g JOIN c USING (source, block, chan)),
-ch AS (SELECT source, block, chan, coalesce(avg(v) FILTER (NOT m_point), 0) AS mean, coalesce(stddev_pop(v) FILTER (NOT m_point), 0) AS std FROM pt GROUP BY ALL), xs AS (SELECT source, block, chan, std AS v FROM ch), xm AS (SELECT source, block, chan, mean AS v FROM ch), """ + clip_sql("cs", "xs", "source, block", 2.0, 30, floor=True, rate=0.01) + ", " + clip_sql("cm", "xm", "source, block", 2.0, 30, rate=0.01) + """,
+ch AS (SELECT source, block, chan, CASE WHEN count(*) FILTER (NOT m_point) <= 1 THEN avg(v) ELSE avg(v) FILTER (NOT m_point) END AS mean, CASE WHEN count(*) FILTER (NOT m_point) <= 1 THEN stddev_pop(v) ELSE stddev_pop(v) FILTER (NOT m_point) END AS std FROM pt GROUP BY ALL), xs AS (SELECT source, block, chan, std AS v FROM ch), xm AS (SELECT source, block, chan, mean AS v FROM ch), """ + clip_sql("cs", "xs", "source, block", 2.0, 30, kind="avg", rate=0.01) + ", " + clip_sql("cm", "xm", "source, block", 2.0, 30, kind="avg", rate=0.01) + """,
 fl AS (SELECT source, block, chan, std < cs.a[1] OR std > cs.a[len(cs.a)] OR mean < cm.a[1] OR mean > cm.a[len(cm.a)] AS flag FROM ch JOIN cs USING (source, block) JOIN cm USING (source, block)),
 wd AS (SELECT source, block, chan, bool_or(flag) OVER (PARTITION BY source, block ORDER BY chan ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m_horiz FROM fl) SELECT source, block, chan, t, m_point, m_horiz FROM pt JOIN wd USING (source, block, chan)"""
 

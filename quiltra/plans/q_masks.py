@@ -110,7 +110,7 @@ def _(spark, sf):
     return M.points_to_blocks(_coded(spark, sf), "label", 3, 12, 3).select(*BC, "t", "label")
 
 
-@query("m14_points_to_blocks_main", to_blocks_sql("2, 3, 4", "CASE WHEN area < 0.45 * h * w AND w > 10 THEN 3 WHEN (area > 800 AND w >= 20 AND h >= 20 AND w / h > 0.25 AND w / h < 4) OR (area > 1500 AND w / h > 0.2 AND w / h < 5) THEN 4 WHEN area < 400 THEN 3 END", "CASE WHEN k = 4 AND label IN (0, 2, 3) THEN 4 WHEN k = 3 AND label IN (2, 3, 4) THEN 3 ELSE label END"))
+@query("m14_points_to_blocks_main", to_blocks_sql("2, 3, 4", "CASE WHEN area < 0.45 * h * w AND w > 10 THEN 3 WHEN (area > 800 AND w >= 20 AND h >= 20 AND w / h > 0.25 AND w / h < 4) OR (area > 1500 AND w / h > 0.2 AND w / h < 5) THEN 4 WHEN area < 400 THEN 3 END", "CASE WHEN k = 4 AND label IN (0, 2, 3) THEN 4 WHEN k = 3 THEN 3 ELSE label END"))
 def _(spark, sf):
     return M.points_to_blocks_main(_coded(spark, sf), "label", 3).select(*BC, "t", "label")
 
@@ -120,9 +120,27 @@ def _(spark, sf):
     return M.binary(emb(spark, sf).withColumn("label", F.when(F.col("v") > 0.2, 255).otherwise(0)), "label").select(*BC, "t", "label")
 
 
-@query("d24_blocks", COMP.replace("abs(v) > 0.2)", "abs(v) > 0.2)") + ", x AS (SELECT source, block, min(chan) AS c0, max(chan) AS c1, min(t) AS t0, max(t) AS t1, count(*) AS area FROM p JOIN l USING (id) GROUP BY source, block, comp), k AS (SELECT * FROM x WHERE area >= 4 AND area >= 0.5 * (c1 - c0 + 1) * (t1 - t0 + 1) AND (t1 - t0 + 1) / (c1 - c0 + 1) BETWEEN 0.2 AND 5) SELECT source, block, chan, t, EXISTS (SELECT 1 FROM k WHERE k.source = g.source AND k.block = g.block AND chan BETWEEN c0 AND c1 AND t BETWEEN t0 AND t1) AS m_block FROM g")
+SPARSE = "b0 AS (SELECT source, block, chan, t, abs(v) > 0.42 AS m FROM g)"
+
+
+def blocks_sql(shape: str) -> str:
+    within = "EXISTS (SELECT 1 FROM bl WHERE bl.source = b0.source AND bl.block = b0.block AND b0.chan BETWEEN c0 AND c1 AND b0.t BETWEEN t0 AND t1)"
+    return f"WITH RECURSIVE {{EMB}}, {SPARSE}, {flow_sql.blocks('b0', 150, shape, 7)} SELECT source, block, chan, t, {within} AS m_block FROM b0"
+
+
+@query("d24_blocks", blocks_sql("diamond"))
+def _(spark, sf):
+    return M.blocks(emb(spark, sf).withColumn("m", F.abs("v") > 0.42), "m", area=150, diamond=7).select(*BC, "t", "m_block")
+
+
+@query("d24_blocks_square", blocks_sql("square"))
+def _(spark, sf):
+    return M.blocks(emb(spark, sf).withColumn("m", F.abs("v") > 0.42), "m", 15, 15, 150).select(*BC, "t", "m_block")
+
+
+@query("m07_diamond_of_seven", f"WITH {{EMB}}, {SPARSE}, {flow_sql.grown('b0', 'diamond', 7, 'd')} SELECT source, block, b0.chan, b0.t, d.t IS NOT NULL AS m FROM b0 LEFT JOIN d USING (source, block, chan, t)")
 def _(spark, sf):
-    return M.blocks(points(spark, sf), "m", 1, 1, 4).select(*BC, "t", "m_block")
+    return M.dilated_diamond(emb(spark, sf).withColumn("m", F.abs("v") > 0.42), "m", 7).select(*BC, "t", "m")
 
 
 DRAW = draw_sql(1, "source", "block", "chan", "t")
@@ -189,10 +207,25 @@ def _pulse(spark, sf):
     return flows.pulse_pixels(f, "freq", flows.PulseTrain(30.0, 0.25, 0.05, 2, 0.01, 100))
 
 
-@query("d32_full_flow", flow_sql.FULL)
+def _full(spark, sf, detector):
+    out = flows.full_flow(emb(spark, sf), 64, 100, 2.5, 2.0, detector=detector, area=20, pulse=_pulse(spark, sf))
+    masks = [f"m_{k}" for k in "point horiz vert block pulse bright dark complex global".split()]
+    return out.select(*BC, "t", *masks, "label", *rounded("final_med", "final_rms"))
+
+
+@query("d32_full_flow", flow_sql.full(flow_sql.SIGMA))
+def _(spark, sf):
+    return _full(spark, sf, "sigma")
+
+
+@query("d32_iqrm_flow", flow_sql.full(flow_sql.IQRM))
+def _(spark, sf):
+    return _full(spark, sf, "iqrm")
+
+
+@query("d32_tukey_flow", flow_sql.full(flow_sql.TUKEY))
 def _(spark, sf):
-    out = flows.full_flow(emb(spark, sf), 64, 2.5, 2.0, area=20, pulse=_pulse(spark, sf))
-    return out.select(*BC, "t", "m_point", "m_horiz", "m_vert", "m_block", "m_pulse", "m_global", "label", *rounded("clean_med", "clean_rms"))
+    return _full(spark, sf, "tukey")
 
 
 @query("d33_short_flow", flow_sql.SHORT)
@@ -201,17 +234,15 @@ def _(spark, sf):
     return flows.short_flow(emb(spark, sf), pulse, 2.5, 2.0, area=20).select(*BC, "t", "label")
 
 
-# Means of 3 x 3 cells, Gaussian means of them along time and along channels, taken from each pixel's nearest cell.
-LOW_PASS = """sm AS (SELECT source, block, CAST(chan // 3 AS INTEGER) AS chan, CAST(t // 3 AS INTEGER) AS t, avg(v) AS v FROM {rows} GROUP BY source, block, chan // 3, t // 3),
-st AS (SELECT a.source, a.block, a.chan, a.t, sum(b.v * exp(-o * o / 50.0)) / sum(exp(-o * o / 50.0)) AS v FROM sm a, range(-15, 16) r(o), sm b WHERE b.source = a.source AND b.block = a.block AND b.chan = a.chan AND b.t = a.t + o GROUP BY ALL),
-sc AS (SELECT a.source, a.block, a.chan, a.t, sum(b.v * exp(-o * o / 12.5)) / sum(exp(-o * o / 12.5)) AS v FROM st a, range(-10, 11) r(o), st b WHERE b.source = a.source AND b.block = a.block AND b.t = a.t AND b.chan = a.chan + o GROUP BY ALL)"""
+MASKED = "h AS (SELECT *, abs(v) > 0.3 AS m FROM g)"
 
 
-@query("d35_low_pass_residual", "WITH {EMB}, " + LOW_PASS.format(rows="g") + " SELECT g.source, g.block, g.chan, g.t, round(g.v - sc.v, 6) AS v FROM g JOIN sc ON sc.source = g.source AND sc.block = g.block AND sc.chan = g.chan // 3 AND sc.t = g.t // 3")
+@query("d35_low_pass_residual", f"WITH {{EMB}}, {MASKED}, {flow_sql.low_pass('h', 'm')}, r AS ({flow_sql.residual('h')}) SELECT source, block, chan, t, round(v, 6) AS v FROM r")
 def _(spark, sf):
-    return flows.low_pass_residual(emb(spark, sf), 64, 100).select(*BC, "t", *rounded("v"))
+    own = emb(spark, sf).withColumn("m", F.abs("v") > 0.3)
+    return flows.low_pass_residual(own, 64, 100, mask="m").select(*BC, "t", *rounded("v"))
 
 
-@query("d37_strategy", flow_sql.strategy(LOW_PASS))
+@query("d37_strategy", flow_sql.strategy(1.0))
 def _(spark, sf):
-    return flows.strategy(emb(spark, sf), 64, 100, 3.0)
+    return flows.strategy(emb(spark, sf), 64, 100, 1.0)

@@ -79,7 +79,7 @@ def _(spark, sf):
     return sinks.label_masks(labels, sinks.new_path(spark, "masks")).groupBy("name", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("s12_frequency_axis", "WITH {EMB} SELECT DISTINCT chan, round(1382.0 - 200.0 + ((63 - chan) + 0.5) * (400.0 / 64), 6) AS freq FROM g")
+@query("s12_frequency_axis", "WITH {EMB} SELECT DISTINCT chan, round(1382.0 - 200.0 + (chan + 0.5) * (400.0 / 64), 6) AS freq FROM g")
 def _(spark, sf):
     return emb(spark, sf).select("chan").distinct().select("chan", F.round(grids.frequency(1382.0, -400.0, 64, F.col("chan")), 6).alias("freq"))
 

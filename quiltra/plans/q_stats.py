@@ -116,10 +116,14 @@ def _(spark, sf):
     return stats.timing_summary(grids.table(spark, sf, "events"), "event_type", "value").select("stage", "n", *rounded("total", digits=4), *rounded("mean", "median", "least", "most", "std"))
 
 
-@query("a22_class_weights", f"""WITH {{EMB}}, c AS (SELECT {LABEL} AS label, count(*) AS n FROM g GROUP BY ALL), w AS (SELECT label, greatest(sqrt(sum(n) OVER () / (n * count(*) OVER ())), 0.1) AS w FROM c),
-m AS (SELECT label, least(w, 3.0 * (SELECT quantile_cont(w, 0.5) FROM w)) AS w FROM w), r AS (SELECT label, least(w, 10.0 * (SELECT min(w) FROM m)) AS w FROM m) SELECT label, round(w / avg(w) OVER (), 6) AS weight FROM r""")
-def _(spark, sf):
-    return stats.class_weights(labelled(spark, sf).groupBy("label").agg(F.count("*").alias("n"))).select("label", *rounded("weight"))
+@query("a22_class_weights", f"""WITH {{EMB}}, c AS (SELECT {LABEL} AS label, count(*) AS n FROM g GROUP BY ALL),
+k AS (SELECT label, coalesce(n, 0) AS n FROM (SELECT unnest([0, 1, 2, 6, 7, 8]) AS label) LEFT JOIN c USING (label)),
+w AS (SELECT label, greatest(sqrt(CASE WHEN n > 0 THEN sum(n) OVER () / (n * 6) ELSE 0 END + 1e-12), 0.1) AS w FROM k),
+m AS (SELECT label, least(w, 3.0 * (SELECT quantile_cont(w, 0.5) FROM w)) AS w FROM w),
+r AS (SELECT label, least(w, 1000.0 * (SELECT min(w) FROM m)) AS w FROM m)
+SELECT label, round(w / avg(w) OVER (), 6) AS weight FROM r""")
+def _(spark, sf):
+    return stats.class_weights(labelled(spark, sf).groupBy("label").agg(F.count("*").alias("n")), [0, 1, 2, 6, 7, 8]).select("label", *rounded("weight"))
 
 
 @query("a23_sample_weights", f"WITH {{EMB}}, l AS (SELECT block, t, {LABEL} AS label FROM g) SELECT block, t, CASE WHEN bool_or(label = 8) THEN 3.0 WHEN bool_or(label = 6) THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM l GROUP BY ALL")

@@ -104,8 +104,8 @@ def grouped_blocks(rows: DataFrame, per_block: int) -> DataFrame:
 
 
 def frequency(centre: float, width: float, nchan: int, chan: Column) -> Column:
-    """Middle of a channel; a negative width reverses the order."""
-    return F.lit(centre) - abs(width) / 2 + ((chan if width > 0 else nchan - 1 - chan) + 0.5) * (abs(width) / nchan)
+    """Middle of a channel. Frequencies rise with the channel, also where the width is negative: such bands are turned round."""
+    return F.lit(centre) - abs(width) / 2 + (chan + 0.5) * (abs(width) / nchan)
 
 
 def stitched(grid: DataFrame, k: int, nsamp: int) -> DataFrame:
