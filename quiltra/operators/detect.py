@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from quiltra.functions.exprs import B, BC, BT, along_t, lower_median, tukey
+from quiltra.operators.morphology import kept as stored
 from quiltra.operators.runs import in_runs
-from quiltra.operators.stats import channel_spread, noise
+from quiltra.operators.stats import channel_spread, large_quantiles, noise
 
 STATE = "struct<lo:int,hi:int,med:double,rms:double,done:boolean,n:int>"
 
@@ -183,9 +184,13 @@ def profile_mask(cube: DataFrame, bins: int, q: float = 2.0, zapped: list[int] =
     wave = F.sqrt(F.pow(F.sum(F.col("v") * F.cos(angle)), 2) + F.pow(F.sum(F.col("v") * F.sin(angle)), 2))
     spread = F.max("v") - F.min("v")
     f = cube.groupBy("subint", "chan").agg(F.stddev_pop("v").alias("std"), spread.alias("ptp"), wave.alias("lfamp"))
+    f = stored(f, "profiles")
     kept = f.filter(~F.col("chan").isin(list(zapped))) if zapped else f
     names = ["std", "ptp", "lfamp"]
-    s = kept.agg(*[F.percentile(n, p).alias(f"{n}{i}") for n in names for i, p in enumerate((0.25, 0.75))])
+    # All profiles are one group of each feature.
+    long = kept.unpivot(["subint", "chan"], names, "what", "x")
+    quartiles = large_quantiles(long, ["what"], "x", [0.25, 0.75])
+    s = quartiles.agg(*[F.max(F.when(F.col("what") == n, F.col(f"q{i}"))).alias(f"{n}{i}") for n in names for i in (0, 1)])
     flag = F.col("chan").isin(list(zapped)) if zapped else F.lit(False)
     for n in names:
         flag = flag | tukey(F.col(f"{n}0"), F.col(f"{n}1"), F.col(n), q)
@@ -197,7 +202,8 @@ def phase_spikes(cube: DataFrame, q: float = 4.0, zapped: list[int] = ()) -> Dat
     kept = cube.filter(~F.col("chan").isin(list(zapped))) if zapped else cube
     base = kept.groupBy("subint", "chan").agg(F.percentile("v", 0.5).alias("base"))
     total = kept.join(base, ["subint", "chan"]).groupBy("subint", "bin").agg(F.sum(F.col("v") - F.col("base")).alias("total"))
-    s = total.groupBy("bin").agg(F.percentile("total", 0.25).alias("_a"), F.percentile("total", 0.5).alias("med"), F.percentile("total", 0.75).alias("_b"))
+    total = stored(total, "totals")
+    s = large_quantiles(total, ["bin"], "total", [0.25, 0.5, 0.75]).withColumnsRenamed({"q0": "_a", "q1": "med", "q2": "_b"})
     return total.join(F.broadcast(s), "bin").select("subint", "bin", "total", "med", tukey(F.col("_a"), F.col("_b"), F.col("total"), q).alias("flag"))
 
 

@@ -28,6 +28,60 @@ def quantiles(grid: DataFrame, keys: list[str], *shares: float) -> DataFrame:
     return own.groupBy(*keys).agg(*[F.percentile("v", s).alias(f"q{i}") for i, s in enumerate(shares)])
 
 
+#: Bins of a round of ``large_quantiles``, and the values of an interval that one task may sort.
+BINS, SORTED = 1024, 1 << 20
+
+
+def large_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], sorted_rows: int = SORTED) -> DataFrame:
+    """(keys, q0, q1, ...): interpolated quantiles, also of groups that no task can hold; nulls and NaN are left out.
+
+    Each wanted rank lies in an interval of values, at first from the least to the largest. A round counts an interval's values
+    in BINS bins and goes on with the bin that holds the rank, until an interval is one value or has few enough to be sorted.
+    Each round reads the rows anew, so computed values are to be stored first: sums may differ in their last digit.
+    """
+    own = rows.select(*keys, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)")
+    by = [*keys, "_all"]
+    ends = own.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    place = [F.lit(float(p)) * (F.col("_n") - 1) for p in shares]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in place for f in (F.floor, F.ceil)]))
+    sizes = ends.select(*by, F.col("_n").alias("_all_n"))
+    wanted = ends.withColumns({"_rank": F.explode(ranks), "_before": F.lit(0).cast("long")})
+
+    def held(rows: DataFrame) -> DataFrame:
+        from quiltra.operators.morphology import kept
+
+        return kept(rows, "ranks")
+
+    within = [*by, "_lo", "_hi", "_before", "_n"]
+    open_, done = held(wanted), None
+    while True:
+        found = open_.filter("_lo = _hi").select(*by, "_rank", F.col("_lo").alias("_v"))
+        done = found if done is None else done.unionByName(found)
+        open_ = open_.filter("_lo < _hi")
+        if not open_.filter(F.col("_n") > sorted_rows).limit(1).count():
+            break
+        spans = open_.select(*within).distinct()
+        inside = own.join(F.broadcast(spans), by).filter("_x between _lo and _hi")
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("_x") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / BINS)))
+        counts = inside.groupBy(*within, bin_.alias("_bin")).agg(F.count("*").alias("_k"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+        # At most BINS rows for each interval.
+        start = F.col("_before") + F.sum("_k").over(Window.partitionBy(*within).orderBy("_bin")) - F.col("_k")
+        counts = counts.withColumn("_start", start)
+        hit = open_.join(counts, within).filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_k")))
+        open_ = held(hit.select(*by, F.col("_k").alias("_n"), F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "_rank", F.col("_start").alias("_before")))
+    inside = own.join(F.broadcast(open_.select(*within).distinct()), by).filter("_x between _lo and _hi")
+    numbered = inside.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*within).orderBy("_x")) - 1)
+    done = done.unionByName(numbered.join(open_.select(*within, "_rank"), [*within, "_rank"]).select(*by, "_rank", F.col("_x").alias("_v")))
+    at = done.distinct().groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m")).join(sizes, by)
+
+    def interpolated(p: float):
+        x = F.lit(float(p)) * (F.col("_all_n") - 1)
+        low, high = (F.element_at("_m", f(x).cast("long")) for f in (F.floor, F.ceil))
+        return low + (x - F.floor(x)) * (high - low)
+
+    return at.select(*keys, *[interpolated(p).alias(f"q{i}") for i, p in enumerate(shares)])
+
+
 def with_medians(grid: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(grid.groupBy(*keys).agg(lower_median("v").alias("med")), keys)
 
@@ -116,10 +170,12 @@ def flag_shares(pixels: DataFrame, mask: str) -> DataFrame:
 
 
 def timing_summary(rows: DataFrame, stage: str, secs: str) -> DataFrame:
-    return rows.groupBy(F.col(stage).alias("stage")).agg(
-        F.count("*").alias("n"), F.sum(secs).alias("total"), F.avg(secs).alias("mean"), F.percentile(secs, 0.5).alias("median"),
-        F.min(secs).alias("least"), F.max(secs).alias("most"), F.stddev_pop(secs).alias("std"),
+    """Number, total, mean, median, range and deviation by stage; a stage may have any number of rows."""
+    own = rows.select(F.col(stage).alias("stage"), F.col(secs).alias("secs"))
+    sums = own.groupBy("stage").agg(
+        F.count("*").alias("n"), F.sum("secs").alias("total"), F.avg("secs").alias("mean"), F.min("secs").alias("least"), F.max("secs").alias("most"), F.stddev_pop("secs").alias("std"),
     )
+    return sums.join(large_quantiles(own, ["stage"], "secs", [0.5]).withColumnRenamed("q0", "median"), "stage", "left")
 
 
 def class_weights(counts: DataFrame, classes: list[int], smoothing: str = "sqrt", floor: float = 0.1, median_cap: float = 3.0, ratio_cap: float = 1000.0, power: float = 0.6) -> DataFrame:

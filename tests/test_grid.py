@@ -175,3 +175,55 @@ def test_flow_takes_pulses_and_leaves_out_what_is_turned_off(spark):
     every = np.array([r.v for r in rows])
     med = np.sort(every)[(len(every) - 1) // 2]
     assert abs(rows[0].final_med - med) < 1e-9 and abs(rows[0].final_rms - np.sqrt(np.mean((every - med) ** 2))) < 1e-9
+
+
+def test_quantiles_of_large_groups_by_refinement(spark, monkeypatch):
+    from quiltra.operators import stats
+
+    rng = np.random.default_rng(6)
+    values = {"a": rng.normal(size=900), "b": np.round(rng.normal(size=700), 1), "c": np.full(500, 2.5), "d": rng.normal(size=1) * 1e9, "e": np.concatenate([rng.random(400), [1e12]])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", float("nan")), ("b", None), ("f", None)], "k string, x double")
+    monkeypatch.setattr(stats, "BINS", 8)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for most in (1, 20, 10_000):
+        got = {r["k"]: [r[f"q{i}"] for i in range(5)] for r in stats.large_quantiles(rows, ["k"], "x", shares, most).collect()}
+        assert set(got) == set(values) and all(np.allclose(got[k], np.quantile(v, shares)) for k, v in values.items())
+
+
+def test_runs_of_repeated_times_hang_on_their_anchor(spark):
+    eps = 0.01
+    v = np.tile(np.arange(1.0, 6.0)[:, None], (1, 60))
+    v[:, :40] += 0.9 * eps * np.arange(40)
+    v[:, 40:] += np.random.default_rng(1).normal(size=(5, 20))
+    v[:, 50:55] = v[:, [50]]
+    found = lambda least: sorted((r["first"], r["last"]) for r in detect.repeated_columns(grid(spark, v), eps, 1.0, 0.98, least).collect())
+    # Every third time is an anchor, alike to its neighbours alone.
+    assert found(3) == [(k, k + 2) for k in range(0, 38, 2)] + [(50, 54)] and found(16) == []
+
+
+def test_members_of_periodic_pairs(spark):
+    m = np.zeros((3, 200), bool)
+    m[0, 5:190:13] = True
+    m[0, [20, 77]] = True
+    m[1, ::2] = True
+    m[2, [3, 66, 130]] = True
+    got = detect.periodic_points(grid(spark, m.astype(float)).withColumn("m", F.col("v") > 0), "m", 3, 70, 3, 0.3).collect()
+    have = {c: sorted(r.t for r in got if r.chan == c and r.m_periodic) for c in range(3)}
+    assert have[0] == list(range(5, 190, 13)) and have[1] == list(range(0, 200, 2)) and have[2] == []
+
+
+def test_diamonds_by_running_distances(spark):
+    rng = np.random.default_rng(9)
+    m = rng.random((20, 33)) < 0.02
+    for radius in (1, 3, 7):
+        got = {(r.chan, r.t): r.m for r in morphology.dilated_diamond(grid(spark, m.astype(float)).withColumn("m", F.col("v") > 0), "m", radius).collect()}
+        flags = np.argwhere(m)
+        assert all(got[c, t] == (np.abs(flags - [c, t]).sum(1).min() <= radius) for c in range(20) for t in range(33))
+
+
+def test_points_next_to_missing_times_dont_touch(spark):
+    m = np.zeros((9, 30))
+    m[3:5, 9:11] = m[3:5, 12:14] = 1
+    full = grid(spark, m).withColumn("m", F.col("v") > 0)
+    key = lambda df: {(r.chan, r.t): r.m for r in df.collect() if r.t != 11}
+    assert key(morphology.cleaned_points(full.filter("t <> 11"), "m")) == key(morphology.cleaned_points(full, "m"))
