@@ -42,9 +42,6 @@ SPECIAL = "<|endoftext|>"
 
 #: White space of the vocabulary's split pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The vocabulary's split pattern, with its white space spelled out.
-PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-
 
 def byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write each byte as one letter: printable ones as themselves, the others from 256 on."""
@@ -77,21 +74,16 @@ class Remembered(dict):
 class Encoder:
     """Whole texts to ids, with the tokenizers library.
 
-    The library's model gives the ids of each piece of the vocabulary's split pattern, which always cuts before a single
-    space that has no other white space beside it. So parts between spaces, and pieces in them, are encoded apart, each
-    distinct one once while it is remembered. Texts with longer runs of white space, or with the name of the special
-    token, go to the library whole.
+    The vocabulary's split pattern always cuts before a single space that has no other white space beside it. So parts
+    between spaces are encoded apart, each distinct one once while it is remembered. Texts with longer runs of white space,
+    or with the name of the special token, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
-        self.split = regex.compile(PIECES).findall
-        self.pieces = Remembered()
         self.runs = re.compile(f"[{SPACE}]{{2}}").search
         self.known = Remembered()
 
@@ -99,19 +91,11 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self) -> None:
-        """Fills in the new parts: each is cut into pieces, and the library's model encodes the pieces that are new."""
-        model, letters = self.tokenizer.model.tokenize, self.letters
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.old = {}
-            self.pieces = Remembered(self.pieces)
-        get, rows = self.pieces.__getitem__, []
-        for part, held in self.known.fresh.items():
-            rows.append((held, list(map(get, self.split(part)))))
-        for piece, held in self.pieces.fresh.items():
-            held += struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in model(piece.encode().decode("latin-1").translate(letters))]) else b""
-        self.pieces.fresh, self.known.fresh = {}, {}
-        for held, own in rows:
-            held += b"".join(own)
+        """Fills in the new parts, encoded in one call."""
+        fresh = self.known.fresh
+        for held, own in zip(fresh.values(), self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False)):
+            held += struct.pack(f"<{len(own.ids)}I", *own.ids)
+        self.known.fresh = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers, without the end id."""
