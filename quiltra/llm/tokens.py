@@ -36,13 +36,14 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 16
 NO_ID = 1 << 31
 END_ID = 0
-#: Distinct pieces of text whose ids a worker remembers.
+#: Distinct parts of texts whose ids a worker remembers.
 REMEMBERED = 150_000
 SPECIAL = "<|endoftext|>"
 
 #: White space of the vocabulary's split pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+
 def byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write each byte as one letter: printable ones as themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
