@@ -22,6 +22,7 @@ import os
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ SEGMENT_IDS = 1 << 16
 NO_ID = 1 << 31
 END_ID = 0
 #: Distinct parts of texts whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 SPECIAL = "<|endoftext|>"
 
 #: White space of the vocabulary's split pattern.
@@ -51,6 +52,14 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
+#: Byte to letter, for text whose UTF-8 bytes were read as Latin-1.
+AS_LETTERS = {b: byte_letters().get(b, b) for b in range(256)}
+#: Latin, Greek and Cyrillic letters, and the ASCII marks but the apostrophe.
+PLAIN, MARKS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u052f", r"!-&(-/:-@\[-`{-~"
+#: A part of these, digits and single line feeds, and its pieces by the split pattern: runs of one kind.
+WORD = re.compile(f" ?[{PLAIN}{MARKS}0-9\n]+").fullmatch
+PIECES = re.compile(f" ?[{PLAIN}]+| ?[0-9]+| ?[{MARKS}]+|\n").findall
+
 HEADER = struct.Struct("<4sHIIQ")
 
 
@@ -76,8 +85,9 @@ class Encoder:
     """Whole texts to ids, with the tokenizers library.
 
     The vocabulary's split pattern always cuts before a single space that has no other white space beside it. So parts
-    between spaces are encoded apart, each distinct one once while it is remembered. Texts with longer runs of white space,
-    or with the name of the special token, go to the library whole.
+    between spaces are encoded apart, each distinct one once while it is remembered. Plain words, whose pieces are known, go
+    to the library's model at once, other parts through its split pattern. Texts with longer runs of white space, or with the
+    name of the special token, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -85,6 +95,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.runs = re.compile(f"[{SPACE}]{{2}}").search
         self.known = Remembered()
 
@@ -92,10 +103,16 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self) -> None:
-        """Fills in the new parts, encoded in one call."""
-        fresh = self.known.fresh
-        for held, own in zip(fresh.values(), self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False)):
-            held += struct.pack(f"<{len(own.ids)}I", *own.ids)
+        """Fills in the new parts: plain words one by one, the others in one call."""
+        fresh, others, merge = self.known.fresh, [], self.model.tokenize
+        for part, held in fresh.items():
+            if WORD(part):
+                ids = [x.id for piece in PIECES(part) for x in merge(piece.encode().decode("latin-1").translate(AS_LETTERS))]
+                held += struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(part)
+        for part, own in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            fresh[part] += struct.pack(f"<{len(own.ids)}I", *own.ids)
         self.known.fresh = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -113,6 +130,12 @@ class Encoder:
         return [b"".join(r) for r in rows]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: the next tasks of a worker go on with the parts that it remembers."""
+    return Encoder(path)
+
+
 def lanes(width: int):
     """For each of a lane's 32 values: its word, its shift, and whether it runs into the next word."""
     for i in range(32):
@@ -222,7 +245,7 @@ def segments(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Segments of all documents in ascending order of id; ``start_in_part`` counts the ids before it in its partition."""
 
     def encode(batches):
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        own_encoder, part = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         names, counts, held, n, start, k = [], [], [], 0, 0, 0
 
@@ -232,7 +255,7 @@ def segments(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for batch in batches:
             for own in common.sliced(batch, limit=1 << 18):
-                for doc, ids in zip(own["doc_id"].to_pylist(), encoder.encode(own["text"].to_pylist())):
+                for doc, ids in zip(own["doc_id"].to_pylist(), own_encoder.encode(own["text"].to_pylist())):
                     names.append(doc)
                     counts.append(len(ids) // 4 + 1)
                     held += (ids, end)
