@@ -24,9 +24,9 @@ def rounded(*names: str, digits: int = 6) -> list[Column]:
     return [(F.round(n, digits) + F.lit(0.0)).alias(n) for n in names]
 
 
-def draw(seed: int, *names: str) -> Column:
+def draw(seed: int, *names: str | Column) -> Column:
     """A repeatable number from 0 to 2**32 - 1 out of the seed and the columns' text."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(n).cast("string") for n in names])
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(n) if isinstance(n, str) else n).cast("string") for n in names])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltra.functions.exprs import BC, draw
+from quiltra.operators.curate import by_draw
+from quiltra.operators.morphology import kept
 from quiltra.operators.substitute import normalised
 from quiltra.sources import grids
 
@@ -83,24 +83,28 @@ def preservation(pairs: DataFrame, keys: list[str], pulsar: int = 5, two_class:
     return own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(kept.cast("double")).alias("kept"))
 
 
-#: Chances of at most 0, 1, 2, ... in a Poisson distribution of mean 1.
-POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(10)]
-
-
-def bootstrap(deltas: DataFrame, name: str, delta: str, draws: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """Mean of paired differences with the quantile interval of resampled means.
+def bootstrap(deltas: DataFrame, name: str, delta: str, draws: int = 2000, seed: int = 1, level: float = 0.95, cell_bits: int = 10) -> DataFrame:
+    """(mean, low, high): mean of paired differences with the quantile interval of the means of resamples.
 
-    How often a row is in a resample is drawn for itself from a Poisson distribution of mean 1, by a hash of the draw and the
-    row's name. So rows need no numbers and no exchange: each task sums its rows for all draws.
+    A resample has as many rows as there are, drawn with replacement. Rows are numbered in a drawn order and packed into cells
+    of 2 ** cell_bits. Each pick first chooses a number, and only how often it falls into each cell is counted; then a cell
+    draws that many of its own rows. So no pick is a row of a shuffle, and a task holds the rows of one cell. Null differences
+    are left out; without any the three are null.
     """
-    own = deltas.select(name, F.col(delta).alias("_d"))
-    u = draw(seed, "draw", name) / 4294967296.0
-    times = sum(F.when(u >= p, 1).otherwise(0) for p in POISSON)
-    each = own.select(name, "_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_k", times)
-    means = each.groupBy("draw").agg((F.sum(F.col("_d") * F.col("_k")) / F.sum("_k")).alias("_m"))
-    n = own.agg(F.avg("_d").alias("mean"))
+    spark = deltas.sparkSession
+    own = deltas.select(F.col(name).alias("_name"), F.col(delta).cast("double").alias("_d")).filter("_d is not null")
+    numbered = by_draw(own, [], "_name", seed).select((F.col("_rank") - 1).alias("_no"), "_d")
+    cells = numbered.groupBy(F.shiftright("_no", cell_bits).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("_no", "_d"))).alias("_s"))
+    cells = kept(cells.select("cell", F.transform("_s", lambda x: x["_d"]).alias("_a")), "cells")
+    n = cells.agg(F.sum(F.size("_a"))).first()[0] or 0
+    share = lambda u, size: F.shiftright(u * size, 32)
+    picks = spark.range(n).select(F.col("id").alias("pick"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    times = picks.groupBy("draw", F.shiftright(share(draw(seed, "draw", "pick"), F.lit(n).cast("long")), cell_bits).alias("cell")).agg(F.count("*").alias("_k"))
+    drawn = lambda i: F.element_at("_a", (share(draw(seed + 1, "draw", "cell", i), F.size("_a").cast("long")) + 1).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), F.lit(0.0), lambda a, i: a + drawn(i))
+    means = times.join(cells, "cell").select("draw", total.alias("_t")).groupBy("draw").agg((F.sum("_t") / n).alias("_m"))
     s = means.agg(F.percentile("_m", (1 - level) / 2).alias("low"), F.percentile("_m", (1 + level) / 2).alias("high"))
-    return n.select("mean").crossJoin(s)
+    return own.agg(F.avg("_d").alias("mean")).crossJoin(s)
 
 
 def row_shares(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:

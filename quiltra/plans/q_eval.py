@@ -76,13 +76,30 @@ def _(spark, sf):
     return E.preservation(pairs(spark, sf), ["block"]).select("block", "n", *rounded("kept"))
 
 
-BOOT = f"d AS (SELECT CAST(t AS BIGINT) AS t, avg(v) AS d FROM g GROUP BY t), a AS (SELECT draw, d, {draw_sql(1, 'draw', 't')} / 4294967296.0 AS u FROM d, range(0, 200) x(draw)), k AS (SELECT draw, d, {' + '.join(f'CASE WHEN u >= {p!r} THEN 1 ELSE 0 END' for p in E.POISSON)} AS k FROM a), m AS (SELECT draw, sum(d * k) / sum(k) AS m FROM k GROUP BY draw)"
-
-
-@query("e08_bootstrap", "WITH {EMB}, " + BOOT + " SELECT round((SELECT avg(d) FROM d), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
-def _(spark, sf):
-    d = emb(spark, sf).groupBy("t").agg(F.avg("v").alias("d"))
-    return E.bootstrap(d, "t", "d", 200, 1).select(*rounded("mean", "low", "high"))
+BOOT = f"""
+d AS (SELECT block * 100 + t AS vec, avg(v) AS d FROM g GROUP BY ALL),
+o AS (SELECT row_number() OVER (ORDER BY {draw_sql(1, 'vec')}, vec) - 1 AS no, d FROM d),
+c AS (
+    SELECT draw, (({draw_sql(1, 'draw', 'no')} * (SELECT count(*) FROM o)) >> 32) >> 5 AS cell, count(*) AS k
+    FROM o, range(0, 200) x(draw)
+    GROUP BY ALL
+),
+p AS (SELECT draw, cell, unnest(range(0, k)) AS i FROM c),
+s AS (SELECT no >> 5 AS cell, count(*) AS size FROM o GROUP BY ALL),
+q AS (SELECT draw, (cell << 5) + (({draw_sql(2, 'draw', 'cell', 'i')} * size) >> 32) AS no FROM p JOIN s USING (cell)),
+m AS (SELECT draw, avg(d) AS m FROM q JOIN o USING (no) GROUP BY draw)
+"""
+
+
+@query(
+    "e08_bootstrap",
+    "WITH {EMB}, " + BOOT + """
+SELECT round((SELECT avg(d) FROM d), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high
+FROM m""",
+)
+def _(spark, sf):
+    d = emb(spark, sf).groupBy((F.col("block") * 100 + F.col("t")).alias("vec")).agg(F.avg("v").alias("d"))
+    return E.bootstrap(d, "vec", "d", 200, 1, cell_bits=5).select(*rounded("mean", "low", "high"))
 
 
 @query("e09_row_shares", "WITH {EMB}, " + PAIRS + ", " + CELLS + " SELECT truth, pred, n, round(CASE WHEN sum(n) OVER (PARTITION BY truth) > 0 THEN n / sum(n) OVER (PARTITION BY truth) ELSE 0 END, 6) AS share FROM m")

@@ -227,3 +227,16 @@ def test_points_next_to_missing_times_dont_touch(spark):
     full = grid(spark, m).withColumn("m", F.col("v") > 0)
     key = lambda df: {(r.chan, r.t): r.m for r in df.collect() if r.t != 11}
     assert key(morphology.cleaned_points(full.filter("t <> 11"), "m")) == key(morphology.cleaned_points(full, "m"))
+
+
+def test_bootstrap_draws_as_many_rows_as_there_are(spark):
+    d = np.random.default_rng(8).exponential(size=150)
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(d)] + [(900, None)], "name long, d double")
+    got = evaluate.bootstrap(rows, "name", "d", 400, 3, cell_bits=4).first()
+    means = np.random.default_rng(1).choice(d, (4000, 150)).mean(1)
+    low, high = np.quantile(means, [0.025, 0.975])
+    assert abs(got["mean"] - d.mean()) < 1e-9 and abs(got["low"] - low) < 0.04 and abs(got["high"] - high) < 0.04
+    # With equal differences every resample has the same mean only if it has as many rows as there are.
+    same = evaluate.bootstrap(rows.filter("d is not null").withColumn("d", F.lit(2.0)), "name", "d", 50, 1, cell_bits=3).first()
+    assert (same["mean"], same["low"], same["high"]) == (2.0, 2.0, 2.0)
+    assert list(evaluate.bootstrap(rows.filter("d > 1e9"), "name", "d", 5).first()) == [None, None, None]
