@@ -38,7 +38,7 @@ SEGMENT_IDS = 1 << 16
 NO_ID = 1 << 31
 END_ID = 0
 #: Distinct parts of texts whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 SPECIAL = "<|endoftext|>"
 
 #: White space of the vocabulary's split pattern.
@@ -54,6 +54,7 @@ def byte_letters() -> dict[int, int]:
 
 #: Byte to letter, for text whose UTF-8 bytes were read as Latin-1.
 AS_LETTERS = {b: byte_letters().get(b, b) for b in range(256)}
+SPACE_LETTER = chr(AS_LETTERS[0x20])
 #: Latin, Greek and Cyrillic letters, and the ASCII marks but the apostrophe.
 PLAIN, MARKS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u052f", r"!-&(-/:-@\[-`{-~"
 #: A part of these, digits and single line feeds, and its pieces by the split pattern: runs of one kind.
@@ -102,15 +103,30 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _merged(self, piece: str) -> bytes:
+        """The ids of one piece, by the model alone."""
+        letters = piece.replace(" ", SPACE_LETTER) if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(AS_LETTERS)
+        ids = [x.id for x in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self) -> None:
-        """Fills in the new parts: plain words one by one, the others in one call."""
-        fresh, others, merge = self.known.fresh, [], self.model.tokenize
+        """Fills in the new parts: plain words piece by piece, the others in one call."""
+        fresh, others, known = self.known.fresh, [], self.known
         for part, held in fresh.items():
-            if WORD(part):
-                ids = [x.id for piece in PIECES(part) for x in merge(piece.encode().decode("latin-1").translate(AS_LETTERS))]
-                held += struct.pack(f"<{len(ids)}I", *ids)
-            else:
+            if not WORD(part):
                 others.append(part)
+                continue
+            pieces = PIECES(part)
+            if len(pieces) == 1:
+                held += self._merged(part)
+                continue
+            for piece in pieces:
+                ids = known.get(piece)  # empty if it is among the new ones
+                if not ids:
+                    ids = self._merged(piece)
+                    if not piece[-1].isalnum():
+                        known.setdefault(piece, ids)
+                held += ids
         for part, own in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             fresh[part] += struct.pack(f"<{len(own.ids)}I", *own.ids)
         self.known.fresh = {}
