@@ -118,6 +118,22 @@ def test_encoder_is_the_library_on_random_texts():
             assert np.frombuffer(ids, "<u4").tolist() == want.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_are_the_library_s_while_parts_are_forgotten(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)  # many generations
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABC", *map(chr, range(0xAA, 0x590))]
+    others = [*" " * 40, *".,;:!?\"'()[]{}|~`^_-+*/\\@#$%&<>=0123456789\n"]
+    texts = ["".join(r.choices(letters + others * 12, k=r.randint(1, 60))) for _ in range(4000)]
+    texts += [f" {c}b{c}{d}" for c in letters for d in ".'|\n"]
+    own, want = tokens.Encoder(path), Tokenizer.from_file(path)
+    for at in range(0, len(texts), 50):
+        for t, ids in zip(texts[at : at + 50], own.encode(texts[at : at + 50])):
+            assert np.frombuffer(ids, "<u4").tolist() == want.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 # 2
 
 
