@@ -409,6 +409,23 @@ def test_media_of_documents(spark, docs, texts):
     for d, t in texts.items():
         p = media.padded(t.encode())
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        x = [b - 128 for b in p]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        mean, rms = sum(x) / len(x), (sum(v * v for v in x) / len(x)) ** 0.5
+        assert got[d].feature == f"mean={mean:.4f};rms={rms:.4f};turns={turns};ms={len(p) // media.PACKET * media.PACKET_MS}"
+    stored = {r.doc_id: bytes(r.media) for r in media.to_media(docs).collect()}
+    for d, data in stored.items():
+        assert (got[d].media_bytes, got[d].media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        # The file's outermost elements, by their own ids and sizes, fill it: the header and the segment.
+        at, ids = 0, []
+        while at < len(data):
+            width = 9 - data[at].bit_length()
+            ids.append(int.from_bytes(data[at : at + width], "big"))
+            at += width
+            width = 9 - data[at].bit_length()
+            size = int.from_bytes(data[at : at + width], "big") - (1 << 7 * width)
+            at += width + size
+        assert at == len(data) and ids == [0x1A45DFA3, 0x18538067]
     assert media.packet_table(media.to_media(docs)).filter("size <> 576").count() == 0
     assert media.features(media.to_media(empty(spark))).count() == 0
 
