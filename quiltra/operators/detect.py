@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
@@ -13,63 +14,100 @@ from quiltra.operators.morphology import kept as stored
 from quiltra.operators.runs import in_runs
 from quiltra.operators.stats import channel_spread, large_quantiles, noise
 
-STATE = "struct<lo:int,hi:int,med:double,rms:double,done:boolean,n:int>"
 
+def _sorted(values: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, start, size) of lists: each sorted, without nulls, one after another."""
+    size = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    flat = values.flatten()
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    series = np.repeat(np.arange(len(size)), size)[there]
+    v = flat.to_numpy(zero_copy_only=False)[there].astype(float)
+    size = np.bincount(series, minlength=len(size))
+    return v[np.lexsort((v, series))], np.cumsum(size) - size, size
 
-def _median(a: Column, lo: Column, hi: Column, kind: str) -> Column:
-    low = F.element_at(a, F.floor((lo + hi) / 2).cast("int") + 1)
-    return low if kind == "lower" else (low + F.element_at(a, F.ceil((lo + hi) / 2).cast("int") + 1)) / 2
 
+def clip_rounds(v: np.ndarray, start: np.ndarray, size: np.ndarray, k: float, rounds: int = 15, kind: str = "lower", floor_zero: bool = False, rate: float = 1e-4):
+    """Rounds of iterative clipping of sorted series that lie one after another in v.
 
-def clip_states(a: Column, k: float, rounds: int, kind: str = "lower", floor_zero: bool = False, rate: float = 1e-4) -> Column:
-    """Array of the states of iterative clipping of a sorted array, one for each round.
-
-    Values are cut by size, so the kept ones are always a slice lo..hi of the sorted array. A round stops the fold if less
+    Values are cut by size, so the kept ones are always a slice lo..hi of the series. A series leaves the rounds if less
     than 3 values are left, their deviation about the median vanishes, median and deviation have settled, or none is cut.
+    Each round yields (lo, hi, series still there, their medians, their deviations), lo and hi of all series after its cut.
+    """
+    lo, hi = start.copy(), start + size - 1
+    old_med, old_rms = np.zeros(len(size)), np.zeros(len(size))
+    at = np.arange(len(size))
+    for turn in range(rounds):
+        at = at[hi[at] - lo[at] >= 2]
+        if not len(at):
+            return
+        a, b = lo[at], hi[at]
+        n = b - a + 1
+        first = np.cumsum(n) - n
+        kept = v[np.repeat(a - first, n) + np.arange(n.sum())]
+        med = v[(a + b) // 2] if kind == "lower" else (v[(a + b) // 2] + v[(a + b + 1) // 2]) / 2
+        rms = np.sqrt(np.add.reduceat((kept - np.repeat(med, n)) ** 2, first) / n)
+        low, high = med - k * rms, med + k * rms
+        low = np.maximum(low, 0.0) if floor_zero else low
+        below = np.add.reduceat((kept < np.repeat(low, n)).astype(np.int64), first)
+        above = np.add.reduceat((kept > np.repeat(high, n)).astype(np.int64), first)
+        settled = (turn > 0) & (np.abs(med - old_med[at]) < 1e-6) & (np.abs(rms - old_rms[at]) / np.maximum(old_rms[at], 1e-12) < rate)
+        stop = (rms <= 1e-12) | settled
+        lo[at], hi[at] = np.where(stop, a, a + below), np.where(stop, b, b - above)
+        old_med[at], old_rms[at] = med, rms
+        yield lo, hi, at, med, rms
+        at = at[~stop & (below + above > 0)]
+
+
+def clip_limits(k: float, rounds: int, kind: str, floor_zero: bool, rate: float):
+    """Column function: the smallest and largest value that clipping keeps of an array; none kept, an empty interval."""
+
+    @F.arrow_udf("struct<least:double,most:double>")
+    def limits(values: pa.Array) -> pa.Array:
+        v, start, size = _sorted(values)
+        lo, hi = start, start + size - 1
+        for lo, hi, *_ in clip_rounds(v, start, size, k, rounds, kind, floor_zero, rate):
+            pass
+        some = hi >= lo
+        least, most = np.full(len(size), np.inf), np.full(len(size), -np.inf)
+        least[some], most[some] = v[lo[some]], v[hi[some]]
+        return pa.StructArray.from_arrays([pa.array(least), pa.array(most)], ["least", "most"])
+
+    return limits
+
+
+def outside(rows: DataFrame, keys: list[str], value: str, out: str, k: float, rounds: int = 15, kind: str = "lower", floor_zero: bool = False, rate: float = 1e-4) -> DataFrame:
+    """rows with ``out``: whether the value is outside what clipping keeps of its keys' values; null for a null value.
+
+    One exchange: the rows of the keys are gathered, only their values are handed to the kernel, and the rows unfold again.
     """
-    def step(states: Column, _: Column) -> Column:
-        s = F.element_at(states, -1)
-        kept = F.slice(a, s["lo"] + 1, F.greatest(F.lit(0), s["hi"] - s["lo"] + 1))
-        with_med = lambda med: F.transform(F.array(F.sqrt(F.aggregate(kept, F.lit(0.0), lambda t, x: t + (x - med) * (x - med)) / F.size(kept))), lambda rms: F.struct(med.alias("med"), rms.alias("rms")))
-        now = F.element_at(F.flatten(F.transform(F.array(_median(a, s["lo"], s["hi"], kind)), with_med)), 1)
-
-        def cut(x: Column) -> Column:
-            low = x["med"] - k * x["rms"]
-            low = F.greatest(low, F.lit(0.0)) if floor_zero else low
-            high = x["med"] + k * x["rms"]
-            lo = s["lo"] + F.size(F.filter(kept, lambda v: v < low))
-            hi = s["hi"] - F.size(F.filter(kept, lambda v: v > high))
-            settled = (s["n"] > 0) & (F.abs(x["med"] - s["med"]) < 1e-6) & (F.abs(x["rms"] - s["rms"]) / F.greatest(s["rms"], F.lit(1e-12)) < rate)
-            stop = (x["rms"] <= 1e-12) | settled
-            done = stop | ((lo == s["lo"]) & (hi == s["hi"]))
-            new_lo, new_hi = F.when(stop, s["lo"]).otherwise(lo), F.when(stop, s["hi"]).otherwise(hi)
-            ends = [new_lo.cast("int").alias("lo"), new_hi.cast("int").alias("hi")]
-            return F.struct(*ends, x["med"].alias("med"), x["rms"].alias("rms"), done.alias("done"), (s["n"] + 1).alias("n"))
-
-        new = F.element_at(F.transform(F.array(now), cut), 1)
-        return F.when(s["done"] | (s["hi"] - s["lo"] < 2), states).otherwise(F.concat(states, F.array(new)))
-
-    first = F.array(F.struct(F.lit(0).alias("lo"), (F.size(a) - 1).alias("hi"), F.lit(0.0).alias("med"), F.lit(0.0).alias("rms"), F.lit(False).alias("done"), F.lit(0).alias("n")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first.cast(f"array<{STATE}>"), lambda acc, x: step(acc, x).cast(f"array<{STATE}>"))
-
-
-def clip_bounds(grid: DataFrame, keys: list[str], k: float, rounds: int = 15, kind: str = "lower", floor_zero: bool = False, rate: float = 1e-4) -> DataFrame:
-    """(keys, least, most): the smallest and largest value that clipping keeps."""
-    a = grid.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("_a"))
-    s = a.withColumn("_s", F.element_at(clip_states(F.col("_a"), k, rounds, kind, floor_zero, rate), -1))
-    return s.select(*keys, F.element_at("_a", F.col("_s.lo") + 1).alias("least"), F.element_at("_a", F.col("_s.hi") + 1).alias("most"))
+    rest = [c for c in rows.columns if c not in keys]
+    own = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    own = own.withColumn("_kept", clip_limits(k, rounds, kind, floor_zero, rate)(F.col(f"_rows.{value}")))
+    own = own.select(*keys, "_kept", F.inline("_rows"))
+    return own.withColumn(out, (F.col(value) < F.col("_kept.least")) | (F.col(value) > F.col("_kept.most"))).drop("_kept")
 
 
 def clip(grid: DataFrame, k: float, kind: str = "lower") -> DataFrame:
     """Point flags: pixels outside what clipping keeps of their channel."""
-    return grid.join(clip_bounds(grid, BC, k, kind=kind), BC).withColumn("m", (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).drop("least", "most")
+    return outside(grid, BC, "v", "m", k, kind=kind)
 
 
 def clip_trace(grid: DataFrame, k: float) -> DataFrame:
     """Median, deviation and number of values at each round of clipping."""
-    a = grid.groupBy(*BC).agg(F.array_sort(F.collect_list("v")).alias("_a"))
-    s = a.select(*BC, F.explode(F.slice(clip_states(F.col("_a"), k, 15), 2, 15)).alias("s"))
-    return s.select(*BC, F.col("s.n").alias("round"), F.col("s.med").alias("med"), F.col("s.rms").alias("rms"), (F.col("s.hi") - F.col("s.lo") + 1).alias("kept"))
+
+    @F.arrow_udf("array<struct<round:int,med:double,rms:double,kept:int>>")
+    def trace(values: pa.Array) -> pa.Array:
+        v, start, size = _sorted(values)
+        states = [(at, np.full(len(at), i + 1), med, rms, hi[at] - lo[at] + 1) for i, (lo, hi, at, med, rms) in enumerate(clip_rounds(v, start, size, k))]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
+        at, turn, med, rms, kept = (np.concatenate(x) for x in zip(none, *states))
+        order = np.argsort(at, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(size)))]).astype(np.int32)
+        columns = [pa.array(turn[order].astype(np.int32)), pa.array(med[order]), pa.array(rms[order]), pa.array(kept[order].astype(np.int32))]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["round", "med", "rms", "kept"]))
+
+    a = grid.groupBy(*BC).agg(F.collect_list("v").alias("_v"))
+    return a.select(*BC, F.inline(trace("_v")))
 
 
 def clip_channels(channels: DataFrame, k: float, value: str = "std", kind: str = "lower", floor_zero: bool = True) -> DataFrame:
@@ -77,9 +115,7 @@ def clip_channels(channels: DataFrame, k: float, value: str = "std", kind: str =
 
     The shorter flows clip about the averaged median, without that limit.
     """
-    own = channels.withColumn("v", F.col(value))
-    b = clip_bounds(own, B, k, 30, kind, floor_zero, 0.01)
-    return own.join(b, B).withColumn("flag", (F.col("v") < F.col("least")) | (F.col("v") > F.col("most"))).drop("least", "most", "v")
+    return outside(channels, B, value, "flag", k, 30, kind, floor_zero, 0.01)
 
 
 def mean_outliers(channels: DataFrame, k: float, among: str | None = None, centre: str = "median") -> DataFrame:

@@ -21,8 +21,7 @@ def detected(grid):
 
 @query("t01_t03_stream_blocks", "WITH {EMB}, s AS (SELECT source, block, chan, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM g GROUP BY ALL) SELECT source, block, chan, t, v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a) AS m FROM g JOIN s USING (source, block, chan)")
 def _(spark, sf):
-    out = S.by_block(S.source(spark, sf, "embeddings"), pixels, detected, new_path(spark, "flags"))
-    return out.select("source", F.col("block").cast("long").alias("block"), "chan", "t", "m")
+    return S.by_block(S.source(spark, sf, "embeddings"), pixels, detected, new_path(spark, "flags"), 100 * 64)
 
 
 @query("t02_stream_bins", "WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, value FROM events), b AS (SELECT date_trunc('hour', ts) AS start, round(avg(value), 6) AS mean, count(*) AS n FROM e GROUP BY ALL) SELECT start, mean, n FROM b WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM e)")

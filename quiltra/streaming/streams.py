@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quiltra.functions.exprs import B
 from quiltra.sources.sinks import new_path
 
 
@@ -20,26 +21,40 @@ def run(stream: DataFrame, handle, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def by_block(stream: DataFrame, to_grid, detect, path: str) -> DataFrame:
-    """detect on whole blocks, whose rows may come in several batches.
+def by_block(stream: DataFrame, to_grid, detect, path: str, cells: int) -> DataFrame:
+    """detect on whole blocks of ``cells`` pixels, whose rows may come in several batches.
 
-    The pixels of each batch, to_grid(batch), are stored by block in a folder of the batch; detection runs on all stored
-    pixels of the blocks that the batch touches. Both replace only what is theirs, so a batch that is run again leaves
-    one copy of its pixels and one output for each block.
+    A batch's pixels, to_grid(batch), join those that the batch before left over. Blocks that are whole are detected and
+    written to the batch's own folder; the others are left over for the next batch. So each pixel is kept until its block is
+    whole and read once more for each batch in between, and a block has one output. What is left when the stream has no more
+    is detected as it is. Leftovers alternate between two folders, and a batch overwrites only its own, so one that is run
+    again gives the same. Each pixel is expected once.
     """
     spark = stream.sparkSession
     held = new_path(spark, "pixels")
+    nothing = to_grid(spark.createDataFrame([], stream.schema))
+    last: list[int] = []
+
+    def left(number: int) -> DataFrame:
+        return spark.read.schema(nothing.schema).parquet(f"{held}/{number % 2}")
+
+    def put(grid: DataFrame, name: str) -> None:
+        detect(grid).write.mode("overwrite").parquet(f"{path}/batch={name}")
 
     def handle(batch: DataFrame, number: int) -> None:
         grid = to_grid(batch)
-        grid.withColumn("batch", F.lit(number)).write.partitionBy("batch", "source", "block").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(held)
-        pixels = spark.read.parquet(held)
-        touched = pixels.filter(F.col("batch") == number).select("source", "block").distinct()
-        whole = pixels.join(touched, ["source", "block"], "left_semi").select(*[F.col(c).cast(t) for c, t in grid.dtypes])
-        detect(whole).write.partitionBy("source", "block").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        grid = grid.unionByName(left(number - 1)) if number else grid
+        counted = grid.withColumn("_n", F.count("*").over(Window.partitionBy(*B))).persist()
+        try:
+            put(counted.filter(F.col("_n") >= cells).drop("_n"), str(number))
+            counted.filter(F.col("_n") < cells).drop("_n").write.mode("overwrite").parquet(f"{held}/{number % 2}")
+        finally:
+            counted.unpersist()
+        last[:] = [number]
 
     run(stream, handle, new_path(spark, "stream"))
-    return spark.read.parquet(path)
+    put(left(last[0]) if last else nothing, "last")
+    return spark.read.schema(detect(nothing).schema).parquet(path)
 
 
 def binned(events: DataFrame, ts: str, value: str, width: str, late: str) -> DataFrame:

@@ -130,15 +130,46 @@ def test_blocks_that_come_in_pieces_are_detected_whole(spark, tmp_path):
     from quiltra.streaming import streams
 
     rng = np.random.default_rng(2)
-    rows = [("x", b, c, t, float(v)) for b in range(3) for c in range(4) for t, v in enumerate(rng.normal(size=50))]
+    rows = [("x", b, c, t, float(v)) for b in range(4) for c in range(4) for t, v in enumerate(rng.normal(size=50)) if b < 3 or t < 30]
     whole = spark.createDataFrame(rows, "source string, block long, chan int, t int, v double")
     path = str(tmp_path / "in" / "grid.parquet")
-    for part in (whole.filter("block < 1 or (block = 1 and t < 20)"), whole.filter("block > 1 or (block = 1 and t >= 20)")):
-        part.coalesce(1).write.mode("append").parquet(path)
-    got = streams.by_block(streams.source(spark, str(tmp_path / "in"), "grid"), lambda b: b, lambda g: detect.tukey_time(g, 1.5), new_path(spark, "flags"))
-    want = detect.tukey_time(whole, 1.5)
+    for part in ("block < 1 or (block = 1 and t < 20)", "block = 2 and t < 20", "block = 3 or (block > 0 and t >= 20)"):
+        whole.filter(part).coalesce(1).write.mode("append").parquet(path)
+    flags = new_path(spark, "flags")
+    detected = lambda g: detect.tukey_time(g, 1.5)
+    got = streams.by_block(streams.source(spark, str(tmp_path / "in"), "grid"), lambda b: b, detected, flags, 200)
     key = lambda df: sorted((r.block, r.chan, r.t, r.m) for r in df.collect())
-    assert key(got) == key(want)
+    assert key(got) == key(detected(whole))
+    places = spark.read.option("basePath", flags).parquet(f"{flags}/batch=*").groupBy("block").agg(F.collect_set("batch").alias("b")).collect()
+    assert all(len(r.b) == 1 for r in places)  # one output of each block
+    assert {r.block for r in places if r.b == ["last"]} == {3}  # only the block that never got whole
+
+
+def test_stream_without_rows_gives_no_rows(spark, tmp_path):
+    from quiltra.sources.sinks import new_path
+    from quiltra.streaming import streams
+
+    empty = spark.createDataFrame([], "source string, block long, chan int, t int, v double")
+    empty.write.parquet(str(tmp_path / "in" / "grid.parquet"))
+    got = streams.by_block(streams.source(spark, str(tmp_path / "in"), "grid"), lambda b: b, lambda g: detect.tukey_time(g, 1.5), new_path(spark, "flags"), 200)
+    assert got.count() == 0 and "m" in got.columns
+
+
+def test_clip_of_odd_series(spark):
+    """Nulls stay null and don't count, short, constant and NaN series lose nothing, other columns come along."""
+    series = [[1.0, 2.0], [3.0] * 6, [None, None, None], [None, 1.0, 1.1, 0.9, 1.0, 1.05, 0.95, 50.0], [float("nan"), 1.0, 2.0, 3.0]]
+    rows = [("x", 0, c, t, v, f"{c}-{t}") for c, s in enumerate(series) for t, v in enumerate(s)]
+    own = spark.createDataFrame(rows, "source string, block long, chan int, t int, v double, note string")
+    out = detect.clip(own, 2.0)
+    got = {(r.chan, r.t): r for r in out.collect()}
+    assert len(got) == len(rows) and all(r.note == f"{c}-{t}" for (c, t), r in got.items())
+    for c in (0, 1, 4):
+        assert not any(got[c, t].m for t in range(len(series[c])))
+    assert [got[2, t].m for t in range(3)] == [None] * 3
+    assert [got[3, t].m for t in range(8)] == [None] + [False] * 6 + [True]
+    assert detect.clip(own.limit(0), 2.0).count() == 0 and detect.clip_trace(own.limit(0), 2.0).count() == 0
+    rounds = {r["round"]: r for r in detect.clip_trace(own.filter("chan = 3"), 2.0).collect()}
+    assert rounds[1].kept == 6 and rounds[1].med == 1.0 and set(rounds) >= {1, 2}
 
 
 def test_stored_blocks_are_replaced_only_when_confirmed(spark):
