@@ -54,7 +54,7 @@ def by_block(stream: DataFrame, to_grid, detect, path: str, cells: int) -> DataF
 
     run(stream, handle, new_path(spark, "stream"))
     put(left(last[0]) if last else nothing, "last")
-    return spark.read.schema(detect(nothing).schema).parquet(path)
+    return spark.read.schema(detect(nothing).schema).parquet(path).drop("batch")
 
 
 def binned(events: DataFrame, ts: str, value: str, width: str, late: str) -> DataFrame:
