@@ -271,3 +271,12 @@ def test_bootstrap_draws_as_many_rows_as_there_are(spark):
     same = evaluate.bootstrap(rows.filter("d is not null").withColumn("d", F.lit(2.0)), "name", "d", 50, 1, cell_bits=3).first()
     assert (same["mean"], same["low"], same["high"]) == (2.0, 2.0, 2.0)
     assert list(evaluate.bootstrap(rows.filter("d > 1e9"), "name", "d", 5).first()) == [None, None, None]
+
+
+def test_samples_of_a_short_last_row_keep_their_times(spark):
+    from quiltra.sources import grids
+
+    own = grid(spark, np.random.default_rng(2).normal(size=(3, 11)))
+    q = grids.quantised(own)
+    got = {(r.chan, r.t): r.v for r in grids.samples_of(grids.subints(q, 4), 3).collect()}
+    assert got == {(r.chan, r.t): r.v for r in grids.dequantised(q).collect()}
