@@ -37,7 +37,10 @@ def nearest(coarse: DataFrame, src: tuple[int, int], dst: tuple[int, int], value
 
 
 def bilinear(grid: DataFrame, src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:
-    """Bilinear growth with half-pixel centres, borders repeated: each source cell sends its weighted share to its targets."""
+    """Bilinear growth with half-pixel centres, borders repeated: each source cell sends its weighted share to its targets.
+
+    Missing source cells count as 0, so a block has all dst cells whatever it has of src.
+    """
     def shares(at: str, s: int, d: int) -> Column:
         lo, hi = F.greatest(F.lit(0), F.floor((F.col(at) - 1) * d / s) - 1), F.least(F.lit(d - 1), F.ceil((F.col(at) + 2) * d / s) + 1)
         place = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(float(s - 1)), (i + 0.5) * s / d - 0.5))
@@ -45,7 +48,10 @@ def bilinear(grid: DataFrame, src: tuple[int, int], dst: tuple[int, int]) -> Dat
         return F.filter(F.transform(F.sequence(lo.cast("int"), hi.cast("int")), weigh), lambda x: x["w"] > 0)
 
     own = grid.select(*B, F.explode(shares("chan", src[0], dst[0])).alias("c"), "t", "v").select(*B, "c", F.explode(shares("t", src[1], dst[1])).alias("x"), "v")
-    return own.groupBy(*B, F.col("c.i").alias("chan"), F.col("x.i").alias("t")).agg(F.sum(F.col("v") * F.col("c.w") * F.col("x.w")).alias("v"))
+    sent = own.select(*B, F.col("c.i").alias("chan"), F.col("x.i").alias("t"), (F.col("v") * F.col("c.w") * F.col("x.w")).alias("v"))
+    every = [F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias(c) for c, d in zip(("chan", "t"), dst)]
+    nothing = grid.groupBy(*B).agg(F.max(F.when(F.col("v").isNotNull(), 0.0)).alias("v")).select(*B, "v", every[0]).select(*BC, every[1], "v")
+    return sent.unionByName(nothing).groupBy(*BC, "t").agg(F.sum("v").alias("v"))
 
 
 def flipped(grid: DataFrame, nchan: int) -> DataFrame:

@@ -280,3 +280,12 @@ def test_samples_of_a_short_last_row_keep_their_times(spark):
     q = grids.quantised(own)
     got = {(r.chan, r.t): r.v for r in grids.samples_of(grids.subints(q, 4), 3).collect()}
     assert got == {(r.chan, r.t): r.v for r in grids.dequantised(q).collect()}
+
+
+def test_bilinear_growth_of_a_short_block_has_all_cells(spark):
+    v = np.random.default_rng(2).normal(size=(4, 6))
+    short = grid(spark, v).filter("t < 3")
+    whole = grid(spark, np.where(np.arange(6) < 3, v, 0.0))
+    grown = lambda g: {(r.chan, r.t): r.v for r in resample.bilinear(g, (4, 6), (8, 15)).collect()}
+    got, want = grown(short), grown(whole)
+    assert len(got) == 8 * 15 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
