@@ -289,3 +289,26 @@ def test_bilinear_growth_of_a_short_block_has_all_cells(spark):
     grown = lambda g: {(r.chan, r.t): r.v for r in resample.bilinear(g, (4, 6), (8, 15)).collect()}
     got, want = grown(short), grown(whole)
     assert len(got) == 8 * 15 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def votes(v, size, lags, thr):
+    """The flagged places of one series {place: value}, by the rules."""
+    edges = set()
+    for lag in lags:
+        voter = {t: min(max(t - lag, 0), size - 1) for t in v}
+        d = {t: v[t] - v[voter[t]] for t in v if voter[t] in v}
+        if d:
+            a, m, b = np.quantile(list(d.values()), [0.25, 0.5, 0.75])
+            edges |= {(voter[t], t) for t, x in d.items() if x - m > thr * max((b - a) / 1.349, 1e-12)}
+    cast, got = ({t: sum(e[i] == t for e in edges) for t in v} for i in (0, 1))
+    return {t for j, t in edges if cast[j] < got[t]}
+
+
+def test_iqrm_compares_by_place(spark):
+    v = np.random.default_rng(4).standard_t(2, size=(9, 40))
+    lost = lambda c, t: (c % 3 == 1 and t > 21) or (c % 3 == 2 and (t * 7 + c) % 5 == 0)
+    rows = [("x", 0, c, t, float(v[c, t])) for c in range(9) for t in range(40) if not lost(c, t)]
+    own = spark.createDataFrame(rows, "source string, block long, chan int, t int, v double")
+    want = {(c, t) for c in range(9) for t in votes({r[3]: r[4] for r in rows if r[2] == c}, 40, [s * k for k in detect.lags_for(6) for s in (1, -1)], 1.5)}
+    got = detect.iqrm(own, BC, "t", "v", 40, 6, 1.5).collect()
+    assert len(got) == len(rows) and {(r.chan, r.t) for r in got if r.flag} == want and want
