@@ -192,19 +192,21 @@ def features(text: bytes) -> np.ndarray:
 
 def train(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Weights over the hashed features, bias, and the threshold on the score; full-batch gradient steps scaled by their running moments (Adam)."""
-    size = 1 << FEATURE_BITS
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    # Features that speak for rejection: in at least LEAST_DOCS documents, LIFT times as common among rejects, far from chance.
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     n1 = max(1e-9, targets.sum())
     n0 = max(1e-9, len(rows) - n1)
-    with_one, both = np.bincount(flat, weights=targets[owner], minlength=size), np.bincount(flat, minlength=size)
+    # Features that speak for rejection: in at least LEAST_DOCS documents, LIFT times as common among rejects, far from chance.
+    # The rare ones, which are most, go first: what is left is small beside the space of features.
+    keep = (np.bincount(flat, minlength=1) >= LEAST_DOCS)[flat]
+    owner, flat = owner[keep], flat[keep]
+    common_ones, at = np.unique(flat, return_inverse=True)
+    with_one, both = np.bincount(at, weights=targets[owner], minlength=len(common_ones)), np.bincount(at, minlength=len(common_ones))
     p1, p0, p = with_one / n1, (both - with_one) / n0, both / (n1 + n0)
     far = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    keep = ((both >= LEAST_DOCS) & (p1 >= LIFT * p0) & (far >= 4))[flat]
+    keep = ((p1 >= LIFT * p0) & (far >= 4))[at]
     owner, flat = owner[keep], flat[keep]
-    w, b = np.zeros(size), 0.0
     total = max(1e-9, weights.sum())
     used = np.unique(flat)
     flat_used = np.searchsorted(used, flat)
@@ -215,14 +217,21 @@ def train(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray) -> t
         grad = np.append(np.bincount(flat_used, weights=gap[owner], minlength=len(used)), gap.sum()) + np.append(2e-5 * v[:-1], 0)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         v -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-    w[used], b = v[:-1], float(v[-1])
-    score = np.bincount(owner, weights=w[flat], minlength=len(rows)) + b
+    w, b = v[:-1], float(v[-1])
+    score = np.bincount(owner, weights=w[flat_used], minlength=len(rows)) + b
     order = np.argsort(score)
     gain = np.concatenate([[0.0], np.cumsum((weights * (1 - 2 * targets))[order])])  # right below the cut, less wrong below it
     best = np.flatnonzero(gain >= gain.max() - 1e-9)
     k = int(best[len(best) // 2])
     edges = np.concatenate([[score.min(initial=0) - 1], score[order], [score.max(initial=0) + 1]])
-    return w, b, float((edges[k] + edges[k + 1]) / 2)
+    return dense(used, w), b, float((edges[k] + edges[k + 1]) / 2)
+
+
+def dense(used: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The weights of all features; those that aren't used have none."""
+    out = np.zeros(1 << FEATURE_BITS)
+    out[used] = w
+    return out
 
 
 def model_of(docs: DataFrame, marks: list[list[str]] = ((), ()), train_rows: int = TRAIN_ROWS):
@@ -241,7 +250,7 @@ def model_of(docs: DataFrame, marks: list[list[str]] = ((), ()), train_rows: int
     sample = votes(docs.filter(draw(F.xxhash64("text")) < max(rates)), marks, True).filter(draw(F.col("key")) < F.when(is_bad, rates[0]).otherwise(rates[1]))
     # All rows of a text are in or none; one of them is kept.
     got = sample.groupBy("key").agg(F.first("votes").alias("votes"), F.first("features").alias("features")).toArrow().sort_by("key")
-    rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in got["features"].to_pylist()]
+    rows = [np.frombuffer(f.as_buffer(), np.int32) for f in got["features"]]
     target = np.array([posterior[tuple(v)] for v in got["votes"].to_pylist()])
     weights = 1 / np.where(target >= 0.5, *rates)
     return posterior, train(rows, target, weights), chance
@@ -251,10 +260,11 @@ def scored(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = T
     """(doc_id, text, score, rejected) of every document; labels (doc_id, toxic) give the lexicon, if there are any."""
     own = common.texts(docs)
     _, (w, b, cut), _ = model_of(own, lexicon(own, labels) if labels is not None else ((), ()), train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((w, b, cut))
+    shared = docs.sparkSession.sparkContext.broadcast((used := np.flatnonzero(w), w[used], b, cut))
 
     def run(batches):
-        w, b, cut = shared.value
+        used, w, b, cut = shared.value
+        w = dense(used, w)
         for batch in batches:
             score = np.array([w[features(t)].sum() + b for t in common.raw(batch["text"])], dtype=float)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": batch["text"], "score": pa.array(score, pa.float64()), "rejected": pa.array(score > cut, pa.bool_())})
@@ -266,10 +276,11 @@ def accepted(docs: DataFrame, labels: DataFrame | None = None, train_rows: int =
     """The rows of docs, with all their columns, that aren't rejected."""
     own = common.texts(docs, text_col=text_col)
     _, (w, b, cut), _ = model_of(own, lexicon(own, labels) if labels is not None else ((), ()), train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((w, b, cut))
+    shared = docs.sparkSession.sparkContext.broadcast((used := np.flatnonzero(w), w[used], b, cut))
 
     def run(batches):
-        w, b, cut = shared.value
+        used, w, b, cut = shared.value
+        w = dense(used, w)
         for batch in batches:
             yield batch.filter(pa.array([w[features(t or b"")].sum() + b <= cut for t in common.raw(batch[text_col])], pa.bool_()))
 

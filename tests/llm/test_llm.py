@@ -804,3 +804,17 @@ def test_near_copies_recall_against_all_pairs(spark):
                 pairs += 1
                 found += got[a].class_id == got[b].class_id
     assert found >= 0.9 * pairs
+
+
+def test_quality_training_takes_little_memory_beside_its_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 1 << quality.FEATURE_BITS, 300)).astype(np.int32) for _ in range(400)]
+    rows = [np.union1d(r, [7, 9]).astype(np.int32) if i % 2 else r for i, r in enumerate(rows)]
+    tracemalloc.start()
+    w, b, cut = quality.train(rows, np.arange(400) % 2.0, np.ones(400))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(np.flatnonzero(w)) == [7, 9] and b < cut < w[7] + w[9] + b
+    assert peak < 3 * w.nbytes
