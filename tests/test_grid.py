@@ -312,3 +312,21 @@ def test_iqrm_compares_by_place(spark):
     want = {(c, t) for c in range(9) for t in votes({r[3]: r[4] for r in rows if r[2] == c}, 40, [s * k for k in detect.lags_for(6) for s in (1, -1)], 1.5)}
     got = detect.iqrm(own, BC, "t", "v", 40, 6, 1.5).collect()
     assert len(got) == len(rows) and {(r.chan, r.t) for r in got if r.flag} == want and want
+
+
+def test_components_take_one_exchange_and_no_rounds(spark):
+    """A spiral and a comb, whose labels travel far, in two blocks; jobs don't follow the length of a component."""
+    spiral = np.zeros((41, 41))
+    for k in range(0, 20, 2):
+        spiral[k, max(k - 1, 0) : 41 - k] = spiral[40 - k, k : 41 - k] = 1
+        spiral[k : 41 - k, 40 - k] = 1
+        spiral[k + 2 : 41 - k, k] = 1
+    comb = np.zeros((41, 41))
+    comb[:, ::2] = comb[40] = 1
+    own = grid(spark, spiral).unionByName(grid(spark, comb, 1)).withColumn("m", F.col("v") > 0)
+    spark.sparkContext.setJobGroup("components", "components")
+    parts = morphology.components(own, "m")
+    spark.sparkContext.setJobGroup("", "")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    got = morphology.boxes(parts).orderBy("block").collect()
+    assert [(r.c0, r.c1, r.t0, r.t1, r.area) for r in got] == [(0, 40, 0, 40, int(x.sum())) for x in (spiral, comb)]
