@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltra.functions.exprs import B, BC, BT, draw, lower_median
 
 
+def picked():
+    """Column function: for each row of a list the value of source number draw mod count, sources by place; null without a draw or a source."""
+
+    @F.arrow_udf("array<double>")
+    def pick(places: pa.Array, values: pa.Array, sources: pa.Array, draws: pa.Array) -> pa.Array:
+        size = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+        group = np.repeat(np.arange(len(size)), size)
+        place, value, source, draw = (x.flatten() for x in (places, values, sources, draws))
+        own = np.flatnonzero(source.to_numpy(zero_copy_only=False))
+        own = own[np.lexsort((place.to_numpy()[own], group[own]))]
+        count = np.bincount(group[own], minlength=len(size))
+        at = np.flatnonzero(draw.is_valid().to_numpy(zero_copy_only=False) & (count > 0)[group])
+        k = np.full(len(group), -1)
+        k[at] = own[(np.cumsum(count) - count)[group[at]] + draw.fill_null(0).to_numpy()[at] % count[group[at]]]
+        new = value.cast(pa.float64()).take(pa.array(k, mask=k < 0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), new)
+
+    return pick
+
+
 def drawn(pixels: DataFrame, keys: list[str], order: str, replace: Column, source: Column, seed: int, empty: Column | None = None) -> DataFrame:
     """``replace`` pixels get the value of a ``source`` pixel of the same keys: number draw mod count in their order.
 
-    Sources are numbered and targets look their number up, so no group is gathered into an array.
+    One exchange: the rows of the keys, a channel or a time of a block, are gathered, draw and unfold again.
     """
-    w = Window.partitionBy(*keys)
-    own = pixels.withColumns({"_src": source, "_rep": replace}).withColumn("_n", F.count_if("_src").over(w))
-    numbered = own.filter("_src").select(*keys, (F.row_number().over(w.orderBy(order)) - 1).alias("_k"), F.col("v").alias("_new"))
-    pick = F.when(F.col("_rep") & (F.col("_n") > 0), draw(seed, *BC, "t") % F.col("_n"))
-    out = own.withColumn("_k", pick).join(numbered, [*keys, "_k"], "left")
+    rest = [c for c in pixels.columns if c not in keys]
+    row = F.struct(F.struct(*rest).alias("_row"), F.coalesce(source, F.lit(False)).alias("_src"), F.when(replace, draw(seed, *BC, "t")).alias("_draw"))
+    own = pixels.groupBy(*keys).agg(F.collect_list(row).alias("_all"), F.count_if(source).alias("_n"))
+    own = own.withColumn("_new", picked()(F.col(f"_all._row.{order}"), F.col("_all._row.v"), F.col("_all._src"), F.col("_all._draw")))
+    own = own.select(*keys, "_n", F.inline(F.arrays_zip("_all", "_new"))).select(*keys, "_n", "_new", "_all._row.*", F.col("_all._draw").isNotNull().alias("_rep"))
     missing = F.col("v") if empty is None else F.when(F.col("_rep") & (F.col("_n") == 0), empty).otherwise(F.col("v"))
-    return out.withColumn("v", F.coalesce("_new", missing)).drop("_src", "_rep", "_n", "_k", "_new")
+    return own.withColumn("v", F.coalesce("_new", missing)).drop("_n", "_new", "_rep")
 
 
 def in_channel(pixels: DataFrame, mask: str, seed: int = 1) -> DataFrame:

@@ -330,3 +330,9 @@ def test_components_take_one_exchange_and_no_rounds(spark):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("components")
     got = morphology.boxes(parts).orderBy("block").collect()
     assert [(r.c0, r.c1, r.t0, r.t1, r.area) for r in got] == [(0, 40, 0, 40, int(x.sum())) for x in (spiral, comb)]
+
+
+def test_quartiles_and_draws_gather_rows_without_a_join(spark):
+    own = grid(spark, np.random.default_rng(1).normal(size=(5, 30))).withColumn("m", F.abs("v") > 1)
+    for got in (detect.tukey_time(own), substitute.in_channel(own, "m"), substitute.across_channels(own.withColumn("f", F.col("chan") == 2), "f", "m")):
+        assert "Join" not in got._jdf.queryExecution().toString() and got.count() == 150
