@@ -336,3 +336,12 @@ def test_quartiles_and_draws_gather_rows_without_a_join(spark):
     own = grid(spark, np.random.default_rng(1).normal(size=(5, 30))).withColumn("m", F.abs("v") > 1)
     for got in (detect.tukey_time(own), substitute.in_channel(own, "m"), substitute.across_channels(own.withColumn("f", F.col("chan") == 2), "f", "m")):
         assert "Join" not in got._jdf.queryExecution().toString() and got.count() == 150
+
+
+def test_blocks_are_the_boxes_of_components(spark):
+    own = grid(spark, np.random.default_rng(7).random((30, 44)) < 0.06).withColumn("m", F.col("v") > 0)
+    flags = lambda df: {(r.chan, r.t): r.m_block for r in df.collect()}
+    boxes = morphology.shaped(morphology.boxes(morphology.components(morphology.dilated_box(own, "m", 2, 3), "m")), 30, 0.5, 0.2, 5.0)
+    want = flags(morphology.inside(own, boxes, "m_block"))
+    got = morphology.blocks(own, "m", 2, 3, 30)
+    assert flags(got) == want and set(want.values()) == {True, False} and "Join" not in got._jdf.queryExecution().toString()
