@@ -93,7 +93,9 @@ def mad(grid: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rms_about_median(grid: DataFrame, keys: list[str]) -> DataFrame:
-    return with_medians(grid, keys).groupBy(*keys).agg(F.first("med").alias("med"), F.sqrt(F.avg(F.pow(F.col("v") - F.col("med"), 2))).alias("rms"))
+    """Lower median, and the deviation about it out of the variance and the mean's distance from it: one pass, no join."""
+    s = grid.groupBy(*keys).agg(lower_median("v").alias("med"), F.avg("v").alias("_m"), F.var_pop("v").alias("_d"))
+    return s.select(*keys, "med", F.sqrt(F.col("_d") + F.pow(F.col("_m") - F.col("med"), 2)).alias("rms"))
 
 
 def profiles(pixels: DataFrame, mask: str) -> DataFrame:

@@ -345,3 +345,28 @@ def test_blocks_are_the_boxes_of_components(spark):
     want = flags(morphology.inside(own, boxes, "m_block"))
     got = morphology.blocks(own, "m", 2, 3, 30)
     assert flags(got) == want and set(want.values()) == {True, False} and "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_facts_of_a_block_meet_pixels_without_sorting_them(spark):
+    own = grid(spark, np.zeros((6, 9))).unionByName(grid(spark, np.zeros((6, 9)), 1))
+    times = spark.createDataFrame([("x", 0, 3, True), ("x", 1, 8, True)], "source string, block long, t int, hot boolean")
+    kinds = spark.createDataFrame([("x", 1, 2, "dark", 7)], "source string, block long, chan int, kind string, n int")
+    got = morphology.looked_up(morphology.looked_up(own, times, "t"), kinds, "chan")
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and got.columns == [*own.columns, "hot", "kind", "n"] and got.count() == 108
+    assert {(r.block, r.t) for r in got.filter("hot").collect()} == {(0, 3), (1, 8)}
+    assert {(r.block, r.chan, r.n) for r in got.filter("kind = 'dark'").collect()} == {(1, 2, 7)}
+
+
+@pytest.mark.parametrize("name", ["sigma", "iqrm", "tukey"])
+def test_full_flow_stores_its_pixels_twice(spark, name, monkeypatch):
+    stored, kept = [], morphology.kept
+    monkeypatch.setattr(morphology, "kept", lambda df, to: stored.append(to) or kept(df, to))
+    v = np.random.default_rng(5).normal(size=(16, 60))
+    v[:, 20], v[3], v[8:12, 30:40] = v[:, 20] + 9, v[3] * 4, 6
+    out = flows.full_flow(grid(spark, v), 16, 60, 2.5, 2.0, detector=name, area=20)
+    rows = out.collect()
+    assert stored == ["points", "work"] and len(rows) == 960 and len({(r.chan, r.t) for r in rows}) == 960
+    med = np.sort(v.ravel())[479]
+    assert {(round(r.final_med, 9), round(r.final_rms, 9)) for r in rows} == {(round(med, 9), round(np.sqrt(np.mean((v - med) ** 2)), 9))}
+    assert all(r.v == v[r.chan, r.t] for r in rows) and any(r.m_block for r in rows)
