@@ -370,3 +370,34 @@ def test_full_flow_stores_its_pixels_twice(spark, name, monkeypatch):
     med = np.sort(v.ravel())[479]
     assert {(round(r.final_med, 9), round(r.final_rms, 9)) for r in rows} == {(round(med, 9), round(np.sqrt(np.mean((v - med) ** 2)), 9))}
     assert all(r.v == v[r.chan, r.t] for r in rows) and any(r.m_block for r in rows)
+
+
+def test_a_blocks_thresholds_noise_and_outliers_are_those_of_the_columns(spark):
+    """Arrays of one block against the operators on rows, with places and values missing."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(9, 40))
+    v[4], v[:, 17] = v[4] * 3, v[:, 17] * 4
+    own = grid(spark, v).withColumn("_h", F.abs(F.hash("chan", "t"))).filter("_h % 7 > 0")
+    own = own.withColumns({"m": F.col("_h") % 5 == 0, "v": F.when(F.col("_h") % 11 > 0, F.col("v"))}).drop("_h").localCheckpoint()
+    rows = own.orderBy("chan", "t").collect()
+    chan, t, m = (np.array([r[c] for r in rows]) for c in ("chan", "t", "m"))
+    x = np.array([np.nan if r.v is None else r.v for r in rows])
+    counted = ~m & ~np.isnan(x)
+    sigma = detect.noise(own.filter("not m")).first().sigma
+    assert abs(detect.noise_of(x[~m]) - sigma) < 1e-9
+    for key, keys, at, places in ((chan, BC, "t", t), (t, ["source", "block", "t"], "chan", chan)):
+        hits = {(r.chan, r.t) for r in detect.sum_threshold(own, keys, at, 1.4, 4, mask="m").filter("hit").collect()}
+        got = detect.hits_along(key, places, x, counted, 1.4, 4)
+        assert {(a, b) for a, b in zip(chan[got], t[got])} == hits and 0 < len(hits) < len(rows)
+        far = {r[keys[-1]] for r in detect.rms_outliers(own, "m", keys, 1.5).filter("flag").collect()}
+        assert set(key[detect.outlying(key, x, counted, 1.5)].tolist()) == far and far
+
+
+def test_strategy_gathers_a_block_once_for_its_rounds(spark, monkeypatch):
+    stored, kept = [], morphology.kept
+    monkeypatch.setattr(morphology, "kept", lambda df, to: stored.append(to) or kept(df, to))
+    v = np.random.default_rng(2).normal(size=(12, 50))
+    v[:, 20], v[7] = v[:, 20] + 30, v[7] + 40
+    got = {(r.chan, r.t): r.m for r in flows.strategy(grid(spark, v), 12, 50).collect()}
+    assert stored == ["dilated"] and len(got) == 600
+    assert all(got[c, 20] for c in range(12)) and all(got[7, t] for t in range(50)) and sum(got.values()) < 300
